@@ -14,6 +14,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in every document.
+
+    `score` is 1 where a whole template matches, 0.5 where only a phrase does, else 0.
+    """
+    from vigilark.llm.licenses import scan_licenses
+
+    rows = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("hits", lambda h: h["kind"] == "phrase")
+    labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    starts = F.transform(base, lambda h: h["first"])
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("hits")).alias("labels"),
+        F.when(F.exists("hits", lambda h: h["kind"] == "template"), 1.0)
+        .when(F.size("hits") > 0, 0.5)
+        .otherwise(0.0)
+        .alias("score"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document and the text that its ids decode to."""
     import public_tokenizers
@@ -29,6 +55,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op7_bpe": op7_bpe}
+QUERIES: dict[str, Query] = {
+    "op4_licenses": op4_licenses,
+    "op7_bpe": op7_bpe,
+}
 
 ORACLES: dict[str, str] = {}
