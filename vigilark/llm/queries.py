@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from rows whose remainder modulo 4 is not 2."""
+    from vigilark.llm._labelled import remainder
+    from vigilark.llm.toxicity import score_toxicity, train_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = train_toxicity(docs, labels, remainder("doc_id", 4) != 2)
+    return verdicts(score_toxicity(docs, machine), remainder("doc_id", 4) == 2, 0.3)
+
+
+def verdicts(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document.
 
@@ -55,9 +71,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from rows whose remainder modulo 3 is not 1."""
+    from vigilark.llm._labelled import remainder
+    from vigilark.llm.quality import score_quality, train_quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = train_quality(docs, labels, remainder("doc_id", 3) != 1)
+    return verdicts(score_quality(docs, machine), remainder("doc_id", 3) == 1, 0.5)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op4_licenses": op4_licenses,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
