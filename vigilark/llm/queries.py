@@ -81,11 +81,20 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(score_quality(docs, machine), remainder("doc_id", 3) == 1, 0.5)
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by 64-bit fingerprints of word shingles."""
+    from vigilark.llm.simhash_dedup import near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op4_licenses": op4_licenses,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
