@@ -56,6 +56,15 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that smaller documents hold too."""
+    from vigilark.llm.substring_dedup import remove_duplicate_spans
+
+    rows = remove_duplicate_spans(table(spark, sf_dir, "documents"))
+    kept = F.when(F.col("n_removed") > 0, F.sha2("kept", 256)).otherwise(F.col("whole"))
+    return rows.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every document and the text that its ids decode to."""
     import public_tokenizers
@@ -92,6 +101,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op4_licenses": op4_licenses,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_simhash_dedup": op9_simhash_dedup,
