@@ -30,6 +30,36 @@ def verdicts(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame
     )
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how many other documents are near.
+
+    `n_near` counts the other documents whose fingerprints differ in at most 3 bits.
+    """
+    from vigilark.llm._tables import settle
+    from vigilark.llm.simhash import edited_fingerprints, likeness, neighbours
+
+    rows = settle(edited_fingerprints(table(spark, sf_dir, "documents")))
+    counts = settle(rows.groupBy("fp").agg(F.count("*").alias("n")))
+    pairs = neighbours(counts.select("fp"))
+    ends = pairs.select(F.col("fp_a").alias("fp"), F.col("fp_b").alias("other")).unionByName(
+        pairs.select(F.col("fp_b").alias("fp"), F.col("fp_a").alias("other"))
+    )
+    weighed = counts.select(F.col("fp").alias("other"), F.col("n").alias("n_other"))
+    near = ends.join(weighed, "other").groupBy("fp").agg(F.sum("n_other").alias("n_linked"))
+    known = settle(counts.join(near, "fp", "left").select("fp", (F.col("n") - 1 + F.coalesce("n_linked", F.lit(0))).alias("n_near")))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(known, "fp", "left").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        text("fp").alias("fingerprint"),
+        text("edited_fp").alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        "n_near",
+    )
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates in every document.
 
@@ -100,6 +130,7 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
