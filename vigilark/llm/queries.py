@@ -128,6 +128,20 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: fixed patterns and discovered identifiers."""
+    from vigilark.llm.pii import KINDS, describe, find_personal_data
+
+    rows = find_personal_data(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id",
+        *[count(k) for k in KINDS],
+        F.sha2(describe(F.col("base")), 256).alias("base_sha256"),
+        describe(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op3_simhash": op3_simhash,
@@ -136,6 +150,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
