@@ -30,6 +30,14 @@ def verdicts(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame
     )
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents in which no source recurs more than twice as often as another."""
+    from vigilark.llm.mixing import Target, mix
+
+    rows = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), Target(max_repeats=2.0))
+    return rows.select(F.col("row.doc_id").alias("doc_id"), "source", "weight", "block", "place")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and how many other documents are near.
 
@@ -144,6 +152,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
     "op6_substring_dedup": op6_substring_dedup,
