@@ -94,6 +94,13 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings by cosine."""
+    from vigilark.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 50-word windows that smaller documents hold too."""
     from vigilark.llm.substring_dedup import remove_duplicate_spans
@@ -155,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op3_simhash": op3_simhash,
     "op4_licenses": op4_licenses,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
