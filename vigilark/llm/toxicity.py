@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from vigilark.llm._arrow import map_texts
+from vigilark.llm._arrow import chunks, map_texts
 from vigilark.llm._labelled import labelled_sample
 
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
@@ -272,3 +272,20 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
         return lambda texts: [pa.array(machine.score(texts), pa.float64())]
 
     return map_texts(docs, make, "score double", id_col, text_col)
+
+
+def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below `threshold`; nothing is joined.
+
+    Null and empty texts score lowest and stay.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            scores = [machine.score(texts[part]) for part in chunks(texts)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
