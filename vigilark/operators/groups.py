@@ -5,10 +5,13 @@ Groups are rows `drug`, `reaction`. Similarities are long tables `i` < `j`, `met
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
+from vigilark.operators.similarity import BLOCK, pair_matrix
 
 
 def usable_groups(pairs: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
@@ -38,24 +41,50 @@ def control_groups(groups: DataFrame, pool: DataFrame, seed: int = 1, spare: int
     return free.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n")).select("drug", "reaction")
 
 
-def within(groups: DataFrame, label: str) -> DataFrame:
-    """`drug`, `grp`, `i` < `j`: the unordered pairs inside each group."""
-    a = groups.select("drug", F.col("reaction").alias("i"))
-    b = groups.select("drug", F.col("reaction").alias("j"))
-    return a.join(b, "drug").filter("i < j").select("drug", F.lit(label).alias("grp"), "i", "j")
+def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str]) -> DataFrame:
+    """`drug`, `grp` ('V' or 'R'), `i` < `j`, `metric`, `sim` of the pairs inside each group.
 
-
-def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: dict[str, object]) -> DataFrame:
-    """`drug`, `grp` ('V' or 'R'), `i`, `j`, `metric`, `sim`.
-
-    Only the pairs that groups hold are compared, so no table of all pairs is needed.
+    Vectors are sent once per group (once per block pair for groups of more than BLOCK terms)
+    and compared there as matrices, so no table of all pairs of terms is needed.
     """
-    pairs = within(valid, "V").unionByName(within(control, "R"))
-    u = terms.select(F.col("term").alias("i"), F.col("v").alias("u"))
-    w = terms.select(F.col("term").alias("j"), F.col("v").alias("w"))
-    both = pairs.join(u, "i").join(w, "j")
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), f(F.col("u"), F.col("w")).alias("sim")) for m, f in metrics.items()])
-    return both.select("drug", "grp", "i", "j", F.explode(cells).alias("s")).select("drug", "grp", "i", "j", "s.metric", "s.sim")
+    members = valid.select("drug", "reaction", F.lit("V").alias("grp")).unionByName(control.select("drug", "reaction", F.lit("R").alias("grp")))
+    sizes = members.groupBy("drug", "grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    vectors = terms.select(F.col("term").alias("reaction"), "v")
+    own = F.pmod(F.xxhash64("reaction"), F.col("blocks")).cast("int")
+    rows = members.join(sizes, ["drug", "grp"]).join(vectors, "reaction").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("drug", "grp", "reaction", "v", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    kind = dict(rows.dtypes)
+
+    def run(key, table):
+        drug, grp, p, q = (x.as_py() for x in key)
+        order = np.argsort(table.column("reaction").to_numpy(zero_copy_only=False), kind="stable")
+        table = table.take(pa.array(order))
+        names, own = table.column("reaction").to_numpy(zero_copy_only=False), table.column("own").to_numpy()
+        v = np.array(table.column("v").to_pylist(), float)
+        a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        parts = []
+        for metric in metrics:
+            s = pair_matrix(metric, v[a], v[b])
+            i, j = np.nonzero(names[a][:, None] < names[b][None, :]) if p == q else (x.ravel() for x in np.indices(s.shape))
+            x, y, sim = names[a][i], names[b][j], s[i, j]
+            flip = x > y
+            n = len(sim)
+            parts.append(
+                pa.table(
+                    {"drug": pa.array([drug] * n, table_type(kind["drug"])), "grp": pa.array([grp] * n, pa.string()), "i": np.where(flip, y, x),
+                     "j": np.where(flip, x, y), "metric": pa.array([metric] * n, pa.string()), "sim": pa.array(np.where(np.isnan(sim), np.nan, sim), pa.float64(), from_pandas=True)}
+                )
+            )
+        return pa.concat_tables(parts)
+
+    schema = f"drug {kind['drug']}, grp string, i {kind['reaction']}, j {kind['reaction']}, metric string, sim double"
+    return rows.groupBy("drug", "grp", "p", "q").applyInArrow(run, schema)
+
+
+def table_type(ddl: str) -> pa.DataType:
+    """Arrow type of a key column."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ddl]
 
 
 def _avg(x: Column, grp: str) -> Column:

@@ -92,7 +92,7 @@ def top_neighbours(sims: DataFrame, k: int = 25) -> DataFrame:
 
 
 # -- all pairs -------------------------------------------------------------------------------
-def _matrix(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def pair_matrix(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarities of all rows of `a` with all of `b`."""
     if metric in ("cosine", "correlation"):
         if metric == "correlation":
@@ -141,7 +141,7 @@ def _in_blocks(terms: DataFrame, metric: str, reduce_, schema: str) -> DataFrame
         names, own = table.column("term").to_numpy(zero_copy_only=False), table.column("own").to_numpy()
         v = np.array(table.column("v").to_pylist(), float)
         a, b = own == p, own == q
-        return reduce_(names[a], names[b], _matrix(metric, v[a], v[b]), p == q)
+        return reduce_(names[a], names[b], pair_matrix(metric, v[a], v[b]), p == q)
 
     return _block_pairs(prepare(terms, metric)).groupBy("p", "q").applyInArrow(run, schema)
 

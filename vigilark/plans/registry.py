@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vigilark.plans import similarity
+from vigilark.plans import groups, similarity
 
-QUERIES = {**similarity.QUERIES}
-ORACLES = {**similarity.ORACLES}
+_MODULES = (similarity, groups)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
