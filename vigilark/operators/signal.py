@@ -68,7 +68,7 @@ def _curve(rows: DataFrame) -> DataFrame:
     at = rows.filter("score is not null and label is not null").groupBy("score").agg(
         F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") == 0, 1)).alias("n")
     )
-    ends = at.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("P"), F.sum("n").alias("N"))
+    ends = at.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     part = F.least(F.floor(F.coalesce(F.try_divide(F.col("hi") - F.col("score"), F.col("hi") - F.col("lo")), F.lit(0.0)) * SLICES), F.lit(SLICES - 1))
     at = at.join(F.broadcast(ends)).withColumn("part", part.cast("int"))  # one row
     sums = at.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
@@ -76,24 +76,24 @@ def _curve(rows: DataFrame) -> DataFrame:
     offset = sums.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("on"))
     run = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     out = at.join(F.broadcast(offset), "part").withColumn("cp", F.sum("p").over(run) + F.col("op")).withColumn("cn", F.sum("n").over(run) + F.col("on"))
-    return out.select("score", "p", "n", "cp", "cn", "P", "N")
+    return out.select("score", "p", "n", "cp", "cn", "all_p", "all_n")
 
 
 def auroc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve, ties shared; null if a class is missing."""
     wins = F.col("n") * (F.col("cp") - F.col("p") / 2)
-    one = _curve(rows).agg(F.sum(wins).alias("w"), F.max("P").alias("P"), F.max("N").alias("N"))
-    return one.select(F.try_divide(F.col("w"), F.col("P") * F.col("N")).cast("double").alias("auroc"))
+    one = _curve(rows).agg(F.sum(wins).alias("w"), F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"))
+    return one.select(F.try_divide(F.col("w"), F.col("all_p") * F.col("all_n")).cast("double").alias("auroc"))
 
 
 def auprc(rows: DataFrame) -> DataFrame:
     """Area under precision over recall by trapezoids, from recall 0 at precision 1."""
     points = _curve(rows)
-    recall, precision = F.col("cp") / F.col("P"), F.col("cp") / (F.col("cp") + F.col("cn"))
+    recall, precision = F.col("cp") / F.col("all_p"), F.col("cp") / (F.col("cp") + F.col("cn"))
     above_p, above_n = F.col("cp") - F.col("p"), F.col("cn") - F.col("n")
     earlier = F.when(above_p + above_n > 0, above_p / F.greatest(above_p + above_n, F.lit(1))).otherwise(1.0)
-    area = (recall - above_p / F.col("P")) * (precision + earlier) / 2
-    return points.filter("P > 0").agg(F.sum(area).alias("auprc"))
+    area = (recall - above_p / F.col("all_p")) * (precision + earlier) / 2
+    return points.filter("all_p > 0").agg(F.sum(area).alias("auprc"))
 
 
 def accuracy(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
