@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilark.llm.oracles import ORACLES as ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -169,5 +171,3 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pii": op10_pii,
 }
-
-ORACLES: dict[str, str] = {}
