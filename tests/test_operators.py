@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vigilark.functions import distributions, vectors
+from vigilark.functions.optimisers import SLOTS, Optimiser
 from vigilark.operators import clustering, frequencies, learning, multivariate, relational, sampling, signal, similarity, tests
 from vigilark.sources import files, sinks
 from vigilark.streaming import reports
@@ -120,6 +121,61 @@ def test_training_lowers_the_loss(spark):
     assert after < 0.6 * before
 
 
+def test_pair_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(0)
+    a, c, shared = rng.normal(size=(5, 4)), rng.normal(size=(5, 4)), rng.normal(size=10)
+    y = np.array([1, 0, 1, 0, 0.0])
+    for norm in (False, True):
+        _, da, dc, ds = learning.pair_gradients(a, c, y, shared, norm)
+        for x, g in ((a, da), (c, dc), (shared, ds)):
+            for at in np.ndindex(x.shape):
+                old, ends = x[at], []
+                for eps in (1e-6, -1e-6):
+                    x[at] = old + eps
+                    ends.append(learning.pair_gradients(a, c, y, shared, norm)[0])
+                x[at] = old
+                assert math.isclose((ends[0] - ends[1]) / 2e-6, g[at], abs_tol=1e-5)
+
+
+@pytest.mark.parametrize("kind", sorted(SLOTS))
+def test_optimisers_go_downhill(kind):
+    # adagrad's steps shrink: in n steps it goes about 2 * rate * sqrt(n), so it needs a larger rate
+    opt = Optimiser(kind, 0.5 if kind == "adagrad" else 0.05, momentum=0.9)
+    v = np.array([[3.0, -2.0], [0.5, 1.0]])
+    state, steps, goal = opt.fresh(v.shape), np.zeros(2, int), np.array([[1.0, 1.0], [0.0, -1.0]])
+    begin = ((v - goal) ** 2).sum()
+    for _ in range(300):
+        steps += 1
+        v, state = opt.step(v, 2 * (v - goal), state, steps)
+    assert ((v - goal) ** 2).sum() < 0.1 * begin
+
+
+def test_optimisers_first_steps():
+    v, g = np.array([[1.0]]), np.array([[4.0]])
+    move = lambda **k: float(Optimiser(rate=0.1, **k).step(v, g, Optimiser(**k).fresh(v.shape), np.array([1]))[0][0, 0])
+    assert math.isclose(move(kind="sgd"), 0.6)
+    assert math.isclose(move(kind="sgd", momentum=0.9), 1 - 0.4 * 1.9)
+    assert math.isclose(move(kind="rmsprop"), 1 - 0.1 / math.sqrt(0.1), abs_tol=1e-6)
+    assert math.isclose(move(kind="adagrad"), 1 - 0.4 / math.sqrt(16.1))
+    assert math.isclose(move(kind="adam"), 0.9, abs_tol=1e-5)
+    assert move(kind="adagrad", l1=100.0) == 0
+
+
+def test_training_with_an_adaptive_optimiser(spark):
+    rows = [(a, c, int(a % 3 == c % 3)) for a in range(12) for c in range(12)] * 4
+    samples = spark.createDataFrame(rows, "target int, context int, label int")
+    loss = lambda p, norm: learning.nsg_loss(samples, p, norm).first()["loss"]
+    before = loss(learning.initial_vectors(samples, 8), False)
+    params = learning.train_nsg(samples, 8, 6, blocks=2, optimiser=Optimiser("adam", 0.05))
+    assert params.filter("side = 'shared'").count() == 1 and params.count() == 25
+    assert loss(params, False) < 0.6 * before
+    params = learning.train_nsg(samples, 8, 6, blocks=2, optimiser=Optimiser("rmsprop", 0.05), norm=True)
+    assert loss(params, True) < before
+    counts = spark.createDataFrame([(a, a % 3, 5) for a in range(12)], "target int, context int, n long")
+    vectors = learning.train_ntx(counts, 4, 2, 3, hidden=4, optimiser=Optimiser("amsgrad", 0.05))
+    assert vectors.count() == 15
+
+
 def test_contrastive_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     u, w = rng.normal(size=(5, 4)), rng.normal(size=(5, 4))

@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilark.functions.optimisers import Optimiser
 from vigilark.operators.sampling import contrastive_batches
 from vigilark.sources.tables import settle
 
@@ -33,52 +34,134 @@ def initial_vectors(samples: DataFrame, dim: int, seed: int = 1) -> DataFrame:
     return sides[0].unionByName(sides[1]).distinct().withColumn("v", _start(seed, dim, "side", "term"))
 
 
-def _descend(pairs: pd.DataFrame, params: pd.DataFrame, rate: float) -> pd.DataFrame:
-    """Mini-batch steps of the logistic loss over the pairs of one stratum's task."""
-    if not len(pairs) or not len(params):
-        return params
-    v = np.array(params["v"].tolist(), float)
+def _with_state(params: DataFrame) -> DataFrame:
+    """Vectors with the optimiser's state (empty before the first step) and their steps so far."""
+    return params.withColumn("state", F.array().cast("array<double>")).withColumn("steps", F.lit(0).cast("bigint"))
+
+
+_PARAMS = "side string, term string, v array<double>, state array<double>, steps bigint"
+
+
+def _unpack(frame: pd.DataFrame, optimiser: Optimiser) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, state and steps of the rows of a frame."""
+    v = np.array(frame["v"].tolist(), float)
+    state, steps = optimiser.fresh(v.shape), frame["steps"].to_numpy(np.int64).copy()
+    for k in np.flatnonzero(steps):
+        state[k] = np.asarray(frame["state"].iloc[k], float).reshape(optimiser.slots, -1)
+    return v, state, steps
+
+
+def _pack(frame: pd.DataFrame, v: np.ndarray, state: np.ndarray, steps: np.ndarray) -> pd.DataFrame:
+    kept = [s.ravel() if n else np.zeros(0) for s, n in zip(state, steps, strict=True)]
+    return pd.DataFrame({"side": frame["side"], "term": frame["term"], "v": list(v), "state": kept, "steps": steps})
+
+
+def pair_gradients(a: np.ndarray, c: np.ndarray, y: np.ndarray, shared: np.ndarray, norm: bool = False):
+    """Summed logistic loss of pairs (rows of `a` and `c`) and its gradients for `a`, `c`, `shared`.
+
+    `shared` holds the bias of targets, that of contexts, and weight and bias of the last unit,
+    which is put on the product of the two biased vectors, or on their cosine if `norm`.
+    """
+    dim = a.shape[1]
+    x, w = a + shared[:dim], c + shared[dim : 2 * dim]
+    size_x, size_w = (np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if norm else 1.0 for m in (x, w))
+    x, w = x / size_x, w / size_w
+    dot = (x * w).sum(1)
+    z = np.clip(dot * shared[-2] + shared[-1], -30, 30)
+    loss = float(np.log1p(np.exp(np.where(y > 0, -z, z))).sum())
+    err = 1 / (1 + np.exp(-z)) - y
+    dx, dw = (err * shared[-2])[:, None] * w, (err * shared[-2])[:, None] * x
+    if norm:
+        dx, dw = (dx - x * (x * dx).sum(1, keepdims=True)) / size_x, (dw - w * (w * dw).sum(1, keepdims=True)) / size_w
+    return loss, dx, dw, np.r_[dx.sum(0), dw.sum(0), (err * dot).sum(), err.sum()]
+
+
+def _descend(pairs: pd.DataFrame, params: pd.DataFrame, head: pd.DataFrame, optimiser: Optimiser, norm: bool) -> pd.DataFrame:
+    """Mini-batch steps over the pairs of one stratum's task; the shared row comes back last."""
+    if not len(params):
+        return head
+    v, state, steps = _unpack(params, optimiser)
+    shared, shared_state, shared_steps = _unpack(head, optimiser)
     place = {key: k for k, key in enumerate(zip(params["side"], params["term"], strict=True))}
-    i = np.array([place["target", t] for t in pairs["target"]])
-    j = np.array([place["context", c] for c in pairs["context"]])
+    i = np.array([place["target", t] for t in pairs["target"]], np.int64)
+    j = np.array([place["context", c] for c in pairs["context"]], np.int64)
     y = pairs["label"].to_numpy(float)
     for b in range(0, len(y), BATCH):
         a, c = i[b : b + BATCH], j[b : b + BATCH]
-        err = 1 / (1 + np.exp(-np.clip((v[a] * v[c]).sum(1), -30, 30))) - y[b : b + BATCH]
-        step_a, step_c = err[:, None] * v[c], err[:, None] * v[a]
-        np.add.at(v, a, -rate * step_a)
-        np.add.at(v, c, -rate * step_c)
-    return params.assign(v=list(v))
+        _, ga, gc, gs = pair_gradients(v[a], v[c], y[b : b + BATCH], shared[0], norm)
+        rows, at = np.unique(np.r_[a, c], return_inverse=True)
+        g = np.zeros((len(rows), v.shape[1]))
+        np.add.at(g, at, np.r_[ga, gc])
+        steps[rows] += 1
+        v[rows], state[rows] = optimiser.step(v[rows], g, state[rows], steps[rows])
+        shared_steps += 1
+        shared, shared_state = optimiser.step(shared, gs[None, :] / len(a), shared_state, shared_steps)
+    return pd.concat([_pack(params, v, state, steps), _pack(head, shared, shared_state, shared_steps)])
 
 
-def train_nsg(samples: DataFrame, dim: int = 200, epochs: int = 30, rate: float = 0.1, blocks: int = 8, seed: int = 1) -> DataFrame:
-    """Vectors of `target` and `context` from samples with `label` 1 (a pair) or 0 (a negative)."""
+def train_nsg(
+    samples: DataFrame,
+    dim: int = 200,
+    epochs: int = 30,
+    rate: float = 0.1,
+    blocks: int = 8,
+    seed: int = 1,
+    optimiser: Optimiser | None = None,
+    norm: bool = False,
+) -> DataFrame:
+    """Vectors of `target` and `context` from samples with `label` 1 (a pair) or 0 (a negative).
+
+    Rows are `side`, `term`, `v`; the row of side 'shared' holds the biases of the two sides and
+    weight and bias of the last unit, whose values the tasks of a stratum average. Without an
+    optimiser it is plain descent with `rate`.
+    """
+    opt = optimiser or Optimiser("sgd", rate)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     named = samples.select(F.col("target").cast("string").alias("target"), F.col("context").cast("string").alias("context"), "label")
     dealt = settle(named.select("*", block("target").alias("key"), F.pmod(block("context") - block("target"), F.lit(blocks)).alias("stratum")))
-    params = settle(initial_vectors(named, dim, seed))
+    params = settle(_with_state(initial_vectors(named, dim, seed)))
+    shared = np.r_[np.zeros(2 * dim), 1.0, 0.0]
+    head = pd.DataFrame({"side": ["shared"], "term": [""], "v": [shared], "state": [np.zeros(0)], "steps": [0]})
     for _ in range(epochs):
         for s in range(blocks):
             home = F.when(F.col("side") == "target", block("term")).otherwise(F.pmod(block("term") - s, F.lit(blocks)))
-            keyed = params.select(home.alias("key"), "side", "term", "v")
+            keyed = params.select(home.alias("key"), "side", "term", "v", "state", "steps")
             pairs = dealt.filter(F.col("stratum") == s)
+            now = head
 
-            def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 # rows come in no fixed order; sorted, so that a retried task repeats its steps
                 left = left.sort_values(["target", "context", "label"]).sample(frac=1, random_state=seed)
-                return _descend(left, right, rate)[["side", "term", "v"]]
+                return _descend(left, right, now.assign(term=str(key[0])), opt, norm)
 
-            params = settle(pairs.groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(run, "side string, term string, v array<double>"))
-    return params
+            moved = settle(pairs.groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(run, _PARAMS))
+            params = moved.filter("side <> 'shared'")
+            found = moved.filter("side = 'shared'").toPandas()  # one row a block
+            found = found[found["steps"] > head["steps"].iloc[0]].sort_values("term")
+            if len(found):
+                mean = lambda c: np.mean(found[c].tolist(), axis=0)
+                head = head.assign(v=[mean("v")], state=[mean("state")], steps=[int(found["steps"].max())])
+    row = dealt.sparkSession.createDataFrame([("shared", "", [float(x) for x in head["v"].iloc[0]])], "side string, term string, v array<double>")
+    return params.select("side", "term", "v").unionByName(row)
 
 
-def nsg_loss(samples: DataFrame, params: DataFrame) -> DataFrame:
-    """One row: mean cross-entropy of the samples."""
+def nsg_loss(samples: DataFrame, params: DataFrame, norm: bool = False) -> DataFrame:
+    """One row: mean cross-entropy of the samples. Without a shared row biases are zero."""
+    row = params.filter("side = 'shared'").first()
     out = samples
-    for side, name in (("target", "u"), ("context", "w")):
+    for k, (side, name) in enumerate((("target", "u"), ("context", "w"))):
         own = params.filter(F.col("side") == side).select(F.col("term").alias(side), F.col("v").alias(name))
         out = out.withColumn(side, F.col(side).cast("string")).join(own, side)
-    z = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        if row is not None:
+            dim = len(row["v"]) // 2 - 1
+            bias = F.array(*[F.lit(x) for x in row["v"][k * dim : (k + 1) * dim]])
+            out = out.withColumn(name, F.zip_with(name, bias, lambda x, y: x + y))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    z = product("u", "w")
+    if norm:
+        z = F.try_divide(z, F.sqrt(product("u", "u") * product("w", "w")))
+    if row is not None:
+        z = z * row["v"][-2] + row["v"][-1]
     margin = F.when(F.col("label") == 1, z).otherwise(-z)
     return out.agg(F.avg(F.log1p(F.exp(-margin))).alias("loss"))
 
@@ -114,10 +197,27 @@ def contrastive_gradients(u: np.ndarray, w: np.ndarray, flat: np.ndarray, hidden
     return loss, dx[:n], dx[n:], head
 
 
-def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 16, temperature: float = 0.3, hidden: int = 128, rate: float = 0.5, seed: int = 1) -> DataFrame:
-    """Vectors (`side`, `term`, `v`) from pair counts (`target`, `context`, `n`), one step an epoch."""
-    params = settle(initial_vectors(counts, dim, seed))
+def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 16, temperature: float = 0.3, hidden: int = 128, rate: float = 0.5, seed: int = 1, optimiser: Optimiser | None = None) -> DataFrame:
+    """Vectors (`side`, `term`, `v`) from pair counts (`target`, `context`, `n`), one step an epoch.
+
+    Without an optimiser it is plain descent with `rate`, a tenth of it for the shared head.
+    """
+    opt = optimiser or Optimiser("sgd", rate)
+    head_opt = optimiser or Optimiser("sgd", rate * 0.1)
+    params = settle(_with_state(initial_vectors(counts, dim, seed)))
     flat = np.random.default_rng(seed).normal(0, 0.3, dim * hidden + hidden + hidden * hidden + hidden)
+    flat_state = head_opt.fresh((1, len(flat)))
+
+    def move(frames):
+        for frame in frames:
+            told = frame[frame["g"].notna()]
+            if len(told):
+                v, state, steps = _unpack(told, opt)
+                steps += 1
+                v, state = opt.step(v, np.array(told["g"].tolist(), float), state, steps)
+                yield _pack(told, v, state, steps)
+            yield frame[frame["g"].isna()].drop(columns="g")
+
     for epoch in range(epochs):
         rows = contrastive_batches(counts, size, epoch, seed=seed)
         for side, name in (("target", "u"), ("context", "w")):
@@ -137,10 +237,9 @@ def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 1
         shared = sums.filter("side = 'head'").first()  # one vector of the head's size
         if shared is None:
             break
-        flat = flat - rate * 0.1 * np.array(shared["g"])
-        moved = F.when(F.col("g").isNull(), F.col("v")).otherwise(F.zip_with("v", "g", lambda a, b: a - F.lit(rate) * b))
-        params = settle(params.join(sums, ["side", "term"], "left").select("side", "term", moved.alias("v")))
-    return params
+        (flat,), flat_state = head_opt.step(flat[None, :], np.array([shared["g"]]), flat_state, np.array([epoch + 1]))
+        params = settle(params.join(sums, ["side", "term"], "left").select("side", "term", "v", "state", "steps", "g").mapInPandas(move, _PARAMS))
+    return params.select("side", "term", "v")
 
 
 # -- classifier ----------------------------------------------------------------------------------

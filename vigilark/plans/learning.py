@@ -32,7 +32,8 @@ def samples(t: Tables) -> DataFrame:
 
 @query("nsg_vectors")
 def _nsg(t: Tables) -> DataFrame:
-    return learning.train_nsg(samples(t), DIM, EPOCHS, blocks=BLOCKS, seed=SEED)
+    """The terms' own vectors, without the row that all share."""
+    return learning.train_nsg(samples(t), DIM, EPOCHS, blocks=BLOCKS, seed=SEED).filter("side <> 'shared'")
 
 
 @query("ntx_vectors")
