@@ -197,3 +197,36 @@ def test_embedding_recall_over_the_whole_table(spark):
     want = int((v @ v.T >= 0.95).sum()) - len(v)
     got = embedding_dedup.embedding_duplicates(table).agg(F.sum("n_links").alias("n")).first()["n"]
     assert 0.9 * want <= got <= want
+
+
+def hot_group(n: int) -> np.ndarray:
+    """Unit vectors, a third of them different ones of one group of pairwise cosine about 0.96."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[: n // 3] = 0.96**0.5 * v[-1] + 0.04**0.5 * v[: n // 3]
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def test_index_meets_the_pairs_of_a_hot_group():
+    for total in (20_000, 80_000):
+        v = hot_group(total)
+        rng = np.random.default_rng(2)
+        index = embedding_dedup.fit_index(v[rng.permutation(total)[: embedding_dedup.SAMPLE]], total)
+        a, b = v[rng.integers(total // 3, size=(2, 2000))]
+        met = [(index.visit(x, index.cells) == index.home(y)[:, None]).any(1) for x, y in ((a, b), (b, a))]
+        assert (met[0] | met[1]).mean() >= 0.99
+        assert index.recall >= embedding_dedup.TARGET
+        # the other vectors' cells stay small
+        held = np.bincount(index.home(v))
+        assert np.median(held[index.home(v[total // 3 :])]) < 200
+
+
+def test_links_of_a_hot_group_of_different_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ASKS", 2000)  # several tiles
+    v = hot_group(20_000)
+    nodes = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "node bigint, v array<double>")
+    got = embedding_dedup.links(nodes)
+    want = int((v @ v.T >= 0.95).sum()) - len(v)
+    assert want > 20_000_000
+    assert 0.99 * want <= 2 * got.count() <= want

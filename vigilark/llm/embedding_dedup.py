@@ -2,9 +2,10 @@
 
 Two independent codebooks quantise the halves of the unit vectors, and their product is a fine
 grid of cells. Every distinct vector is stored in its cell and looks up the cells nearest to it
-in the order of the summed half distances (multi-sequence order); how many it visits is measured
-on a bounded sample so that the target recall is met. What is met there is verified by cosine in
-double precision. Equal vectors are one node with a count.
+in the order of the summed half distances (multi-sequence order); how fine the grid is and how many
+cells are visited is measured on a bounded sample so that the target recall is met, in dense regions
+as well as elsewhere. What is met there is verified by cosine in double precision. Equal vectors are
+one node with a count.
 """
 
 from __future__ import annotations
@@ -21,30 +22,37 @@ from vigilark.llm._tables import settle
 
 MIN_COSINE = 0.95
 #: The index is fitted on at most SAMPLE vectors; TARGET is the recall measured on pairs drawn
-#: there. Codebooks have between MIN_BOOK and MAX_BOOK entries, so that a cell holds about
-#: PER_CELL vectors; at most MAX_CELLS cells are visited.
+#: there. Codebooks have between MIN_BOOK and MAX_BOOK entries at first, so that a cell holds about
+#: PER_CELL vectors. At most MAX_CELLS cells are visited: where these do not meet the target, the
+#: grid is made coarser until they do, at the latest when it is one cell.
 SAMPLE, TARGET = 12_000, 0.995
 MIN_BOOK, MAX_BOOK, PER_CELL, MAX_CELLS = 4, 1024, 8, 64
-#: Stored vectors of a cell that one task compares at a time; larger cells are dealt out.
-BLOCK = 4096
+#: Measured vectors of a kind, and what sending a vector to a cell costs, in comparisons.
+MEASURED, SENDING = 3000, 50
+#: Centres whose halves are this near can be those of one pair at MIN_COSINE.
+NEAR_HALF = (1 - MIN_COSINE) ** 0.5
+#: Stored and asking vectors of a cell that are compared at a time; larger cells are dealt out.
+BLOCK, ASKS = 4096, 16_384
 
 
 @dataclass
 class Index:
-    books: tuple[np.ndarray, np.ndarray]
+    books: tuple[np.ndarray, np.ndarray]  # centres, those of a region together
+    begins: tuple[np.ndarray, np.ndarray]  # where each region begins
     cells: int  # visited per vector
-    recall: float  # as measured on the sample
+    recall: float  # as measured on the sample, the least of all kinds of pairs
 
     def distances(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """To each region of both halves, that is, to its nearest centre."""
         h = len(self.books[0][0])
         return tuple(
-            (c**2).sum(1)[None, :] - 2 * x @ c.T
-            for x, c in zip((unit[:, :h], unit[:, h:]), self.books, strict=True)
+            np.minimum.reduceat((c**2).sum(1)[None, :] - 2 * x @ c.T, begin, axis=1)
+            for x, c, begin in zip((unit[:, :h], unit[:, h:]), self.books, self.begins, strict=True)
         )
 
     def home(self, unit: np.ndarray) -> np.ndarray:
         a, b = self.distances(unit)
-        return a.argmin(1) * len(self.books[1]) + b.argmin(1)
+        return a.argmin(1) * len(self.begins[1]) + b.argmin(1)
 
     def visit(self, unit: np.ndarray, count: int) -> np.ndarray:
         """The `count` nearest cells of each vector, nearest first.
@@ -53,7 +61,7 @@ class Index:
         since every pair of lower or equal ranks is at least as near.
         """
         a, b = self.distances(unit)
-        k = len(self.books[0]), len(self.books[1])
+        k = len(self.begins[0]), len(self.begins[1])
         count = min(count, k[0] * k[1])
         ra, rb = (np.argsort(d, axis=1, kind="stable")[:, :count] for d in (a, b))
         stair = np.array([(r, s) for r in range(min(count, k[0])) for s in range(min(count // (r + 1), k[1]))])
@@ -76,33 +84,100 @@ def _book(x: np.ndarray, size: int, rng: np.random.Generator, rounds: int = 8) -
     return centres
 
 
+def _regions(centres: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """The centres in the order of their regions, and where each region begins; chains of centres
+    no further apart than `within` are one region."""
+    label = np.arange(len(centres))
+    if within > 0:
+        square = (centres**2).sum(1)
+        near = square[:, None] + square[None, :] - 2 * centres @ centres.T <= within**2
+        np.fill_diagonal(near, True)
+        while True:
+            least = np.where(near, label[None, :], len(centres)).min(1)
+            if (least == label).all():
+                break
+            label = least
+    order = np.argsort(label, kind="stable")
+    return centres[order], np.flatnonzero(np.r_[True, np.diff(label[order]) > 0])
+
+
+def _measured_pairs(sample: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each kind: vectors with a point at a cosine between MIN_COSINE and 1 in a random
+    direction, then vectors of the sample with one of their neighbours there, by how many they have
+    (fewer than 8, than 64, and so on), so that dense regions are measured by themselves."""
+    u = sample[rng.permutation(len(sample))[:MEASURED]]
+    side = rng.normal(size=u.shape)
+    side -= (side * u).sum(1)[:, None] * u
+    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
+    cosine = rng.uniform(MIN_COSINE, 1, len(u))[:, None]
+    kinds = [(u, cosine * u + np.sqrt(1 - cosine**2) * side)]
+    degree, other = np.zeros(len(sample), int), np.zeros(len(sample), int)
+    for begin in range(0, len(sample), 1000):
+        near = sample[begin : begin + 1000] @ sample.T >= MIN_COSINE
+        near[np.arange(len(near)), begin + np.arange(len(near))] = False
+        i, j = np.nonzero(near)
+        n = np.bincount(i, minlength=len(near))
+        degree[begin : begin + 1000] = n
+        first = np.cumsum(n) - n
+        some = np.flatnonzero(n)
+        other[begin + some] = j[first[some] + rng.integers(n[some])]
+    kind = np.where(degree > 0, np.log2(np.maximum(degree, 1)).astype(int) // 3, -1)
+    for k in range(kind.max(initial=-1) + 1):
+        of = rng.permutation(np.flatnonzero(kind == k))[:MEASURED]
+        if len(of):
+            kinds.append((sample[of], sample[other[of]]))
+    return kinds
+
+
+def _measure(index: Index, kinds: list, sample: np.ndarray, total: int) -> float:
+    """Sets the index's cells and recall; what a vector then costs, in comparisons.
+
+    A pair is met if either vector visits the other's cell. Recall is the least over the kinds.
+    """
+    found = np.ones(MAX_CELLS + 1)
+    for u, v in kinds:
+        rank = np.full(len(u), MAX_CELLS)
+        for x, y in ((u, v), (v, u)):
+            same = index.visit(x, MAX_CELLS) == index.home(y)[:, None]
+            rank = np.minimum(rank, np.where(same.any(1), same.argmax(1), MAX_CELLS))
+        met = np.cumsum(np.bincount(rank, minlength=MAX_CELLS + 1)[:MAX_CELLS]) / len(u)
+        found = np.minimum(found, np.r_[0.0, met])
+    good = np.flatnonzero(found >= TARGET)
+    index.cells = int(good[0]) if len(good) else MAX_CELLS
+    index.recall = float(found[index.cells])
+    held = np.bincount(index.home(sample), minlength=len(index.begins[0]) * len(index.begins[1])) / len(sample)
+    visits = index.visit(sample[:MEASURED], index.cells)
+    return total * float(held[visits].sum(1).mean()) + SENDING * visits.shape[1]
+
+
 def fit_index(sample: np.ndarray, total: int, seed: int = 5) -> Index:
     """Codebooks from unit vectors, and the cells to visit for the target recall.
 
-    Recall is measured on pairs from a vector to a point at a cosine between MIN_COSINE and 1 in
-    a random direction, and on the true pairs of the sample.
+    If the finest grid does not reach it, the cheapest that does is taken from coarser ones: those
+    that join centres which one pair can have, so that only dense regions are coarser, and those
+    with half as many centres each time. The last is one cell, where every pair is met.
     """
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
+    kinds = _measured_pairs(sample, rng)
     size = int(np.clip(round((total / PER_CELL) ** 0.5), MIN_BOOK, MAX_BOOK))
-    index = Index((_book(sample[:, :half], size, rng), _book(sample[:, half:], size, rng)), 1, 0.0)
-    u = sample[rng.permutation(len(sample))[:3000]]
-    side = rng.normal(size=u.shape)
-    side -= (side * u).sum(1)[:, None] * u
-    side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
-    cosine = rng.uniform(MIN_COSINE, 1, len(u))[:, None]
-    v = cosine * u + np.sqrt(1 - cosine**2) * side
-    near = u @ sample.T >= MIN_COSINE
-    i, j = np.nonzero(near)
-    keep = rng.permutation(len(i))[:3000]
-    u, v = np.r_[u, u[i[keep]]], np.r_[v, sample[j[keep]]]
-    visited, home = index.visit(u, MAX_CELLS), index.home(v)
-    rank = np.where((visited == home[:, None]).any(1), (visited == home[:, None]).argmax(1), MAX_CELLS)
-    for count in range(1, MAX_CELLS + 1):
-        index.cells, index.recall = count, float((rank < count).mean())
-        if index.recall >= TARGET:
-            break
-    return index
+    reached: list[tuple[float, Index]] = []
+    finest = True
+    while size:
+        books = _book(sample[:, :half], size, rng), _book(sample[:, half:], size, rng)
+        for within in (0.0, NEAR_HALF):
+            ordered, begins = zip(*(_regions(c, within) for c in books), strict=True)
+            index = Index(ordered, begins, 1, 0.0)
+            cost = _measure(index, kinds, sample, total)
+            if index.recall >= TARGET:
+                reached.append((cost, index))
+            if finest and reached:
+                return index
+            finest = False
+        size //= 2
+    if not reached:
+        raise RuntimeError(f"no grid reaches a recall of {TARGET}")
+    return min(reached, key=lambda r: r[0])[1]
 
 
 def _usable(v: Column) -> Column:
@@ -140,50 +215,40 @@ def _deal(nodes: DataFrame, index: Index, width: int) -> DataFrame:
 
 
 def _compare(dealt: DataFrame, width: int) -> DataFrame:
-    """Verified pairs within each (cell, block); rows come sorted by it, the stored ones first."""
-
-    def pairs(ids: np.ndarray, asks: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        stored, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
-        found = []
-        for begin in range(0, len(asking), 2048):
-            some = asking[begin : begin + 2048]
-            i, j = np.nonzero(unit[some] @ unit[stored].T >= MIN_COSINE - 1e-9)
-            i, j = some[i], stored[j]
-            exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= MIN_COSINE
-            keep = exact & (ids[i] != ids[j])
-            found.append(np.c_[ids[i][keep], ids[j][keep]])
-        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return both.min(1, initial=1 << 62), both.max(1, initial=-(1 << 62))
+    """Verified pairs within each (cell, tile); rows come sorted by it, the stored ones first, so
+    only these are held while those that ask pass by."""
+
+    def pairs(ids: np.ndarray, unit: np.ndarray, stored_ids: np.ndarray, stored: np.ndarray):
+        for begin in range(0, len(ids), 512):
+            i, j = np.nonzero(unit[begin : begin + 512] @ stored.T >= MIN_COSINE - 1e-9)
+            i += begin
+            exact = np.einsum("ij,ij->i", unit[i], stored[j]) >= MIN_COSINE
+            a, b = ids[i], stored_ids[j]
+            keep = exact & (a != b)
+            if keep.any():
+                a, b = a[keep], b[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
-        held: pa.Table | None = None
-        for batch in [*_with_end(batches)]:
-            table = pa.Table.from_batches([batch]) if batch is not None else None
-            if held is not None:
-                table = pa.concat_tables([held, table]) if table is not None else held
-            if table is None or not len(table):
-                continue
-            key = table.column("cell").to_numpy() * (1 << 20) + table.column("block").to_numpy()
-            edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            stop = len(key) if batch is None else int(edges[-1])  # the last group may go on
-            held = table.slice(stop)
-            if not stop:
+        group, held_ids, held = None, np.zeros(0, np.int64), np.zeros((0, width))
+        for batch in batches:
+            if not len(batch):
                 continue
-            done = table.slice(0, stop).combine_chunks()
-            ids, asks = done.column("node").to_numpy(), done.column("asks").to_numpy(zero_copy_only=False)
-            unit = _unit(done.column("v").combine_chunks(), width)
-            for a, b in zip(edges, [*edges[1:], len(key)], strict=True):
-                if b <= stop and b - a > 1:
-                    lo, hi = pairs(ids[a:b], asks[a:b], unit[a:b])
-                    if len(lo):
-                        yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
-
-    return dealt.select("cell", "block", "asks", "node", "v").mapInArrow(run, "a bigint, b bigint")
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+            cell, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            asks, ids = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            unit = _unit(batch.column(4), width)
+            new = (cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])
+            edges = np.flatnonzero(np.r_[True, new])
+            for a, b in zip(edges, [*edges[1:], len(cell)], strict=True):
+                if group != (cell[a], tile[a]):
+                    group, held_ids, held = (cell[a], tile[a]), held_ids[:0], held[:0]
+                split = b - int(asks[a:b].sum())
+                if split > a:
+                    held_ids, held = np.r_[held_ids, ids[a:split]], np.r_[held, unit[a:split]]
+                if split < b and len(held):
+                    yield from pairs(ids[split:b], unit[split:b], held_ids, held)
+
+    return dealt.select("cell", "tile", "asks", "node", "v").mapInArrow(run, "a bigint, b bigint")
 
 
 def links(nodes: DataFrame, seed: int = 5) -> DataFrame:
@@ -197,15 +262,20 @@ def links(nodes: DataFrame, seed: int = 5) -> DataFrame:
     drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()
     index = fit_index(_unit(drawn.column("v").combine_chunks(), width), first["count"], seed)
     dealt = _deal(nodes, index, width)
-    stored = dealt.filter("not asks")
-    # cells with more vectors than a task should compare are cut into blocks
-    large = settle(stored.groupBy("cell").count().filter(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), columnar=True)
-    sized = dealt.join(large, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = sized.withColumn("block", F.explode(F.when(F.col("asks"), every).otherwise(own)))
+    # cells with more vectors than should be compared at a time are cut into tiles, of which each
+    # has a block of the stored vectors and a slice of those that ask
+    parts = lambda asks, size: F.greatest(F.ceil(F.count_if(F.col("asks") == asks) / size), F.lit(1)).cast("int")
+    sizes = dealt.groupBy("cell").agg(parts(False, BLOCK).alias("blocks"), parts(True, ASKS).alias("slices"))
+    large = settle(sizes.filter("blocks > 1 or slices > 1"), columnar=True)
+    one = lambda c: F.coalesce(c, F.lit(1))
+    sized = dealt.join(large, "cell", "left").withColumns({"blocks": one("blocks"), "slices": one("slices")})
+    hashed = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    # a stored vector goes to all slices of its block, one that asks to all blocks with its slice
+    tiles = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("slices") + hashed("slices")))
+    tiles = tiles.otherwise(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: hashed("blocks") * F.col("slices") + k))
+    placed = sized.withColumn("tile", F.explode(tiles))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = placed.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "asks")
+    sorted_ = placed.repartition(n, "cell", "tile").sortWithinPartitions("cell", "tile", "asks")
     return _compare(sorted_, width).distinct()
 
 
