@@ -169,3 +169,13 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert text[3] == "please send the invoice to [EMAIL] before noon, number 3"
     assert text[100] == "please send the invoice to [ID] before noon"
     assert text[101] == "about 3 apples and 7 pears" and text[102] is None
+
+
+def test_rows_without_an_id_are_redacted(spark):
+    extra = [(None, "please send the invoice to user5@mail.example.org before noon"), (None, "please send the invoice to user78@intranet before noon"), (None, None)]
+    docs = bootstrap_docs(spark).unionByName(spark.createDataFrame([*extra, extra[1]], "doc_id bigint, text string"))
+    got = [r["text"] for r in pii.redact(docs).filter("doc_id is null").collect()]
+    want = ["please send the invoice to [EMAIL] before noon", *["please send the invoice to [ID] before noon"] * 2]
+    assert sorted(t for t in got if t) == want and got.count(None) == 1
+    spans = [r["spans"] for r in pii.find_personal_data(docs).filter("doc_id is null").collect()]
+    assert sorted(s["kind"] for row in spans for s in row) == ["email", "id", "id"]

@@ -193,8 +193,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Spans are structs of kind, start, end (code points, end exclusive) and value; `base` holds
     the checked ones by kind as listed, then start, and `spans` those and the discovered ones
-    (kind 'id'). Null and empty texts have none; repeated rows get the same spans each; an empty
-    table gives an empty result; other columns are not read.
+    (kind 'id'). Null and empty texts have none; repeated rows and rows with a null id get the spans
+    of their text like others; an empty table gives an empty result; other columns are not read.
     """
     scanned = settle(scan(docs, id_col, text_col), columnar=True)
     seen = _seen(scanned)
@@ -206,7 +206,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .groupBy("id", "mark")
         .agg(F.array_sort(F.collect_set(F.struct(F.lit(FOUND).alias("kind"), "start", "end", "value"))).alias("fresh"))
     )
-    rows = scanned.select("id", "mark", "base").join(fresh, ["id", "mark"], "left")
+    fresh = fresh.select(F.col("id").alias("id_f"), F.col("mark").alias("mark_f"), "fresh")
+    same = F.col("id").eqNullSafe(F.col("id_f")) & (F.col("mark") == F.col("mark_f"))
+    rows = scanned.select("id", "mark", "base").join(fresh, same, "left")
     none = F.array().cast(f"array<{_SPAN}>")
     return rows.select(
         F.col("id").alias(id_col), "mark", "base", F.concat("base", F.coalesce("fresh", none)).alias("spans")
@@ -241,7 +243,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     clean = F.aggregate(
         F.col("__spans"), start, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))
     )
-    same = (docs[id_col] == F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__mark"))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__mark"))
     joined = docs.join(spans, same, "left")
     return joined.select(
         *[
