@@ -237,3 +237,22 @@ def test_streamed_counts_equal_the_batch(spark, tmp_path):
     run.awaitTermination(60)
     got = spark.table("counted").agg(F.sum("n"), F.count("*")).first()
     assert got[0] == 200 and got[1] > 35
+
+
+def test_density_clusters_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 40)  # several blocks
+    rng = np.random.default_rng(12)
+    clump = lambda x, y, n: rng.normal(size=(n, 2)) * 0.05 + [x, y]
+    pts = np.r_[clump(0, 0, 20), clump(0.8, 0, 20), clump(9, 9, 20), rng.uniform(2, 7, size=(25, 2)), [[0.4, 5.0]] * 6, [[20.0, 20.0]] * 3]
+    pts = np.r_[pts, np.repeat(pts[:1], 9, axis=0), [[0.0, 0.5]] * 4, [[30.0, 0.0]] * 6, [[30.6, 0.0]] * 6]
+    d = np.linalg.norm(pts[:, None] - pts[None], axis=2)
+    for min_samples, min_size, radius in ((4, 5, 0.75), (5, 5, 0.9), (2, 3, 0.4)):
+        core = np.sort(d, axis=1)[:, min_samples - 1]
+        near = np.maximum(d, np.maximum(core[:, None], core[None])) <= radius
+        label = np.arange(len(pts))
+        for _ in range(len(pts)):
+            label = np.minimum(label, np.where(near, label[None], len(pts)).min(1))
+        want = {k: int(c) if (label == c).sum() >= min_size else -1 for k, c in enumerate(label)}
+        got = {r["term"]: r["cluster"] for r in clustering.density_clusters(terms(spark, [(k, p.tolist()) for k, p in enumerate(pts)]), min_samples, min_size, radius).collect()}
+        assert got == want
+        assert want[0] == want[20] or radius < 0.7
