@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
-from vigilark.operators.similarity import BLOCK, pair_matrix
+from vigilark.operators.similarity import BLOCK, load, pair_matrix
+from vigilark.sources.tables import settle
 
 
 def usable_groups(pairs: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
@@ -26,19 +27,28 @@ def control_groups(groups: DataFrame, pool: DataFrame, seed: int = 1, spare: int
     in the group, drawn without replacement.
 
     Every drug makes `spare` times as many draws as it needs, and some more; a draw is a place in
-    the pool (`index` from 0), so no drug is ever paired with the whole pool. Draws that repeat
-    or hit the group are void. Drugs that are still short, because the pool is nearly used up,
-    come out short and are for the caller to skip.
+    the pool (`index` from 0), so no drug is paired with the whole pool. Draws that repeat or hit the
+    group are void. Drugs still short after that, whose group takes up much of the pool, go through
+    the rest of it in a pseudo-random order. A drug for which the pool holds too few other terms has no
+    control group and no rows.
     """
     size = pool.agg(F.count("*").alias("size"))  # one row
-    wanted = groups.select("drug", "n").distinct().join(F.broadcast(size))
+    wanted = groups.select("drug", "n").distinct().join(F.broadcast(size)).filter(F.col("n") * 2 <= F.col("size"))
     tries = wanted.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.col("n").cast("int") * spare + 20)))
     place = F.floor(uniform(F.col("drug").cast("string"), F.col("attempt").cast("string"), seed) * F.col("size"))
     drawn = tries.withColumn("index", place.cast("bigint")).groupBy("drug", "n", "index").agg(F.min("attempt").alias("attempt"))
-    named = drawn.join(pool.select("index", F.col("term").alias("reaction")), "index")
-    free = named.join(groups.select("drug", "reaction"), ["drug", "reaction"], "left_anti")
+    places = pool.select("index", F.col("term").alias("reaction"))
+    taken = groups.select("drug", "reaction")
+    free = drawn.join(places, "index").join(taken, ["drug", "reaction"], "left_anti")
     order = Window.partitionBy("drug").orderBy("attempt")
-    return free.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n")).select("drug", "reaction")
+    found = settle(free.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n")).select("drug", "reaction"))
+    lacking = wanted.join(found.groupBy("drug").agg(F.count("*").alias("got")), "drug", "left")
+    lacking = lacking.withColumn("short", F.col("n") - F.coalesce("got", F.lit(0))).filter("short > 0")
+    others = lacking.withColumn("index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1))).join(places, "index")
+    others = others.join(taken, ["drug", "reaction"], "left_anti").join(found, ["drug", "reaction"], "left_anti")
+    u = uniform(F.col("drug").cast("string"), F.col("reaction").cast("string"), "rest", seed)
+    rest = others.withColumn("k", F.row_number().over(Window.partitionBy("drug").orderBy(u, "reaction")))
+    return found.unionByName(rest.filter(F.col("k") <= F.col("short")).select("drug", "reaction"))
 
 
 def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str]) -> DataFrame:
@@ -61,7 +71,7 @@ def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, m
         order = np.argsort(table.column("reaction").to_numpy(zero_copy_only=False), kind="stable")
         table = table.take(pa.array(order))
         names, own = table.column("reaction").to_numpy(zero_copy_only=False), table.column("own").to_numpy()
-        v = np.array(table.column("v").to_pylist(), float)
+        v = load(table.column("v"))
         a, b = np.flatnonzero(own == p), np.flatnonzero(own == q)
         parts = []
         for metric in metrics:

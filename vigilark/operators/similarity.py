@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.vectors import METRICS, MINKOWSKI_P, euclidean, normalise
+from vigilark.operators.hierarchy import Paths, path_matrix
 
 #: Terms of a block: two blocks and their matrix of similarities fit easily in a task.
 BLOCK = 2048
@@ -72,15 +73,19 @@ def prepare(terms: DataFrame, metric: str) -> DataFrame:
 
 
 def similarities_to(terms: DataFrame, query, metrics: list[str]) -> DataFrame:
-    """`term`, `metric`, `sim` of one query term with every other; null where there is no value."""
+    """`term`, `metric`, `sim` of one query term with every other; null where there is no value.
+
+    Metrics of the vectors as they are share one pass over the terms; those that change the vectors
+    first (by variance or covariance) take one each.
+    """
+    plain = [m for m in metrics if m in METRICS]
     out = None
-    for metric in metrics:
-        rows = prepare(terms, metric)
+    for group in [plain] * bool(plain) + [[m] for m in metrics if m not in METRICS]:
+        rows = prepare(terms, group[0])
         one = rows.filter(F.col("term") == query).select(F.col("v").alias("q"))  # one row
-        sim = METRICS.get(metric, euclidean)(F.col("q"), F.col("v"))
-        part = rows.filter(F.col("term") != query).join(F.broadcast(one)).select(
-            "term", F.lit(metric).alias("metric"), F.when(F.isnan(sim), None).otherwise(sim).alias("sim")
-        )
+        both = rows.filter(F.col("term") != query).join(F.broadcast(one))
+        sims = F.array(*[F.struct(F.lit(m).alias("metric"), METRICS.get(m, euclidean)(F.col("q"), F.col("v")).alias("sim")) for m in group])
+        part = both.select("term", F.explode(sims).alias("s")).select("term", "s.metric", F.when(~F.isnan("s.sim"), F.col("s.sim")).alias("sim"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -92,8 +97,16 @@ def top_neighbours(sims: DataFrame, k: int = 25) -> DataFrame:
 
 
 # -- all pairs -------------------------------------------------------------------------------
-def pair_matrix(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarities of all rows of `a` with all of `b`."""
+def load(column: pa.ChunkedArray) -> np.ndarray | Paths:
+    """The `v` of a block's terms: a matrix of vectors, or the paths of a hierarchy."""
+    deep = pa.types.is_struct(column.type.value_type)
+    return Paths.load(column.to_pylist()) if deep else np.array(column.to_pylist(), float)
+
+
+def pair_matrix(metric: str, a: np.ndarray | Paths, b: np.ndarray | Paths) -> np.ndarray:
+    """Similarities of all rows of `a` with all of `b`; NaN where there is no value."""
+    if isinstance(a, Paths):
+        return path_matrix(metric, a, b)
     if metric in ("cosine", "correlation"):
         if metric == "correlation":
             a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
@@ -139,7 +152,7 @@ def _in_blocks(terms: DataFrame, metric: str, reduce_, schema: str) -> DataFrame
     def run(key, table):
         p, q = (x.as_py() for x in key)
         names, own = table.column("term").to_numpy(zero_copy_only=False), table.column("own").to_numpy()
-        v = np.array(table.column("v").to_pylist(), float)
+        v = load(table.column("v"))
         a, b = own == p, own == q
         return reduce_(names[a], names[b], pair_matrix(metric, v[a], v[b]), p == q)
 
@@ -172,9 +185,14 @@ def all_top_neighbours(terms: DataFrame, metric: str, k: int = 25) -> DataFrame:
             m = np.where(np.isnan(m), -np.inf, m)
             if not m.size:
                 continue
-            # all that are as good as the k-th, so that ties can be settled over all blocks
-            floor = np.partition(m, max(0, m.shape[1] - k), axis=1)[:, max(0, m.shape[1] - k)]
-            i, j = np.nonzero((m >= floor[:, None]) & (m > -np.inf))
+            # the best k by value, then name: columns in order of name, those beyond the k-th value
+            # first, then as many equal to it as there is room for
+            named = np.argsort(others, kind="stable")
+            m, others = m[:, named], others[named]
+            floor = np.partition(m, max(0, m.shape[1] - k), axis=1)[:, max(0, m.shape[1] - k)][:, None]
+            equal = m == floor
+            room = k - (m > floor).sum(1)
+            i, j = np.nonzero(((m > floor) | (equal & (equal.cumsum(1) <= room[:, None]))) & (m > -np.inf))
             parts.append(pa.table({"term": names[i], "neighbour": others[j], "sim": m[i, j]}))
         empty = pa.table({"term": a[:0], "neighbour": b[:0], "sim": np.zeros(0)})
         return pa.concat_tables(parts) if parts else empty

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilark.functions.distributions import chi2_tail, f_pvalue, normal_tail
+from vigilark.functions.distributions import chi2_tail, exact_rank_p, f_pvalue, normal_tail, two_tails
 
 KEYS = ["drug", "metric"]
 GROUPS = ("V", "R")
+#: Largest size of the smaller group whose rank test is exact.
+EXACT = 8
 
 
 def _wide(values: DataFrame, column: str = "sim") -> DataFrame:
@@ -70,10 +72,12 @@ def welch(values: DataFrame, textbook: bool = False) -> DataFrame:
     return _result(rows, above, ok, F.lit(1), F.try_divide(F.lit(3.0), 3 * spread))
 
 
-def brown_forsythe_means(values: DataFrame) -> DataFrame:
-    """F of the means over the weighted spread of the groups, with Satterthwaite's freedom."""
+def brown_forsythe_means(values: DataFrame, textbook: bool = False) -> DataFrame:
+    """F of the means over the groups' sums of squares, weighted by 1 - n / N (their variances if
+    `textbook`), with Satterthwaite's freedom."""
     rows = _wide(values)
-    share = {g: (1 - F.col(f"n_{g}") / F.col("n")) * F.try_divide(F.col(f"ss_{g}"), F.col(f"n_{g}") - 1) for g in GROUPS}
+    spread = {g: F.try_divide(F.col(f"ss_{g}"), F.col(f"n_{g}") - 1) if textbook else F.col(f"ss_{g}") for g in GROUPS}
+    share = {g: (1 - F.col(f"n_{g}") / F.col("n")) * spread[g] for g in GROUPS}
     below = share["V"] + share["R"]
     c = {g: F.try_divide(share[g], below) for g in GROUPS}
     freedom = reduce(lambda a, b: a + b, [F.try_divide(c[g] * c[g], F.col(f"n_{g}") - 1) for g in GROUPS])
@@ -91,7 +95,7 @@ def variance_ratio(values: DataFrame) -> DataFrame:
 
 
 def bartlett(values: DataFrame) -> DataFrame:
-    """Bartlett's statistic, chi-squared with one degree of freedom."""
+    """Bartlett's statistic and its `p`, chi-squared with one degree of freedom."""
     rows = _wide(values)
     d = {g: F.col(f"n_{g}") - 1 for g in GROUPS}
     v = {g: F.try_divide(F.col(f"ss_{g}"), d[g]) for g in GROUPS}
@@ -100,7 +104,8 @@ def bartlett(values: DataFrame) -> DataFrame:
     above = df * F.ln(pooled) - d["V"] * F.ln(v["V"]) - d["R"] * F.ln(v["R"])
     below = 1 + (F.try_divide(F.lit(1.0), d["V"]) + F.try_divide(F.lit(1.0), d["R"]) - F.try_divide(F.lit(1.0), df)) / 3
     ok = (F.col("n_V") > 1) & (F.col("n_R") > 1) & (F.col("ss_V") > 0) & (F.col("ss_R") > 0)
-    return _result(rows, above / below, ok)
+    stat = _result(rows, above / below, ok)
+    return stat.withColumn("p", two_tails(F.sqrt(F.greatest("stat", F.lit(0.0)))))
 
 
 def _deviations(values: DataFrame, about: str) -> DataFrame:
@@ -119,24 +124,29 @@ def brown_forsythe_variances(values: DataFrame) -> DataFrame:
 
 
 def mann_whitney(values: DataFrame) -> DataFrame:
-    """U of the valid group from average ranks, with the z score that ties and continuity correct."""
+    """U of the valid group (`stat`) from average ranks, the `z` score that ties and continuity
+    correct, and the two-sided `p`: exact if a group has at most EXACT values and none are tied, else
+    the normal approximation. Null if a group has fewer than two values or all its values are equal.
+    """
     keyed = Window.partitionBy(*KEYS)
     rows = values.filter("sim is not null")
     first = F.rank().over(keyed.orderBy("sim"))
     same = F.count("*").over(Window.partitionBy(*KEYS, "sim"))
     ranked = rows.withColumn("ties", same.cast("double")).withColumn("r", first + (same - 1) / 2)
+    own = {g: F.when(F.col("grp") == g, F.col("sim")) for g in GROUPS}
     one = ranked.groupBy(*KEYS).agg(
-        F.count(F.when(F.col("grp") == "V", 1)).alias("n_V"), F.count(F.when(F.col("grp") == "R", 1)).alias("n_R"),
-        F.sum(F.when(F.col("grp") == "V", F.col("r"))).alias("r_V"),
-        F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"), F.min("sim").alias("low"), F.max("sim").alias("high"),
+        *[F.count(own[g]).alias(f"n_{g}") for g in GROUPS], *[(F.max(own[g]) > F.min(own[g])).alias(f"varied_{g}") for g in GROUPS],
+        F.sum(F.when(F.col("grp") == "V", F.col("r"))).alias("r_V"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"),
     )
     n = F.col("n_V") + F.col("n_R")
     u = F.col("r_V") - F.col("n_V") * (F.col("n_V") + 1) / 2
     mean = F.col("n_V") * F.col("n_R") / 2
     spread = F.sqrt(F.col("n_V") * F.col("n_R") / 12 * (n + 1 - F.try_divide(F.col("tied"), n * (n - 1))))
     z = F.try_divide(F.greatest(F.abs(u - mean) - 0.5, F.lit(0.0)), spread)
-    ok = (F.col("n_V") > 1) & (F.col("n_R") > 1) & (F.col("low") < F.col("high"))
-    return one.select(*KEYS, F.when(ok, u).alias("stat"), F.when(ok, z).alias("z"))
+    exact = (F.least("n_V", "n_R") <= EXACT) & (F.col("tied") == 0)
+    p = F.when(exact, exact_rank_p("n_V", "n_R", u)).otherwise(two_tails(z))
+    ok = (F.col("n_V") > 1) & (F.col("n_R") > 1) & F.col("varied_V") & F.col("varied_R")
+    return one.select(*KEYS, F.when(ok, u).alias("stat"), F.when(ok, z).alias("z"), F.when(ok, p).alias("p"))
 
 
 # -- one group against the normal distribution -------------------------------------------------
@@ -289,3 +299,47 @@ def summary(gain_rows: DataFrame, columns: list[str]) -> DataFrame:
     """`metric`, `stat`, `value`: the mean over drugs of each column, nulls and NaN left out."""
     long = gain_rows.unpivot(["drug", "metric"], columns, "stat", "x")
     return long.groupBy("metric", "stat").agg(F.avg(F.when(~F.isnan("x"), F.col("x"))).alias("value"))
+
+
+#: Statistics whose means, and p-values whose pass rates, sum up a comparison.
+AVERAGED = ("valid", "rand", "valid_norm", "rand_norm", "gain_norm", "gain_norm_pop")
+COUNTED = (
+    "valid_normality", "rand_normality", "valid_shapiro", "rand_shapiro", "valid_kolsir", "rand_kolsir",
+    "mean_mannwhitney_p", "var_brown_p", "permdisp_p", "permanova_p",
+)
+
+
+def normality_long(rows: DataFrame) -> DataFrame:
+    """Results of `normality` as `drug`, `metric`, `stat`, `value`; the group is part of the name."""
+    long = rows.unpivot([*KEYS, "grp"], ["normality", "shapiro", "kolsir"], "test", "value")
+    side = F.when(F.col("grp") == "V", "valid_").otherwise("rand_")
+    return long.select(*KEYS, F.concat(side, F.col("test")).alias("stat"), "value")
+
+
+def all_tests(values: DataFrame) -> DataFrame:
+    """`drug`, `metric`, `stat`, `value`: statistic and p-value of every univariate test."""
+    named = {
+        "mean_anova": with_pvalue(anova(values)), "mean_welch": with_pvalue(welch(values)),
+        "mean_brown": with_pvalue(brown_forsythe_means(values)), "mean_mannwhitney": mann_whitney(values),
+        "var_f": with_pvalue(variance_ratio(values)), "var_bartlett": bartlett(values),
+        "var_levene": with_pvalue(levene(values)), "var_brown": with_pvalue(brown_forsythe_variances(values)),
+    }
+    parts = []
+    for name, rows in named.items():
+        both = F.array(*[F.struct(F.lit(f"{name}_{k}").alias("stat"), F.col(c).alias("value")) for k, c in (("f", "stat"), ("p", "p"))])
+        parts.append(rows.select(*KEYS, F.explode(both).alias("s")).select(*KEYS, "s.*"))
+    return reduce(DataFrame.unionByName, [*parts, normality_long(normality(values))])
+
+
+def validity_summary(results: DataFrame, properties: DataFrame) -> DataFrame:
+    """`metric`, `stat`, `value`: properties of all pairs, means over drugs of what is AVERAGED, and of
+    the p-values that are COUNTED the share that passes after adjustment. Nulls and NaN are left out; a
+    statistic without any value has no row.
+
+    `results` is long: `drug`, `metric`, `stat`, `value`.
+    """
+    known = results.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    means = known.filter(F.col("stat").isin(*AVERAGED)).groupBy("metric", "stat").agg(F.avg("value").alias("value"))
+    rates = pass_rate(known.filter(F.col("stat").isin(*COUNTED)), ["metric", "stat"], "value").select("metric", "stat", F.col("rate").alias("value"))
+    ends = properties.unpivot(["metric"], ["min", "max", "mean", "normed_mean"], "stat", "value")
+    return reduce(DataFrame.unionByName, [ends, means, rates])

@@ -34,12 +34,12 @@ class Tables:
     def paths3(self) -> DataFrame:
         part = self.raw("part")
         cols = [F.col("p_brand").alias("hlt"), F.col("p_type").alias("hlgt"), F.floor(F.col("p_size") / 10).cast("string").alias("soc")]
-        first = part.select(F.col("p_partkey").alias("term"), *cols, F.lit("PRIMARY").alias("rank"))
+        first = part.select(F.col("p_partkey").alias("term"), *cols, F.lit("PRIMARY").alias("rank"), F.lit(0).alias("ord"))
         n = part.agg(F.count("*").alias("n"))  # one row
         moved = part.select("p_partkey").join(F.broadcast(n)).select(
             F.col("p_partkey").alias("term"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("k")
         )
-        second = moved.join(part.select(F.col("p_partkey").alias("k"), *cols), "k").select("term", *LEVELS3, F.lit("SECONDARY").alias("rank"))
+        second = moved.join(part.select(F.col("p_partkey").alias("k"), *cols), "k").select("term", *LEVELS3, F.lit("SECONDARY").alias("rank"), F.lit(1).alias("ord"))
         return first.unionByName(second)
 
     def paths5(self) -> DataFrame:

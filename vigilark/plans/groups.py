@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from vigilark.operators import groups, multivariate, similarity, tests
 from vigilark.plans.fixtures import Tables, with_tables
 from vigilark.plans.similarity import properties, rounded
+from vigilark.sources import sinks
+from vigilark.sources.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,14 +37,19 @@ def uniform_sql(*parts: str) -> str:
 
 GROUP_CTES = {
     "known": "SELECT DISTINCT drug, reaction FROM reports WHERE reaction IN (SELECT term FROM terms)",
-    "sized": "SELECT drug, count(*) AS n FROM known GROUP BY 1 HAVING count(*) >= 2",
+    "sized": "SELECT drug, count(*) AS n FROM known GROUP BY 1 HAVING count(*) >= 2 AND 2 * count(*) <= (SELECT count(*) FROM terms)",
     "grp": "SELECT drug, reaction, n FROM known JOIN sized USING (drug)",
     "tries": "SELECT drug, n, unnest(range(1, n * 3 + 21)) AS attempt FROM sized",
     "drawn": "SELECT drug, n, idx, min(attempt) AS attempt FROM (SELECT *, floor("
     + uniform_sql("drug", "attempt", f"'{SEED}'")
     + " * (SELECT count(*) FROM terms))::BIGINT AS idx FROM tries) GROUP BY 1, 2, 3",
     "free": "SELECT drug, n, idx AS reaction, attempt FROM drawn WHERE (drug, idx) NOT IN (SELECT drug, reaction FROM grp)",
-    "ctl": "SELECT drug, reaction FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY attempt) AS k FROM free) WHERE k <= n",
+    "first": "SELECT drug, reaction FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY attempt) AS k FROM free) WHERE k <= n",
+    "lacking": "SELECT drug, n - coalesce(got, 0) AS short FROM sized LEFT JOIN (SELECT drug, count(*) AS got FROM first GROUP BY 1) USING (drug) WHERE n > coalesce(got, 0)",
+    "others": "SELECT drug, short, term AS reaction FROM lacking, terms WHERE (drug, term) NOT IN (SELECT drug, reaction FROM grp UNION ALL SELECT drug, reaction FROM first)",
+    "ctl": "SELECT drug, reaction FROM first UNION ALL SELECT drug, reaction FROM (SELECT *, row_number() OVER (PARTITION BY drug ORDER BY "
+    + uniform_sql("drug", "reaction", "'rest'", f"'{SEED}'")
+    + ", reaction) AS k FROM others) WHERE k <= short",
     "members": "SELECT drug, reaction, 'V' AS g FROM grp UNION ALL SELECT drug, reaction, 'R' FROM ctl",
     "paired": "SELECT a.drug, a.g, a.reaction AS i, b.reaction AS j FROM members a JOIN members b ON a.drug = b.drug AND a.g = b.g AND a.reaction < b.reaction",
     "sims": """SELECT drug, g, i, j, 'cosine' AS metric, list_cosine_similarity(x.v, y.v) AS sim FROM paired JOIN terms x ON x.term = i JOIN terms y ON y.term = j
@@ -59,12 +67,14 @@ def over_groups(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def both_groups(t: Tables) -> tuple[DataFrame, DataFrame]:
-    valid = groups.usable_groups(t.reports(), t.terms())
-    return valid, groups.control_groups(valid, t.pool(), SEED)
+    """Settled once: the tests read the members several times. Drugs without a control group are left out."""
+    valid = settle(groups.usable_groups(t.reports(), t.terms()))
+    control = settle(groups.control_groups(valid, t.pool(), SEED))
+    return valid.join(control.select("drug").distinct(), "drug", "left_semi"), control
 
 
-def values(t: Tables) -> DataFrame:
-    valid, control = both_groups(t)
+def values(t: Tables, both: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    valid, control = both or both_groups(t)
     return groups.group_similarities(valid, control, t.terms(), METRICS)
 
 
@@ -94,8 +104,8 @@ def _gain(t: Tables) -> DataFrame:
 GAINS = ["valid", "rand", "valid_norm", "rand_norm", "gain_norm", "gain_norm_pop"]
 
 
-def gain_rows(t: Tables) -> DataFrame:
-    return groups.gains(values(t), properties(t, METRICS))
+def gain_rows(t: Tables, sims: DataFrame | None = None) -> DataFrame:
+    return groups.gains(values(t) if sims is None else sims, properties(t, METRICS))
 
 
 _BETWEEN = "(n_v * (m_v - m) ** 2 + n_r * (m_r - m) ** 2)"
@@ -120,11 +130,13 @@ def _welch(t: Tables) -> DataFrame:
     return tests.welch(values(t)).select("drug", "metric", rounded("stat"), F.round("df2", 4).alias("df2"))
 
 
+# between groups over the sums of squares weighted by 1 - n / N; freedom after Satterthwaite
 @query(
     "brown_means_f",
     over_groups(
-        f"""SELECT drug, metric, round({_BETWEEN} / (a + b), 6) AS stat, round(1 / ((a / (a + b)) ** 2 / (n_v - 1) + (b / (a + b)) ** 2 / (n_r - 1)), 4) AS df2
-        FROM (SELECT *, (1 - n_v / n) * ss_v / (n_v - 1) AS a, (1 - n_r / n) * ss_r / (n_r - 1) AS b FROM w)"""
+        f"""SELECT drug, metric, round({_BETWEEN} / below, 6) AS stat,
+        round(1 / (((1 - n_v / n) * ss_v / below) ** 2 / (n_v - 1) + ((1 - n_r / n) * ss_r / below) ** 2 / (n_r - 1)), 4) AS df2
+        FROM (SELECT *, (1 - n_v / n) * ss_v + (1 - n_r / n) * ss_r AS below FROM w)"""
     ),
 )
 def _brown(t: Tables) -> DataFrame:
@@ -165,22 +177,77 @@ def _brown_var(t: Tables) -> DataFrame:
     return tests.brown_forsythe_variances(values(t)).select("drug", "metric", rounded("stat"), "df2")
 
 
-# cosine ranks hang on the last bits of equal values, so this query ranks rounded similarities
+def normal_sql(z: str) -> str:
+    """P(|Z| > z): one less twice Simpson's integral of the normal density from 0 to z."""
+    weight = "CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, 401), lambda k: {weight} * exp(-0.5e0 * pow(least({z}, 9e0) * k / 400e0, 2)))) * least({z}, 9e0) / 1200e0"
+    return f"greatest(0e0, 1 - 2 * {area} / sqrt(2 * pi()))"
+
+
+_RANKED = {
+    "rounded": "SELECT drug, g, metric, round(sim, 6) + 0e0 AS sim FROM sims",
+    "ranks": """SELECT *, rank() OVER (PARTITION BY drug, metric ORDER BY sim) + (same - 1) / 2e0 AS r FROM
+        (SELECT *, count(*) OVER (PARTITION BY drug, metric, sim) AS same FROM rounded)""",
+    "mwu": """SELECT drug, metric, r_v - n_v * (n_v + 1) / 2 AS u, n_v * n_r / 2 AS mean, tied, least(n_v, n_r) AS least_n,
+        sqrt(n_v * n_r / 12 * (n_v + n_r + 1 - tied / ((n_v + n_r) * (n_v + n_r - 1)))) AS sd FROM
+        (SELECT drug, metric, sum(r) FILTER (WHERE g = 'V') AS r_v, count(*) FILTER (WHERE g = 'V')::DOUBLE AS n_v,
+        count(*) FILTER (WHERE g = 'R')::DOUBLE AS n_r, sum(same::DOUBLE * same - 1) AS tied FROM ranks GROUP BY 1, 2)""",
+    "mwu_p": f"SELECT drug, metric, u AS stat, {normal_sql('greatest(abs(u - mean) - 0.5e0, 0e0) / sd')} AS p FROM mwu",
+}
+
+
+def rank_values(t: Tables) -> DataFrame:
+    """Cosine ranks hang on the last bits of equal values, so the rank queries take rounded ones."""
+    return values(t).withColumn("sim", F.round("sim", 6) + 0.0)
+
+
+@query("mannwhitney_u", over_groups("SELECT drug, metric, u AS stat FROM mwu", _RANKED))
+def _mwu(t: Tables) -> DataFrame:
+    return tests.mann_whitney(rank_values(t)).select("drug", "metric", "stat")
+
+
+# no group here is small enough for the exact test, which has tests of its own
+@query("mannwhitney_p", over_groups("SELECT drug, metric, stat, round(p, 6) + 0e0 AS p FROM mwu_p", _RANKED))
+def _mwu_p(t: Tables) -> DataFrame:
+    return tests.mann_whitney(rank_values(t)).select("drug", "metric", "stat", rounded("p"))
+
+
 @query(
-    "mannwhitney_u",
+    "mannwhitney_fdr",
     over_groups(
-        """SELECT drug, metric, r_v - n_v * (n_v + 1) / 2 AS stat FROM (SELECT drug, metric, sum(r) FILTER (WHERE g = 'V') AS r_v,
-        count(*) FILTER (WHERE g = 'V')::DOUBLE AS n_v FROM (SELECT *, rank() OVER (PARTITION BY drug, metric ORDER BY sim)
-        + (count(*) OVER (PARTITION BY drug, metric, sim) - 1) / 2e0 AS r FROM (SELECT drug, g, metric, round(sim, 6) + 0e0 AS sim FROM sims)) GROUP BY 1, 2)"""
+        """SELECT metric, count(*)::BIGINT AS n, round(avg((q <= 0.05e0)::INT), 9) AS rate FROM (SELECT metric,
+        min(p * m / r) OVER (PARTITION BY metric ORDER BY r DESC ROWS UNBOUNDED PRECEDING) AS q FROM (SELECT metric, p,
+        row_number() OVER (PARTITION BY metric ORDER BY p) AS r, count(*) OVER (PARTITION BY metric) AS m FROM mwu_p)) GROUP BY 1""",
+        _RANKED,
     ),
 )
-def _mwu(t: Tables) -> DataFrame:
-    return tests.mann_whitney(values(t).withColumn("sim", F.round("sim", 6) + 0.0)).select("drug", "metric", "stat")
+def _mwu_fdr(t: Tables) -> DataFrame:
+    return tests.pass_rate(tests.mann_whitney(rank_values(t)), ["metric"]).select("metric", "n", F.round("rate", 9).alias("rate"))
+
+
+_BARTLETT = """SELECT drug, metric, ((n - 2) * ln((ss_v + ss_r) / (n - 2)) - (n_v - 1) * ln(ss_v / (n_v - 1)) - (n_r - 1) * ln(ss_r / (n_r - 1)))
+    / (1 + (1 / (n_v - 1) + 1 / (n_r - 1) - 1 / (n - 2)) / 3) AS x FROM w"""
+
+
+@query("bartlett_p", over_groups(f"SELECT drug, metric, round({normal_sql('sqrt(greatest(x, 0e0))')}, 6) + 0e0 AS p FROM bart", {"bart": _BARTLETT}))
+def _bartlett_p(t: Tables) -> DataFrame:
+    return tests.bartlett(values(t)).select("drug", "metric", rounded("p"))
 
 
-@query("anova_pvalue")
+# with one degree above, F is the square of Student's t, whose tails are finite sums for whole freedoms
+_STUDENT = """CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2),
+    lambda j: exp(lgamma(j + 1e0) - lgamma(j + 1.5e0)) * sqrt(pi()) / 2 * cos(a) ** (2 * j + 1))), 0e0))
+    ELSE 1 - sin(a) * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5e0) - lgamma(j + 1e0)) / sqrt(pi()) * cos(a) ** (2 * j))) END"""
+
+
+def student_sql(table: str) -> str:
+    inner = f"SELECT drug, metric, {_BETWEEN} / (ss_v + ss_r) * (n - 2) AS f, (n - 2)::BIGINT AS v FROM {table}"
+    return f"SELECT drug, metric, round(greatest(0e0, {_STUDENT}), 6) + 0e0 AS p FROM (SELECT *, atan(sqrt(f / v)) AS a FROM ({inner}))"
+
+
+@query("anova_pvalue", over_groups(student_sql("w")))
 def _anova_p(t: Tables) -> DataFrame:
-    return tests.with_pvalue(tests.anova(values(t)))
+    return tests.with_pvalue(tests.anova(values(t))).select("drug", "metric", rounded("p"))
 
 
 @query("normality_pvalues")
@@ -221,13 +288,75 @@ def _distance(t: Tables) -> DataFrame:
     return similarity.to_distance(values(t), ["drug"]).groupBy("drug", "metric").agg(F.round(F.sum("dist"), 4).alias("total"))
 
 
+# distances of all terms of both groups: the largest similarity of the drug's terms less each; the squares within and over all
+_PERMANOVA = {
+    "every": "SELECT a.drug, a.g = b.g AS same, a.g, -list_distance(x.v, y.v) AS s FROM members a JOIN members b ON a.drug = b.drug AND a.reaction < b.reaction "
+    "JOIN terms x ON x.term = a.reaction JOIN terms y ON y.term = b.reaction",
+    "apart": "SELECT *, (max(s) OVER (PARTITION BY drug) - s) ** 2 AS d2 FROM every",
+    "sums": "SELECT drug, sum(d2) AS total, sum(d2) FILTER (WHERE same) AS inside FROM apart GROUP BY 1",
+}
+
+
+@query(
+    "permanova_f",
+    over_groups(
+        """SELECT drug, CASE WHEN n >= 3 THEN round((total / (2 * n) - inside / n) / (inside / n / (2 * n - 2)), 6) + 0e0 END AS permanova_f
+        FROM sized JOIN sums USING (drug)""",
+        _PERMANOVA,
+    ),
+)
+def _permanova_f(t: Tables) -> DataFrame:
+    return multivariate.permanova(*both_groups(t), t.terms(), "euclidean", permutations=1).select("drug", rounded("permanova_f"))
+
+
 @query("permanova_p")
 def _permanova(t: Tables) -> DataFrame:
-    valid, control = both_groups(t)
-    return multivariate.permutation_tests(valid, control, t.terms(), "euclidean", permutations=199).select("drug", "permanova_f", "permanova_p")
+    return multivariate.permanova(*both_groups(t), t.terms(), "euclidean")
 
 
 @query("permdisp_p")
 def _permdisp(t: Tables) -> DataFrame:
-    valid, control = both_groups(t)
-    return multivariate.permutation_tests(valid, control, t.terms(), "euclidean", permutations=99, dispersion=True)
+    return multivariate.permdisp(*both_groups(t), t.terms(), "euclidean")
+
+
+def results(t: Tables) -> DataFrame:
+    """All tests and gains of every drug and metric in long form: `drug`, `metric`, `stat`, `value`."""
+    both = both_groups(t)
+    sims = settle(values(t, both))
+    parts = [tests.all_tests(sims), gain_rows(t, sims).unpivot(["drug", "metric"], GAINS, "stat", "value")]
+    for m in METRICS:
+        for test, name in ((multivariate.permanova, "permanova_p"), (multivariate.permdisp, "permdisp_p")):
+            parts.append(test(*both, t.terms(), m).select("drug", F.lit(m).alias("metric"), F.lit(name).alias("stat"), F.col(name).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("validity_summary")
+def _summary(t: Tables) -> DataFrame:
+    """Properties, mean gains and pass rates of the named tests: the end of a comparison."""
+    return tests.validity_summary(results(t), properties(t, METRICS)).select("metric", "stat", rounded("value"))
+
+
+_TABLE = {
+    "long": f"""SELECT drug, metric, 'mean_anova_f' AS stat, {_BETWEEN} / (ss_v + ss_r) * (n - 2) AS value FROM w
+        UNION ALL SELECT drug, metric, 'mean_mannwhitney_f', u FROM mwu
+        UNION ALL SELECT drug, metric, 'var_bartlett_f', x FROM bart UNION ALL SELECT drug, metric, 'valid', m_v FROM w""",
+}
+
+
+@query(
+    "test_table",
+    over_groups(
+        """SELECT drug, stat, round(max(value) FILTER (WHERE metric = 'cosine'), 5) + 0e0 AS cosine,
+        round(max(value) FILTER (WHERE metric = 'euclidean'), 5) + 0e0 AS euclidean FROM long GROUP BY 1, 2""",
+        _RANKED | {"bart": _BARTLETT} | _TABLE,
+    ),
+)
+def _table(t: Tables) -> DataFrame:
+    """A row per drug and statistic, a column per metric, as the result files have it."""
+    sims = settle(values(t))
+    ranks = tests.mann_whitney(sims.withColumn("sim", F.round("sim", 6) + 0.0))
+    named = {"mean_anova_f": tests.anova(sims), "mean_mannwhitney_f": ranks, "var_bartlett_f": tests.bartlett(sims)}
+    parts = [rows.select("drug", "metric", F.lit(k).alias("stat"), F.col("stat").alias("value")) for k, rows in named.items()]
+    means = sims.filter("grp = 'V'").groupBy("drug", "metric").agg(F.lit("valid").alias("stat"), F.avg("sim").alias("value"))
+    wide = sinks.stat_table(reduce(DataFrame.unionByName, [*parts, means]), METRICS)
+    return wide.select("drug", "stat", *[(F.round(m, 5) + 0.0).alias(m) for m in METRICS])
