@@ -1,18 +1,23 @@
 """Corpora and negative samples drawn with repeatable pseudo-random numbers.
 
 Draws follow a distribution through its cumulative sums, cut into slots: a draw falls into one of
-SLOTS equal slots of [0, 1) and joins the few terms that overlap it, an equi-join at any size.
+about as many equal slots of [0, 1) as there are terms and joins the few terms that overlap it, an
+equi-join at any size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
 from vigilark.operators.frequencies import smoothed_unigram
+from vigilark.sources.tables import settle
 
-SLOTS = 4096
+#: Slices in which cumulative sums are made, and the least and greatest number of slots.
+SLICES, LEAST_SLOTS, MOST_SLOTS = 4096, 64, 1 << 30
+#: Times as many attempts as before for those still without a negative.
+MORE_ATTEMPTS = 16
 
 
 def shuffle(rows: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
@@ -20,25 +25,48 @@ def shuffle(rows: DataFrame, keys: list[str], seed: int = 1) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys)
 
 
+def slice_of(term: Column) -> Column:
+    """One of SLICES parts, the first digits of the term's md5 digest."""
+    return F.conv(F.substring(F.md5(term.cast("string")), 1, 3), 16, 10).cast("int")
+
+
 def intervals(unigram: DataFrame) -> DataFrame:
-    """`term`, `lo`, `hi`: terms laid end to end over [0, 1), in order of term.
+    """`term`, `lo`, `hi`: terms laid end to end over [0, 1), by slice, then term.
 
     Sums are made per slice of terms first, so the order over all terms is not made in one task.
     """
-    sliced = unigram.withColumn("slice", F.pmod(F.hash("term"), F.lit(SLOTS)))
+    sliced = unigram.withColumn("slice", slice_of(F.col("term")))
     sizes = sliced.groupBy("slice").agg(F.sum("p").alias("s"))
-    offsets = sizes.select("slice", (F.sum("s").over(Window.orderBy("slice")) - F.col("s")).alias("before"))  # SLOTS rows
+    offsets = sizes.select("slice", (F.sum("s").over(Window.orderBy("slice")) - F.col("s")).alias("before"))  # SLICES rows
     run = Window.partitionBy("slice").orderBy("term").rowsBetween(Window.unboundedPreceding, 0)
     placed = sliced.withColumn("upto", F.sum("p").over(run)).join(F.broadcast(offsets), "slice")
     return placed.select("term", (F.col("before") + F.col("upto") - F.col("p")).alias("lo"), (F.col("before") + F.col("upto")).alias("hi"))
 
 
-def draw(draws: DataFrame, spans: DataFrame, name: str, u: str = "u") -> DataFrame:
-    """`draws` with `name`: the term whose interval holds the column `u`."""
-    slot = lambda c: F.least(F.floor(c * SLOTS), F.lit(SLOTS - 1)).cast("int")
-    cells = spans.select(F.col("term").alias(name), "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("_slot"))
-    rows = draws.withColumn("_slot", slot(F.col(u)))
-    return rows.join(cells, "_slot").filter((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("_slot", "lo", "hi")
+def intervals_within(weights: DataFrame, key: str) -> DataFrame:
+    """The same for each `key` on its own: `weights` holds `key`, `term`, `p`, which need not add up to 1."""
+    run = Window.partitionBy(key).orderBy("term").rowsBetween(Window.unboundedPreceding, 0)
+    rows = weights.withColumn("upto", F.sum("p").over(run)).withColumn("total", F.sum("p").over(Window.partitionBy(key)))
+    return rows.select(key, "term", ((F.col("upto") - F.col("p")) / F.col("total")).alias("lo"), (F.col("upto") / F.col("total")).alias("hi"))
+
+
+def draw(draws: DataFrame, spans: DataFrame, name: str, u: str = "u", within: list[str] | None = None) -> DataFrame:
+    """`draws` with `name`: the term whose interval holds the column `u`, among those of the same
+    `within` if it is given.
+
+    There are as many slots as terms, to the next power of two, so a draw meets few terms and no slot
+    has a large share of the draws. A term covers as many slots as it is likely.
+    """
+    keys = within or []
+    n = spans.agg(F.count("*").alias("_n"))  # one row
+    bits = F.ceil(F.log2(F.greatest("_n", F.lit(LEAST_SLOTS))))
+    slots = n.select(F.least(F.pow(F.lit(2.0), bits), F.lit(float(MOST_SLOTS))).alias("_slots"))
+    slot = lambda c: F.greatest(F.least(F.floor(c * F.col("_slots")), F.col("_slots") - 1), F.lit(0)).cast("bigint")
+    cells = spans.join(F.broadcast(slots)).select(
+        *keys, F.col("term").alias(name), "lo", "hi", F.explode(F.sequence(slot(F.col("lo")), slot(F.col("hi")))).alias("_slot")
+    )
+    rows = draws.join(F.broadcast(slots)).withColumn("_slot", slot(F.col(u))).drop("_slots")
+    return rows.join(cells, [*keys, "_slot"]).filter((F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))).drop("_slot", "lo", "hi")
 
 
 def thin(pairs: DataFrame, keep: DataFrame, seed: int = 1, key: str = "row") -> DataFrame:
@@ -68,25 +96,26 @@ def corpus_with_negatives(pairs: DataFrame, unigram: DataFrame, k: int, seed: in
 
 
 def contrastive_batches(counts: DataFrame, size: int, epoch: int, by_frequency: bool = True, seed: int = 1) -> DataFrame:
-    """`batch`, `target`, `context`: batches of `size` targets, each with a context that no other
-    target of the batch has.
+    """`batch`, `target`, `context`: batches of `size` targets (the last may be smaller), each with a
+    context that no other target of the batch has.
 
-    Targets are dealt to batches by their place in a pseudo-random order of hash buckets; inside
-    a batch, targets choose in turn among their contexts, in the order of weighted random keys;
-    one whose contexts are all taken is left out. Batches are independent of each other.
+    Targets are ranked by pseudo-random numbers and dealt to batches by rank; inside a batch, targets
+    choose in turn among their contexts, in the order of weighted random keys; one whose contexts are
+    all taken is left out. Batches are independent of each other.
     """
     import pandas as pd
 
-    n = counts.select("target").distinct().agg((F.ceil(F.count("*") / size)).alias("batches"))  # one row
+    from vigilark.operators.similarity import dense_index
+
+    targets = counts.select("target").distinct()
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col("target").cast("string")))
+    dealt = dense_index(targets.withColumn("_place", place), "_place").select("target", F.floor(F.col("index") / size).alias("batch"))
     weight = F.pow("n", F.lit(0.75)) if by_frequency else F.lit(1.0)
     u = uniform(F.col("target").cast("string"), F.col("context").cast("string"), epoch, seed)
-    keyed = counts.join(F.broadcast(n)).select(
-        F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), "target"), F.col("batches")).alias("batch"),
-        "target", "context", (F.log(F.greatest(u, F.lit(1e-12))) / weight).alias("draw"),
-    )
-    # a target needs at most as many contexts as its batch has targets
+    keyed = counts.join(dealt, "target").select("batch", "target", "context", (F.log(F.greatest(u, F.lit(1e-12))) / weight).alias("draw"))
+    # others of the batch take at most size - 1 contexts, so one of the first `size` is free if any is
     best = Window.partitionBy("batch", "target").orderBy(F.desc("draw"), "context")
-    keyed = keyed.withColumn("choice", F.row_number().over(best)).filter(F.col("choice") <= 4 * size)
+    keyed = keyed.withColumn("choice", F.row_number().over(best)).filter(F.col("choice") <= size)
 
     def choose(key, frame):
         taken, out = set(), []
@@ -107,32 +136,87 @@ def split(rows: DataFrame, test_fraction: float, keys: list[str], seed: int = 1)
     return rows.withColumn("is_test", uniform(*[F.col(k).cast("string") for k in keys], "split", seed) < test_fraction)
 
 
+_PAIR = ["drug", "reaction"]
+
+
+def _tries(positives: DataFrame, first: int, last: int) -> DataFrame:
+    return positives.select(F.struct(*_PAIR).alias("positive")).withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
+
+
+def _u(side: str, seed: int) -> Column:
+    return uniform(F.col("positive.drug").cast("string"), F.col("positive.reaction").cast("string"), F.col("attempt").cast("string"), side, seed)
+
+
+def _first_free(tries: DataFrame, known: DataFrame) -> DataFrame:
+    """Per positive the drawn pair (`n`) of the first attempt that is not known."""
+    free = tries.join(known, _PAIR, "left_anti")
+    return free.groupBy("positive").agg(F.min_by(F.struct(*_PAIR), "attempt").alias("n"))
+
+
+def _without(positives: DataFrame, found: DataFrame) -> DataFrame:
+    return positives.join(found.select("positive.*"), _PAIR, "left_anti")
+
+
 def negatives_by_key(
-    positives: DataFrame, key: str, other: str, known: DataFrame, by_frequency: bool = True, attempts: int = 12, seed: int = 1
-) -> DataFrame:
+    positives: DataFrame, key: str, other: str, known: DataFrame, by_frequency: bool = True, attempts: int = 12, seed: int = 1,
+    source: DataFrame | None = None,
+) -> DataFrame:
     """`drug`, `reaction`, `label` 0: for each positive one pair that keeps `key` and draws `other`.
 
-    Each positive makes `attempts` draws and takes the first that is no known pair; one whose
-    key is known with nearly everything may find none and is left without.
+    Each positive makes `attempts` draws, MORE_ATTEMPTS times as many if these are all known pairs,
+    and takes the first that is not. What is left then has a key that is known with nearly all that is
+    drawn: it draws among the rest of its key, by the same weights. Only a positive whose key is known
+    with everything gets none. `source` holds the pairs whose `other` is drawn, the positives
+    themselves by default.
+    """
+    known = settle(known.select(*_PAIR).distinct())
+    chances = settle(_distribution(source or positives, other, by_frequency))
+    spans = settle(intervals(chances))
+
+    def attempt(rows: DataFrame, first: int, last: int) -> DataFrame:
+        tries = draw(_tries(rows, first, last).withColumn("u", _u(key, seed)), spans, "drawn")
+        named = tries.select("positive", "attempt", F.col(f"positive.{key}").alias(key), F.col("drawn").alias(other))
+        return settle(_first_free(named, known))
+
+    found = attempt(positives, 1, attempts)
+    more = attempt(_without(positives, found), attempts + 1, attempts * (1 + MORE_ATTEMPTS))
+    last = settle(_without(_without(positives, found), more))
+    # the rest of each key that is left: few keys, each known with nearly all the weight there is
+    parts = chances.select(F.col("term").alias(other), "p")
+    keys = last.select(key).distinct()
+    pairs = keys.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(parts.withColumn("_slice", slice_of(F.col(other))), "_slice")
+    rest = pairs.join(known, _PAIR, "left_anti").select(key, F.col(other).alias("term"), "p")
+    final = last.select(F.struct(*_PAIR).alias("positive"), key, F.lit(0).alias("attempt")).withColumn("u", _u(key, seed))
+    final = draw(final, intervals_within(rest, key), other, within=[key]).select("positive", F.struct(*_PAIR).alias("n"))
+    return found.unionByName(more).unionByName(final).select("n.drug", "n.reaction", F.lit(0).alias("label"))
+
+
+def negatives_at_random(
+    positives: DataFrame, known: DataFrame, by_frequency: bool = True, attempts: int = 12, seed: int = 1, source: DataFrame | None = None
+) -> DataFrame:
+    """As many pairs as there are positives with both sides drawn, none of them known.
+
+    Positives whose draws are all known pairs draw again, MORE_ATTEMPTS times as often each time,
+    until all have one. If known pairs cover all there is, ValueError.
     """
-    spans = intervals(_distribution(positives, other, by_frequency))
-    tries = positives.select("drug", "reaction").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    tries = tries.withColumn("u", uniform(F.col("drug").cast("string"), F.col("reaction").cast("string"), F.col("attempt").cast("string"), key, seed))
-    found = draw(tries, spans, "drawn").select(
-        F.struct("drug", "reaction").alias("positive"), "attempt", F.col(key), F.col("drawn").alias(other)
-    )
-    free = found.join(known.select("drug", "reaction").distinct(), ["drug", "reaction"], "left_anti")
-    return free.groupBy("positive").agg(F.min_by(F.struct("drug", "reaction"), "attempt").alias("n")).select("n.drug", "n.reaction", F.lit(0).alias("label"))
-
-
-def negatives_at_random(positives: DataFrame, known: DataFrame, by_frequency: bool = True, attempts: int = 12, seed: int = 1) -> DataFrame:
-    """As many pairs as there are positives with both sides drawn, none of them known."""
-    tries = positives.select(F.struct("drug", "reaction").alias("positive")).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    for side in ("drug", "reaction"):
-        u = uniform(F.col("positive.drug").cast("string"), F.col("positive.reaction").cast("string"), F.col("attempt").cast("string"), side, seed)
-        tries = draw(tries.withColumn("u", u), intervals(_distribution(positives, side, by_frequency)), side).drop("u")
-    free = tries.join(known.select("drug", "reaction").distinct(), ["drug", "reaction"], "left_anti")
-    return free.groupBy("positive").agg(F.min_by(F.struct("drug", "reaction"), "attempt").alias("n")).select("n.drug", "n.reaction", F.lit(0).alias("label"))
+    known = settle(known.select(*_PAIR).distinct())
+    spans = {side: settle(intervals(_distribution(source or positives, side, by_frequency))) for side in _PAIR}
+    total = spans["drug"].count() * spans["reaction"].count()
+    covered = known.join(spans["drug"].select(F.col("term").alias("drug")), "drug", "left_semi")
+    if total <= covered.join(spans["reaction"].select(F.col("term").alias("reaction")), "reaction", "left_semi").count() and not positives.isEmpty():
+        raise ValueError("all pairs of the drawn sides are known")
+    left, parts, first, last = positives, [], 1, attempts
+    while not parts or not left.isEmpty():
+        tries = _tries(left, first, last)
+        for side in _PAIR:
+            tries = draw(tries.withColumn("u", _u(side, seed)), spans[side], side).drop("u")
+        parts.append(settle(_first_free(tries, known)))
+        left = settle(_without(left, parts[-1]))
+        first, last = last + 1, last + attempts * MORE_ATTEMPTS ** len(parts)
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.select("n.drug", "n.reaction", F.lit(0).alias("label"))
 
 
 def _distribution(positives: DataFrame, side: str, by_frequency: bool) -> DataFrame:

@@ -12,6 +12,7 @@ from vigilark.plans.fixtures import Tables, with_tables
 from vigilark.plans.groups import uniform_sql
 from vigilark.plans.similarity import rounded
 from vigilark.sources.files import last_wins
+from vigilark.sources.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -274,7 +275,27 @@ def contexts(t: Tables) -> DataFrame:
     return frequencies.smoothed_unigram(t.pairs().groupBy(F.col("context").alias("term")).agg(F.count("*").cast("double").alias("freq")))
 
 
-@query("corpus_with_negatives")
+def spans_sql(freq: str) -> str:
+    """Terms laid end to end by slice and term, of a table `term`, `freq`."""
+    return f"""SELECT term, sum(p) OVER w - p AS lo, sum(p) OVER w AS hi FROM (SELECT term, pow(freq, 0.75e0) / sum(pow(freq, 0.75e0)) OVER () AS p,
+        substr(md5(term::VARCHAR), 1, 3) AS slice FROM {freq}) WINDOW w AS (ORDER BY slice, term ROWS UNBOUNDED PRECEDING)"""
+
+
+@query(
+    "corpus_with_negatives",
+    with_tables(
+        [],
+        f"""SELECT row, target, context, 1 AS label FROM own UNION ALL
+        SELECT t.row, t.target, s.term, 0 FROM (SELECT *, CASE WHEN v >= lo THEN v + hi - lo ELSE v END AS u FROM tries) t ASOF JOIN spans s ON t.u >= s.lo""",
+        {
+            "corpus": CORPUS,
+            "freq": "SELECT context AS term, count(*)::DOUBLE AS freq FROM corpus GROUP BY 1",
+            "spans": spans_sql("freq"),
+            "own": "SELECT corpus.*, lo, hi FROM corpus JOIN spans ON term = context",
+            "tries": f"SELECT own.*, {uniform_sql('row', 'attempt', repr(str(SEED)))} * (1 - (hi - lo)) AS v FROM own, (SELECT unnest(range(1, {NEGATIVES + 1})) AS attempt)",
+        },
+    ),
+)
 def _negatives(t: Tables) -> DataFrame:
     return sampling.corpus_with_negatives(corpus(t), contexts(t), NEGATIVES, SEED)
 
@@ -285,32 +306,78 @@ def _batches(t: Tables) -> DataFrame:
     return sampling.contrastive_batches(counts, 64, 1, seed=SEED)
 
 
-def _sampled(t: Tables, kind: str) -> DataFrame:
-    train = positives(t).filter("not is_test")
+def _sampled(t: Tables, kind: str, test: bool = False) -> DataFrame:
+    """Positives and negatives of the training split, whose negatives are no training positives, or
+    of the test split, whose negatives are no positives at all and are drawn as all positives are."""
+    every = positives(t)
+    rows = settle(every.filter("is_test" if test else "not is_test").select("drug", "reaction"))
+    known, source = (every, every) if test else (rows, rows)
     if kind == "random":
-        drawn = sampling.negatives_at_random(train, train, True, ATTEMPTS, SEED)
+        drawn = sampling.negatives_at_random(rows, known, True, ATTEMPTS, SEED, source)
     else:
         other = "reaction" if kind == "drug" else "drug"
-        drawn = sampling.negatives_by_key(train, kind, other, train, True, ATTEMPTS, SEED)
-    return sampling.balanced(train, drawn)
+        drawn = sampling.negatives_by_key(rows, kind, other, known, True, ATTEMPTS, SEED, source)
+    return sampling.balanced(rows, drawn)
+
+
+_PARTS = {
+    "split": f"SELECT drug, reaction, {IS_TEST} AS is_test FROM labelled WHERE label = 1",
+    "train": "SELECT drug, reaction FROM split WHERE NOT is_test",
+    "test": "SELECT drug, reaction FROM split WHERE is_test",
+}
+_MOST = ATTEMPTS * (1 + sampling.MORE_ATTEMPTS)
 
 
-@query("neg_by_drug")
-def _by_drug(t: Tables) -> DataFrame:
-    return _sampled(t, "drug")
+def _draw_sql(rows: str, spans: str, side: str, first: int, last: int) -> str:
+    u = uniform_sql("drug", "reaction", "attempt", f"'{side}'", f"'{SEED}'")
+    return f"""SELECT p.drug, p.reaction, attempt, s.term FROM (SELECT drug, reaction, attempt, {u} AS u FROM {rows}, (SELECT unnest(range({first}, {last + 1})) AS attempt)) p
+        ASOF JOIN {spans} s ON p.u >= s.lo"""
 
 
-@query("neg_by_reaction")
-def _by_reaction(t: Tables) -> DataFrame:
-    return _sampled(t, "reaction")
+def negatives_sql(key: str, test: bool) -> tuple[dict[str, str], str]:
+    """Common tables and the rows of a sample. After the second lot of attempts none is left at the sizes compared."""
+    own, known = ("test", "split") if test else ("train", "train")
+    other = {"drug": "reaction", "reaction": "drug"}.get(key)
+    ctes = dict(_PARTS)
+    for side in [other] if other else ["drug", "reaction"]:
+        ctes[f"freq_{side}"] = f"SELECT {side} AS term, count(*)::DOUBLE AS freq FROM {known} GROUP BY 1"
+        ctes[f"spans_{side}"] = spans_sql(f"freq_{side}")
 
+    def drawn(rows: str, first: int, last: int) -> str:
+        if other:
+            pair = {key: f"q.{key}", other: "q.term"}
+            inner = _draw_sql(rows, f"spans_{other}", key, first, last)
+            return f"SELECT q.drug AS pd, q.reaction AS pr, attempt, {pair['drug']} AS drug, {pair['reaction']} AS reaction FROM ({inner}) q"
+        a, b = (_draw_sql(rows, f"spans_{s}", s, first, last) for s in ("drug", "reaction"))
+        return f"""SELECT a.drug AS pd, a.reaction AS pr, a.attempt, a.term AS drug, b.term AS reaction FROM ({a}) a
+            JOIN ({b}) b ON a.drug = b.drug AND a.reaction = b.reaction AND a.attempt = b.attempt"""
 
-@query("neg_full_random")
-def _random(t: Tables) -> DataFrame:
-    return _sampled(t, "random")
+    best = f"SELECT pd, pr, arg_min(drug, attempt) AS drug, arg_min(reaction, attempt) AS reaction FROM %s ANTI JOIN {known} USING (drug, reaction) GROUP BY 1, 2"
+    ctes["tries"] = drawn(own, 1, ATTEMPTS)
+    ctes["found"] = best % "tries"
+    ctes["left_over"] = f"SELECT drug, reaction FROM {own} WHERE (drug, reaction) NOT IN (SELECT pd, pr FROM found)"
+    ctes["again"] = drawn("left_over", ATTEMPTS + 1, _MOST)
+    ctes["more"] = best % "again"
+    return ctes, f"SELECT drug, reaction, 1 AS label FROM {own} UNION ALL SELECT drug, reaction, 0 FROM found UNION ALL SELECT drug, reaction, 0 FROM more"
 
 
-@query("false_negative_rate")
+for _kind, _name in (("drug", "neg_by_drug"), ("reaction", "neg_by_reaction"), ("random", "neg_full_random")):
+    for _test in (False, True):
+        _ctes, _body = negatives_sql(_kind, _test)
+        query(_name + ("_test" if _test else ""), with_tables(["labelled"], _body, _ctes))(lambda t, k=_kind, x=_test: _sampled(t, k, x))
+
+_CTES, _ = negatives_sql("drug", False)
+
+
+@query(
+    "false_negative_rate",
+    with_tables(
+        ["labelled"],
+        """SELECT round((SELECT count(*) FROM (SELECT DISTINCT drug, reaction FROM (SELECT drug, reaction FROM found UNION ALL SELECT drug, reaction FROM more))
+        SEMI JOIN test USING (drug, reaction))::DOUBLE / (SELECT count(*) FROM test), 9) AS rate""",
+        _CTES,
+    ),
+)
 def _rate(t: Tables) -> DataFrame:
     test = positives(t).filter("is_test").withColumn("label", F.lit(1))
-    return sampling.false_negative_rate(_sampled(t, "drug").filter("label = 0"), test)
+    return sampling.false_negative_rate(_sampled(t, "drug").filter("label = 0"), test).select(F.round("rate", 9).alias("rate"))
