@@ -55,7 +55,7 @@ def coverage(partial: DataFrame) -> DataFrame:
     return partial.agg(F.avg(F.col("found").cast("double")).alias("coverage"))
 
 
-#: Ranges of the score in which the curve is summed on its own.
+#: Ranges of the score, at its approximate quantiles, in which the curve is summed on its own.
 SLICES = 64
 
 
@@ -68,9 +68,10 @@ def _curve(rows: DataFrame) -> DataFrame:
     at = rows.filter("score is not null and label is not null").groupBy("score").agg(
         F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") == 0, 1)).alias("n")
     )
-    ends = at.agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    part = F.least(F.floor(F.coalesce(F.try_divide(F.col("hi") - F.col("score"), F.col("hi") - F.col("lo")), F.lit(0.0)) * SLICES), F.lit(SLICES - 1))
-    at = at.join(F.broadcast(ends)).withColumn("part", part.cast("int"))  # one row
+    cuts = [k / SLICES for k in range(1, SLICES)]
+    ends = at.agg(F.percentile_approx("score", cuts, 10_000).alias("cuts"), F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    part = F.size(F.filter("cuts", lambda c: c > F.col("score")))  # equal scores have the same, higher ones a lower
+    at = at.join(F.broadcast(ends)).withColumn("part", part).drop("cuts")
     sums = at.groupBy("part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows
     offset = sums.select("part", F.coalesce(F.sum("sp").over(before), F.lit(0)).alias("op"), F.coalesce(F.sum("sn").over(before), F.lit(0)).alias("on"))

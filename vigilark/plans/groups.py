@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.operators import groups, multivariate, similarity, tests
-from vigilark.plans.fixtures import Tables, with_tables
-from vigilark.plans.similarity import properties, rounded
+from vigilark.plans.fixtures import LEVELS3, Tables, with_tables
+from vigilark.plans.similarity import _all_paths_sql, _content_sql, path_terms, properties, rounded
 from vigilark.sources import sinks
 from vigilark.sources.tables import settle
 
@@ -108,6 +108,31 @@ def gain_rows(t: Tables, sims: DataFrame | None = None) -> DataFrame:
     return groups.gains(values(t) if sims is None else sims, properties(t, METRICS))
 
 
+H_GROUP_METRICS = ["meanminpath", "primaryminpath", "resnik", "lin"]
+
+
+@query(
+    "h_valid_random_gain",
+    with_tables(
+        ["terms", "reports", "freq", "paths3"],
+        """SELECT drug, metric, round(valid, 6) AS valid, round(rand, 6) AS rand, round((valid - rand) / (high - low), 6) + 0e0 AS gain_norm,
+        round((valid - mean) / (high - low), 6) + 0e0 AS gain_norm_pop FROM (SELECT drug, metric, avg(sim) FILTER (WHERE g = 'V') AS valid,
+        avg(sim) FILTER (WHERE g = 'R') AS rand FROM paired JOIN every USING (i, j) GROUP BY 1, 2)
+        JOIN (SELECT metric, min(sim) AS low, max(sim) AS high, avg(sim) AS mean FROM every GROUP BY 1) USING (metric)""",
+        GROUP_CTES
+        | _content_sql(LEVELS3, "a")
+        | {"every": _all_paths_sql(["meanminpath", "primaryminpath", "resnikmeddra", "linmeddra"]).replace("'resnikmeddra'", "'resnik'").replace("'linmeddra'", "'lin'")},
+    ),
+)
+def _h_gain(t: Tables) -> DataFrame:
+    """Gains by hierarchy and content metrics over the same groups."""
+    terms = settle(path_terms(t, LEVELS3))
+    props = [similarity.pair_properties(terms, m).select(F.lit(m).alias("metric"), "*") for m in H_GROUP_METRICS]
+    sims = groups.group_similarities(*both_groups(t), terms, H_GROUP_METRICS)
+    rows = groups.gains(sims, reduce(DataFrame.unionByName, props))
+    return rows.select("drug", "metric", *[rounded(c) for c in ("valid", "rand", "gain_norm", "gain_norm_pop")])
+
+
 _BETWEEN = "(n_v * (m_v - m) ** 2 + n_r * (m_r - m) ** 2)"
 _W = {"wv": "n_v / ss_v", "wr": "n_r / ss_r"}
 _ANOVA = f"SELECT drug, metric, round({_BETWEEN} / (ss_v + ss_r) * (n - 2), 6) AS stat, n - 2 AS df2 FROM w"

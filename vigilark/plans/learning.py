@@ -72,12 +72,9 @@ def _core(t: Tables) -> DataFrame:
     "mutual_reachability",
     with_tables(
         ["terms"],
-        """SELECT i, j, round(greatest(d, a.core, b.core), 6) AS dist FROM
-        (SELECT DISTINCT least(term, neighbour) AS i, greatest(term, neighbour) AS j, list_distance(x.v, y.v) AS d
-        FROM near JOIN terms x ON x.term = least(near.term, neighbour) JOIN terms y ON y.term = greatest(near.term, neighbour))
-        JOIN core a ON a.term = i JOIN core b ON b.term = j""".replace("least(term,", "least(near.term,").replace("greatest(term,", "greatest(near.term,"),
-        {"near": _NEAR, "core": _CORE},
-    ),
+        """SELECT i, j, round(greatest(d, a.core, b.core), 6) AS dist FROM ends JOIN core a ON a.term = i JOIN core b ON b.term = j""",
+        {"near": _NEAR, "core": _CORE, "ends": "SELECT least(term, neighbour) AS i, greatest(term, neighbour) AS j, min(d) AS d FROM near GROUP BY 1, 2"},
+    ).replace("near AS (", "near AS MATERIALIZED (").replace("core AS (", "core AS MATERIALIZED ("),
 )
 def _reach(t: Tables) -> DataFrame:
     return clustering.reachability_edges(t.terms(), NEAR).select("i", "j", F.round("dist", 6).alias("dist"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vigilark.functions.vectors import METRICS
 from vigilark.operators import frequencies, hierarchy, similarity
 from vigilark.plans.fixtures import LEVELS3, LEVELS5, Tables, with_tables
+from vigilark.sources.tables import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,7 +69,25 @@ query(
     "v_seuclidean",
     with_tables(["terms"], f"SELECT t.term, round(-list_distance(q.v, t.v), 6) + 0e0 AS sim FROM scaled q, scaled t WHERE q.term = {QUERY} AND t.term <> {QUERY}", _VARIANCE),
 )(_one_to_all("seuclidean"))
-query("v_mahalanobis")(_one_to_all("mahalanobis"))
+# the inverse covariance by Gauss and Jordan: row k is scaled, then taken from all others, the identity alongside
+_INVERSE = {
+    "cells": "SELECT term, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM terms",
+    "spread": "SELECT a.dim AS i, b.dim AS j, covar_samp(a.x, b.x) AS s FROM cells a JOIN cells b USING (term) GROUP BY 1, 2",
+    "wide": """SELECT list(line ORDER BY i) AS m FROM (SELECT i, list_concat(list(s ORDER BY j), list_transform(range(1, count(*) + 1),
+        lambda x: CASE WHEN x = i THEN 1e0 ELSE 0e0 END)) AS line FROM spread GROUP BY i)""",
+    "steps": """SELECT 0 AS k, m FROM wide UNION ALL SELECT k + 1, list_transform(range(1, len(m) + 1), lambda i:
+        CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+        ELSE list_transform(list_zip(m[i], m[k + 1]), lambda p: p[1] - p[2] / m[k + 1][k + 1] * m[i][k + 1]) END) FROM steps WHERE k < len(m)""",
+    "inverse": "SELECT list_transform(m, lambda line: line[len(m) + 1:]) AS w FROM steps WHERE k = len(m)",
+    "apart": f"""SELECT t.term, list_transform(list_zip(q.v, t.v), lambda p: p[1] - p[2]) AS d
+        FROM terms q, terms t WHERE q.term = {QUERY} AND t.term <> {QUERY}""",
+}
+query(
+    "v_mahalanobis",
+    with_tables(
+        ["terms"], "SELECT term, round(-sqrt(list_inner_product(d, list_transform(w, lambda line: list_inner_product(line, d)))), 6) + 0e0 AS sim FROM apart, inverse", _INVERSE
+    ).replace("WITH", "WITH RECURSIVE", 1),
+)(_one_to_all("mahalanobis"))
 
 _TOP = ["cosine", "euclidean", "dot", "manhattan", "canberra"]
 
@@ -273,6 +292,83 @@ for _name, _f, _sql in (
         query(f"h_{_name}{_suffix}", _shared_sql(_table, _levels, _ctes, _sql))(_run)
 
 
+# -- hierarchies, all pairs of embedded terms --------------------------------------------------
+def path_terms(t: Tables, levels: list[str]) -> DataFrame:
+    """Paths of the embedded terms with the content of their names."""
+    paths = t.paths3() if levels is LEVELS3 else t.paths5()
+    content = frequencies.content_of_levels(t.freq(), paths, levels)
+    return hierarchy.term_paths(paths.join(t.terms().select("term"), "term", "left_semi"), levels, content)
+
+
+PATH_QUERIES = {
+    **{m: (LEVELS3, m) for m in ("meanminpath", "meanpath_additive", "primaryminpath", "primarypath", "primarypath_additive")},
+    "smqmeanminpath": (LEVELS5, "smqmeanminpath"),
+    **{f"{m}{suffix}": (levels, m) for m in ("resnik", "jiangconrath", "lin") for suffix, levels in (("meddra", LEVELS3), ("smq", LEVELS5))},
+}
+
+
+def _content_sql(levels: list[str], tag: str) -> dict[str, str]:
+    """Paths of the embedded terms with contents, and the content ctes under names of their own."""
+    table = "paths3" if levels is LEVELS3 else "paths5"
+    own = {f"{k}_{tag}": q for k, q in _content_ctes(table, levels).items()}
+    own = {k: q.replace("FROM named", f"FROM named_{tag}").replace("FROM own", f"FROM own_{tag}").replace("JOIN own", f"JOIN own_{tag}").replace("FROM sums", f"FROM sums_{tag}") for k, q in own.items()}
+    joins = " ".join(f"LEFT JOIN content_{tag} c_{c} ON c_{c}.level = '{c}' AND c_{c}.name = p.{c}" for c in levels)
+    contents = ", ".join(f"c_{c}.ic AS ic_{c}" for c in levels)
+    rank = "p.rnk" if levels is LEVELS3 else "'PRIMARY'"
+    own[f"path_{tag}"] = f"""SELECT p.term, {rank} AS rnk, {", ".join("p." + c for c in levels)}, {contents}, c_pt.ic AS own FROM {table} p
+        {joins} LEFT JOIN content_{tag} c_pt ON c_pt.level = 'pt' AND c_pt.name = p.term::VARCHAR WHERE p.term IN (SELECT term FROM terms)"""
+    return own
+
+
+def _score_sql(levels: list[str], metric: str) -> tuple[str, str, str]:
+    kind, fold = hierarchy.PATH_METRICS[metric]
+    shared = "coalesce(" + ", ".join(f"CASE WHEN q.{c} = t.{c} THEN q.ic_{c} END" for c in levels) + ", 0e0)"
+    score = {
+        "first": _first_sql(levels), "additive": _sum_sql(levels), "resnik": shared,
+        "jiang": f"CASE WHEN q.own + t.own - 2 * {shared} <> 0 THEN 1 / (q.own + t.own - 2 * {shared}) END",
+        "lin": f"CASE WHEN q.own + t.own <> 0 THEN 2 * {shared} / (q.own + t.own) END",
+    }[kind]
+    return score, {"mean": "avg", "last": "max", "sum": "sum"}[fold], "" if fold == "mean" else _PRIMARY
+
+
+def _all_paths_sql(metrics: list[str]) -> str:
+    parts = []
+    for m in metrics:
+        levels, kind = PATH_QUERIES[m]
+        score, agg, where = _score_sql(levels, kind)
+        table = "path_a" if levels is LEVELS3 else "path_b"
+        parts.append(f"SELECT '{m}' AS metric, q.term AS i, t.term AS j, {agg}({score}) AS sim FROM {table} q JOIN {table} t ON q.term < t.term{where} GROUP BY 2, 3")
+    return " UNION ALL ".join(parts)
+
+
+_PATHS = {**_content_sql(LEVELS3, "a"), **_content_sql(LEVELS5, "b")}
+
+
+@query("h_all_pairs", with_tables(["terms", "freq", "paths3"], "SELECT i, j, round(sim, 6) AS sim FROM every", _content_sql(LEVELS3, "a") | {"every": _all_paths_sql(["linmeddra"])}))
+def _h_all(t: Tables) -> DataFrame:
+    rows = similarity.all_pairs(path_terms(t, LEVELS3), "lin").filter("sim is not null")
+    return rows.select("i", "j", rounded("sim"))
+
+
+@query(
+    "h_pair_props",
+    with_tables(
+        ["terms", "freq", "paths3", "paths5"],
+        """SELECT metric, n, round(low, 6) AS min, round(high, 6) AS max, round(mean, 6) AS mean, round((mean - low) / (high - low), 6) AS normed_mean FROM (
+        SELECT metric, count(sim)::BIGINT AS n, min(sim) AS low, max(sim) AS high, avg(sim) AS mean FROM every GROUP BY metric)""",
+        _PATHS | {"every": _all_paths_sql(list(PATH_QUERIES))},
+    ),
+)
+def _h_props(t: Tables) -> DataFrame:
+    """Properties of all pairs for every hierarchy and content metric."""
+    terms = {id(lv): settle(path_terms(t, lv)) for lv in (LEVELS3, LEVELS5)}
+    out = None
+    for name, (levels, metric) in PATH_QUERIES.items():
+        one = similarity.pair_properties(terms[id(levels)], metric).select(F.lit(name).alias("metric"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.select("metric", "n", *[rounded(c) for c in ("min", "max", "mean", "normed_mean")])
+
+
 def _joined(c: str) -> str:
     return f"coalesce(list_aggregate(list_transform(list_sort(list(DISTINCT {c}::VARCHAR) FILTER (WHERE {c} IS NOT NULL)), lambda x: ' | ' || x), 'string_agg', ''), '') AS {c}"
 
