@@ -8,16 +8,20 @@ write to the same vector. The contrastive model sums up the gradients of all bat
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.functions.optimisers import Optimiser
 from vigilark.operators.sampling import contrastive_batches
-from vigilark.sources.tables import settle
+from vigilark.sources.tables import release, settle
 
 BATCH = 256
 
@@ -99,8 +103,8 @@ def _descend(pairs: pd.DataFrame, params: pd.DataFrame, head: pd.DataFrame, opti
     return pd.concat([_pack(params, v, state, steps), _pack(head, shared, shared_state, shared_steps)])
 
 
-def train_nsg(
-    samples: DataFrame,
+def nsg_rounds(
+    samples: DataFrame | Callable[[int], DataFrame],
     dim: int = 200,
     epochs: int = 30,
     rate: float = 0.1,
@@ -108,41 +112,74 @@ def train_nsg(
     seed: int = 1,
     optimiser: Optimiser | None = None,
     norm: bool = False,
-) -> DataFrame:
-    """Vectors of `target` and `context` from samples with `label` 1 (a pair) or 0 (a negative).
-
-    Rows are `side`, `term`, `v`; the row of side 'shared' holds the biases of the two sides and
-    weight and bias of the last unit, whose values the tasks of a stratum average. Without an
-    optimiser it is plain descent with `rate`.
+    epochs_per_out: int = 1,
+) -> Iterator[tuple[int, DataFrame, float]]:
+    """(epoch, vectors, mean loss of the epoch's samples) after the first epoch, every `epochs_per_out`
+    epochs and the last.
+
+    `samples` holds `target`, `context` and `label` 1 (a pair) or 0 (a negative); given as a function
+    of the epoch, the corpus is drawn anew for each output. Vectors are rows `side`, `term`, `v`;
+    the row of side 'shared' holds the biases of the two sides and weight and bias of the last unit,
+    whose values the tasks of a stratum average. Without an optimiser it is plain descent with `rate`.
+    Terms that a later corpus brings in start anew; tables that are no longer needed are deleted.
     """
     opt = optimiser or Optimiser("sgd", rate)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    named = samples.select(F.col("target").cast("string").alias("target"), F.col("context").cast("string").alias("context"), "label")
-    dealt = settle(named.select("*", block("target").alias("key"), F.pmod(block("context") - block("target"), F.lit(blocks)).alias("stratum")))
-    params = settle(_with_state(initial_vectors(named, dim, seed)))
     shared = np.r_[np.zeros(2 * dim), 1.0, 0.0]
     head = pd.DataFrame({"side": ["shared"], "term": [""], "v": [shared], "state": [np.zeros(0)], "steps": [0]})
-    for _ in range(epochs):
+    dealt = params = None
+    for epoch in range(1, epochs + 1):
+        if dealt is None or (callable(samples) and (epoch - 2) % epochs_per_out == 0):
+            drawn = samples(epoch) if callable(samples) else samples
+            named = drawn.select(F.col("target").cast("string").alias("target"), F.col("context").cast("string").alias("context"), "label")
+            keyed = named.select("*", block("target").alias("key"), F.pmod(block("context") - block("target"), F.lit(blocks)).alias("stratum"))
+            old, dealt = dealt, settle(keyed, columnar=True)
+            fresh = _with_state(initial_vectors(dealt, dim, seed))
+            if params is None:
+                params = settle(fresh, columnar=True)
+            else:
+                known = params
+                params = settle(known.unionByName(fresh.join(known, ["side", "term"], "left_anti")), columnar=True)
+                release(old, known)
         for s in range(blocks):
             home = F.when(F.col("side") == "target", block("term")).otherwise(F.pmod(block("term") - s, F.lit(blocks)))
             keyed = params.select(home.alias("key"), "side", "term", "v", "state", "steps")
             pairs = dealt.filter(F.col("stratum") == s)
-            now = head
+            now, order = head, seed + epoch
 
             def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 # rows come in no fixed order; sorted, so that a retried task repeats its steps
-                left = left.sort_values(["target", "context", "label"]).sample(frac=1, random_state=seed)
+                left = left.sort_values(["target", "context", "label"]).sample(frac=1, random_state=order)
                 return _descend(left, right, now.assign(term=str(key[0])), opt, norm)
 
-            moved = settle(pairs.groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(run, _PARAMS))
-            params = moved.filter("side <> 'shared'")
+            moved = settle(pairs.groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(run, _PARAMS), columnar=True)
+            old, params = params, moved.filter("side <> 'shared'")
+            params._settled_at = moved._settled_at
+            release(old)
             found = moved.filter("side = 'shared'").toPandas()  # one row a block
             found = found[found["steps"] > head["steps"].iloc[0]].sort_values("term")
             if len(found):
                 mean = lambda c: np.mean(found[c].tolist(), axis=0)
                 head = head.assign(v=[mean("v")], state=[mean("state")], steps=[int(found["steps"].max())])
-    row = dealt.sparkSession.createDataFrame([("shared", "", [float(x) for x in head["v"].iloc[0]])], "side string, term string, v array<double>")
-    return params.select("side", "term", "v").unionByName(row)
+        if epoch in (1, epochs) or epoch % epochs_per_out == 0:
+            row = dealt.sparkSession.createDataFrame([("shared", "", [float(x) for x in head["v"].iloc[0]])], "side string, term string, v array<double>")
+            vectors = settle(params.select("side", "term", "v").unionByName(row), columnar=True)
+            yield epoch, vectors, nsg_loss(dealt, vectors, norm).first()["loss"]
+
+
+def train_nsg(
+    samples: DataFrame,
+    dim: int = 200,
+    epochs: int = 30,
+    rate: float = 0.1,
+    blocks: int = 8,
+    seed: int = 1,
+    optimiser: Optimiser | None = None,
+    norm: bool = False,
+) -> DataFrame:
+    """The vectors after the last epoch over one corpus; see `nsg_rounds`."""
+    *_, (_, vectors, _) = nsg_rounds(samples, dim, epochs, rate, blocks, seed, optimiser, norm, epochs_per_out=epochs)
+    return vectors
 
 
 def nsg_loss(samples: DataFrame, params: DataFrame, norm: bool = False) -> DataFrame:
@@ -204,7 +241,7 @@ def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 1
     """
     opt = optimiser or Optimiser("sgd", rate)
     head_opt = optimiser or Optimiser("sgd", rate * 0.1)
-    params = settle(_with_state(initial_vectors(counts, dim, seed)))
+    params = settle(_with_state(initial_vectors(counts, dim, seed)), columnar=True)
     flat = np.random.default_rng(seed).normal(0, 0.3, dim * hidden + hidden + hidden * hidden + hidden)
     flat_state = head_opt.fresh((1, len(flat)))
 
@@ -233,20 +270,35 @@ def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 1
 
         found = rows.groupBy("batch").applyInPandas(gradients, "side string, term string, g array<double>")
         cells = found.select("side", "term", F.posexplode("g").alias("d", "x")).groupBy("side", "term", "d").agg(F.sum("x").alias("x"))
-        sums = settle(cells.groupBy("side", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("g")))
+        sums = settle(cells.groupBy("side", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("g")), columnar=True)
         shared = sums.filter("side = 'head'").first()  # one vector of the head's size
         if shared is None:
             break
         (flat,), flat_state = head_opt.step(flat[None, :], np.array([shared["g"]]), flat_state, np.array([epoch + 1]))
-        params = settle(params.join(sums, ["side", "term"], "left").select("side", "term", "v", "state", "steps", "g").mapInPandas(move, _PARAMS))
+        old = params
+        params = settle(old.join(sums, ["side", "term"], "left").select("side", "term", "v", "state", "steps", "g").mapInPandas(move, _PARAMS), columnar=True)
+        release(old, sums)
     return params.select("side", "term", "v")
 
 
 # -- classifier ----------------------------------------------------------------------------------
+def _ready(rows: DataFrame) -> DataFrame:
+    return rows.select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"))
+
+
 def train_classifier(rows: DataFrame, width: int, hidden: tuple[int, ...] = (64, 16), rounds: int = 50, seed: int = 1):
     """A perceptron over `features array<double>` of `width` and a `label` of 0 or 1."""
-    ready = rows.select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("y"))
-    return MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[width, *hidden, 2], maxIter=rounds, seed=seed).fit(ready)
+    return MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[width, *hidden, 2], maxIter=rounds, seed=seed).fit(_ready(rows))
+
+
+def classifier_rounds(rows: DataFrame, width: int, hidden: tuple[int, ...] = (64, 16), rounds: int = 50, every: int = 10, seed: int = 1):
+    """(rounds so far, model) every `every` rounds, each going on from the weights before."""
+    ready, weights = _ready(rows), None
+    for done in range(0, rounds, every):
+        step = MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[width, *hidden, 2], maxIter=min(every, rounds - done), seed=seed)
+        model = (step if weights is None else step.setInitialWeights(weights)).fit(ready)
+        weights = model.weights
+        yield min(done + every, rounds), model
 
 
 def classify(model, rows: DataFrame) -> DataFrame:
@@ -254,3 +306,37 @@ def classify(model, rows: DataFrame) -> DataFrame:
     ready = rows.withColumn("x", array_to_vector("features"))
     scored = model.transform(ready).withColumn("score", vector_to_array("probability")[1])
     return scored.select(*rows.columns, "score")
+
+
+def save_classifier(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str) -> MultilayerPerceptronClassificationModel:
+    return MultilayerPerceptronClassificationModel.load(path)
+
+
+def train_indexed_classifier(rows: DataFrame, rank: int = 8, rounds: int = 50, seed: int = 1) -> PipelineModel:
+    """A classifier for reactions without vectors: the reaction is one of its features by index.
+
+    `rows` hold `reaction`, `features array<double>` of the drug and `label`. A factorisation machine
+    learns a vector for each reaction from the sparse index and one for each feature, so neither
+    the index nor a weight per pair is ever dense. Reactions unseen in training share a place.
+    """
+    stages = [
+        StringIndexer(inputCol="reaction", outputCol="at", handleInvalid="keep"),
+        OneHotEncoder(inputCol="at", outputCol="one", dropLast=False),
+        VectorAssembler(inputCols=["one", "x"], outputCol="all"),
+        FMClassifier(featuresCol="all", labelCol="y", factorSize=rank, maxIter=rounds, stepSize=0.05, seed=seed),
+    ]
+    return Pipeline(stages=stages).fit(_with_index(rows).withColumn("y", F.col("label").cast("double")))
+
+
+def _with_index(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("reaction", F.col("reaction").cast("string")).withColumn("x", array_to_vector("features"))
+
+
+def classify_indexed(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """`drug`, `reaction` (text) and `score`, the probability of label 1."""
+    scored = model.transform(_with_index(rows))
+    return scored.select("drug", "reaction", vector_to_array("probability")[1].alias("score"))

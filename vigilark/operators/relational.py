@@ -98,13 +98,35 @@ def union_files(files: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [f.withColumn("ord", F.lit(k)) for k, f in enumerate(files)])
 
 
-def standardise(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """`rows` with `column` less the mean of `train` over its population deviation (1 if that is 0)."""
-    cells = train.select(F.posexplode(column).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    one = cells.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("_p"))  # as long as a vector
-    scaled = F.zip_with(column, "_p", lambda x, p: (x - p["m"]) / F.when(p["s"] == 0, 1.0).otherwise(p["s"]))
+def complete_rows(rows: DataFrame) -> DataFrame:
+    """Rows without a null in any column."""
+    return rows.na.drop("any")
+
+
+def counts_before_and_after(rows: DataFrame) -> DataFrame:
+    """`table_counts` of all rows (`stage` 'all') and of the complete ones ('complete')."""
+    stages = {"all": rows, "complete": complete_rows(rows)}
+    return reduce(DataFrame.unionByName, [table_counts(r).select(F.lit(k).alias("stage"), "*") for k, r in stages.items()])
+
+
+def scaler(train: DataFrame, column: str) -> DataFrame:
+    """`dim`, `mean`, `spread` of a vector column: what a stored scaler holds. A spread of 0 counts as 1."""
+    cells = train.select(F.posexplode(column).alias("dim", "x")).groupBy("dim")
+    spread = F.stddev_pop("x")
+    return cells.agg(F.avg("x").alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("spread"))
+
+
+def scale(rows: DataFrame, column: str, parameters: DataFrame) -> DataFrame:
+    """`rows` with `column` less the mean over the spread of `parameters`, a row for each dimension."""
+    one = parameters.agg(F.array_sort(F.collect_list(F.struct("dim", "mean", "spread"))).alias("_p"))  # as long as a vector
+    scaled = F.zip_with(column, "_p", lambda x, p: (x - p["mean"]) / p["spread"])
     return rows.join(F.broadcast(one)).withColumn(column, scaled).drop("_p")
 
 
+def standardise(train: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """`rows` scaled by the mean and the population deviation of `train`."""
+    return scale(rows, column, scaler(train, column))
+
+
 def mean_vector(v: Column) -> Column:
     return total(v) / F.size(v)

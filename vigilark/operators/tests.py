@@ -150,10 +150,10 @@ def mann_whitney(values: DataFrame) -> DataFrame:
 
 
 # -- one group against the normal distribution -------------------------------------------------
-def dagostino(x: np.ndarray) -> float | None:
-    """p of D'Agostino and Pearson's test from skewness and kurtosis; None below 20 values."""
+def dagostino(x: np.ndarray, least: int = 20) -> float | None:
+    """p of D'Agostino and Pearson's test from skewness and kurtosis; None below `least` values."""
     n = len(x)
-    if n <= 19 or x.std() == 0:
+    if n < least or x.std() == 0:
         return None
     d = x - x.mean()
     m2, m3, m4 = (float((d**k).mean()) for k in (2, 3, 4))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators import clustering, frequencies, learning, relational, sampling
+from vigilark.operators import clustering, frequencies, learning, relational, sampling, signal
 from vigilark.plans.fixtures import Tables, with_tables
-from vigilark.plans.signals import SEED, contexts, corpus, last_label, positives, _sampled
+from vigilark.plans.signals import SEED, TEST_FRACTION, _sampled, contexts, corpus, last_label
+from vigilark.sources.tables import load_table, save_table, settle, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,14 +49,102 @@ def pair_features(t: Tables, rows: DataFrame) -> DataFrame:
     return relational.concatenated(found, ["reaction_embedding", "drug_chemical", "drug_biological"]).select("drug", "reaction", "label", "features")
 
 
-@query("classifier_scores")
-def _classifier(t: Tables) -> DataFrame:
-    """Trained on a balanced sample of the training split, applied to the reference set."""
-    train = pair_features(t, _sampled(t, "drug"))
-    rows = pair_features(t, relational.without_positives(last_label(t), positives(t).filter("not is_test").select("drug", "reaction")))
-    scaled = relational.standardise(train, train, "features")
-    model = learning.train_classifier(scaled, 64 + 2 + 5, rounds=20, seed=SEED)
-    return learning.classify(model, relational.standardise(train, rows, "features")).select("drug", "reaction", "label", "score")
+WIDTH = 64 + 2 + 5
+
+
+def regime(t: Tables, negatives: bool, reference: bool) -> tuple[DataFrame, DataFrame]:
+    """Training and test pairs (`drug`, `reaction`, `label`).
+
+    With `negatives` the negatives are drawn, else they are the labelled ones. The test set is the
+    reference set, whose positives training then does without, or the test split.
+    """
+    if negatives:
+        train, test = _sampled(t, "drug"), None if reference else _sampled(t, "drug", test=True)
+    else:
+        rows = t.labelled().withColumn("label", relational.recode_label(F.col("label"))).select("drug", "reaction", "label")
+        split = sampling.split(rows, TEST_FRACTION, ["drug", "reaction"], SEED)
+        train, test = (split.filter(c).drop("is_test") for c in ("not is_test", "is_test"))
+    if reference:
+        test = last_label(t)
+        train = relational.without_positives(train, test.filter("label = 1").select("drug", "reaction"))
+    return train, test
+
+
+def trained(t: Tables, negatives: bool, reference: bool):
+    """Model, scaler parameters and test pairs of one regime."""
+    train, test = (pair_features(t, relational.complete_rows(rows)) for rows in regime(t, negatives, reference))
+    train = settle(train, columnar=True)
+    scaler = settle(relational.scaler(train, "features"))
+    model = learning.train_classifier(relational.scale(train, "features", scaler), WIDTH, rounds=20, seed=SEED)
+    return model, scaler, test
+
+
+def _regime_scores(negatives: bool, reference: bool):
+    def run(t: Tables) -> DataFrame:
+        model, scaler, test = trained(t, negatives, reference)
+        return learning.classify(model, relational.scale(test, "features", scaler)).select("drug", "reaction", "label", "score")
+
+    return run
+
+
+for _name, _negatives, _reference in (
+    ("classifier_scores", True, True), ("classifier_sampled_split", True, False), ("classifier_plain_reference", False, True), ("classifier_plain_split", False, False),
+):
+    query(_name)(_regime_scores(_negatives, _reference))
+
+
+@query("classifier_stored")
+def _stored(t: Tables) -> DataFrame:
+    """A model and a scaler written to the shared folder, read again, and applied to pairs without labels."""
+    model, scaler, test = trained(t, True, True)
+    folder = f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
+    learning.save_classifier(model, f"{folder}/model")
+    save_table(scaler, f"{folder}/scaler")
+    rows = relational.scale(test.drop("label"), "features", load_table(t.spark, f"{folder}/scaler"))
+    return learning.classify(learning.load_classifier(f"{folder}/model"), rows).select("drug", "reaction", "score")
+
+
+@query("classifier_indexed")
+def _indexed(t: Tables) -> DataFrame:
+    """Reactions by index instead of vectors, scored on the test split."""
+    (chemical,) = relational.non_empty(t.chemical())
+
+    def ready(rows: DataFrame) -> DataFrame:
+        found = relational.gather(rows, drug_chemical=chemical, drug_biological=t.biological())
+        return relational.concatenated(found, ["drug_chemical", "drug_biological"]).select("drug", "reaction", "label", "features")
+
+    train, test = (settle(ready(rows), columnar=True) for rows in regime(t, True, False))
+    scaler = settle(relational.scaler(train, "features"))
+    model = learning.train_indexed_classifier(relational.scale(train, "features", scaler), rounds=20, seed=SEED)
+    return learning.classify_indexed(model, relational.scale(test, "features", scaler))
+
+
+@query("classifier_progress")
+def _progress(t: Tables) -> DataFrame:
+    """`rounds`, `auroc`, `auprc`, `accuracy` on the test split while training goes on."""
+    train, test = (pair_features(t, rows) for rows in regime(t, True, False))
+    train = settle(train, columnar=True)
+    scaler = settle(relational.scaler(train, "features"))
+    train, test = (settle(relational.scale(rows, "features", scaler), columnar=True) for rows in (train, test))
+    out = None
+    for done, model in learning.classifier_rounds(train, WIDTH, rounds=20, every=10, seed=SEED):
+        scored = settle(learning.classify(model, test).select("score", "label"))
+        one = signal.auroc(scored).crossJoin(signal.auprc(scored)).crossJoin(signal.accuracy(scored))  # one row each
+        one = one.select(F.lit(done).alias("rounds"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("nsg_losses")
+def _losses(t: Tables) -> DataFrame:
+    """`epoch`, `loss`: a corpus drawn anew for each epoch and the loss on it after the epoch."""
+
+    def drawn(epoch: int) -> DataFrame:
+        kept = sampling.thin(corpus(t), frequencies.keep_probability(t.freq(), t.pairs()), SEED + epoch)
+        return sampling.corpus_with_negatives(kept, contexts(t), 3, SEED + epoch)
+
+    rows = [(epoch, loss) for epoch, _, loss in learning.nsg_rounds(drawn, DIM, 2, blocks=2, seed=SEED)]
+    return t.spark.createDataFrame(rows, "epoch int, loss double")
 
 
 _NEAR = f"""SELECT term, neighbour, d, k FROM (SELECT a.term AS term, b.term AS neighbour, list_distance(a.v, b.v) AS d,
@@ -80,7 +170,21 @@ def _reach(t: Tables) -> DataFrame:
     return clustering.reachability_edges(t.terms(), NEAR).select("i", "j", F.round("dist", 6).alias("dist"))
 
 
-@query("density_clusters")
+_NODES = f"SELECT term, core FROM core WHERE core <= {RADIUS}"
+_LINKS = f"""SELECT a.term AS a, b.term AS b FROM nodes a JOIN nodes b ON a.term <> b.term JOIN terms x ON x.term = a.term JOIN terms y ON y.term = b.term
+    WHERE list_distance(x.v, y.v) <= {RADIUS}"""
+_REACH = "SELECT term, term AS low FROM nodes UNION SELECT links.b, low FROM reach JOIN links ON links.a = reach.term WHERE low < links.b"
+
+
+@query(
+    "density_clusters",
+    with_tables(
+        ["terms"],
+        """SELECT term, CASE WHEN count(*) OVER (PARTITION BY coalesce(low, term)) >= 5 THEN coalesce(low, term) ELSE -1 END AS cluster
+        FROM terms LEFT JOIN lows USING (term)""",
+        {"near": _NEAR, "core": _CORE, "nodes": _NODES, "links": _LINKS, "reach": _REACH, "lows": "SELECT term, min(low) AS low FROM reach GROUP BY 1"},
+    ).replace("WITH", "WITH RECURSIVE", 1).replace("near AS (", "near AS MATERIALIZED (").replace("links AS (", "links AS MATERIALIZED ("),
+)
 def _clusters(t: Tables) -> DataFrame:
     return clustering.density_clusters(t.terms(), NEAR, 5, RADIUS)
 

@@ -147,6 +147,36 @@ def _counts(t: Tables) -> DataFrame:
     return relational.table_counts(t.labelled())
 
 
+_SPARSE = "SELECT drug, reaction, CASE WHEN drug % 7 <> 0 THEN label END AS label, CASE WHEN reaction % 5 <> 0 THEN freq END AS freq FROM labelled LEFT JOIN freq ON term = reaction"
+_COUNTED = "count(*) AS n_rows, count(DISTINCT drug) AS n_drugs, count(DISTINCT reaction) AS n_reactions, count(DISTINCT (drug, reaction)) AS n_pairs, count(*) FILTER (WHERE label = 1) AS n_positive"
+
+
+@query(
+    "complete_counts",
+    with_tables(
+        ["labelled", "freq"],
+        f"SELECT 'all' AS stage, {_COUNTED} FROM sparse UNION ALL SELECT 'complete', {_COUNTED} FROM sparse WHERE label IS NOT NULL AND freq IS NOT NULL",
+        {"sparse": _SPARSE},
+    ),
+)
+def _complete(t: Tables) -> DataFrame:
+    rows = relational.lookup(t.labelled(), t.freq(), "reaction")
+    rows = rows.withColumn("label", F.when(F.col("drug") % 7 != 0, F.col("label"))).withColumn("freq", F.when(F.col("reaction") % 5 != 0, F.col("freq")))
+    return relational.counts_before_and_after(rows)
+
+
+@query(
+    "scaler_table",
+    with_tables(
+        ["terms"],
+        """SELECT (d - 1)::INT AS dim, round(avg(e), 6) + 0e0 AS mean, round(stddev_pop(e), 6) AS spread FROM
+        (SELECT unnest(v) AS e, generate_subscripts(v, 1) AS d FROM terms WHERE term % 5 <> 0) GROUP BY d""",
+    ),
+)
+def _scaler(t: Tables) -> DataFrame:
+    return relational.scaler(t.terms().filter("term % 5 <> 0"), "v").select("dim", rounded("mean"), F.round("spread", 6).alias("spread"))
+
+
 @query(
     "scaler_params",
     with_tables(

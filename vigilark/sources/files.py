@@ -1,9 +1,9 @@
 """Readers of the delimited input files. Every reader gives a DataFrame and reads nothing twice.
 
-Files have fixed positions and no schema of their own; `header` says whether a first line is to
-be skipped. Where the order of lines counts, `_order` comes from the file itself: Spark's file
-offset metadata is not needed, since a row's line is numbered within its own file by
-`monotonically_increasing_id` at scan time and kept from there on.
+Files have fixed positions and no schema of their own; `header` says whether the first line of each
+file is to be skipped. Where the order of lines counts, `_order` is the file's name, where the part
+of it that a task reads begins, and the row's place in the task's scan: lines of one file keep their
+order and part files go by name.
 """
 
 from __future__ import annotations
@@ -29,7 +29,12 @@ def metric_names(config: dict, section: str) -> list[str]:
 def _lines(spark: SparkSession, path: str, delimiter: str, header: bool, fields: int) -> DataFrame:
     schema = ", ".join(f"_c{k} string" for k in range(fields))
     rows = spark.read.schema(schema).option("sep", delimiter).option("header", header).csv(path)
-    return rows.withColumn("_order", F.monotonically_increasing_id())
+    return rows.withColumn("_order", _order())
+
+
+def _order() -> Column:
+    file = F.col("_metadata")
+    return F.struct(file["file_path"].alias("file"), file["file_block_start"].alias("begin"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_pairs(spark: SparkSession, path: str, delimiter: str = "|", header: bool = False) -> DataFrame:
@@ -66,10 +71,10 @@ def read_names(
 
 def read_vectors(spark: SparkSession, path: str, delimiter: str = "|", header: bool = False) -> DataFrame:
     """`term`, `v array<double>` of any length; a term alone on its line has an empty vector."""
-    lines = spark.read.option("header", header).text(path).withColumn("_order", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("_order", _order())
     if header:
-        first = lines.agg(F.min("_order").alias("first"))
-        lines = lines.join(F.broadcast(first), F.col("_order") > F.col("first")).drop("first")  # one row
+        first = lines.groupBy("_order.file").agg(F.min("_order").alias("_first"))  # a row per file
+        lines = lines.withColumn("file", F.col("_order.file")).join(first, "file").filter("_order > _first").drop("file", "_first")
     parts = F.split("value", "\\" + delimiter if delimiter in "|.+*?" else delimiter)
     tail = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x != "")
     named = lines.select(F.element_at(parts, 1).alias("term"), F.transform(tail, lambda x: x.cast("double")).alias("v"), "_order")

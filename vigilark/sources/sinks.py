@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,20 @@ def transpose(rows: DataFrame, index: str) -> DataFrame:
     return cells.unpivot(["_new"], values, index, "_cell").groupBy(index).pivot("_new").agg(F.first("_cell"))
 
 
+def write_epoch(vectors: DataFrame, folder: str, epoch: int, delimiter: str = "|") -> None:
+    """Vectors of one epoch of training: a folder for the targets and one for the contexts."""
+    for side in ("target", "context"):
+        write_vectors(vectors.filter(F.col("side") == side), f"{folder.rstrip('/')}/{epoch}_{side}_dict.csv", delimiter)
+
+
+def write_config(config: dict, folder: str, name: str = "config.json") -> str:
+    """A copy of the run's settings in its output folder, on the driver; the path written."""
+    path = Path(folder) / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(config, indent=2), encoding="utf-8")
+    return str(path)
+
+
 def output_dir(base: str, name: str) -> str:
     """A stamped output folder name, in UTC."""
     return f"{base.rstrip('/')}/{datetime.now(UTC):%Y%m%d_%H%M%S}_{name.lower()}"

@@ -1,17 +1,59 @@
-"""Cutting lineage in the shared folder."""
+"""Cutting lineage in the shared folder, and tables kept for later runs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def settle(df: DataFrame) -> DataFrame:
-    """`df` computed once and checkpointed under `spark.checkpoint.dir`, which all executors share.
 
-    Where the setting is absent, as in tests, a folder beside the warehouse is used.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`.
+
+    Only a session on one machine may do without the setting, as in tests: it gets a folder beside the
+    warehouse. On a cluster a machine's own folder would lose what is kept there, so that is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            place = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        sc.setCheckpointDir(place)
+    return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame, columnar: bool = False) -> DataFrame:
+    """`df` computed once and kept under the shared folder.
+
+    `columnar` writes Parquet, for tables that are wide, read in part, or given back by `release`; else
+    the rows are checkpointed.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+    folder = shared_folder(df.sparkSession)
+    if not columnar:
+        return df.checkpoint(eager=True)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what `settle` wrote as Parquet for these frames; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_settled_at", None)
+        if path is not None:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A small table kept for other runs: vectors, scaler parameters, losses."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
