@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -84,10 +85,23 @@ def brute_pairs(fps: list[int]) -> set[tuple[int, int]]:
     return {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
 
 
-def test_grid_join_finds_every_pair(spark):
-    fps = near_fps(2)
-    rows = simhash_dedup.links_between(spark.createDataFrame([(f, f) for f in fps], "node bigint, fp bigint")).collect()
-    assert {(min(r), max(r)) for r in rows} == brute_pairs(fps)
+@pytest.mark.parametrize("depth", [1, 2, 3, 6])
+def test_grid_join_finds_every_pair_once(spark, depth):
+    fps = near_fps(2, n=120 if depth < 6 else 40)
+    rows = simhash_dedup.links_between(spark.createDataFrame([(f, f) for f in fps], "node bigint, fp bigint"), depth).collect()
+    assert len(rows) == len(set(rows)) and {(min(r), max(r)) for r in rows} == brute_pairs(fps)
+
+
+def test_popcount_map_bounds_the_distance(spark):
+    fps = near_fps(5, n=20)
+    rows = spark.createDataFrame([(f,) for f in fps], "fp bigint").select("fp", simhash_dedup.popcount_map(F.col("fp")).alias("m")).collect()
+    counts = {r["fp"]: [(r["m"] % (1 << 64)) >> 2 * k & 3 for k in range(32)] for r in rows}
+    for f, c in counts.items():
+        assert c == [((f % (1 << 64)) >> 2 * k & 3).bit_count() for k in range(32)]
+    for a in fps[:40]:
+        for b in fps[:40]:
+            assert sum(abs(x - y) for x, y in zip(counts[a], counts[b], strict=True)) <= ((a ^ b) % (1 << 64)).bit_count()
+    assert [simhash_dedup.grid_depth(n) for n in (1000, 10**6, 10**10)] == [1, 2, 6]
 
 
 def test_block_tables_find_every_pair_once(spark):
@@ -188,6 +202,19 @@ def test_embedding_links_match_brute_force(spark):
         assert (by_id[10_000 + k]["n_links"], by_id[10_000 + k]["component_id"]) == (0, 10_000 + k)
 
 
+def test_vectors_of_rare_lengths_link_among_themselves(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=8)], 0, "n") for k in range(50)]
+    rows += [(100, [1.0, 2.0], 0, "n"), (101, [2.0, 4.0], 0, "n"), (102, [1.0, 2.0, 0.0], 0, "n"), (103, [1.0, 2.0, 0.001], 0, "n"), (104, [2.0, -1.0], 0, "n"), (104, [2.0, -1.0], 0, "n")]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, n bigint, component string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_duplicates(table).collect()}
+    assert got[100] == (1, 100, True) and got[101] == (1, 100, False)
+    assert got[102] == (1, 102, True) and got[103] == (1, 102, False)
+    assert got[104] == (1, 104, True) and got[0] == (0, 0, True)
+    assert embedding_dedup.embedding_duplicates(table.limit(0)).count() == 0
+    assert embedding_dedup.embedding_duplicates(spark.createDataFrame([(1, None)], "vec_id bigint, embedding array<double>")).count() == 1
+
+
 def test_embedding_recall_over_the_whole_table(spark):
     sf = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{sf}/embeddings.parquet")

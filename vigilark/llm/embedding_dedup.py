@@ -26,7 +26,7 @@ MIN_COSINE = 0.95
 #: PER_CELL vectors. At most MAX_CELLS cells are visited: where these do not meet the target, the
 #: grid is made coarser until they do, at the latest when it is one cell.
 SAMPLE, TARGET = 12_000, 0.995
-MIN_BOOK, MAX_BOOK, PER_CELL, MAX_CELLS = 4, 1024, 8, 64
+MIN_BOOK, MAX_BOOK, PER_CELL, MAX_CELLS = 4, 4096, 8, 64
 #: Measured vectors of a kind, and what sending a vector to a cell costs, in comparisons.
 MEASURED, SENDING = 3000, 50
 #: Centres whose halves are this near can be those of one pair at MIN_COSINE.
@@ -252,18 +252,32 @@ def _compare(dealt: DataFrame, width: int) -> DataFrame:
 
 
 def links(nodes: DataFrame, seed: int = 5) -> DataFrame:
-    """Distinct pairs `a` < `b` of a table (`node` bigint, distinct `v`, all usable)."""
-    first = nodes.select(F.size("v").alias("n")).groupBy("n").count().orderBy(F.desc("count"), "n").first()
-    spark = nodes.sparkSession
-    if first is None:
-        return spark.createDataFrame([], "a bigint, b bigint")
-    width = first["n"]
-    nodes = nodes.filter(F.size("v") == width)
-    drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()
-    index = fit_index(_unit(drawn.column("v").combine_chunks(), width), first["count"], seed)
-    dealt = _deal(nodes, index, width)
-    # cells with more vectors than should be compared at a time are cut into tiles, of which each
-    # has a block of the stored vectors and a slice of those that ask
+    """Distinct pairs `a` < `b` of a table (`node` bigint, distinct `v`, all usable).
+
+    Vectors of different lengths never link. The commonest length and each with more than SAMPLE vectors
+    have an index of their own; those of all other lengths are compared in full, a length being one cell.
+    """
+    counts = nodes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").collect()  # a row a length
+    indexed = [(r["width"], r["count"]) for k, r in enumerate(counts) if k == 0 or r["count"] > SAMPLE]
+    out = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    for width, count in indexed:
+        own = nodes.filter(F.size("v") == width)
+        drawn = own.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow()
+        index = fit_index(_unit(drawn.column("v").combine_chunks(), width), count, seed)
+        out = out.unionByName(_tiled(_deal(own, index, width), width))
+    rest = sorted({r["width"] for r in counts} - {width for width, _ in indexed})
+    if rest:
+        width = max(rest)
+        filled = F.concat("v", F.array_repeat(F.lit(0).cast(nodes.schema["v"].dataType.elementType), F.lit(width) - F.size("v")))
+        own = nodes.filter(F.size("v").isin(rest)).select(F.size("v").cast("bigint").alias("cell"), "node", filled.alias("v"))
+        both = own.withColumn("asks", F.explode(F.array(F.lit(False), F.lit(True)))).select("cell", "asks", "node", "v")
+        out = out.unionByName(_tiled(both, width))
+    return out.distinct()
+
+
+def _tiled(dealt: DataFrame, width: int) -> DataFrame:
+    """Verified pairs of the cells. Cells with more vectors than should be compared at a time are cut
+    into tiles, of which each has a block of the stored vectors and a slice of those that ask."""
     parts = lambda asks, size: F.greatest(F.ceil(F.count_if(F.col("asks") == asks) / size), F.lit(1)).cast("int")
     sizes = dealt.groupBy("cell").agg(parts(False, BLOCK).alias("blocks"), parts(True, ASKS).alias("slices"))
     large = settle(sizes.filter("blocks > 1 or slices > 1"), columnar=True)
@@ -274,17 +288,17 @@ def links(nodes: DataFrame, seed: int = 5) -> DataFrame:
     tiles = F.when(F.col("asks"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b * F.col("slices") + hashed("slices")))
     tiles = tiles.otherwise(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: hashed("blocks") * F.col("slices") + k))
     placed = sized.withColumn("tile", F.explode(tiles))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = placed.repartition(n, "cell", "tile").sortWithinPartitions("cell", "tile", "asks")
-    return _compare(sorted_, width).distinct()
+    return _compare(sorted_, width)
 
 
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """`id_col`, `n_links`, `component_id`, `kept`, one row per row.
 
     Links are between rows with cosine of at least MIN_COSINE. Null or zero vectors, those with
-    null or non-finite components and those of another length than most link with nothing and
-    are kept. Repeated rows count as other vectors; a row with a null id links with nothing; an
+    null or non-finite components link with nothing and are kept; vectors link with those of their
+    own length only. Repeated rows count as other vectors; a row with a null id links with nothing; an
     empty table gives an empty result; other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
