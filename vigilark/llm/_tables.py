@@ -1,25 +1,5 @@
-"""Cutting lineage in the shared folder."""
+"""Cutting lineage in the shared folder, as in the rest of the library."""
 
-from __future__ import annotations
+from vigilark.sources.tables import release, settle, shared_folder
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-
-def settle(df: DataFrame, columnar: bool = False) -> DataFrame:
-    """`df` computed once and kept under `spark.checkpoint.dir`, which every executor shares.
-
-    `columnar` writes Parquet, for tables that are wide or read in part; else the rows are
-    checkpointed. Where the setting is absent, as in tests, a folder beside the warehouse is used.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
-        sc.setCheckpointDir(place)
-    if not columnar:
-        return df.checkpoint(eager=True)
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["release", "settle", "shared_folder"]

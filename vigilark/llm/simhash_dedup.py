@@ -2,15 +2,19 @@
 
 A 64-bit fingerprint is mapped to the bit counts of its 32 segments of two bits. The Manhattan
 distance of two such maps is never more than the Hamming distance of the fingerprints, so
-fingerprints within 3 bits lie within 3 of each other there, and in one of the two halves of
-the map within 1. The cells of the grid are the maps' halves; every fingerprint looks up its own
-cell and those one step up, from which it also meets those one step down, and each pair found is
-verified on the fingerprints within the join.
+fingerprints within 3 bits lie within 3 of each other there: of any parts that the map is cut into at
+most 3 differ. The map is cut into `depth` + 3 parts; for every choice of `depth` of them there is a
+grid whose cells are these parts' counts, and two near fingerprints share a cell of one grid at least.
+How deep the grids are follows from the number of fingerprints: deeper ones hold fewer strangers in a
+cell, shallower ones are fewer. Each pair found is verified on the fingerprints within the join.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from itertools import combinations
+from math import comb
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,9 @@ from vigilark.llm._graph import components
 from vigilark.llm._tables import settle
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
+#: What a row sent to a cell costs, in fingerprints met there.
+SENDING = 20
+_ODD = 0x5555555555555555
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -71,35 +78,48 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, make, "fp bigint", id_col, text_col)
 
 
-def _cell(fp: Column, half: int) -> Column:
-    """Bit counts (0 to 2) of the 16 two-bit segments of a half, packed in 32 bits."""
-    bits = F.shiftrightunsigned(fp, 32) if half else fp.bitwiseAND(0xFFFFFFFF)
-    return bits - F.shiftrightunsigned(bits, 1).bitwiseAND(0x55555555)
+def popcount_map(fp: Column) -> Column:
+    """Bit counts (0 to 2) of the 32 two-bit segments, in two bits each."""
+    low, high = fp.bitwiseAND(_ODD), F.shiftrightunsigned(fp, 1).bitwiseAND(_ODD)
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def links_between(fps: DataFrame) -> DataFrame:
-    """Pairs `a`, `b` of `node`s of a table (`node`, distinct `fp`) within MAX_BITS bits, each
-    pair once or, if it is near in both halves, twice."""
-    sides = []
-    for half in (0, 1):
-        at = fps.withColumn("home", _cell(F.col("fp"), half)).withColumn("half", F.lit(half))
-        sides.append(at)
-    homes = sides[0].unionByName(sides[1])
-    steps = F.expr(
-        "filter(transform(sequence(0, 15), j -> if((shiftright(home, 2 * j) & 3) < 2,"
-        " home + shiftleft(1L, 2 * j), null)), x -> x is not null)"
-    )
-    looks = homes.select(
-        F.col("node").alias("a"), F.col("fp").alias("fp_a"), "half", "home",
-        F.explode(F.concat(F.array("home"), steps)).alias("cell"),
-    )
-    near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MAX_BITS
-    once = (F.col("cell") != F.col("home")) | (F.col("fp_a") < F.col("fp_b"))
-    held = homes.select(
-        F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("half").alias("half_b"), F.col("home").alias("cell_b")
-    )
-    same_cell = (F.col("half") == F.col("half_b")) & (F.col("cell") == F.col("cell_b"))
-    return looks.join(held, same_cell & near & once).select("a", "b")
+def grid_depth(n: int) -> int:
+    """Equal parts asked for among `n` fingerprints: the cheapest, where a row of a grid costs as much as
+    SENDING strangers met in its cell. Two random segments have equal counts 3 times in 8."""
+    cost = lambda k: comb(k + MAX_BITS, k) * (SENDING + n * 0.375 ** (32 * k / (k + MAX_BITS)))
+    return min(range(1, 10), key=cost)
+
+
+def _parts(n: int) -> list[int]:
+    """Masks of the two-bit segments of `n` parts of the map, as signed longs."""
+    edges = [2 * round(32 * k / n) for k in range(n + 1)]
+    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def links_between(fps: DataFrame, depth: int | None = None) -> DataFrame:
+    """Pairs `a`, `b` of `node`s of a table (`node`, distinct `fp`) within MAX_BITS bits, each pair once.
+
+    The first grid in which a pair shares a cell reports it: the one of its first equal parts.
+    """
+    depth = depth or grid_depth(fps.count())
+    masks = _parts(depth + MAX_BITS)
+    grids = []
+    for g, chosen in enumerate(combinations(range(len(masks)), depth)):
+        passed = [masks[p] for p in range(chosen[-1]) if p not in chosen]  # parts that have to differ
+        grids.append((g, sum(masks[p] for p in chosen), passed + [0] * (MAX_BITS - len(passed))))
+    long = lambda x: F.lit(x).cast("bigint")
+    spec = F.array(*[F.struct(F.lit(g).alias("g"), long(m).alias("m"), F.array(*map(long, ps)).alias("passed")) for g, m, ps in grids])
+    rows = fps.select("node", "fp", popcount_map(F.col("fp")).alias("map"), F.explode(spec).alias("s"))
+    cell = F.col("map").bitwiseAND(F.col("s.m"))
+    left = rows.select(F.col("s.g").alias("g"), cell.alias("cell"), F.col("node").alias("a"), F.col("fp").alias("fp_a"), F.col("map").alias("map_a"), "s.passed")
+    right = rows.select(F.col("s.g").alias("g_b"), cell.alias("cell_b"), F.col("node").alias("b"), F.col("fp").alias("fp_b"), F.col("map").alias("map_b"))
+    moved = F.col("map_a").bitwiseXOR(F.col("map_b"))
+    first = reduce(and_, [(F.col("passed")[k] == 0) | (moved.bitwiseAND(F.col("passed")[k]) != 0) for k in range(MAX_BITS)])
+    near = (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= MAX_BITS)
+    same_cell = (F.col("g") == F.col("g_b")) & (F.col("cell") == F.col("cell_b"))
+    return left.join(right, same_cell & near & first).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
