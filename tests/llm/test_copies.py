@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vigilark.llm import embedding_dedup, simhash, simhash_dedup, substring_dedup
+from vigilark.llm import _words, embedding_dedup, simhash, simhash_dedup, substring_dedup
 
 WORDS = [f"w{k}" for k in range(400)]
 
@@ -179,6 +179,45 @@ def test_substring_dedup_matches_brute_force(spark):
     assert substring_dedup.remove_duplicate_spans(docs.limit(0)).count() == 0
 
 
+def test_factors_are_the_longest_matches():
+    """Matches found by anchors and extended against the reference equal the longest common runs."""
+    rng = random.Random(7)
+    ref = [rng.randrange(10**9) for _ in range(400)]
+    own = [rng.randrange(10**9) for _ in range(30)] + ref[40:160] + [1, 2, 3] + ref[200:275] + [rng.randrange(10**9) for _ in range(20)]
+    flat = np.array(own, np.int64)
+    for begin, end, at in ((70, 96, 80), (153 + 20, 153 + 46, 220)):
+        a, b = substring_dedup.extended(flat, begin, end, ref[max(0, at - 50) : at], ref[at + end - begin : at + end - begin + 50])
+        want_a, want_b = begin, end
+        while want_a > 0 and at - (begin - want_a) > 0 and begin - want_a < 50 and own[want_a - 1] == ref[at - (begin - want_a) - 1]:
+            want_a -= 1
+        while want_b < len(own) and want_b - end < 50 and own[want_b] == ref[at + want_b - begin]:
+            want_b += 1
+        assert (a, b) == (want_a, want_b)
+    assert substring_dedup.extended(flat, 0, 30, [], []) == (0, 30)
+    occ = [{"place": p, "ref": 1, "ref_mark": 9, "ref_place": p + 10} for p in (30, 50, 77)] + [{"place": 60, "ref": 9, "ref_mark": 9, "ref_place": 60}]
+    assert substring_dedup.chains(5, occ) == [(30, 76, 1, 9, 40, 86), (77, 103, 1, 9, 87, 113)]
+    starts = substring_dedup.boundary_windows(np.array([30, 100]), np.array([[20, 90], [95, 120]]), 200)
+    assert starts.tolist() == [*range(6, 20), *range(76, 101)]
+
+
+def test_words_that_differ_far_out_have_other_hashes():
+    tail = "x" * 23
+    texts = [tail + "aXb", tail + "bXa", tail + "aXbc", tail + "bXac", "a" * 60, "a" * 61]
+    for base in (_words._PRIME, _words.SECOND):
+        assert len(set(_words.hashes(_words.split(texts), base).tolist())) == len(texts)
+
+
+def test_substrings_with_hot_passages_and_clashing_columns(spark):
+    rng = random.Random(11)
+    hot = text_of(rng, 70)
+    rows = [(k, f"{text_of(rng, 20)} {hot} {text_of(rng, 20)}" if k % 3 else text_of(rng, 80), "m", k) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, mark string, place int")
+    out = substring_dedup.remove_duplicate_spans(docs).withColumn("sha", F.when(F.col("n_removed") > 0, F.sha2("kept", 256)).otherwise(F.col("whole")))
+    want = removed_by_brute_force([(i, t) for i, t, *_ in rows])
+    for r in out.collect():
+        assert (r["n_words"], r["n_removed"], r["sha"]) == want[r["doc_id"]]
+
+
 def test_embedding_links_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))

@@ -9,6 +9,7 @@ import numpy as np
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _PRIME = np.uint64(0x100000001B3)
+SECOND = np.uint64(0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHORT = 24
 
@@ -42,35 +43,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(words: Words) -> np.ndarray:
-    """64-bit hash of the bytes of each word."""
+def hashes(words: Words, base: np.uint64 = _PRIME) -> np.ndarray:
+    """64-bit hash of the bytes of each word; another odd `base` gives an independent one."""
     length = words.end - words.begin
     out = np.zeros(len(length), np.uint64)
     table = np.arange(1, 257, dtype=np.uint64)
     for k in range(int(min(length.max(initial=0), _SHORT))):
         at = np.flatnonzero(length > k)
-        out[at] = out[at] * _PRIME + table[words.flat[words.begin[at] + k]]
+        out[at] = out[at] * base + table[words.flat[words.begin[at] + k]]
     for k in np.flatnonzero(length > _SHORT).tolist():  # few words are this long
         rest = table[words.flat[words.begin[k] + _SHORT : words.end[k]]]
-        powers = np.full(len(rest), _PRIME, np.uint64)
+        powers = np.full(len(rest), base, np.uint64)
         powers[0] = 1
-        out[k] = (out[k : k + 1] * _PRIME + (rest * np.multiply.accumulate(powers)).sum(dtype=np.uint64))[0]
+        out[k] = (out[k : k + 1] * np.multiply.accumulate(np.full(len(rest), base, np.uint64))[-1] + (rest * np.multiply.accumulate(powers)).sum(dtype=np.uint64))[0]
     return mix(out + length.astype(np.uint64) * _MIX)
 
 
 class Runs:
     """Hashes of runs of consecutive words of one text, from prefix sums of a polynomial."""
 
-    _STEP = 0xD1342543DE82EF95  # odd, so it has an inverse modulo 2**64
-    _BACK = pow(_STEP, -1, 1 << 64)
+    STEPS = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)  # odd, so they have an inverse modulo 2**64
 
-    def __init__(self, word_hashes: np.ndarray) -> None:
+    def __init__(self, word_hashes: np.ndarray, step: int = STEPS[0]) -> None:
         n = len(word_hashes)
         self.n = n
-        self.up = self._powers(self._STEP, n + 1)
+        self.up = self._powers(step, n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(word_hashes * self.up[:n], out=self.sums[1:], dtype=np.uint64)
-        self.down = self._powers(self._BACK, n + 1)
+        self.down = self._powers(pow(step, -1, 1 << 64), n + 1)
 
     @staticmethod
     def _powers(base: int, n: int) -> np.ndarray:
