@@ -186,16 +186,19 @@ def test_factors_are_the_longest_matches():
     own = [rng.randrange(10**9) for _ in range(30)] + ref[40:160] + [1, 2, 3] + ref[200:275] + [rng.randrange(10**9) for _ in range(20)]
     flat = np.array(own, np.int64)
     for begin, end, at in ((70, 96, 80), (153 + 20, 153 + 46, 220)):
-        a, b = substring_dedup.extended(flat, begin, end, ref[max(0, at - 50) : at], ref[at + end - begin : at + end - begin + 50])
+        source = np.array(ref, np.int64)
+        a, b = substring_dedup.extended(flat, begin, end, source[max(0, at - 50) : at], source[at + end - begin : at + end - begin + 50])
         want_a, want_b = begin, end
         while want_a > 0 and at - (begin - want_a) > 0 and begin - want_a < 50 and own[want_a - 1] == ref[at - (begin - want_a) - 1]:
             want_a -= 1
         while want_b < len(own) and want_b - end < 50 and own[want_b] == ref[at + want_b - begin]:
             want_b += 1
         assert (a, b) == (want_a, want_b)
-    assert substring_dedup.extended(flat, 0, 30, [], []) == (0, 30)
-    occ = [{"place": p, "ref": 1, "ref_mark": 9, "ref_place": p + 10} for p in (30, 50, 77)] + [{"place": 60, "ref": 9, "ref_mark": 9, "ref_place": 60}]
-    assert substring_dedup.chains(5, occ) == [(30, 76, 1, 9, 40, 86), (77, 103, 1, 9, 87, 113)]
+    assert substring_dedup.extended(flat, 0, 30, flat[:0], flat[:0]) == (0, 30)
+    occ = [(0, p, 1, 9, p + 10) for p in (77, 30, 50)] + [(1, 80, 1, 9, 90), (1, 90, 2, 9, 100)]
+    found = substring_dedup.chains(*np.array(occ).T).tolist()
+    assert found == [[0, 30, 76, 1, 9, 40, 86], [0, 77, 103, 1, 9, 87, 113], [1, 80, 106, 1, 9, 90, 116], [1, 90, 116, 2, 9, 100, 126]]
+    assert substring_dedup.chains(*np.zeros((5, 0), int)).shape == (0, 7)
     starts = substring_dedup.boundary_windows(np.array([30, 100]), np.array([[20, 90], [95, 120]]), 200)
     assert starts.tolist() == [*range(6, 20), *range(76, 101)]
 

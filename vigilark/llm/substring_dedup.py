@@ -95,19 +95,27 @@ def _parse(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def chains(id_: int, occ: list[dict]) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches of a document with smaller ones before they are extended: first word, end, and the
-    reference's id, mark, first word and end. Anchors follow each other in a match if they stand in one
-    document at the same distance and leave no word between them."""
-    occ = sorted((o for o in occ if o["ref"] < id_), key=lambda o: o["place"])
-    out = []
-    for o in occ:
-        key, shift = (o["ref"], o["ref_mark"]), o["place"] - o["ref_place"]
-        if out and out[-1][0] == (key, shift) and o["place"] <= out[-1][2]:
-            out[-1][2] = o["place"] + RUN
-        else:
-            out.append([(key, shift), o["place"], o["place"] + RUN])
-    return [(begin, end, key[0], key[1], begin - shift, end - shift) for (key, shift), begin, end in out]
+def chains(row: np.ndarray, place: np.ndarray, ref: np.ndarray, ref_mark: np.ndarray, ref_place: np.ndarray) -> np.ndarray:
+    """Matches before they are extended, from anchors that stand in smaller documents: a line for each with
+    the row, first word, end, and the reference's id, mark, first word and end.
+
+    Anchors of a row follow each other in a match if they stand in one document at the same distance and
+    leave no word between them.
+    """
+    order = np.lexsort((place, row))
+    row, place, ref, ref_mark, shift = (x[order] for x in (row, place, ref, ref_mark, place - ref_place))
+    same = np.ones(max(0, len(row) - 1), bool)
+    for x in (row, ref, ref_mark, shift):
+        same &= x[1:] == x[:-1]
+    first = np.flatnonzero(np.r_[True, ~(same & (np.diff(place) <= RUN))]) if len(row) else np.zeros(0, np.int64)
+    last = np.r_[first[1:] - 1, len(row) - 1] if len(row) else first
+    begin, end = place[first], place[last] + RUN
+    return np.c_[row[first], begin, end, ref[first], ref_mark[first], begin - shift[first], end - shift[first]]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Lengths of the lists of a column, 0 for null."""
+    return column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _chained(occ: DataFrame) -> DataFrame:
@@ -116,10 +124,13 @@ def _chained(occ: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [chains(i, o) for i, o in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            own = batch.take(pa.array(np.repeat(np.arange(len(batch)), [len(f) for f in found]).astype(np.int64)))
-            flat = np.array([row for f in found for row in f], np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(flat[:, k]) for k in range(6))], names=["id", "mark", *names])
+            cells, ids = batch.column(2).flatten(), batch.column(0).to_numpy()
+            row = np.repeat(np.arange(len(batch)), _numbers(batch.column(2)))
+            place, ref, ref_mark, ref_place = (cells.field(c).to_numpy().astype(np.int64) for c in ("place", "ref", "ref_mark", "ref_place"))
+            copied = ref < ids[row]
+            found = chains(*(x[copied] for x in (row, place, ref, ref_mark, ref_place)))
+            own = batch.select([0, 1]).take(pa.array(found[:, 0]))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(found[:, k]) for k in range(1, 7))], names=["id", "mark", *names])
 
     return occ.select("id", "mark", "occ").mapInArrow(run, "id bigint, mark bigint, " + ", ".join(f"{c} bigint" for c in names))
 
@@ -144,7 +155,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
                         at.append(e["at"])
                         after.append(e["after"])
                         found.append(own[e["at"] : e["at"] + EXTENT] if e["after"] else own[max(0, e["at"] - EXTENT) : e["at"]])
-                home = batch.take(pa.array(np.array(row, np.int64)))
+                home = batch.select([0, 1]).take(pa.array(np.array(row, np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [home.column(0), home.column(1), pa.array(at, pa.int64()), pa.array(after, pa.bool_()), _lists(found, pa.int64())], names=names
                 )
@@ -152,13 +163,13 @@ def _contexts(wanted: DataFrame) -> DataFrame:
     return wanted.select("id", "mark", "text", "edges").mapInArrow(run, "ref bigint, ref_mark bigint, at bigint, after boolean, words array<bigint>")
 
 
-def extended(own: np.ndarray, begin: int, end: int, left: list[int], right: list[int]) -> tuple[int, int]:
+def extended(own: np.ndarray, begin: int, end: int, left: np.ndarray, right: np.ndarray) -> tuple[int, int]:
     """A match as long as the words before and behind it agree with those of its reference."""
-    mine, theirs = own[max(0, begin - len(left)) : begin][::-1], np.array(left, np.int64)[::-1]
+    mine, theirs = own[max(0, begin - len(left)) : begin][::-1], left[::-1]
     n = min(len(mine), len(theirs))
     differ = np.flatnonzero(mine[:n] != theirs[:n])
     begin -= int(differ[0]) if len(differ) else n
-    mine, theirs = own[end : end + len(right)], np.array(right, np.int64)
+    mine, theirs = own[end : end + len(right)], right
     n = min(len(mine), len(theirs))
     differ = np.flatnonzero(mine[:n] != theirs[:n])
     return begin, end + (int(differ[0]) if len(differ) else n)
@@ -181,19 +192,27 @@ def _check(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            occs, matches = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts, occs = batch.column(2).to_pylist(), batch.column(3)
+            # the matches of all rows end to end, as arrays: their words are never Python objects
+            first = np.r_[0, np.cumsum(_numbers(batch.column(4)))]
+            cells = batch.column(4).flatten()
+            begins, ends = (cells.field(c).to_numpy().astype(np.int64) for c in ("begin", "end"))
+            sides = []
+            for c in ("left", "right"):
+                lists = cells.field(c)
+                sides.append((np.r_[0, np.cumsum(_numbers(lists))], lists.flatten().to_numpy(zero_copy_only=False)))
+            around = lambda k, m: sides[k][1][sides[k][0][m] : sides[k][0][m + 1]]
             for part in chunks(texts, 1_000_000):
                 words = _words.split(texts[part])
                 stop = np.cumsum(words.counts)
                 flat, runs, more = _two_runs(words)
                 flat = flat.view(np.int64)
                 spans, starts, keys, checks = [], [], [], []
-                for places, found, n, end in zip(occs[part], matches[part], words.counts.tolist(), stop.tolist(), strict=True):
+                for k, (n, end) in enumerate(zip(words.counts.tolist(), stop.tolist(), strict=True), part.start):
                     own = flat[end - n : end]
-                    rows = [extended(own, m["begin"], m["end"], m["left"], m["right"]) for m in found or []]
+                    rows = [extended(own, int(begins[m]), int(ends[m]), around(0, m), around(1, m)) for m in range(first[k], first[k + 1])]
                     factors = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
-                    look = boundary_windows(np.array(places, np.int64), factors, n)
+                    look = boundary_windows(occs[k].values.to_numpy().astype(np.int64), factors, n)
                     starts.append(look)
                     keys.append(runs.of(look + (end - n), WINDOW).view(np.int64))
                     checks.append(more.of(look + (end - n), WINDOW).view(np.int64))
