@@ -6,6 +6,7 @@ import re
 from functools import lru_cache
 
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,13 +79,61 @@ def test_license_templates_accept_marked_regions_only(spark):
     got = hits(spark, texts)
     labels = [sorted({h["label"] for h in got[k]["hits"] or []}) for k in range(len(texts))]
     assert labels == [
-        [], [], ["mit", "mit-notice"], ["apache", "apache-2.0-notice"], ["gpl", "gpl-notice"], ["gpl", "gpl-notice"], [],
-        ["cc-by-sa"], [], [],
+        [], [], ["mit", "mit-statement"], ["apache", "apache-2.0-statement"], ["gpl", "gpl-statement"], ["gpl", "gpl-statement"], [],
+        ["cc-by-sa-statement"], [], [],
     ]
     assert got[0]["n_words"] == got[1]["n_words"] == 0
     assert [(h["first"], h["last"]) for h in got[2]["hits"] if h["kind"] == "phrase"] == [(3, 4), (5, 6)]
 
 
+def fill(markup: str, word: str = "acme", optional: bool = False) -> tuple[list[str], list[int]]:
+    """Words of a text that a template accepts, marked regions filled or left out, and the places of
+    its mandatory words."""
+    words, fixed, depth = [], [], 0
+    for m in licenses.Automaton.token.finditer(markup):
+        if m["words"]:
+            own = licenses.fold(m["words"]).decode().split()
+            if depth == 0:
+                fixed += range(len(words), len(words) + len(own))
+            if depth == 0 or optional:
+                words += own
+        elif "Optional" in m[0]:
+            depth += 1 if m[0] == "<<beginOptional>>" else -1
+        elif depth == 0 or optional:
+            like = re.search('match="([^"]*)"', m["attrs"])
+            low, high = map(int, re.search('words="([0-9]+)-([0-9]+)"', m["attrs"]).groups())
+            sample = "2" if like and "0-9" in like[1] else "licensed" if like else word
+            words += [sample] * (high if optional else low)
+    return words, fixed
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_templates_accept_their_text_and_no_other_wording(label):
+    automaton = licenses.Automaton(label, licenses.TEMPLATES[label])
+    enc = lambda ws: [w.encode() for w in ws]
+    for optional in (False, True):
+        words, _ = fill(licenses.TEMPLATES[label], optional=optional)
+        found = automaton.scan(enc(["before", *words, "after"]))
+        assert len(found) == 1 and found[0][0] <= 1 and found[0][1] >= len(words) + 1, optional
+    words, fixed = fill(licenses.TEMPLATES[label])
+    assert len(fixed) >= 3 and (not label.endswith("text") or len(fixed) > 100)
+    for at in fixed:  # any one mandatory word changed, left out or doubled, the last ones too
+        assert not automaton.scan(enc([*words[:at], "changed", *words[at + 1 :]])), (label, words[at])
+        if at + 1 < len(words) and words[at] != words[at + 1]:
+            assert not automaton.scan(enc(words[:at] + words[at + 1 :])) or words[at] in ("version",), (label, words[at])
+
+
+def test_licenses_of_empty_repeated_and_clashing_rows(spark):
+    text = " ".join(fill(licenses.TEMPLATES["mit-text"])[0])
+    rows = [(1, text, 5, "x"), (1, text, 6, "y"), (None, "Apache license", 7, None), (2, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words int, hits string")
+    got = licenses.scan_licenses(docs).collect()
+    assert len(got) == 4
+    assert [[h["label"] for h in r["hits"]] for r in got if r["doc_id"] == 1] == [["mit-text"]] * 2
+    assert [h["label"] for r in got if r["doc_id"] is None for h in r["hits"]] == ["apache"]
+    assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
 def test_license_phrases_equal_a_plain_scan(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}

@@ -3,8 +3,8 @@
 A template is license wording with marked regions: `<<beginOptional>>...<<endOptional>>` may be
 left out, `<<var;name=...;match=...;words=lo-hi>>` stands for `lo` to `hi` words that each match
 a pattern (any word by default). Each template is compiled into an automaton over words and a
-place in a text is accepted when the whole automaton can be walked there, so mandatory wording
-has to stand exactly as written while marked regions may differ.
+place in a text is accepted when the whole automaton can be walked there, so mandatory wording, from
+the first clause to the last, has to stand exactly as written while marked regions may differ.
 """
 
 from __future__ import annotations
@@ -20,27 +20,87 @@ from vigilark.llm._arrow import map_texts
 # Phrases and the labels they give.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+# Marked regions that several templates have.
 VERSION = '<<var;name="version";match="[0-9]+";words="1-2">>'
 HOLDER = '<<var;name="holder";words="0-24">>'
-
-# Public license notices, with the regions that may differ marked.
+COPYRIGHT = f"<<beginOptional>>copyright {HOLDER}<<endOptional>><<beginOptional>> all rights reserved<<endOptional>>"
+GRANTED = '<<var;name="verb";match="(?:licensed|released|distributed|available|provided|published)";words="1-1">> under '
+TERMS = "<<beginOptional>>the terms of <<endOptional>><<beginOptional>>the <<endOptional>><<beginOptional>>a <<endOptional>>"
+WHERE = '<<var;name="address";words="1-12">>'
+
+# Whole public license texts and their publishers' notices, with the regions that may
+# differ marked. Case and punctuation do not count.
+MIT_TEXT = f"""<<beginOptional>>the <<endOptional>><<beginOptional>>mit license <<endOptional>><<beginOptional>>mit <<endOptional>>{COPYRIGHT}
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions:
+The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included
+in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<var;name="authors";words="1-12">> BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+BSD_START = f"""{COPYRIGHT} Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+<<beginOptional>>1 <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.
+<<beginOptional>>2 <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """<<beginOptional>>3 <<endOptional>>Neither the name of <<var;name="organisation";words="1-16">> nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY <<var;name="provider";words="1-16">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL <<var;name="liable";words="1-16">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"""
+ISC_TEXT = f"""{COPYRIGHT} Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="author";words="1-12">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";words="1-12">> BE LIABLE FOR ANY SPECIAL,
+DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"""
+ZLIB_TEXT = f"""{COPYRIGHT} This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+<<beginOptional>>1 <<endOptional>>The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+<<beginOptional>>2 <<endOptional>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+original software.
+<<beginOptional>>3 <<endOptional>>This notice may not be removed or altered from any source distribution"""
+APACHE_NOTICE = f"""{COPYRIGHT} Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at {WHERE} Unless required by applicable law or agreed to in writing,
+software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
+or implied. See the License for the specific language governing permissions and limitations under the License"""
+GPL_NOTICE = f"""<<var;name="program";words="1-8">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it
+under the terms of the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License as
+published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version {VERSION} of the License, or (at your option)
+any later version. <<var;name="program";words="1-8">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<beginOptional>>Lesser
+<<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License for more details"""
+MPL_NOTICE = f"""This Source Code Form is subject to the terms of the Mozilla Public License, <<beginOptional>>v <<endOptional>>2.0. If a copy of
+the MPL was not distributed with this file, You can obtain one at {WHERE}"""
+
+#: Labels and templates: whole texts, standard notices, and one-line statements of a license.
 TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "cc-by": f"licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by {VERSION}",
-    "cc-by-nc": f"licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by nc {VERSION}",
-    "cc-by-sa": f"licensed under <<beginOptional>>a <<endOptional>><<beginOptional>>the <<endOptional>>cc by sa {VERSION}",
-    "gpl-notice": "licensed under <<beginOptional>>the terms of <<endOptional>>the gnu <<beginOptional>>lesser <<endOptional>>"
-    f"general public license <<beginOptional>>as published by the free software foundation <<endOptional>>version {VERSION}"
-    "<<beginOptional>> or any later version<<endOptional>>",
-    "mit-notice": "released under the <<beginOptional>>terms of the <<endOptional>>mit license",
-    "mit-text": f"<<beginOptional>>copyright {HOLDER}<<endOptional>>permission is hereby granted free of charge to any person "
-    "obtaining a copy of this software and associated documentation files the software to deal in the software without "
-    "restriction",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that "
-    "the following conditions are met",
-    "isc-text": "permission to use copy modify and<<beginOptional>> or<<endOptional>> distribute this software for any purpose "
-    "with or without fee is hereby granted",
-    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license <<beginOptional>>v <<endOptional>>2 0",
+    "mit-text": MIT_TEXT,
+    "bsd-2-clause-text": f"{BSD_START} {BSD_END}",
+    "bsd-3-clause-text": f"{BSD_START} {BSD_THIRD} {BSD_END}",
+    "isc-text": ISC_TEXT,
+    "zlib-text": ZLIB_TEXT,
+    "apache-2.0-notice": APACHE_NOTICE,
+    "gpl-notice": GPL_NOTICE,
+    "mpl-2.0-notice": MPL_NOTICE,
+    "apache-2.0-statement": f"{GRANTED}{TERMS}apache license <<beginOptional>>version <<endOptional>>2 0",
+    "cc-by-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by {VERSION}",
+    "cc-by-nc-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by nc {VERSION}",
+    "cc-by-sa-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by sa {VERSION}",
+    "gpl-statement": f"{GRANTED}{TERMS}gnu <<beginOptional>>lesser <<endOptional>><<beginOptional>>affero <<endOptional>>general public license"
+    f" <<beginOptional>>as published by the free software foundation <<endOptional>>version {VERSION}<<beginOptional>> or<<beginOptional>> at"
+    " your option<<endOptional>> any later version<<endOptional>>",
+    "mit-statement": f"{GRANTED}{TERMS}mit license",
 }
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit into a space.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from vigilark.llm.licenses import PHRASES, TEMPLATES, Automaton
+from vigilark.llm.licenses import PHRASES, TEMPLATES, Automaton, fold
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -14,7 +14,7 @@ def _template_regex(markup: str) -> str:
     out = ""
     for m in Automaton.token.finditer(markup):
         if m["words"]:
-            out += "".join(w + " " for w in m["words"].split())
+            out += "".join(w + " " for w in fold(m["words"]).decode().split())
         elif m[0] == "<<beginOptional>>":
             out += "(?:"
         elif m[0] == "<<endOptional>>":
