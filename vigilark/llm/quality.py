@@ -4,10 +4,15 @@ A text is one sparse vector: hashed words by term frequency, standardised statis
 structure (case, signs, repetition, word lengths, lines) and its size as metadata. The machine
 has a weight for each feature and a low-rank weight for each pair of features; the pair term is
 computed in linear time as half the squared sum less the sum of squares, factor by factor.
+
+No labelled text is empty or made of signs alone, so the machine would only extrapolate there. Such
+texts are put into the training as low in quality: the empty one, and training texts with all letters
+and digits taken out.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +25,8 @@ from vigilark.llm._labelled import labelled_sample
 BUCKET_BITS, RANK = 12, 6
 #: Bound of the training sample, in documents of each class.
 MAX_DOCS = 1500
+#: Training texts of each class that are also shown without their letters, and the weight of all these.
+BLANKS, BLANK_SHARE = 60, 0.05
 STATISTICS = (
     "upper", "digit", "sign", "shout", "bar", "scribble", "white", "line", "non_ascii", "word_mean", "word_spread",
     "repeated_next", "distinct", "commonest", "sentence_ends", "log_words", "log_chars", "is_empty",
@@ -115,6 +122,17 @@ def featurise(texts: list[str]) -> Rows:
     return Rows(row, key & ((1 << BUCKET_BITS) - 1), value / np.maximum(norm, 1e-12)[row], dense)
 
 
+_WORDY = re.compile(r"[^\W_]+")
+
+
+def blanks(texts: list[str]) -> list[str]:
+    """Texts without words: nothing, white space, and the signs of `texts`: whole, a few of them, and one
+    over and over."""
+    bare = [_WORDY.sub("", t) for t in texts]
+    few = [b.split()[: 1 + k % 7] for k, b in enumerate(bare)]
+    return ["", " ", "\n\n", *bare, *map(" ".join, few), *[" ".join(f[:1] * 4 ** (1 + k % 5)) for k, f in enumerate(few)]]
+
+
 @dataclass
 class Factorisation:
     """Bias, weights and factors; hashed words come first, statistics follow."""
@@ -161,20 +179,24 @@ def fit_factorisation(
     if len(set(labels.tolist())) < 2:
         blank.bias = 3.0 if len(labels) and labels[0] else -3.0 if len(labels) else 0.0
         return blank
-    data = featurise([t for t, _ in rows])
+    some = [[t for t, label in rows if label == k][:BLANKS] for k in (0, 1)]
+    empty = blanks(some[0] + some[1])
+    data = featurise([t for t, _ in rows] + empty)
+    real = data.dense[: len(rows)]
     rng = np.random.default_rng(seed)
-    spread = data.dense.std(0)
+    spread = real.std(0)
     m = Factorisation(
         float(np.log(labels.mean() / (1 - labels.mean()))),
         np.zeros(width),
         rng.normal(0, 0.01, (width, RANK)),
-        data.dense.mean(0),
+        real.mean(0),
         np.where(spread > 1e-9, spread, 1.0),
     )
     drawn = {k: float((labels == k).sum()) for k in (0, 1)}
     stands = {k: ((totals or drawn).get(k, drawn[k]) / drawn[k]) ** 0.5 for k in (0, 1)}
     share = np.where(labels > 0, stands[1], stands[0])
-    share /= share.sum()
+    share = np.r_[share * (1 - BLANK_SHARE) / share.sum(), np.full(len(empty), BLANK_SHARE / len(empty))]
+    labels = np.r_[labels, np.zeros(len(empty))]
     params = [np.zeros(1), m.weight, m.factor]
     params[0][0] = m.bias
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -207,8 +229,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, label_col:
 def score_quality(docs: DataFrame, machine: Factorisation, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col` and `score` (0 to 1) of every whole text.
 
-    A null text counts as empty, and an empty text is scored by its statistics; repeated rows
-    are scored each; an empty table gives an empty result; no other column is read.
+    A null text counts as empty; empty texts and those of signs alone score low; repeated rows are
+    scored each; an empty table gives an empty result; no other column is read.
     """
 
     def make():
