@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -46,6 +48,129 @@ def test_classifiers_take_odd_tables(spark, sf, train, score, label):
     assert score(docs, empty).count() == docs.count()
 
 
+# -- the kernel and the machine, written out ---------------------------------------------------
+def plain_kernel(a: str, b: str) -> float:
+    """Sum over equal letter triples of both words of DECAY to the letters that they span in each."""
+
+    def features(w: str) -> dict:
+        out: dict = {}
+        for i, j, k in itertools.combinations(range(len(w)), 3):
+            if k - i < toxicity.MAX_SPAN:
+                out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = features(a), features(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+WORDS = ["idiot", "idxiot", "abcabc", "aaaaaa", "moron", "morning", "letter", "banana", "xyz"]
+
+
+def test_maps_and_norms_equal_the_explicit_kernel():
+    w = toxicity.words_of(WORDS)
+    maps = toxicity.feature_maps(w)
+    want = np.array([[plain_kernel(a, b) / math.sqrt(plain_kernel(a, a) * plain_kernel(b, b)) for b in WORDS] for a in WORDS])
+    assert np.allclose(maps @ maps.T, want, atol=1e-5) and np.allclose(np.diag(want), 1)
+    assert np.allclose(toxicity.kernel_rows(w, maps), want, atol=1e-5)
+    # one weight per triple gives the same decisions as the expansion over landmarks
+    alpha = np.random.default_rng(0).normal(size=len(WORDS))
+    assert np.allclose(toxicity.decisions(w, alpha @ maps), want @ alpha, atol=1e-4)
+
+
+def test_each_different_word_is_scored_once():
+    texts = ["Banana banana i d i o t b-a-n-a-n-a", "", "moron moron xyz", "x" * 5000 + " " + "x" * 5000]
+    w = toxicity.words_of(texts)
+    once, place = toxicity.distinct(w)
+    assert len(once.sizes) == 5 and len(place) == len(w.sizes)
+    weights = np.random.default_rng(1).normal(size=toxicity.LETTERS**3)
+    assert np.allclose(toxicity.decisions(once, weights)[place], toxicity.decisions(w, weights))
+
+
+def insult_machine():
+    rng = random.Random(5)
+    common = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    insults = ["zwackelkopf", "quarzbirne", "knallfrosch"]
+    rows = []
+    for k in range(240):
+        sentences = [" ".join(rng.choice(common) for _ in range(9)) for _ in range(4)]
+        toxic = k % 2
+        if toxic:
+            words = sentences[k % 4].split()
+            words.insert(rng.randrange(9), insults[k // 2 % 3])
+            sentences[k % 4] = " ".join(words)
+        rows.append((". ".join(sentences) + ".", toxic))
+    return toxicity.fit_machine(rows), common, insults
+
+
+def test_gapped_and_inserted_insults_are_found():
+    machine, common, insults = insult_machine()
+    rng = random.Random(9)
+    line = lambda w: " ".join([*rng.sample(common, 6), w, *rng.sample(common, 6)])
+    clean = machine.score([line(rng.choice(common)) for _ in range(200)])
+    assert (clean < 0.3).mean() >= 0.97
+    changed = []
+    for w in insults:
+        changed += [w, w.upper(), " ".join(w), "-".join(w), w[:4] + "x" + w[4:], w[:3] + "*" + w[3:], w[:5] + w[6:], w + "s"]
+    scores = machine.score([line(w) for w in changed])
+    assert (scores >= 0.3).mean() >= 0.9, list(zip(changed, scores.round(2), strict=True))
+
+
+def test_the_pair_term_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    width = (1 << quality.BUCKET_BITS) + len(quality.STATISTICS)
+    m = quality.Factorisation(0.3, rng.normal(size=width), rng.normal(size=(width, quality.RANK)), rng.normal(size=len(quality.STATISTICS)), np.ones(len(quality.STATISTICS)))
+    texts = ["one two two three, four!", "", "A b", "same same same"]
+    rows = quality.featurise(texts)
+    got, _, x = m.parts(rows)
+    for k in range(len(texts)):
+        full = np.zeros(width)
+        own = rows.row == k
+        full[rows.bucket[own]] = rows.value[own]
+        full[1 << quality.BUCKET_BITS :] = x[k]
+        at = np.flatnonzero(full)
+        pairs = sum(m.factor[i] @ m.factor[j] * full[i] * full[j] for n, i in enumerate(at) for j in at[n + 1 :])
+        assert math.isclose(got[k], 0.3 + full @ m.weight + pairs, rel_tol=1e-8, abs_tol=1e-8)
+
+
+def test_texts_without_words_are_not_of_high_quality(spark):
+    docs, labels = (spark.read.parquet(f"{BIG}/{t}.parquet") for t in ("documents", "labels"))
+    machine = quality.train_quality(docs, labels, remainder("doc_id", 3) != 1)
+    odd = machine.score(["", " ", "\n", "!!!!", "$$$ ### &&& |||", "... --- ...", "?", "*** " * 500])
+    good = [r["text"] for r in docs.join(labels.filter("quality = 1"), "doc_id").limit(200).collect()]
+    assert odd.max() < 0.5 and odd.max() <= np.quantile(machine.score(good), 0.05)
+
+
+def plain_mix(rows: list[tuple], repeats: float) -> dict[str, float]:
+    """Tokens that each source should give when none is repeated more than `repeats` times as often as another."""
+    total: dict[str, int] = {}
+    for _, text, source in rows:
+        total[source or ""] = total.get(source or "", 0) + len((text or "").split())
+    total = {s: n for s, n in total.items() if n}
+    low, high = 0.0, 1.0
+    ratio = lambda t: max(n ** (t - 1) for n in total.values()) / min(n ** (t - 1) for n in total.values())
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if ratio(mid) <= repeats else (mid, high)
+    weight = {s: n**high for s, n in total.items()}
+    return {s: w / sum(weight.values()) for s, w in weight.items()}
+
+
+def test_blocks_of_the_mix_against_a_plain_one(spark):
+    docs = mix_docs(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    want = plain_mix(rows, 2.0)
+    out = mixing.mix(docs, mixing.Target(max_repeats=2.0)).select("row.*", "weight", "block", "place", F.coalesce("source", F.lit("")).alias("s")).toPandas()
+    got = out.dropna(subset=["weight"]).groupby("s")["weight"].first()
+    assert got.index.tolist() == sorted(want) and np.allclose(got, [want[s] for s in got.index], rtol=1e-6)
+    # every block but a source's last one holds each of its documents once: a permutation
+    own = {s: {i for i, text, source in rows if (source or "") == s} for s in want}
+    for (s, _), part in out[out["s"].isin(want)].groupby(["s", "block"]):
+        assert part["doc_id"].is_unique and set(part["doc_id"]) <= own[s]
+    for s in want:
+        blocks = out[out["s"] == s].groupby("block")["doc_id"].apply(set)
+        assert all(b == own[s] for b in blocks.sort_index().iloc[:-1])
+
+
 def mix_docs(spark):
     rows = [(k, "w " * (5 + k % 7), "hot") for k in range(600)]
     rows += [(1000 + k, "w " * (3 + k % 5), "mid") for k in range(60)] + [(2000 + k, "w w", "rare") for k in range(9)]

@@ -1,8 +1,9 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel.
 
 The kernel of two words counts the letter triples that both hold in the same order, letters in
-between allowed: an occurrence that spans `s` letters weighs DECAY ** s, up to MAX_SPAN. So an
-insult keeps most of its triples when letters or signs are put in or a letter is changed. Words
+between allowed: an occurrence that spans `s` letters weighs DECAY ** s, up to MAX_SPAN; it is divided
+by the root of each word's kernel with itself. So an insult keeps most of its triples when letters or
+signs are put in or a letter is changed. Words
 are runs without white space (signs inside do not count) and single letters set apart by white
 space are read as one word. Nyström landmarks stand for the training words; after the linear
 machine on the Nyström features is fitted, its landmark expansion is folded into one weight per
@@ -29,7 +30,8 @@ from vigilark.llm._arrow import chunks, map_texts
 from vigilark.llm._labelled import labelled_sample
 
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
-#: Bounds of the training: labelled documents of each class, words of each class, landmarks.
+#: Bounds of the training: labelled documents of each class, distinct words of each class that the
+#: machine is fitted on (candidates beyond them, the least likely, are left out), landmarks.
 MAX_DOCS, MAX_WORDS, LANDMARKS, ROUNDS = 1000, 2000, 128, 2
 
 _CODES = np.zeros(256, np.uint16)  # 0: neither letter nor white space
@@ -74,12 +76,33 @@ def words_of(texts: list[str]) -> Words:
     )
 
 
-def self_norm(sizes: np.ndarray) -> np.ndarray:
-    """Square root of the weight of all triple occurrences of words of these sizes."""
-    total = np.zeros(len(sizes))
-    for span in range(3, MAX_SPAN + 1):
-        total += np.maximum(0, sizes - span + 1) * (span - 2) * DECAY ** (2 * span)
-    return np.sqrt(np.maximum(total, DECAY**6))
+def distinct(w: Words) -> tuple[Words, np.ndarray]:
+    """Each different word once, and for every word its place among these."""
+    begin = np.cumsum(w.sizes) - w.sizes
+    power = np.full(int(w.sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    terms = w.codes.astype(np.uint64) * power[np.arange(len(w.codes)) - begin[w.owner]]
+    key = np.add.reduceat(terms, begin) ^ (w.sizes.astype(np.uint64) << np.uint64(40)) if len(begin) else np.zeros(0, np.uint64)
+    _, first, place = np.unique(key, return_index=True, return_inverse=True)
+    order = np.argsort(first)  # in the order of the text
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    kept = np.zeros(len(w.sizes), bool)
+    kept[first] = True
+    sizes = w.sizes[kept]
+    return Words(w.codes[kept[w.owner]], np.repeat(np.arange(len(sizes)), sizes), w.doc[kept], sizes), rank[place]
+
+
+def self_norm(w: Words) -> np.ndarray:
+    """Root of the kernel of each word with itself: equal triples of a word are added up, then squared."""
+    parts = [(w.owner[at].astype(np.int64) * LETTERS**3 + code, np.full(len(at), weight)) for at, code, weight in triples(w.codes, w.owner)]
+    if not parts:
+        return np.full(len(w.sizes), DECAY**3)
+    key, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sums = np.bincount(where, weights=np.concatenate([x for _, x in parts]))
+    total = np.bincount(key // LETTERS**3, weights=sums**2, minlength=len(w.sizes))
+    return np.sqrt(np.maximum(total, DECAY**6))  # words without triples have no weight to divide
 
 
 def triples(codes: np.ndarray, owner: np.ndarray):
@@ -101,19 +124,23 @@ def decisions(w: Words, weights: np.ndarray) -> np.ndarray:
     for at, code, weight in triples(w.codes, w.owner):
         total[at] += weight * weights[code]
     out = np.bincount(w.owner, weights=total, minlength=len(w.sizes)) if len(w.sizes) else np.zeros(0)
-    return out / self_norm(w.sizes)
+    return out / self_norm(w)
 
 
 def kernel_rows(w: Words, maps: np.ndarray) -> np.ndarray:
     """Kernel of each word with each row of `maps` (explicit feature maps)."""
-    return np.stack([decisions(w, m) for m in maps], axis=1)
+    norm, out = self_norm(w), np.zeros((len(w.sizes), len(maps)))
+    for at, code, weight in triples(w.codes, w.owner):
+        for k, m in enumerate(maps):
+            out[:, k] += np.bincount(w.owner[at], weights=weight * m[code], minlength=len(w.sizes))
+    return out / norm[:, None]
 
 
 def feature_maps(w: Words) -> np.ndarray:
     out = np.zeros((len(w.sizes), LETTERS**3), np.float32)
     for at, code, weight in triples(w.codes, w.owner):
         np.add.at(out, (w.owner[at], code), weight)
-    return out / self_norm(w.sizes)[:, None]
+    return out / self_norm(w)[:, None]
 
 
 @dataclass
@@ -131,7 +158,8 @@ class Machine:
         out[:, 3:] = 0
         out[:, 5] = 1
         if len(w.sizes):
-            value = decisions(w, self.weights) + self.bias
+            once, place = distinct(w)
+            value = decisions(once, self.weights)[place] + self.bias
             order = np.lexsort((-value, w.doc))
             doc = w.doc[order]
             begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
