@@ -135,6 +135,24 @@ def test_edited_texts_and_fingerprints(spark):
     assert simhash.edited_fingerprints(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 200_000])
+def test_edited_texts_of_rows_with_one_id_or_none(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST_ROWS", most)
+    rng = random.Random(6)
+    rows = [(None, f"none {text_of(rng, 4)}") for _ in range(9)] + [(50, f"hot {text_of(rng, 5)}") for _ in range(14)] + [(k * 7, text_of(rng, 6)) for k in range(12)]
+    rows += [(50, "same twice"), (50, "same twice"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, mark string")
+    marks = {r["t"]: r["m"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("m")).collect()}
+    order = sorted(((i is not None, i or 0, marks[t or ""], t or "") for i, t in rows), reverse=True)
+    want = []
+    for k, (_, _, _, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][3]
+        half = len(t) // 2
+        want.append(hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest())
+    got = [r["edited_sha256"] for r in simhash.edited_fingerprints(docs).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def removed_by_brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
     first: dict[tuple, int] = {}
     words = {i: (t or "").encode().split() for i, t in rows}

@@ -19,6 +19,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of one id, or without one, that are put in order together.
+MOST_ROWS = 200_000
 LANES = 32
 _PAIR = (1 << 32) + 1
 
@@ -121,10 +123,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document by descending id (after the last: the first).
 
     Returns `id_col`, `n_chars`, `edited_sha256`, `fp`, `edited_fp`, `next_fp`, one row per row.
-    Null texts are empty; rows with one id follow each other by text; a row with a null id comes
-    last; an empty table gives an empty result; other columns are not read. Ids are dealt into
-    ranges and each range also gets the first document of the next, so no order over all
-    documents is ever made in one task.
+    Null texts are empty; rows with one id follow each other by text's hash, then text; rows with a null
+    id come last, in the same order; an empty table gives an empty result; other columns are not
+    read. Ids are dealt into ranges, rows of one id and those without any by hash inside theirs,
+    and each range also gets the first document of the next, so no order over all documents, nor over
+    all that share an id, is ever made in one task.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -136,10 +139,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     at = below(longs(coarse)) if coarse else F.lit(0)
     src = src.withColumn("c", F.when(F.col("id").isNull(), -1).otherwise(at))
     cells = F.array(*[longs(f) for f in fine]) if coarse else F.array(longs([]))
-    src = src.withColumn(
-        "range", F.when(F.col("c") < 0, -1).otherwise(F.col("c") * side + below(F.get(cells, F.col("c"))))
-    ).drop("c")
-    src = src.withColumn("mark", F.xxhash64("text"))
+    cell = F.when(F.col("c") < 0, -1).otherwise(F.col("c") * side + below(F.get(cells, F.col("c"))))
+    src = src.withColumn("mark", F.xxhash64("text")).withColumn("range", cell).drop("c")
+    # where a range is too long, the rows of its last id (those of one id are all in one range) or those
+    # without an id are cut by the hash that orders them; the rest of the range is part 0
+    sizes = src.groupBy("range").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    long = sizes.filter(F.col("n") > MOST_ROWS).select(F.col("range").alias("long"), "last", F.ceil(F.col("n") / MOST_ROWS).alias("parts"))
+    src = src.join(F.broadcast(long), F.col("range") == F.col("long"), "left")  # at most a row per range
+    at = F.floor((F.col("mark").cast("double") / F.lit(2.0**64) + 0.5) * F.col("parts"))
+    own = F.col("parts").isNotNull() & F.col("id").eqNullSafe(F.col("last"))
+    part = F.when(own, F.least(at, F.col("parts") - 1) + 1).otherwise(0).cast("bigint")
+    src = src.select("id", "text", "mark", F.struct(F.col("range").alias("r"), part.alias("part")).alias("range"))
     # the first document of each range, for the range before it; -1 holds rows without an id
     heads = src.groupBy("range").agg(F.max(F.struct(F.coalesce("id", F.lit(-(1 << 63))), "mark", "text")).alias("h"))
     spec = "order by range desc"
