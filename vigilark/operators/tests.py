@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from vigilark.functions.distributions import chi2_tail, exact_rank_p, f_pvalue, normal_tail, two_tails
 
@@ -150,13 +152,12 @@ def mann_whitney(values: DataFrame) -> DataFrame:
 
 
 # -- one group against the normal distribution -------------------------------------------------
-def dagostino(x: np.ndarray, least: int = 20) -> float | None:
-    """p of D'Agostino and Pearson's test from skewness and kurtosis; None below `least` values."""
-    n = len(x)
-    if n < least or x.std() == 0:
+# Each test is a function of a few sums over the group, which Spark makes; the functions of whole arrays
+# put the same sums together for one group.
+def moments_p(n: int, m2: float, m3: float, m4: float, least: int = 20) -> float | None:
+    """p of D'Agostino and Pearson's test from central moments; None below `least` values."""
+    if n < least or m2 <= 0:
         return None
-    d = x - x.mean()
-    m2, m3, m4 = (float((d**k).mean()) for k in (2, 3, 4))
     y = m3 / m2**1.5 * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
     beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
     w2 = -1 + math.sqrt(2 * (beta - 1))
@@ -171,60 +172,66 @@ def dagostino(x: np.ndarray, least: int = 20) -> float | None:
     return chi2_tail(z1 * z1 + z2 * z2, 2)
 
 
-def _normal_quantile(p: float) -> float:
-    """Inverse normal distribution by Newton steps."""
-    z = 0.0
-    for _ in range(60):
-        step = (1 - normal_tail(z) - p) / max(math.exp(-z * z / 2) / math.sqrt(2 * math.pi), 1e-12)
-        z -= max(-1.0, min(1.0, step))
-        if abs(step) < 1e-12:
-            break
-    return z
+def dagostino(x: np.ndarray, least: int = 20) -> float | None:
+    d = x - x.mean()
+    return moments_p(len(x), *(float((d**k).mean()) for k in (2, 3, 4)), least)
+
+
+def normal_score(rank: int, n: int) -> float:
+    """Where the rank-th of n values of a normal sample is expected, by Blom."""
+    return NormalDist().inv_cdf((rank - 0.375) / (n + 0.25))
 
 
-def shapiro(x: np.ndarray) -> tuple[float, float] | None:
-    """W and p by Royston's approximation; None below 3 values or without spread."""
-    n = len(x)
-    if n <= 2 or np.ptp(x) == 0:
+def scores_p(n: int, ss: float, square: float, product: float, wide: float, narrow: float) -> tuple[float, float] | None:
+    """W and p by Royston's approximation; None below 3 values or without spread.
+
+    `ss` is the sum of squares about the mean, `square` that of the normal scores, `product` of scores
+    and ordered values; `wide` and `narrow` are the distances of the outermost values and of the next.
+    """
+    if n <= 2 or ss <= 0:
         return None
-    x = np.sort(x)
-    m = np.array([_normal_quantile((k - 0.375) / (n + 0.25)) for k in range(1, n + 1)])
-    square, u = float(m @ m), 1 / math.sqrt(n)
+    u, top, next_ = 1 / math.sqrt(n), normal_score(n, n), normal_score(n - 1, n)
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
+        total = math.sqrt(0.5) * wide
     else:
         # Royston's polynomials for the outermost weights.
-        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(square)], u)
-        a = m.copy()
+        last = float(np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, top / math.sqrt(square)], u))
         if n > 5:
-            second = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(square)], u)
-            rest = (square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
-            a[2:-2] = m[2:-2] / math.sqrt(rest)
-            a[-1], a[-2], a[0], a[1] = last, second, -last, -second
+            second = float(np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, next_ / math.sqrt(square)], u))
+            rest = (square - 2 * top**2 - 2 * next_**2) / (1 - 2 * last**2 - 2 * second**2)
+            total = last * wide + second * narrow + (product - top * wide - next_ * narrow) / math.sqrt(rest)
         else:
-            rest = (square - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[1:-1] = m[1:-1] / math.sqrt(rest)
-            a[-1], a[0] = last, -last
-    w = float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum())
+            rest = (square - 2 * top**2) / (1 - 2 * last**2)
+            total = last * wide + (product - top * wide) / math.sqrt(rest)
+    w = min(1.0, total**2 / ss)
     if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(min(w, 1))) - math.asin(math.sqrt(0.75)))
-        return w, max(p, 0.0)
+        return w, max(6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))), 0.0)
     # Royston's polynomials for the normalising transform.
     if n <= 11:
         g = 0.459 * n - 2.273
         mu = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
         sd = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
-        if g - math.log1p(-w) <= 0:
-            return w, 0.0
+        if w >= 1 or g - math.log1p(-w) <= 0:
+            return w, 1.0 if w >= 1 else 0.0
         y = -math.log(g - math.log1p(-w))
     else:
         log_n = math.log(n)
         mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], log_n)
         sd = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], log_n))
+        if w >= 1:
+            return w, 1.0
         y = math.log1p(-w)
     return w, normal_tail((y - mu) / sd)
 
 
+def shapiro(x: np.ndarray) -> tuple[float, float] | None:
+    if len(x) <= 2:
+        return None
+    x, n = np.sort(x), len(x)
+    m = np.array([normal_score(k, n) for k in range(1, n + 1)])
+    return scores_p(n, float(((x - x.mean()) ** 2).sum()), float(m @ m), float(m @ x), x[-1] - x[0], x[-2] - x[1])
+
+
 def kolmogorov(x: np.ndarray) -> float | None:
     """p of the largest distance from the normal curve of the values' own mean and spread."""
     n, sd = len(x), x.std()
@@ -264,18 +271,46 @@ def _kolmogorov_tail(n: int, d: float) -> float:
 def normality(values: DataFrame) -> DataFrame:
     """`drug`, `metric`, `grp`, `normality`, `shapiro`, `kolsir`: p-values of each group.
 
-    A group is the similarities inside one drug's reactions; it is summed up in its own task.
+    Moments, normal scores and distances from the curve are summed up by Spark; a group's rows pass
+    through one task in order, as a window that can spill, and are never held as a whole.
     """
+    by = [*KEYS, "grp"]
+    rows = values.filter("sim is not null").select(*by, "sim")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("sd"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("sim"))).join(sizes, by)
+
+    @pandas_udf("score double, curve double")
+    def at(rank: pd.Series, n: pd.Series, z: pd.Series) -> pd.DataFrame:
+        score = [normal_score(r, k) for r, k in zip(rank, n, strict=True)]
+        return pd.DataFrame({"score": score, "curve": [math.nan if x != x else 1 - normal_tail(x) for x in z.astype("float64")]})
+
+    z = F.try_divide(F.col("sim") - F.col("mean"), F.col("sd"))
+    placed = ranked.withColumn("at", at("rank", "n", z)).withColumn("d", F.col("sim") - F.col("mean"))
+    power = lambda k: F.avg(F.pow("d", F.lit(k)))
+    pick = lambda k: F.max(F.when(k, F.col("sim")))
+    n = F.col("n")
+    off = F.greatest(F.col("rank") / n - F.col("at.curve"), F.col("at.curve") - (F.col("rank") - 1) / n)
+    sums = placed.groupBy(*by).agg(
+        F.max("n").alias("n"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), F.max("sd").alias("sd"),
+        F.sum(F.col("at.score") * F.col("at.score")).alias("square"), F.sum(F.col("at.score") * F.col("sim")).alias("product"),
+        (pick(F.col("rank") == n) - pick(F.col("rank") == 1)).alias("wide"),
+        (pick(F.col("rank") == n - 1) - pick(F.col("rank") == 2)).alias("narrow"), F.max(off).alias("off"),
+    )
 
-    def run(key, frame):
-        x = frame["sim"].dropna().to_numpy(float)
-        w = shapiro(x)
-        row = [*key, dagostino(x), w[1] if w else None, kolmogorov(x)]
-        return pd.DataFrame([row], columns=["drug", "metric", "grp", "normality", "shapiro", "kolsir"])
-
-    kind = dict(values.dtypes)
-    schema = f"drug {kind['drug']}, metric string, grp string, normality double, shapiro double, kolsir double"
-    return values.select("drug", "metric", "grp", "sim").groupBy(*KEYS, "grp").applyInPandas(run, schema)
+    @pandas_udf("normality double, shapiro double, kolsir double")
+    def tails(n: pd.Series, m2: pd.Series, m3: pd.Series, m4: pd.Series, square: pd.Series, product: pd.Series, wide: pd.Series, narrow: pd.Series, off: pd.Series) -> pd.DataFrame:
+        out = []
+        for k, a, b, c, s, p, far, near, d in zip(n, m2, m3, m4, square, product, wide, narrow, off, strict=True):
+            w = scores_p(k, a * k, s, p, far, near)
+            out.append((moments_p(k, a, b, c), w[1] if w else None, _kolmogorov_tail(k, d) if a > 0 and d == d else None))
+        return pd.DataFrame(out, columns=["normality", "shapiro", "kolsir"], dtype="float64")
+
+    # values that are all equal have no spread, whatever rounding makes of their moments
+    flat = F.col("wide") == 0
+    found = sums.withColumn("m2", F.when(flat, 0.0).otherwise(F.col("m2"))).withColumn(
+        "p", tails("n", "m2", "m3", "m4", "square", "product", "wide", "narrow", "off")
+    )
+    return found.select(*by, "p.*")
 
 
 # -- false discovery rate ----------------------------------------------------------------------
