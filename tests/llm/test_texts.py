@@ -58,6 +58,16 @@ def test_decode_is_the_inverse(spark):
     assert back == dict(enumerate(ODD))
 
 
+def test_encoding_of_empty_repeated_and_clashing_rows(spark):
+    rows = [(1, "twice", 5, "x"), (1, "twice", 6, "y"), (None, "no id", 7, None), (2, None, None, None), (3, "", 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, ids int, decoded string")
+    got = bpe.bpe_encode(docs, PATH, decode=True).collect()
+    assert len(got) == 5 and sorted(r["decoded"] for r in got) == ["", "", "no id", "twice", "twice"]
+    assert all((len(r["ids"]) == 0) == (r["decoded"] == "") for r in got)
+    empty = bpe.bpe_encode(docs.limit(0), PATH, decode=True)
+    assert empty.count() == 0 and bpe.bpe_decode(empty.select("doc_id", "ids"), PATH).count() == 0
+
+
 def hits(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     return {r["doc_id"]: r for r in licenses.scan_licenses(docs).collect()}
