@@ -11,7 +11,10 @@ from vigilark.plans import registry
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 #: Each of these trains or draws anew and takes a while; they have tests of their own.
-SLOW = {"nsg_vectors", "ntx_vectors", "classifier_scores"}
+SLOW = {
+    "nsg_vectors", "ntx_vectors", "nsg_losses", "classifier_scores", "classifier_sampled_split", "classifier_plain_reference", "classifier_stored",
+    "classifier_progress", "validity_summary",
+}
 
 
 def rows_of(frame) -> list[tuple]:

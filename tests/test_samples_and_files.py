@@ -78,6 +78,12 @@ def test_neighbours_of_many_equal_vectors(spark, monkeypatch):
     assert got[0] == [1, 2, 3] and got[5] == [0, 1, 2] and got[99] == [0, 1, 2]
 
 
+def test_shuffle_is_a_repeatable_permutation(spark):
+    rows = spark.range(200).withColumnRenamed("id", "k")
+    a, b, c = ([r["k"] for r in sampling.shuffle(d, ["k"], seed).collect()] for d, seed in ((rows, 1), (rows.repartition(7), 1), (rows, 2)))
+    assert a == b != c and sorted(a) == sorted(c) == list(range(200)) != a
+
+
 def test_draws_within_a_key(spark):
     weights = spark.createDataFrame([("a", 1, 3.0), ("a", 2, 1.0), ("b", 1, 2.0)], "k string, term int, p double")
     draws = spark.range(400).selectExpr("id", "(id + 0.5) / 400 as u", "'a' as k").unionByName(spark.range(10).selectExpr("id", "(id + 0.5) / 10 as u", "'b' as k"))
