@@ -110,6 +110,21 @@ def test_means_and_variances_by_plain_loops(spark):
     assert all(0 <= x <= 1 for k, x in every.items() if k.endswith("_p") and x is not None)
 
 
+def test_sums_of_blocks_give_the_same_tests(spark, monkeypatch):
+    from vigilark.operators import groups
+
+    monkeypatch.setattr(groups, "BLOCK", 4)
+    v = cloud(2, 18)
+    terms = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "term int, v array<double>")
+    valid = spark.createDataFrame([("d", k) for k in range(9)], "drug string, reaction int")
+    control = spark.createDataFrame([("d", k) for k in range(9, 18)], "drug string, reaction int")
+    rows, sums = (f(valid, control, terms, ["euclidean", "cosine"]) for f in (groups.group_similarities, groups.group_moments))
+    assert rows.count() == 2 * 2 * 36 and sums.agg({"n": "sum"}).first()[0] == 2 * 2 * 36
+    for test in (tests.anova, tests.welch, tests.brown_forsythe_means, tests.variance_ratio, tests.bartlett):
+        a, b = ({r["metric"]: r["stat"] for r in test(x).collect()} for x in (rows, sums))
+        assert a.keys() == b.keys() and all(math.isclose(a[m], b[m], rel_tol=1e-9) for m in a), test
+
+
 def test_summary_counts_and_averages(spark):
     ps = [0.001, 0.01, 0.02, 0.03, 0.9, None, float("nan")]
     rows = [(str(k), "m", "permanova_p", p) for k, p in enumerate(ps)] + [("0", "m", "valid", 0.5), ("1", "m", "valid", 0.7), ("2", "m", "valid", float("nan")), ("0", "m", "other", 1.0)]

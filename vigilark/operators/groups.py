@@ -5,9 +5,11 @@ Groups are rows `drug`, `reaction`. Similarities are long tables `i` < `j`, `met
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
@@ -51,8 +53,38 @@ def control_groups(groups: DataFrame, pool: DataFrame, seed: int = 1, spare: int
     return found.unionByName(rest.filter(F.col("k") <= F.col("short")).select("drug", "reaction"))
 
 
+def group_moments(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str]) -> DataFrame:
+    """`drug`, `grp` ('V' or 'R'), `metric`, and of its pairs' similarities `n`, `total` and `ss`, the sum of
+    squares about their mean. Pairs without a value do not count.
+
+    A row per block pair of a group: what means and variances need, without a row per pair.
+    """
+
+    def sums(names_a, names_b, s, i, j):
+        x = s[i, j]
+        x = x[~np.isnan(x)]
+        return {"n": [len(x)], "total": [float(x.sum())], "ss": [float(((x - x.mean()) ** 2).sum()) if len(x) else 0.0]}
+
+    fields = [("n", pa.int64()), ("total", pa.float64()), ("ss", pa.float64())]
+    return _in_groups(valid, control, terms, metrics, sums, fields, "n bigint, total double, ss double")
+
+
 def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str]) -> DataFrame:
-    """`drug`, `grp` ('V' or 'R'), `i` < `j`, `metric`, `sim` of the pairs inside each group.
+    """`drug`, `grp` ('V' or 'R'), `metric`, `i` < `j`, `sim` of the pairs inside each group."""
+    kind = dict(valid.dtypes)["reaction"]
+
+    def pairs(names_a, names_b, s, i, j):
+        x, y = names_a[i], names_b[j]
+        flip = x > y
+        return {"i": np.where(flip, y, x), "j": np.where(flip, x, y), "sim": pa.array(s[i, j], pa.float64(), from_pandas=True)}
+
+    fields = [("i", table_type(kind)), ("j", table_type(kind)), ("sim", pa.float64())]
+    return _in_groups(valid, control, terms, metrics, pairs, fields, f"i {kind}, j {kind}, sim double")
+
+
+def _in_groups(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str], reduce_: Callable, fields: list, ddl: str) -> DataFrame:
+    """`drug`, `grp`, `metric` and what `reduce_(names, other names, sims, i, j)` gives for the pairs of each
+    block pair of each group.
 
     Vectors are sent once per group (once per block pair for groups of more than BLOCK terms)
     and compared there as matrices, so no table of all pairs of terms is needed.
@@ -77,19 +109,13 @@ def group_similarities(valid: DataFrame, control: DataFrame, terms: DataFrame, m
         for metric in metrics:
             s = pair_matrix(metric, v[a], v[b])
             i, j = np.nonzero(names[a][:, None] < names[b][None, :]) if p == q else (x.ravel() for x in np.indices(s.shape))
-            x, y, sim = names[a][i], names[b][j], s[i, j]
-            flip = x > y
-            n = len(sim)
-            parts.append(
-                pa.table(
-                    {"drug": pa.array([drug] * n, table_type(kind["drug"])), "grp": pa.array([grp] * n, pa.string()), "i": np.where(flip, y, x),
-                     "j": np.where(flip, x, y), "metric": pa.array([metric] * n, pa.string()), "sim": pa.array(np.where(np.isnan(sim), np.nan, sim), pa.float64(), from_pandas=True)}
-                )
-            )
+            found = reduce_(names[a], names[b], s, i, j)
+            n = len(next(iter(found.values())))
+            keys = [pa.array([drug] * n, table_type(kind["drug"])), *(pa.array([x] * n, pa.string()) for x in (grp, metric))]
+            parts.append(pa.Table.from_arrays([*keys, *(pa.array(found[c], t) for c, t in fields)], names=["drug", "grp", "metric", *(c for c, _ in fields)]))
         return pa.concat_tables(parts)
 
-    schema = f"drug {kind['drug']}, grp string, i {kind['reaction']}, j {kind['reaction']}, metric string, sim double"
-    return rows.groupBy("drug", "grp", "p", "q").applyInArrow(run, schema)
+    return rows.groupBy("drug", "grp", "p", "q").applyInArrow(run, f"drug {kind['drug']}, grp string, metric string, {ddl}")
 
 
 def table_type(ddl: str) -> pa.DataType:
@@ -97,17 +123,15 @@ def table_type(ddl: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[ddl]
 
 
-def _avg(x: Column, grp: str) -> Column:
-    return F.avg(F.when(F.col("grp") == grp, x))
-
-
-def gains(sims: DataFrame, properties: DataFrame) -> DataFrame:
-    """Per drug and metric the mean similarity of both groups, plain and scaled to the range over
+def gains(moments: DataFrame, properties: DataFrame) -> DataFrame:
+    """`moments` as of `group_moments`. Per drug and metric the mean similarity of both groups, plain and scaled to the range over
     all pairs, and the gain over the control group and over the mean of all pairs.
 
     `properties` holds `metric`, `min`, `max`, `normed_mean`; an empty range gives nulls.
     """
-    means = sims.groupBy("drug", "metric").agg(_avg(F.col("sim"), "V").alias("valid"), _avg(F.col("sim"), "R").alias("rand"))
+    own = lambda c, g: F.sum(F.when(F.col("grp") == g, F.col(c)))
+    mean = lambda g: F.try_divide(own("total", g), own("n", g))
+    means = moments.groupBy("drug", "metric").agg(mean("V").alias("valid"), mean("R").alias("rand"))
     rows = means.join(F.broadcast(properties), "metric")  # a row per metric
     scaled = lambda c: F.try_divide(F.col(c) - F.col("min"), F.col("max") - F.col("min"))
     rows = rows.withColumn("valid_norm", scaled("valid")).withColumn("rand_norm", scaled("rand"))

@@ -1,7 +1,8 @@
 """Univariate tests of two groups of similarities: statistics by aggregates, p-values by kernels.
 
-`values` are rows `drug`, `metric`, `grp` ('V' or 'R'), `sim`; nulls do not count. Statistics are
-null where their guards fail: too few values, no spread.
+`values` are rows `drug`, `metric`, `grp` ('V' or 'R'), `sim`; nulls do not count. Tests that need means
+and variances only take sums of parts of the values as well: rows with `n`, `total`, `ss`. Statistics
+are null where their guards fail: too few values, no spread.
 """
 
 from __future__ import annotations
@@ -27,10 +28,18 @@ EXACT = 8
 def _wide(values: DataFrame, column: str = "sim") -> DataFrame:
     """Per key the size, mean and sum of squares about the mean of both groups."""
     aggs = []
-    for g in GROUPS:
-        x = F.when(F.col("grp") == g, F.col(column))
-        aggs += [F.count(x).alias(f"n_{g}"), F.avg(x).alias(f"m_{g}"), (F.var_pop(x) * F.count(x)).alias(f"ss_{g}")]
-    rows = values.filter(F.col(column).isNotNull()).groupBy(*KEYS).agg(*aggs)
+    if "ss" in values.columns:  # parts: their squares, and those of their means about the whole one
+        for g in GROUPS:
+            own = lambda c, g=g: F.sum(F.when(F.col("grp") == g, c))
+            n, total = F.coalesce(own(F.col("n")), F.lit(0)), own(F.col("total"))
+            between = own(F.try_divide(F.col("total") * F.col("total"), F.col("n"))) - F.try_divide(total * total, n)
+            aggs += [n.alias(f"n_{g}"), F.try_divide(total, n).alias(f"m_{g}"), (own(F.col("ss")) + F.greatest(between, F.lit(0.0))).alias(f"ss_{g}")]
+        rows = values.groupBy(*KEYS).agg(*aggs)
+    else:
+        for g in GROUPS:
+            x = F.when(F.col("grp") == g, F.col(column))
+            aggs += [F.count(x).alias(f"n_{g}"), F.avg(x).alias(f"m_{g}"), (F.var_pop(x) * F.count(x)).alias(f"ss_{g}")]
+        rows = values.filter(F.col(column).isNotNull()).groupBy(*KEYS).agg(*aggs)
     n = F.col("n_V") + F.col("n_R")
     return rows.withColumn("n", n).withColumn("m", (F.col("n_V") * F.col("m_V") + F.col("n_R") * F.col("m_R")) / n)
 

@@ -78,6 +78,12 @@ def values(t: Tables, both: tuple[DataFrame, DataFrame] | None = None) -> DataFr
     return groups.group_similarities(valid, control, t.terms(), METRICS)
 
 
+def moments(t: Tables, both: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Sums of the same similarities, for what needs means and variances only."""
+    valid, control = both or both_groups(t)
+    return groups.group_moments(valid, control, t.terms(), METRICS)
+
+
 @query("control_groups", over_groups("SELECT drug, reaction FROM ctl"))
 def _control(t: Tables) -> DataFrame:
     return both_groups(t)[1]
@@ -104,8 +110,8 @@ def _gain(t: Tables) -> DataFrame:
 GAINS = ["valid", "rand", "valid_norm", "rand_norm", "gain_norm", "gain_norm_pop"]
 
 
-def gain_rows(t: Tables, sims: DataFrame | None = None) -> DataFrame:
-    return groups.gains(values(t) if sims is None else sims, properties(t, METRICS))
+def gain_rows(t: Tables, both: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return groups.gains(moments(t, both), properties(t, METRICS))
 
 
 H_GROUP_METRICS = ["meanminpath", "primaryminpath", "resnik", "lin"]
@@ -128,8 +134,8 @@ def _h_gain(t: Tables) -> DataFrame:
     """Gains by hierarchy and content metrics over the same groups."""
     terms = settle(path_terms(t, LEVELS3))
     props = [similarity.pair_properties(terms, m).select(F.lit(m).alias("metric"), "*") for m in H_GROUP_METRICS]
-    sims = groups.group_similarities(*both_groups(t), terms, H_GROUP_METRICS)
-    rows = groups.gains(sims, reduce(DataFrame.unionByName, props))
+    sums = groups.group_moments(*both_groups(t), terms, H_GROUP_METRICS)
+    rows = groups.gains(sums, reduce(DataFrame.unionByName, props))
     return rows.select("drug", "metric", *[rounded(c) for c in ("valid", "rand", "gain_norm", "gain_norm_pop")])
 
 
@@ -140,7 +146,7 @@ _ANOVA = f"SELECT drug, metric, round({_BETWEEN} / (ss_v + ss_r) * (n - 2), 6) A
 
 @query("anova_f", over_groups(_ANOVA))
 def _anova(t: Tables) -> DataFrame:
-    return tests.anova(values(t)).select("drug", "metric", rounded("stat"), "df2")
+    return tests.anova(moments(t)).select("drug", "metric", rounded("stat"), "df2")
 
 
 @query(
@@ -152,7 +158,7 @@ def _anova(t: Tables) -> DataFrame:
     ),
 )
 def _welch(t: Tables) -> DataFrame:
-    return tests.welch(values(t)).select("drug", "metric", rounded("stat"), F.round("df2", 4).alias("df2"))
+    return tests.welch(moments(t)).select("drug", "metric", rounded("stat"), F.round("df2", 4).alias("df2"))
 
 
 # between groups over the sums of squares weighted by 1 - n / N; freedom after Satterthwaite
@@ -165,12 +171,12 @@ def _welch(t: Tables) -> DataFrame:
     ),
 )
 def _brown(t: Tables) -> DataFrame:
-    return tests.brown_forsythe_means(values(t)).select("drug", "metric", rounded("stat"), F.round("df2", 4).alias("df2"))
+    return tests.brown_forsythe_means(moments(t)).select("drug", "metric", rounded("stat"), F.round("df2", 4).alias("df2"))
 
 
 @query("var_f", over_groups("SELECT drug, metric, round(greatest(a, b) / least(a, b), 6) AS stat, n_v - 1 AS df1, n_r - 1 AS df2 FROM (SELECT *, ss_v / (n_v - 1) AS a, ss_r / (n_r - 1) AS b FROM w)"))
 def _varf(t: Tables) -> DataFrame:
-    return tests.variance_ratio(values(t)).select("drug", "metric", rounded("stat"), "df1", "df2")
+    return tests.variance_ratio(moments(t)).select("drug", "metric", rounded("stat"), "df1", "df2")
 
 
 @query(
@@ -181,7 +187,7 @@ def _varf(t: Tables) -> DataFrame:
     ),
 )
 def _bartlett(t: Tables) -> DataFrame:
-    return tests.bartlett(values(t)).select("drug", "metric", (F.round("stat", 5) + 0.0).alias("stat"))
+    return tests.bartlett(moments(t)).select("drug", "metric", (F.round("stat", 5) + 0.0).alias("stat"))
 
 
 def _dev_sql(centre: str) -> str:
@@ -256,7 +262,7 @@ _BARTLETT = """SELECT drug, metric, ((n - 2) * ln((ss_v + ss_r) / (n - 2)) - (n_
 
 @query("bartlett_p", over_groups(f"SELECT drug, metric, round({normal_sql('sqrt(greatest(x, 0e0))')}, 6) + 0e0 AS p FROM bart", {"bart": _BARTLETT}))
 def _bartlett_p(t: Tables) -> DataFrame:
-    return tests.bartlett(values(t)).select("drug", "metric", rounded("p"))
+    return tests.bartlett(moments(t)).select("drug", "metric", rounded("p"))
 
 
 # with one degree above, F is the square of Student's t, whose tails are finite sums for whole freedoms
@@ -272,7 +278,7 @@ def student_sql(table: str) -> str:
 
 @query("anova_pvalue", over_groups(student_sql("w")))
 def _anova_p(t: Tables) -> DataFrame:
-    return tests.with_pvalue(tests.anova(values(t))).select("drug", "metric", rounded("p"))
+    return tests.with_pvalue(tests.anova(moments(t))).select("drug", "metric", rounded("p"))
 
 
 @query("normality_pvalues")
@@ -348,7 +354,7 @@ def results(t: Tables) -> DataFrame:
     """All tests and gains of every drug and metric in long form: `drug`, `metric`, `stat`, `value`."""
     both = both_groups(t)
     sims = settle(values(t, both))
-    parts = [tests.all_tests(sims), gain_rows(t, sims).unpivot(["drug", "metric"], GAINS, "stat", "value")]
+    parts = [tests.all_tests(sims), gain_rows(t, both).unpivot(["drug", "metric"], GAINS, "stat", "value")]
     for m in METRICS:
         for test, name in ((multivariate.permanova, "permanova_p"), (multivariate.permdisp, "permdisp_p")):
             parts.append(test(*both, t.terms(), m).select("drug", F.lit(m).alias("metric"), F.lit(name).alias("stat"), F.col(name).alias("value")))
