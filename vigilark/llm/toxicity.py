@@ -34,6 +34,9 @@ DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
 #: machine is fitted on (candidates beyond them, the least likely, are left out), landmarks.
 MAX_DOCS, MAX_WORDS, LANDMARKS, ROUNDS = 1000, 2000, 128, 2
 
+#: Characters scored together, letters whose norms are made together, and letters of a long word.
+SCORE_CHARS, NORM_LETTERS, LONG_WORD = 2_000_000, 50_000, 4096
+
 _CODES = np.zeros(256, np.uint16)  # 0: neither letter nor white space
 for _c in range(26):
     _CODES[97 + _c] = _CODES[65 + _c] = 1 + _c
@@ -95,14 +98,32 @@ def distinct(w: Words) -> tuple[Words, np.ndarray]:
 
 
 def self_norm(w: Words) -> np.ndarray:
-    """Root of the kernel of each word with itself: equal triples of a word are added up, then squared."""
-    parts = [(w.owner[at].astype(np.int64) * LETTERS**3 + code, np.full(len(at), weight)) for at, code, weight in triples(w.codes, w.owner)]
-    if not parts:
-        return np.full(len(w.sizes), DECAY**3)
-    key, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    sums = np.bincount(where, weights=np.concatenate([x for _, x in parts]))
-    total = np.bincount(key // LETTERS**3, weights=sums**2, minlength=len(w.sizes))
-    return np.sqrt(np.maximum(total, DECAY**6))  # words without triples have no weight to divide
+    """Root of the kernel of each word with itself: equal triples of a word are added up, then squared.
+
+    Words are taken some at a time, a long one alone with a sum for each triple there is.
+    """
+    out = np.full(len(w.sizes), DECAY**3)  # words without triples have no weight to divide
+    begin = np.cumsum(w.sizes) - w.sizes
+    long = w.sizes > LONG_WORD
+    for k in np.flatnonzero(long).tolist():
+        codes, sums = w.codes[begin[k] : begin[k] + w.sizes[k]], np.zeros(LETTERS**3)
+        for _, code, weight in triples(codes, np.zeros(len(codes), np.int8)):
+            sums += weight * np.bincount(code, minlength=LETTERS**3)
+        out[k] = max(out[k], float(np.linalg.norm(sums)))
+    short = np.flatnonzero(~long & (w.sizes >= 3))
+    part = np.cumsum(w.sizes[short]) // NORM_LETTERS
+    for which in np.split(short, np.flatnonzero(np.diff(part)) + 1):
+        sizes = w.sizes[which]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        codes = w.codes[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + begin[which][owner]]
+        keys, weights = zip(*((owner[at] * LETTERS**3 + code, np.full(len(at), weight)) for at, code, weight in triples(codes, owner)), strict=True) if len(codes) >= 3 else ([], [])
+        if not keys:
+            continue
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(where, weights=np.concatenate(weights))
+        total = np.bincount(key // LETTERS**3, weights=sums**2, minlength=len(which))
+        out[which] = np.sqrt(np.maximum(total, DECAY**6))
+    return out
 
 
 def triples(codes: np.ndarray, owner: np.ndarray):
@@ -153,6 +174,10 @@ class Machine:
 
     def shown(self, texts: list[str]) -> np.ndarray:
         """Per text: its three largest decision values, share and number of words beyond 0."""
+        parts = [self._shown(texts[part]) for part in chunks(texts, SCORE_CHARS)]
+        return np.concatenate(parts) if parts else np.zeros((0, 6))
+
+    def _shown(self, texts: list[str]) -> np.ndarray:
         w = words_of(texts)
         out = np.full((len(texts), 6), -2.0)
         out[:, 3:] = 0
