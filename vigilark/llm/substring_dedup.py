@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from vigilark.llm import _words
 from vigilark.llm._arrow import chunks
-from vigilark.llm._tables import settle
+from vigilark.llm._tables import release, settle
 
 WINDOW = 50
 RUN = 26  # words of an anchor; WINDOW - RUN + 1 runs fit in a window
@@ -333,13 +333,13 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
         columnar=True,
     )
     # the matches' ends and what stands there in the reference blocks
-    found = settle(_chained(occ), columnar=True)
+    chained = found = settle(_chained(occ), columnar=True)
     edge = lambda at, after: F.struct(F.col(at).alias("at"), F.lit(after).alias("after"))
     asked = found.select("ref", "ref_mark", F.explode(F.array(edge("ref_begin", False), edge("ref_end", True))).alias("e"))
     edges = settle(asked.groupBy("ref", "ref_mark", "e").agg(F.count("*").alias("n")), columnar=True)
     blocks = edges.groupBy(F.col("ref").alias("id"), F.col("ref_mark").alias("mark")).agg(F.collect_list("e").alias("edges"))  # bounded by the document
     sources = _filtered(src, _present(blocks, "mark")).dropDuplicates(["id", "mark"]).join(blocks, ["id", "mark"])
-    around = settle(_contexts(sources), columnar=True)
+    words_around = around = settle(_contexts(sources), columnar=True)
     counted = edges.select("ref", "ref_mark", F.col("e.at").alias("at"), F.col("e.after").alias("after"), "n")
     around = around.join(counted, ["ref", "ref_mark", "at", "after"])
     total = found.count()
@@ -349,6 +349,7 @@ def remove_duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
     matches = found.groupBy("id", "mark").agg(F.collect_list(F.struct("begin", "end", "left", "right")).alias("matches"))  # bounded by the document
     wanted = _filtered(src, _present(occ, "mark")).dropDuplicates(["id", "mark"])
     checked = settle(_check(wanted.join(occ, ["id", "mark"]).join(matches, ["id", "mark"], "left")), columnar=True)
+    release(refs, occ, chained, edges, words_around)
     zipped = checked.select("id", "mark", F.explode(F.arrays_zip("starts", "keys", "checks")).alias("z"))
     windows = zipped.select("id", "mark", F.col("z.starts").alias("start"), F.col("z.keys").alias("key"), F.col("z.checks").alias("check"))
     shared = settle(
