@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilark.llm._tables import settle
+from vigilark.llm._tables import release, settle
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND, SECRET = "id", "secret"
@@ -235,9 +235,9 @@ def trusted_patterns(seen: DataFrame) -> DataFrame:
     links = (
         seen.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind"))
     )
-    links = settle(links)
-    degrees = settle(links.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS))
-    seeds = settle(links.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("like")).withColumn("trust", F.lit(1.0)))
+    links = settle(links, columnar=True)
+    degrees = settle(links.groupBy("pattern").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEEDS), columnar=True)
+    seeds = settle(links.filter("kind is not null").groupBy("value").agg(F.max("kind").alias("like")).withColumn("trust", F.lit(1.0)), columnar=True)
     trust, edges = seeds, links.select("pattern", "value")
     found = None
     for _ in range(ROUNDS):
@@ -248,11 +248,15 @@ def trusted_patterns(seen: DataFrame) -> DataFrame:
             .filter(F.col("support") >= MIN_SEEDS)
         )
         # rounded, so that the order of summing does not matter
-        found = settle(sums.join(degrees, "pattern").select("pattern", "like", F.round(F.col("trust") / (F.col("n") + 0.5), 9).alias("confidence")))
+        last = found
+        found = settle(sums.join(degrees, "pattern").select("pattern", "like", F.round(F.col("trust") / (F.col("n") + 0.5), 9).alias("confidence")), columnar=True)
+        if trust is not seeds:
+            release(last, trust)
         passing = found.filter(F.col("confidence") >= PASSING)
         doubt = F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999))))
         passed = _salted(edges, passing, "pattern", "value").groupBy("value", "like").agg(F.round(1 - F.exp(doubt), 9).alias("trust"))
-        trust = settle(seeds.select("value", "like", "trust").unionByName(passed).groupBy("value", "like").agg(F.max("trust").alias("trust")))
+        trust = settle(seeds.select("value", "like", "trust").unionByName(passed).groupBy("value", "like").agg(F.max("trust").alias("trust")), columnar=True)
+    release(links, degrees, seeds, trust)
     return found.filter(F.col("confidence") >= MIN_CONFIDENCE)
 
 
@@ -296,7 +300,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     so does every text without spans. Repeated rows and rows with a null id are redacted like
     others; an empty table stays empty.
     """
-    fresh = settle(_discover(settle(scan(docs, id_col, text_col), columnar=True)), columnar=True)
+    scanned = settle(scan(docs, id_col, text_col), columnar=True)
+    fresh = settle(_discover(scanned), columnar=True)
+    release(scanned)
     numbers = fresh.select("id_f", "mark_f", F.transform("fresh", lambda s: s["at"]).alias("__at"))
     rows = with_masks(docs, text_col)
     same = rows[id_col].eqNullSafe(numbers["id_f"]) & (_mark(rows[text_col]) == numbers["mark_f"])
