@@ -15,6 +15,9 @@ from vigilark.llm import mixing, quality, toxicity
 from vigilark.llm._labelled import remainder
 from vigilark.llm.queries import QUERIES
 
+from .test_copies import plain_fingerprint, roots
+from .test_texts import library, plain_base
+
 BIG = "/root/testdata/sf0.1"
 
 
@@ -216,21 +219,50 @@ def test_mix_is_a_permutation_that_repeats(spark):
     assert len({(r["block"], r["place"]) for r in a}) == len(a)
 
 
-def test_pipeline_stages_keep_columns_and_clean_documents(spark, sf):
+def test_pipeline_stages_against_plain_ones(spark, sf):
+    """Every stage over what its predecessor kept, beside the same in plain Python."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
+    machine = toxicity.train_toxicity(docs, labels, remainder("doc_id", 4) != 2)
+    kept: dict[str, dict] = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = stage(spark, before, sf)
         assert docs.columns == before.columns, name
         docs = spark.createDataFrame(docs.toPandas(), before.schema)
+        rows, given = docs.collect(), {r["doc_id"]: r["text"] or "" for r in before.collect()}
+        kept[name] = {r["doc_id"]: r["text"] or "" for r in rows}
         if name == "toxicity":
-            kept = {r["doc_id"] for r in docs.collect()}
-            assert len(toxic & kept) <= 0.2 * len(toxic)
-            clean = {r["doc_id"] for r in before.collect()} - toxic
-            assert len(clean & kept) >= 0.95 * len(clean)
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert out.count() == docs.count()
+            assert kept[name].keys() == {i for i, t in given.items() if machine.score([t])[0] < 0.3}
+            assert len(toxic & kept[name].keys()) <= 0.2 * len(toxic)
+            clean = given.keys() - toxic
+            assert len(clean & kept[name].keys()) >= 0.95 * len(clean)
+        elif name == "simhash_near_dedup":
+            fps = {i: plain_fingerprint(t) for i, t in given.items()}
+            links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+            assert kept[name].keys() == {i for i, r in roots(list(fps), links).items() if i == r}
+        elif name == "personal_data":
+            assert kept[name].keys() == given.keys() and all(r["n_chars"] == len(r["text"] or "") for r in rows)
+            for i, t in given.items():
+                base, out = plain_base(t), kept[name][i]
+                assert base or "[ID]" in out or out == t
+                assert not any(x for x in plain_base(out)), i
+                for kind in {k for k, _, _ in base}:
+                    assert f"[{kind.upper()}]" in out or len(base) > 1
+        else:
+            assert kept[name] == given and len(rows) >= len(given)  # nothing is lost, small sources recur
+            weight = plain_mix([(r["doc_id"], r["text"], r["source"]) for r in before.collect()], corpus_pipeline.MAX_REPEATS)
+            drawn = {s: sum(len((r["text"] or "").split()) for r in rows if (r["source"] or "") == s) for s in weight}
+            total = {s: sum(len(t.split()) for i, t in given.items()) for s in weight}
+            ratio = {s: drawn[s] / weight[s] for s in weight if total[s]}
+            assert max(ratio.values()) <= 1.5 * min(ratio.values())
+    tok = library()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert len(out) == docs.count()
+    for r in out:
+        ids = tok.encode(kept["mixing"][r["doc_id"]], add_special_tokens=False).ids
+        assert list(r["ids"]) == ids and r["n_tokens"] == len(ids)
 
 
 def test_stages_take_null_ids_and_texts(spark, sf):
