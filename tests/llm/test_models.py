@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import pickle
 import random
 
 import numpy as np
@@ -80,13 +81,19 @@ def test_maps_and_norms_equal_the_explicit_kernel():
     assert np.allclose(toxicity.decisions(w, alpha @ maps), want @ alpha, atol=1e-4)
 
 
-def test_each_different_word_is_scored_once():
+def test_each_different_word_is_scored_once(monkeypatch):
     texts = ["Banana banana i d i o t b-a-n-a-n-a", "", "moron moron xyz", "x" * 5000 + " " + "x" * 5000]
     w = toxicity.words_of(texts)
-    once, place = toxicity.distinct(w)
-    assert len(once.sizes) == 5 and len(place) == len(w.sizes)
+    once, key, place = toxicity.distinct(w)
+    assert len(once.sizes) == len(key) == 5 and len(place) == len(w.sizes)
     weights = np.random.default_rng(1).normal(size=toxicity.LETTERS**3)
-    assert np.allclose(toxicity.decisions(once, weights)[place], toxicity.decisions(w, weights))
+    want = toxicity.decisions(w, weights)
+    assert np.allclose(toxicity.decisions(once, weights)[place], want)
+    machine = toxicity.Machine(weights, 0.0, np.zeros(6))
+    for most in (500_000, 0):  # the second time from what is known, or all anew
+        monkeypatch.setattr(toxicity, "MOST_KNOWN", most)
+        assert all(np.allclose(machine.word_values(toxicity.words_of(part)), toxicity.decisions(toxicity.words_of(part), weights)) for part in (texts[:1], texts, texts))
+    assert len(machine.known[0]) == 5 and not len(pickle.loads(pickle.dumps(machine)).known[0])
 
 
 def insult_machine():

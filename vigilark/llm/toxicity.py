@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,8 @@ DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
 MAX_DOCS, MAX_WORDS, LANDMARKS, ROUNDS = 1000, 2000, 128, 2
 
 #: Characters scored together, letters whose norms are made together, and letters of a long word.
-SCORE_CHARS, NORM_LETTERS, LONG_WORD = 2_000_000, 50_000, 4096
+SCORE_CHARS, NORM_LETTERS, LONG_WORD = 1_000_000, 50_000, 4096
+MOST_KNOWN = 500_000
 
 _CODES = np.zeros(256, np.uint16)  # 0: neither letter nor white space
 for _c in range(26):
@@ -79,8 +80,13 @@ def words_of(texts: list[str]) -> Words:
     )
 
 
-def distinct(w: Words) -> tuple[Words, np.ndarray]:
-    """Each different word once, and for every word its place among these."""
+def some_words(w: Words, kept: np.ndarray) -> Words:
+    sizes = w.sizes[kept]
+    return Words(w.codes[kept[w.owner]], np.repeat(np.arange(len(sizes)), sizes), w.doc[kept], sizes)
+
+
+def distinct(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Each different word once, the 64-bit hash of each, and for every word its place among these."""
     begin = np.cumsum(w.sizes) - w.sizes
     power = np.full(int(w.sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
     power[0] = 1
@@ -93,8 +99,7 @@ def distinct(w: Words) -> tuple[Words, np.ndarray]:
     rank[order] = np.arange(len(order))
     kept = np.zeros(len(w.sizes), bool)
     kept[first] = True
-    sizes = w.sizes[kept]
-    return Words(w.codes[kept[w.owner]], np.repeat(np.arange(len(sizes)), sizes), w.doc[kept], sizes), rank[place]
+    return some_words(w, kept), key[kept], rank[place]
 
 
 def self_norm(w: Words) -> np.ndarray:
@@ -171,6 +176,27 @@ class Machine:
     weights: np.ndarray
     bias: float
     curve: np.ndarray
+    #: Hashes, in order, and decision values of words scored before; a task keeps at most MOST_KNOWN.
+    known: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.zeros(0, np.uint64), np.zeros(0)), repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": (np.zeros(0, np.uint64), np.zeros(0))}  # each task starts anew
+
+    def word_values(self, w: Words) -> np.ndarray:
+        """Decision value of each word without the bias; a word seen before is looked up."""
+        once, key, place = distinct(w)
+        keys, values = self.known
+        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+        fresh = keys[at] != key if len(keys) else np.ones(len(key), bool)
+        out = np.zeros(len(key))
+        out[~fresh] = values[at[~fresh]] if len(keys) else 0.0
+        if fresh.any():
+            out[fresh] = decisions(some_words(once, fresh), self.weights)
+            if len(keys) + fresh.sum() <= MOST_KNOWN:
+                keys, values = np.r_[keys, key[fresh]], np.r_[values, out[fresh]]
+                order = np.argsort(keys)
+                self.known = keys[order], values[order]
+        return out[place]
 
     def shown(self, texts: list[str]) -> np.ndarray:
         """Per text: its three largest decision values, share and number of words beyond 0."""
@@ -183,8 +209,7 @@ class Machine:
         out[:, 3:] = 0
         out[:, 5] = 1
         if len(w.sizes):
-            once, place = distinct(w)
-            value = decisions(once, self.weights)[place] + self.bias
+            value = self.word_values(w) + self.bias
             order = np.lexsort((-value, w.doc))
             doc = w.doc[order]
             begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
