@@ -281,6 +281,31 @@ def _anova_p(t: Tables) -> DataFrame:
     return tests.with_pvalue(tests.anova(moments(t))).select("drug", "metric", rounded("p"))
 
 
+# D'Agostino and Pearson: z scores of skewness and kurtosis, their squares' sum chi-squared with two degrees
+_NORMAL = {
+    "central": "SELECT drug, metric, g, sim - avg(sim) OVER (PARTITION BY drug, metric, g) AS d FROM sims",
+    "powers": "SELECT drug, metric, g, count(*)::DOUBLE AS n, avg(d ** 2) AS m2, avg(d ** 3) AS m3, avg(d ** 4) AS m4 FROM central GROUP BY 1, 2, 3",
+    "shapes": """SELECT *, m3 / m2 ** 1.5e0 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+        sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) - 1 AS w2,
+        (m4 / m2 ** 2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x,
+        6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS b FROM powers WHERE n >= 20""",
+    "cubes": "SELECT *, 6 + 8 / b * (2 / b + sqrt(1 + 4 / b ** 2)) AS a FROM shapes",
+    "scores": """SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5e0 * ln(w2)) AS z1, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS inside FROM cubes""",
+}
+
+
+@query(
+    "normality_moments",
+    over_groups(
+        """SELECT drug, metric, g AS grp, round(exp(-(z1 ** 2 + ((1 - 2 / (9 * a) - sign(inside) * pow(abs(inside), 1 / 3e0)) / sqrt(2 / (9 * a))) ** 2) / 2), 6) + 0e0 AS normality
+        FROM scores""",
+        _NORMAL,
+    ),
+)
+def _moments(t: Tables) -> DataFrame:
+    return tests.normality(values(t)).filter("normality is not null").select("drug", "metric", "grp", rounded("normality"))
+
+
 @query("normality_pvalues")
 def _normality(t: Tables) -> DataFrame:
     return tests.normality(values(t))

@@ -330,10 +330,25 @@ def _negatives(t: Tables) -> DataFrame:
     return sampling.corpus_with_negatives(corpus(t), contexts(t), NEGATIVES, SEED)
 
 
-@query("contrastive_batches")
+BATCH, EPOCH = 64, 1
+# the targets of a batch in turn take the first of their contexts, in the order of weighted keys, that none before took
+_BATCHES = {
+    "counts": "SELECT target, context, count(*) AS n FROM pairs GROUP BY 1, 2",
+    "dealt": f"""SELECT target, (row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', '{EPOCH}', target))) - 1) // {BATCH} AS batch
+        FROM (SELECT DISTINCT target FROM counts)""",
+    "keyed": f"SELECT batch, target, context, ln(greatest({uniform_sql('target', 'context', repr(str(EPOCH)), repr(str(SEED)))}, 1e-12)) / pow(n, 0.75e0) AS w FROM counts JOIN dealt USING (target)",
+    "choices": "SELECT batch, target, list(context ORDER BY w DESC, context) AS cs, row_number() OVER (PARTITION BY batch ORDER BY target) AS k FROM keyed GROUP BY 1, 2",
+    "walk": """SELECT batch, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS target, NULL::BIGINT AS context FROM (SELECT DISTINCT batch FROM dealt)
+        UNION ALL SELECT batch, k, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, target, c FROM
+        (SELECT l.batch, l.k, w.taken, l.target, list_filter(l.cs, lambda x: NOT list_contains(w.taken, x))[1] AS c
+        FROM walk w JOIN choices l ON l.batch = w.batch AND l.k = w.k + 1)""",
+}
+
+
+@query("contrastive_batches", with_tables(["pairs"], "SELECT batch, target, context FROM walk WHERE context IS NOT NULL", _BATCHES).replace("WITH", "WITH RECURSIVE", 1))
 def _batches(t: Tables) -> DataFrame:
     counts = frequencies.pair_counts(t.pairs())
-    return sampling.contrastive_batches(counts, 64, 1, seed=SEED)
+    return sampling.contrastive_batches(counts, BATCH, EPOCH, seed=SEED)
 
 
 def _sampled(t: Tables, kind: str, test: bool = False) -> DataFrame:
