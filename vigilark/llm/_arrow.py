@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts handled together inside a task, in characters. A longer text is handled alone.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[slice]:

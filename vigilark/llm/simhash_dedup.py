@@ -59,7 +59,7 @@ def majority(hashes: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate([hashes[k] for k in full]).astype(">u8")
         bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
         starts = np.r_[0, np.cumsum(sizes[full])[:-1]]
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.uint32).astype(np.int64)
         packed = np.packbits(2 * ones > sizes[full][:, None], axis=1)
         out[full] = packed.view(">u8").ravel()
     return out

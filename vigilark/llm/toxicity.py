@@ -35,7 +35,7 @@ DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
 MAX_DOCS, MAX_WORDS, LANDMARKS, ROUNDS = 1000, 2000, 128, 2
 
 #: Characters scored together, letters whose norms are made together, and letters of a long word.
-SCORE_CHARS, NORM_LETTERS, LONG_WORD = 1_000_000, 50_000, 4096
+SCORE_CHARS, NORM_LETTERS, LONG_WORD = 500_000, 50_000, 4096
 MOST_KNOWN = 500_000
 
 _CODES = np.zeros(256, np.uint16)  # 0: neither letter nor white space
