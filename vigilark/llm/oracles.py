@@ -65,4 +65,30 @@ counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, coalesce(low, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN counts ON counts.id = vec_id LEFT JOIN lows ON lows.id = vec_id"""
 
-ORACLES: dict[str, str] = {"op4_licenses": LICENSES, "op5_embedding_dedup": EMBEDDINGS, "op6_substring_dedup": SUBSTRINGS}
+
+
+def _vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Codebooks by rounds of nearest entries and floored means."""
+    assigned = """near{k} AS (SELECT c.id, c.p, min(list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {entries} + b.e) AS best
+    FROM cells c JOIN book{k} b USING (p) GROUP BY 1, 2),"""
+    moved = """sums{k} AS (SELECT p, e, d, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c.p, best % {entries} AS e, unnest(c.v) AS x, generate_subscripts(c.v, 1) AS d
+    FROM cells c JOIN near{k} USING (id, p)) GROUP BY 1, 2, 3),
+means{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY d) AS v FROM sums{k} GROUP BY 1, 2),
+book{j} AS (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m USING (p, e)),"""
+    steps = "\n".join(assigned.format(k=k, entries=entries) + "\n" + moved.format(k=k, j=k + 1, entries=entries) for k in range(rounds))
+    return f"""WITH kept AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (SELECT id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) r(p)),
+firsts AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS e FROM kept QUALIFY e < {entries}),
+book0 AS (SELECT p, e, v FROM firsts JOIN cells USING (id)),
+{steps}
+{assigned.format(k=rounds, entries=entries)}
+coded AS (SELECT id, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error FROM near{rounds} GROUP BY 1),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, d)) AS codebooks_sha256
+    FROM (SELECT p, e, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM book{rounds}))
+SELECT id AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (id), digest"""
+
+
+VECTOR_CODES = _vector_codes()
+
+ORACLES: dict[str, str] = {"op4_licenses": LICENSES, "op5_embedding_dedup": EMBEDDINGS, "op6_substring_dedup": SUBSTRINGS, "op11_vector_codes": VECTOR_CODES}

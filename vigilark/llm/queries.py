@@ -23,7 +23,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = train_toxicity(docs, labels, remainder("doc_id", 4) != 2)
-    return verdicts(score_toxicity(docs, machine), remainder("doc_id", 4) == 2, 0.3)
+    return verdicts(score_toxicity(docs, machine), was_held_out(4, 2), 0.3)
+
+
+def was_held_out(modulus: int, value: int) -> Column:
+    """Whether the id's remainder is `value`; false without an id, though such rows teach nothing."""
+    from vigilark.llm._labelled import remainder
+
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
 
 
 def verdicts(scores: DataFrame, held_out: Column, threshold: float) -> DataFrame:
@@ -134,7 +141,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = train_quality(docs, labels, remainder("doc_id", 3) != 1)
-    return verdicts(score_quality(docs, machine), remainder("doc_id", 3) == 1, 0.5)
+    return verdicts(score_quality(docs, machine), was_held_out(3, 1), 0.5)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +166,41 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings and the digest of their codebooks."""
+    from vigilark.llm.vector_codes import codebook_digest, compress_vectors
+
+    rows, books = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return rows.select(
+        "vec_id",
+        F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error",
+        "label_error",
+        F.lit(codebook_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows whose remainder modulo 5 is not 0."""
+    from vigilark.llm._labelled import remainder
+    from vigilark.llm.language_id import identify_languages, train_languages
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, train_languages(docs, remainder("doc_id", 5) != 0))
+    mix = F.array_join(F.transform("languages", lambda x: F.concat_ws(":", x["name"], F.format_number(x["share"], 3))), ",")
+    return found.select("doc_id", was_held_out(5, 0).alias("held_out"), "lang_pred", "score", mix.alias("languages"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every document's tokens in a byte-level and a piece vocabulary."""
+    import public_tokenizers
+
+    from vigilark.llm.token_alignment import align_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
@@ -170,4 +212,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pii": op10_pii,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_language_id": op12_language_id,
+    "op13_token_alignment": op13_token_alignment,
 }
