@@ -221,11 +221,28 @@ def test_factors_are_the_longest_matches():
     assert starts.tolist() == [*range(6, 20), *range(76, 101)]
 
 
-def test_words_that_differ_far_out_have_other_hashes():
-    tail = "x" * 23
-    texts = [tail + "aXb", tail + "bXa", tail + "aXbc", tail + "bXac", "a" * 60, "a" * 61]
-    for base in (_words._PRIME, _words.SECOND):
-        assert len(set(_words.hashes(_words.split(texts), base).tolist())) == len(texts)
+def thue_morse(length: int) -> tuple[str, str]:
+    """The word of this length and its complement: equal under polynomials modulo 2**64 from 1024 letters on."""
+    bits = [bin(k).count("1") % 2 for k in range(length)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_that_differ_anywhere_have_other_hashes():
+    texts = [tail + x for n in (1, 8, 23, 24, 31, 32, 33) for tail in ("x" * n,) for x in ("aXb", "bXa", "aXbc", "bXac")]
+    texts += ["a" * k for k in range(1, 70)] + [w + x for n in (16, 32, 1024, 4096) for w in ("", "x" * 24) for x in thue_morse(n)]
+    for own in _words.hashes(_words.split(texts)):
+        assert len(set(own.tolist())) == len(set(texts)) == len(texts)
+    both = _words.hashes(_words.split([" ".join(texts)]))
+    for own, alone in zip(both, _words.hashes(_words.split(texts)), strict=True):
+        assert own.tolist() == alone.tolist()  # whatever stands around a word
+
+
+def test_substrings_with_words_that_polynomials_confuse(spark):
+    x, y = ("x" * 24 + w for w in thue_morse(1024))
+    same = [f"w{k}" for k in range(49)]
+    rows = [(1, " ".join([*same[:20], x, *same[20:]])), (2, " ".join([*same[:20], y, *same[20:]])), (3, " ".join([*same[:20], y, *same[20:]]))]
+    out = substring_dedup.remove_duplicate_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in out} == {1: 0, 2: 0, 3: 50}
 
 
 def test_substrings_with_hot_passages_and_clashing_columns(spark):

@@ -52,6 +52,25 @@ def test_classifiers_take_odd_tables(spark, sf, train, score, label):
     assert score(docs, empty).count() == docs.count()
 
 
+def test_words_that_polynomials_confuse_are_different():
+    from .test_copies import thue_morse
+
+    a, b = thue_morse(2048)
+    once, key, place = toxicity.distinct(toxicity.words_of([f"{a} {b} {a} ab ba"]))
+    assert len(once.sizes) == 4 and len(set(key.tolist())) == 4 and place.tolist() == [0, 1, 0, 2, 3]
+
+
+def test_the_most_telling_words_are_kept_when_there_are_too_many(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 12)
+    rng = random.Random(2)
+    clean = ["".join(rng.choices("aeiourstln", k=6)) for _ in range(300)]
+    rows = [(". ".join(" ".join(rng.choices(clean, k=6)) for _ in range(3)), 0) for _ in range(120)]
+    rows += [(" ".join([*rng.choices(clean, k=5), "zzgrimbly" if k % 10 else "qqvoxel"]), 1) for k in range(120)]
+    machine = toxicity.fit_machine(rows)
+    scores = machine.score(["some zzgrimbly words", "nothing of the kind", ""])
+    assert scores[0] > 0.5 > scores[1] >= scores[2] - 0.2
+
+
 # -- the kernel and the machine, written out ---------------------------------------------------
 def plain_kernel(a: str, b: str) -> float:
     """Sum over equal letter triples of both words of DECAY to the letters that they span in each."""

@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
-_PRIME = np.uint64(0x100000001B3)
-SECOND = np.uint64(0x100000001B3 * 0x9E3779B1 % (1 << 64) | 1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHORT = 24
+#: Seeds of the two hashes of a word, and the longest word, in bytes, that is hashed with others at once.
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_SHORT = 32
 
 
 @dataclass
@@ -43,24 +43,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes(words: Words, base: np.uint64 = _PRIME) -> np.ndarray:
-    """64-bit hash of the bytes of each word; another odd `base` gives an independent one."""
-    length = words.end - words.begin
-    out = np.zeros(len(length), np.uint64)
-    table = np.arange(1, 257, dtype=np.uint64)
-    for k in range(int(min(length.max(initial=0), _SHORT))):
-        at = np.flatnonzero(length > k)
-        out[at] = out[at] * base + table[words.flat[words.begin[at] + k]]
-    for k in np.flatnonzero(length > _SHORT).tolist():  # few words are this long
-        rest = table[words.flat[words.begin[k] + _SHORT : words.end[k]]]
-        powers = np.full(len(rest), base, np.uint64)
-        powers[0] = 1
-        out[k] = (out[k : k + 1] * np.multiply.accumulate(np.full(len(rest), base, np.uint64))[-1] + (rest * np.multiply.accumulate(powers)).sum(dtype=np.uint64))[0]
-    return mix(out + length.astype(np.uint64) * _MIX)
+def byte_hashes(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[np.ndarray]:
+    """64-bit hashes of runs of bytes, one array for each seed.
+
+    Eight bytes at a time go into a state that is spread over all its bits before the next eight, so no
+    sum over places can cancel out, as it can in polynomials modulo 2**64. Longer runs are hashed by xxh3.
+    """
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    view = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    out = [mix(length.astype(np.uint64) + np.uint64(seed)) for seed in seeds]
+    for k in range(0, int(min(length.max(initial=0), _SHORT)), 8):
+        at = np.flatnonzero((length > k) & (length <= _SHORT))
+        lane = np.ascontiguousarray(view[begin[at] + k]).view("<u8").ravel().astype(np.uint64)
+        beyond = np.maximum(8 - (length[at] - k), 0).astype(np.uint64) * np.uint64(8)
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> beyond
+        for own, seed in zip(out, seeds, strict=True):
+            own[at] = mix((own[at] ^ lane) * np.uint64(seed | 1))
+    long = np.flatnonzero(length > _SHORT).tolist()  # few words are this long
+    for k in long:
+        data = flat[begin[k] : begin[k] + length[k]].tobytes()
+        for own, seed in zip(out, seeds, strict=True):
+            own[k] = xxhash.xxh3_64_intdigest(data, seed)
+    return out
+
+
+def hashes(words: Words, seeds: tuple[int, ...] = SEEDS) -> list[np.ndarray]:
+    """Hashes of the bytes of each word, one array for each seed."""
+    return byte_hashes(words.flat, words.begin, words.end - words.begin, seeds)
 
 
 class Runs:
-    """Hashes of runs of consecutive words of one text, from prefix sums of a polynomial."""
+    """Hashes of runs of consecutive words of one text, from prefix sums of a polynomial.
+
+    Runs are of some dozens of words; only far longer ones could cancel out whatever their words' hashes.
+    """
 
     STEPS = (0xD1342543DE82EF95, 0xDA942042E4DD58B5)  # odd, so they have an inverse modulo 2**64
 

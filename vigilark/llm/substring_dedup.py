@@ -59,8 +59,8 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def _two_runs(words: _words.Words) -> tuple[np.ndarray, _words.Runs, _words.Runs]:
     """Hashes of the words, and both kinds of hashes of runs of them."""
-    first = _words.hashes(words)
-    return first, _words.Runs(first), _words.Runs(_words.hashes(words, _words.SECOND), _words.Runs.STEPS[1])
+    first, second = _words.hashes(words)
+    return first, _words.Runs(first), _words.Runs(second, _words.Runs.STEPS[1])
 
 
 def _parse(docs: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _contexts(wanted: DataFrame) -> DataFrame:
             for part in chunks(texts, 1_000_000):
                 words = _words.split(texts[part])
                 ends = np.cumsum(words.counts)
-                flat = _words.hashes(words).view(np.int64)
+                flat = _words.hashes(words, _words.SEEDS[:1])[0].view(np.int64)
                 row, at, after, found = [], [], [], []
                 for k, (end, n, es) in enumerate(zip(ends.tolist(), words.counts.tolist(), edges[part], strict=True)):
                     own = flat[end - n : end]

@@ -28,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 
 from vigilark.llm._arrow import chunks, map_texts
 from vigilark.llm._labelled import labelled_sample
+from vigilark.llm._words import SEEDS, byte_hashes
 
 DECAY, MAX_SPAN, LETTERS = 0.7, 6, 32
 #: Bounds of the training: labelled documents of each class, distinct words of each class that the
-#: machine is fitted on (candidates beyond them, the least likely, are left out), landmarks.
+#: machine is fitted on (of more candidates those that tell the classes apart least are left out), landmarks.
 MAX_DOCS, MAX_WORDS, LANDMARKS, ROUNDS = 1000, 2000, 128, 2
 
 #: Characters scored together, letters whose norms are made together, and letters of a long word.
@@ -88,11 +89,7 @@ def some_words(w: Words, kept: np.ndarray) -> Words:
 def distinct(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
     """Each different word once, the 64-bit hash of each, and for every word its place among these."""
     begin = np.cumsum(w.sizes) - w.sizes
-    power = np.full(int(w.sizes.max(initial=0)) + 1, np.uint64(0x9E3779B97F4A7C15))
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    terms = w.codes.astype(np.uint64) * power[np.arange(len(w.codes)) - begin[w.owner]]
-    key = np.add.reduceat(terms, begin) ^ (w.sizes.astype(np.uint64) << np.uint64(40)) if len(begin) else np.zeros(0, np.uint64)
+    (key,) = byte_hashes(w.codes.astype(np.uint8), begin, w.sizes, SEEDS[:1])
     _, first, place = np.unique(key, return_index=True, return_inverse=True)
     order = np.argsort(first)  # in the order of the text
     rank = np.empty_like(order)
@@ -261,13 +258,14 @@ def fit_machine(rows: list[tuple[str, int]], totals: dict[int, int] | None = Non
     for s, label in sentences.items():
         share[label].update({w for w in map(_letters, s.split()) if len(w) >= 3})
     rate = sum(sentences.values()) / len(sentences)
-    guess = []
+    telling: dict[str, float] = {}
     for w, c in share[1].items():
         n = c + share[0][w]
         if c >= 3 and c * (1 - rate) > 5 * (n - c + 0.5) * rate:  # odds, and their likelihood ratio
             g = c * math.log(c / (n * rate)) + (n - c) * math.log(max(n - c, 1e-9) / (n * (1 - rate)))
             if g > math.log(len(share[1])) + 1:
-                guess.append(w)
+                telling[w] = g
+    guess = sorted(telling, key=lambda w: (-telling[w], w))
     rng = np.random.default_rng(seed)
     # clean words: those that toxic sentences do not favour, the common ones first
     even = [w for w, c in share[0].items() if share[1][w] * (1 - rate) <= 1.5 * c * rate]
@@ -294,7 +292,9 @@ def fit_machine(rows: list[tuple[str, int]], totals: dict[int, int] | None = Non
         machine = Machine((root @ beta) @ maps, bias, silent.curve)
         # toxic sentences' words beyond the margin join; clean words that come near it replace others
         beyond = _values(machine, toxic)
-        guess = sorted({w for w, v in zip(toxic, beyond, strict=True) if v >= 1 and share[0][w] * rate <= 0.2 * share[1][w] * (1 - rate)} | picked)
+        worst = dict(zip(toxic, beyond.tolist(), strict=True))
+        joined = {w for w, v in worst.items() if v >= 1 and share[0][w] * rate <= 0.2 * share[1][w] * (1 - rate)}
+        guess = sorted(joined | picked, key=lambda w: (-telling.get(w, 0.0), -worst[w], w))
         near = _values(machine, all_clean)
         clean = [all_clean[k] for k in np.argsort(-near, kind="stable")[: MAX_WORDS // 2]] + clean
         clean = list(dict.fromkeys(clean))
