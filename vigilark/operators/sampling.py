@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
 from vigilark.operators.frequencies import smoothed_unigram
+from vigilark.operators.ranks import dense_index
 from vigilark.sources.tables import settle
 
 #: Slices in which cumulative sums are made, and the least and greatest number of slots.
@@ -105,8 +106,6 @@ def contrastive_batches(counts: DataFrame, size: int, epoch: int, by_frequency:
     """
     import pandas as pd
 
-    from vigilark.operators.similarity import dense_index
-
     targets = counts.select("target").distinct()
     place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col("target").cast("string")))
     dealt = dense_index(targets.withColumn("_place", place), "_place").select("target", F.floor(F.col("index") / size).alias("batch"))

@@ -225,13 +225,3 @@ def to_distance(sims: DataFrame, group: list[str]) -> DataFrame:
 
 def unit_vectors(terms: DataFrame) -> DataFrame:
     return terms.withColumn("v", normalise(F.col("v")))
-
-
-def dense_index(terms: DataFrame, order: str = "ord") -> DataFrame:
-    """`index` from 0 in the order of a column: ranges of it are counted first, so that no order
-    over all rows is made in one task."""
-    ranged = terms.repartitionByRange(order).withColumn("part", F.spark_partition_id())
-    within = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = within.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
-    return within.join(before, "part").withColumn("index", (F.col("at") - 1 + F.col("before")).cast("bigint")).drop("part", "at", "before")

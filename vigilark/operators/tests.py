@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,12 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from vigilark.functions.distributions import chi2_tail, exact_rank_p, f_pvalue, normal_tail, two_tails
+from vigilark.functions.distributions import chi2_tail, exact_rank_p, f_pvalue, normal_quantile, normal_tail, two_tails
+from vigilark.operators.ranks import median_of_tally, sums_before, tallied
+from vigilark.sources.tables import settle
 
 KEYS = ["drug", "metric"]
 GROUPS = ("V", "R")
-#: Largest size of the smaller group whose rank test is exact.
-EXACT = 8
+#: Largest size of the smaller group whose rank test is exact, and ranks that are scored at once.
+EXACT, SCORED = 8, 1_000_000
 
 
 def _wide(values: DataFrame, column: str = "sim") -> DataFrame:
@@ -119,35 +120,41 @@ def bartlett(values: DataFrame) -> DataFrame:
     return stat.withColumn("p", two_tails(F.sqrt(F.greatest("stat", F.lit(0.0)))))
 
 
-def _deviations(values: DataFrame, about: str) -> DataFrame:
-    centre = (F.avg if about == "mean" else F.median)("sim").over(Window.partitionBy(*KEYS, "grp"))
-    return values.filter("sim is not null").withColumn("dev", F.abs(F.col("sim") - centre))
-
-
 def levene(values: DataFrame) -> DataFrame:
     """ANOVA of the absolute deviations from the group means."""
-    return anova(_deviations(values, "mean"), "dev")
+    own = [*KEYS, "grp"]
+    known = values.filter("sim is not null")
+    centres = known.groupBy(*own).agg(F.avg("sim").alias("centre"))
+    return anova(known.join(centres, own).withColumn("dev", F.abs(F.col("sim") - F.col("centre"))), "dev")
 
 
 def brown_forsythe_variances(values: DataFrame) -> DataFrame:
-    """ANOVA of the absolute deviations from the group medians."""
-    return anova(_deviations(values, "median"), "dev")
+    """ANOVA of the absolute deviations from the group medians.
+
+    Medians come from tallies in ranges of the values, so a large group is not held in one task.
+    """
+    own = [*KEYS, "grp"]
+    placed = settle(sums_before(tallied(values, own, "sim", n=F.lit(1)), own, "sim", ["n"]), columnar=True)
+    dev = F.abs(F.col("sim") - F.col("median"))
+    parts = placed.join(median_of_tally(placed, own, "sim"), own).select(*own, "n", (F.col("n") * dev).alias("total"), F.lit(0.0).alias("ss"))
+    return anova(parts)
 
 
 def mann_whitney(values: DataFrame) -> DataFrame:
     """U of the valid group (`stat`) from average ranks, the `z` score that ties and continuity
     correct, and the two-sided `p`: exact if a group has at most EXACT values and none are tied, else
     the normal approximation. Null if a group has fewer than two values or all its values are equal.
+
+    Equal values are counted first; ranks are the counts before them, added up over ranges of values.
     """
-    keyed = Window.partitionBy(*KEYS)
-    rows = values.filter("sim is not null")
-    first = F.rank().over(keyed.orderBy("sim"))
-    same = F.count("*").over(Window.partitionBy(*KEYS, "sim"))
-    ranked = rows.withColumn("ties", same.cast("double")).withColumn("r", first + (same - 1) / 2)
-    own = {g: F.when(F.col("grp") == g, F.col("sim")) for g in GROUPS}
+    size = {g: F.when(F.col("grp") == g, 1).otherwise(0) for g in GROUPS}
+    tally = tallied(values, KEYS, "sim", c_V=size["V"], c_R=size["R"]).withColumn("ties", F.col("c_V") + F.col("c_R"))
+    ranked = sums_before(tally, KEYS, "sim", ["ties"]).withColumn("r", F.col("before_ties") + (F.col("ties") + 1) / 2)
+    own = {g: F.when(F.col(f"c_{g}") > 0, F.col("sim")) for g in GROUPS}
+    ties = F.col("ties").cast("double")
     one = ranked.groupBy(*KEYS).agg(
-        *[F.count(own[g]).alias(f"n_{g}") for g in GROUPS], *[(F.max(own[g]) > F.min(own[g])).alias(f"varied_{g}") for g in GROUPS],
-        F.sum(F.when(F.col("grp") == "V", F.col("r"))).alias("r_V"), F.sum(F.col("ties") * F.col("ties") - 1).alias("tied"),
+        *[F.sum(f"c_{g}").alias(f"n_{g}") for g in GROUPS], *[(F.max(own[g]) > F.min(own[g])).alias(f"varied_{g}") for g in GROUPS],
+        F.sum(F.col("c_V") * F.col("r")).alias("r_V"), F.sum(ties * (ties * ties - 1)).alias("tied"),
     )
     n = F.col("n_V") + F.col("n_R")
     u = F.col("r_V") - F.col("n_V") * (F.col("n_V") + 1) / 2
@@ -186,9 +193,23 @@ def dagostino(x: np.ndarray, least: int = 20) -> float | None:
     return moments_p(len(x), *(float((d**k).mean()) for k in (2, 3, 4)), least)
 
 
-def normal_score(rank: int, n: int) -> float:
+def normal_score(rank: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
     """Where the rank-th of n values of a normal sample is expected, by Blom."""
-    return NormalDist().inv_cdf((rank - 0.375) / (n + 0.25))
+    return normal_quantile((np.asarray(rank, float) - 0.375) / (np.asarray(n, float) + 0.25))
+
+
+def score_sums(before: np.ndarray, ties: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the normal scores of the `ties` ranks behind `before` of `n`, and of their squares; some ranks at a time."""
+    total, square = np.zeros(len(n)), np.zeros(len(n))
+    for first in range(0, len(n), SCORED):
+        part = slice(first, first + SCORED)
+        score = normal_score(before[part] + 1, n[part])
+        total[part], square[part] = score, score**2
+    for k in np.flatnonzero(ties > 1).tolist():
+        for first in range(1, int(ties[k]), SCORED):
+            score = normal_score(before[k] + 1 + np.arange(first, min(first + SCORED, int(ties[k]))), n[k])
+            total[k], square[k] = total[k] + score.sum(), square[k] + (score**2).sum()
+    return total, square
 
 
 def scores_p(n: int, ss: float, square: float, product: float, wide: float, narrow: float) -> tuple[float, float] | None:
@@ -199,7 +220,7 @@ def scores_p(n: int, ss: float, square: float, product: float, wide: float, narr
     """
     if n <= 2 or ss <= 0:
         return None
-    u, top, next_ = 1 / math.sqrt(n), normal_score(n, n), normal_score(n - 1, n)
+    u, top, next_ = 1 / math.sqrt(n), float(normal_score(n, n)), float(normal_score(n - 1, n))
     if n == 3:
         total = math.sqrt(0.5) * wide
     else:
@@ -237,7 +258,7 @@ def shapiro(x: np.ndarray) -> tuple[float, float] | None:
     if len(x) <= 2:
         return None
     x, n = np.sort(x), len(x)
-    m = np.array([normal_score(k, n) for k in range(1, n + 1)])
+    m = normal_score(np.arange(1, n + 1), n)
     return scores_p(n, float(((x - x.mean()) ** 2).sum()), float(m @ m), float(m @ x), x[-1] - x[0], x[-2] - x[1])
 
 
@@ -280,30 +301,31 @@ def _kolmogorov_tail(n: int, d: float) -> float:
 def normality(values: DataFrame) -> DataFrame:
     """`drug`, `metric`, `grp`, `normality`, `shapiro`, `kolsir`: p-values of each group.
 
-    Moments, normal scores and distances from the curve are summed up by Spark; a group's rows pass
-    through one task in order, as a window that can spill, and are never held as a whole.
+    Equal values are counted first, their ranks are the counts before them, added up over ranges of
+    values; moments, normal scores and distances from the curve are sums over these. So a large group is
+    spread over as many tasks as it has ranges.
     """
     by = [*KEYS, "grp"]
-    rows = values.filter("sim is not null").select(*by, "sim")
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("sd"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("sim"))).join(sizes, by)
-
-    @pandas_udf("score double, curve double")
-    def at(rank: pd.Series, n: pd.Series, z: pd.Series) -> pd.DataFrame:
-        score = [normal_score(r, k) for r, k in zip(rank, n, strict=True)]
-        return pd.DataFrame({"score": score, "curve": [math.nan if x != x else 1 - normal_tail(x) for x in z.astype("float64")]})
-
-    z = F.try_divide(F.col("sim") - F.col("mean"), F.col("sd"))
-    placed = ranked.withColumn("at", at("rank", "n", z)).withColumn("d", F.col("sim") - F.col("mean"))
-    power = lambda k: F.avg(F.pow("d", F.lit(k)))
-    pick = lambda k: F.max(F.when(k, F.col("sim")))
-    n = F.col("n")
-    off = F.greatest(F.col("rank") / n - F.col("at.curve"), F.col("at.curve") - (F.col("rank") - 1) / n)
-    sums = placed.groupBy(*by).agg(
+    placed = settle(sums_before(tallied(values, by, "sim", c=F.lit(1)), by, "sim", ["c"]), columnar=True)
+    sizes = placed.groupBy(*by).agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("sim")) / F.sum("c")).alias("mean"))
+    around = placed.join(sizes, by).withColumn("d", F.col("sim") - F.col("mean"))
+    spread = around.groupBy(*by).agg(F.sqrt(F.sum(F.col("c") * F.col("d") * F.col("d")) / F.sum("c")).alias("sd"))
+
+    @pandas_udf("total double, square double, curve double")
+    def at(before: pd.Series, ties: pd.Series, n: pd.Series, z: pd.Series) -> pd.DataFrame:
+        total, square = score_sums(before.to_numpy(), ties.to_numpy(), n.to_numpy())
+        return pd.DataFrame({"total": total, "square": square, "curve": [math.nan if x != x else 1 - normal_tail(x) for x in z.astype("float64")]})
+
+    z = F.try_divide(F.col("d"), F.col("sd"))
+    scored = around.join(spread, by).withColumn("at", at("before_c", "c", "n", z))
+    n, upto = F.col("n"), F.col("before_c") + F.col("c")
+    power = lambda k: F.sum(F.col("c") * F.pow("d", F.lit(k))) / F.sum("c")
+    pick = lambda rank: F.max(F.when((F.col("before_c") < rank) & (rank <= upto), F.col("sim")))
+    off = F.greatest(upto / n - F.col("at.curve"), F.col("at.curve") - F.col("before_c") / n)
+    sums = scored.groupBy(*by).agg(
         F.max("n").alias("n"), power(2).alias("m2"), power(3).alias("m3"), power(4).alias("m4"), F.max("sd").alias("sd"),
-        F.sum(F.col("at.score") * F.col("at.score")).alias("square"), F.sum(F.col("at.score") * F.col("sim")).alias("product"),
-        (pick(F.col("rank") == n) - pick(F.col("rank") == 1)).alias("wide"),
-        (pick(F.col("rank") == n - 1) - pick(F.col("rank") == 2)).alias("narrow"), F.max(off).alias("off"),
+        F.sum("at.square").alias("square"), F.sum(F.col("at.total") * F.col("sim")).alias("product"),
+        (F.max("sim") - F.min("sim")).alias("wide"), (pick(n - 1) - pick(F.lit(2))).alias("narrow"), F.max(off).alias("off"),
     )
 
     @pandas_udf("normality double, shapiro double, kolsir double")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.functions.vectors import METRICS
-from vigilark.operators import frequencies, hierarchy, similarity
+from vigilark.operators import frequencies, hierarchy, ranks, similarity
 from vigilark.plans.fixtures import LEVELS3, LEVELS5, Tables, with_tables
 from vigilark.sources.tables import settle
 
@@ -169,7 +169,7 @@ def _normalized(t: Tables) -> DataFrame:
 
 @query("dense_index", with_tables(["freq"], "SELECT term, freq, row_number() OVER (ORDER BY term) - 1 AS idx FROM freq"))
 def _index(t: Tables) -> DataFrame:
-    return similarity.dense_index(t.freq(), "term").select("term", "freq", F.col("index").alias("idx"))
+    return ranks.dense_index(t.freq(), "term").select("term", "freq", F.col("index").alias("idx"))
 
 
 # -- frequencies -------------------------------------------------------------------------------
