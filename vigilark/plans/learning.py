@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators import clustering, frequencies, learning, relational, sampling, signal
+from vigilark.operators import clustering, frequencies, hdbscan, learning, relational, sampling, signal
 from vigilark.plans.fixtures import Tables, with_tables
 from vigilark.plans.signals import SEED, TEST_FRACTION, _sampled, contexts, corpus, last_label
 from vigilark.sources.tables import load_table, save_table, settle, shared_folder
@@ -189,6 +189,35 @@ def _clusters(t: Tables) -> DataFrame:
     return clustering.density_clusters(t.terms(), NEAR, 5, RADIUS)
 
 
+#: Prim's steps: of the nodes outside the tree the nearest joins it, and the others' distances to the tree follow.
+_PRIM = """SELECT 0 AS step, term, false AS inside, CASE WHEN term = (SELECT min(term) FROM points) THEN 0e0 ELSE 'infinity'::DOUBLE END AS best FROM points
+    UNION ALL SELECT step + 1, s.term, s.inside OR s.term = pick,
+        CASE WHEN s.inside OR s.term = pick THEN best ELSE least(best, greatest(list_distance(a.v, b.v), a.core, b.core)) END
+    FROM (SELECT *, first_value(term) OVER (ORDER BY inside, best, term) AS pick, bool_or(NOT inside) OVER () AS more FROM prim) s
+    JOIN points a ON a.term = s.term JOIN points b ON b.term = pick WHERE more"""
+_POINTS = "SELECT term, n.v, core FROM (SELECT min(term) AS term, v FROM terms GROUP BY v) n JOIN core USING (term)"
+
+
+@query(
+    "reachability_tree",
+    with_tables(
+        ["terms"],
+        "SELECT round(best, 6) + 0e0 AS w, count(*) AS n FROM prim WHERE step = (SELECT max(step) FROM prim) AND term <> (SELECT min(term) FROM points) GROUP BY 1",
+        {"near": _NEAR, "core": _CORE, "points": _POINTS, "prim": _PRIM},
+    ).replace("WITH", "WITH RECURSIVE", 1).replace("near AS (", "near AS MATERIALIZED (").replace("points AS (", "points AS MATERIALIZED ("),
+)
+def _tree(t: Tables) -> DataFrame:
+    """Edge weights of the least spanning tree of mutual reachability, with their numbers."""
+    tree = hdbscan.reachability_tree(t.terms(), NEAR)
+    return tree.groupBy((F.round("w", 6) + 0.0).alias("w")).agg(F.count("*").alias("n"))
+
+
+@query("stable_clusters")
+def _stable(t: Tables) -> DataFrame:
+    """Clusters of at least ten terms, chosen by stability."""
+    return hdbscan.stable_clusters(t.terms(), 10, NEAR)
+
+
 @query("pca_projection")
 def _pca(t: Tables) -> DataFrame:
     return clustering.projection(t.terms(), 2)
