@@ -5,16 +5,17 @@ across (`Pair` looks through both and leaves out the white space for which one c
 ";"). Tokens never cross such a cut, so what holds for a segment holds wherever it stands.
 
 1. `segment_blocks`: texts become blocks of documents, each with its distinct segments and, per
-   document, the places of its segments among these.
+   document, the places of its segments among these. The table is bucketed by block, so that it is
+   joined twice later without being moved.
 2. `align_segments`: the blocks' segments are dealt out by hash; in each bucket distinct segments are
    tokenised and aligned once, and joined back to the blocks that hold them.
 3. `compose`: documents are put together from the alignments of their segments; the id pairs that are
    linked in each document are counted once per document.
 4. `weigh`: corpus-wide counts go to the distinct segments, and back to blocks and documents.
 
-What goes between tasks is packed: a row is one block's share of one bucket, its columns Arrow buffers.
-There are in all as many buckets as keep a bucket's segments at a constant number, so no task's
-memory grows with the corpus.
+What goes between tasks is packed: a row is one block's share of one bucket, its columns compressed
+Arrow buffers. There are in all as many buckets as keep a bucket's segments at a constant number, so
+no task's memory grows with the corpus.
 """
 
 from __future__ import annotations
@@ -33,29 +34,41 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from vigilark.llm._tables import release, settle
+from vigilark.llm._tables import release, settle, settle_bucketed
 from vigilark.llm.bpe import byte_alphabet
 
-#: Characters of a block's texts (a longer text is a block of its own), blocks to a bucket, and
-#: segments put together at once.
-BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS, COMPOSED = 8_000_000, 2, 16, 400_000
+#: Characters of a block's texts (a longer text is a block of its own), blocks to a bucket, segments put
+#: together at once, and rows sent at once.
+BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS, COMPOSED, SENT = 10_000_000, 1, 48, 200_000, 50_000
 #: Characters before which a text may be cut, if the vocabularies allow.
 CUTS = " \t\n\x0b\x0c\r"
 #: An id pair is one number: the id of A times this, plus the id of B.
 PAIR = 1 << 24
 
 
-def pack(table: pa.Table) -> bytes:
-    """A table as compressed Arrow buffers."""
-    sink = pa.BufferOutputStream()
+def pack(**columns: np.ndarray | pa.Array) -> bytes:
+    """Arrays of any lengths as compressed Arrow buffers, whole numbers in as few bytes as they need."""
+    row = {}
+    for name, x in columns.items():
+        if isinstance(x, np.ndarray):
+            x = pa.array(x if x.dtype == bool or x.min(initial=0) < 0 else x.astype(np.min_scalar_type(x.max(initial=0))))
+        row[name] = pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), x)
+    table, sink = pa.table(row), pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def unpack(data: bytes) -> dict[str, pa.Array]:
+    table = pa.ipc.open_stream(data).read_all()
+    return {c: table.column(c).combine_chunks().flatten() for c in table.column_names}
+
+
+def number(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Pair:
@@ -151,7 +164,7 @@ def tokenizers(path_a: str, path_b: str) -> Pair:
 
 # -- 1: documents as places of segments --------------------------------------------------------
 def segment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`block`, `docs` (id, number of segments), `places`, `segments`: about BLOCK_CHARS of texts a row."""
+    """`block`, `docs` (ids and numbers of segments), `places`, `segments`: about BLOCK_CHARS of texts a row."""
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +174,11 @@ def segment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
 
         def block() -> pa.RecordBatch:
             nonlocal index, ids, sizes, places, chars, first
-            named = pa.table({"id": pa.concat_arrays(ids), "n": pa.array(sizes, pa.int32())})
-            where = pa.table({"k": pa.array(np.frombuffer(places, np.int32))})
-            row = [pa.array([first]), *(pa.array([pack(t)]) for t in (named, where, pa.table({"s": pa.array(list(index), pa.string())})))]
+            docs = pack(id=pa.concat_arrays(ids), n=np.array(sizes, np.int64))
+            row = [docs, pack(k=np.frombuffer(places, np.int32)), pack(s=pa.array(list(index), pa.string()))]
+            out = pa.RecordBatch.from_arrays([pa.array([first]), *(pa.array([x], pa.binary()) for x in row)], names=["block", "docs", "places", "segments"])
             index, ids, sizes, places, chars, first = {}, [], [], array("i"), 0, first + 1
-            return pa.RecordBatch.from_arrays(row, names=["block", "docs", "places", "segments"])
+            return out
 
         for batch in batches:
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -183,31 +196,43 @@ def segment_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
 
 
 # -- 2: distinct segments ----------------------------------------------------------------------
+_RAGGED = {"a": "n_a", "b": "n_b", "in_a": "n_groups", "in_b": "n_groups"}
+
+
+def _packed(found: pa.Table) -> bytes:
+    """Alignments as flat arrays and their sizes."""
+    columns = {c: found.column(c).combine_chunks() for c in found.column_names}
+    flat = {c: number(columns[c].flatten()) for c in _RAGGED}
+    sizes = {n: _sizes(columns[c]) for c, n in _RAGGED.items()}
+    return pack(valid=number(columns["valid"]).astype(bool), **flat, **sizes)
+
+
 def align_segments(blocks: DataFrame, buckets: int, path_a: str, path_b: str) -> DataFrame:
     """Rows of a bucket: for each block `places` (of its segments in the block and in the bucket) and
-    their alignments `found`; and one row without a block, with the alignments of all distinct segments."""
+    their alignments `found`; and one row of the block -1 - bucket, with all its distinct segments."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                segments = unpack(data.as_py()).column("s").combine_chunks()
+                segments = unpack(data.as_py())["s"]
                 bucket = np.fromiter((crc32(s.encode()) % buckets for s in segments.to_pylist()), np.int64, len(segments))
                 for k in np.unique(bucket).tolist():
-                    at = pa.array(np.flatnonzero(bucket == k), pa.int32())
-                    part = pack(pa.table({"k": at, "s": segments.take(at)}))
+                    at = np.flatnonzero(bucket == k)
+                    part = pack(step=np.diff(np.r_[0, at]), s=segments.take(pa.array(at)))
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([k], pa.int32()), pa.array([part])], names=["block", "bucket", "part"])
 
     def align(key, rows):
+        bucket = key[0].as_py()
         parts = [unpack(x.as_py()) for x in rows.column("part")]
-        once = pa.chunked_array([c for p in parts for c in p.column("s").chunks], pa.string()).combine_chunks().dictionary_encode()
+        once = pa.chunked_array([p["s"] for p in parts], pa.string()).combine_chunks().dictionary_encode()
         found = tokenizers(path_a, path_b).align(once.dictionary.to_pylist())
-        out, at = [(None, None, pack(found))], 0
+        out, at = [(-1 - bucket, pack(), _packed(found))], 0
         for block, part in zip(rows.column("block").to_pylist(), parts, strict=True):
-            own = once.indices.slice(at, len(part))
-            at += len(part)
-            out.append((block, pack(pa.table({"k": part.column("k"), "at": own})), pack(found.take(own))))
+            own = once.indices.slice(at, len(part["s"]))
+            at += len(own)
+            out.append((block, pack(step=number(part["step"]), at=number(own)), _packed(found.take(own))))
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int32()), *columns], names=["bucket", "block", "places", "found"])
+        return pa.Table.from_arrays([pa.array([bucket] * len(out), pa.int32()), *columns], names=["bucket", "block", "places", "found"])
 
     dealt = blocks.select("block", "segments").mapInArrow(deal, "block bigint, bucket int, part binary")
     return dealt.groupBy("bucket").applyInArrow(align, "bucket int, block bigint, places binary, found binary")
@@ -215,42 +240,34 @@ def align_segments(blocks: DataFrame, buckets: int, path_a: str, path_b: str) ->
 
 # -- 3: documents ------------------------------------------------------------------------------
 class Segments:
-    """The alignments of a block's segments, in the order of the block."""
+    """Alignments of segments, in the order of the places `at` that they are given for."""
 
-    def __init__(self, parts: list[tuple[pa.Table, pa.Table]]) -> None:
-        at = pa.chunked_array([c for places, _ in parts for c in places.column("k").chunks], pa.int32()).combine_chunks()
-        found = pa.concat_tables([f for _, f in parts]).combine_chunks() if parts else tokens_of([])
-        found = found.take(pc.sort_indices(at))
-        self.valid = found.column("valid").to_numpy()
-        col = {c: found.column(c).combine_chunks() for c in ("a", "b", "in_a", "in_b")}
-        self.n_a, self.n_b, self.n_groups = (_sizes(col[c]) for c in ("a", "b", "in_a"))
-        self.a, self.b, self.in_a, self.in_b = (col[c].flatten() for c in ("a", "b", "in_a", "in_b"))
+    def __init__(self, parts: list[dict[str, pa.Array]], at: np.ndarray | None = None) -> None:
+        all_of = lambda c: np.concatenate([number(p[c]) for p in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable") if at is not None else np.arange(len(all_of("valid")))
+        self.valid = all_of("valid")[order] > 0
+        self.n_a, self.n_b, self.n_groups = (all_of(c)[order] for c in ("n_a", "n_b", "n_groups"))
+        self.a, self.b, self.in_a, self.in_b = (lists(all_of(c), all_of(n)).take(pa.array(order)).flatten() for c, n in _RAGGED.items())
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Linked id pairs end to end, and how many each segment has, repeats included."""
-        ga, gb = self.in_a.to_numpy().astype(np.int64), self.in_b.to_numpy().astype(np.int64)
-        start_b = np.cumsum(gb) - gb
+        ga, gb = number(self.in_a), number(self.in_b)
         width = np.repeat(gb, ga)  # per token of A: tokens of B in its group
-        left = np.repeat(self.a.to_numpy().astype(np.int64), width)
-        first = np.repeat(np.repeat(start_b, ga), width)
-        step = np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width)
-        counts = np.diff(np.r_[0, np.cumsum(ga * gb)][np.r_[0, np.cumsum(self.n_groups)]])
-        return left * PAIR + self.b.to_numpy().astype(np.int64)[first + step], counts
+        first = np.repeat(np.cumsum(gb) - gb, ga) - (np.cumsum(width) - width)
+        left = np.repeat(number(self.a), width)
+        right = number(self.b)[np.repeat(first, width) + np.arange(len(left))]
+        return left * PAIR + right, _spans(ga * gb, np.cumsum(self.n_groups))
 
     def texts(self) -> pa.Array:
         """Each segment's groups as text, `a1,a2|b1;a3|b2`."""
         join = lambda ids, sizes, sign: pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), ids), sign)
-        left = join(self.a.cast(pa.string()), self.in_a.to_numpy(), ",")
-        right = join(self.b.cast(pa.string()), self.in_b.to_numpy(), ",")
+        left = join(self.a.cast(pa.string()), number(self.in_a), ",")
+        right = join(self.b.cast(pa.string()), number(self.in_b), ",")
         return join(pc.binary_join_element_wise(left, right, "|"), self.n_groups, ";")
 
 
-def tokens_of(rows: list) -> pa.Table:
-    return pa.table({"valid": pa.array(rows, pa.bool_()), **{c: pa.array(rows, pa.list_(pa.int32())) for c in ("a", "b", "in_a", "in_b")}})
-
-
 def _sizes(column: pa.ListArray) -> np.ndarray:
-    return pc.list_value_length(column).to_numpy().astype(np.int64)
+    return number(pc.list_value_length(column))
 
 
 def _spans(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -258,54 +275,68 @@ def _spans(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values)][np.r_[0, ends]])
 
 
-def compose(blocks: DataFrame, aligned: DataFrame, digest: bool = True) -> DataFrame:
-    """Rows of two kinds: documents (`id`, `block`, `place` in it, `n_a` ... `groups`, of which only the
-    SHA-256 with `digest`), and per block the linked `pair`s with the number `n` of its documents that hold them."""
-    names = ["id", "block", "place", "n_a", "n_b", "n_groups", "n_links", "groups", "pair", "n"]
+def _documents(row: dict[str, pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    return row["id"], np.cumsum(number(row["n"]))
+
+
+#: Kinds of rows of `compose`.
+DOCUMENT, LINKED, HOLDS, DISTINCT = range(4)
+
+
+def compose(blocks: DataFrame, aligned: DataFrame, id_type: str, digest: bool = True) -> DataFrame:
+    """Rows of four `kind`s: DOCUMENT (`id`, `block`, `place` in it, `n_a` ... `groups`, of which only the SHA-256
+    with `digest`); LINKED, per block an id `pair` and the number `n` of its documents that hold it; and what
+    `weigh` needs of the alignments: HOLDS, for a `block` and `bucket` the places in both, and DISTINCT, the
+    alignments of a bucket's segments."""
+    schema = "kind tinyint, block bigint, bucket int, data binary, pair bigint, n bigint, place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string"
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    kinds = dict(zip(names, (pa.int8(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.string()), strict=True))
 
     def run(key, left, right):
-        parts = [(unpack(p.as_py()), unpack(f.as_py())) for p, f in zip(right.column("places"), right.column("found"), strict=True)]
-        seg = Segments(parts)
-        docs, at = unpack(left.column("docs")[0].as_py()), unpack(left.column("places")[0].as_py()).column("k").to_numpy()
-        ends = np.cumsum(docs.column("n").to_numpy().astype(np.int64))
-        good = _spans(~seg.valid[at], ends) == 0
+        def rows(kind: int, size: int, block: int | None, **columns) -> pa.Table:
+            """`size` rows of one kind; columns not given are null."""
+            known = {"kind": [kind] * size, "block": [block] * size} | columns
+            found = {c: pa.array(known[c], t) if c in known else pa.nulls(size, t) for c, t in kinds.items()}
+            return pa.table({"id": known["id"] if "id" in known else pa.nulls(size, id_kind), **found})
+
+        block = key[0].as_py()
+        if block < 0:
+            return rows(DISTINCT, 1, None, bucket=[-1 - block], data=[right.column("found")[0].as_py()])
+        parts = [unpack(f.as_py()) for f in right.column("found")]
+        places = [x.as_py() for x in right.column("places")]
+        at = np.concatenate([np.cumsum(number(unpack(x)["step"])) for x in places]) if places else np.zeros(0, np.int64)
+        seg = Segments(parts, at)
+        ids, ends = _documents(unpack(left.column("docs")[0].as_py()))
+        of = number(unpack(left.column("places")[0].as_py())["k"])
+        good = _spans(~seg.valid[of], ends) == 0
         pairs, n_links = seg.links()
-        totals = [np.where(good, _spans(x[at], ends), 0) for x in (seg.n_a, seg.n_b, seg.n_groups, n_links)]
+        totals = {c: np.where(good, _spans(x[of], ends), 0) for c, x in (("n_a", seg.n_a), ("n_b", seg.n_b), ("n_groups", seg.n_groups), ("n_links", n_links))}
         known, code = np.unique(pairs, return_inverse=True)
-        held = _documents_with(at, ends, good, n_links, code, len(known))
+        held = _documents_with(of, ends, good, n_links, code.astype(np.int32), len(known))
         some = held > 0
-        digests = _group_texts(at, ends, good, seg.texts(), digest)
-        n, m = len(ends), int(some.sum())
-        block = key[0].as_py()
-        ids = docs.column("id").combine_chunks()
-        columns = [
-            pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
-            pa.array([block] * (n + m), pa.int64()),
-            pa.concat_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(m, pa.int32())]),
-            *(pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in totals),
-            pa.concat_arrays([pa.array(digests, pa.string()), pa.nulls(m, pa.string())]),
-            *(pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (known[some], held[some])),
-        ]
-        return pa.Table.from_arrays(columns, names=names)
+        found = rows(DOCUMENT, len(ends), block, id=ids, place=np.arange(len(ends)), groups=_group_texts(of, ends, good, seg.texts(), digest), **totals)
+        known, held = known[some], held[some]
+        linked = [rows(LINKED, len(known[k : k + SENT]), None, pair=known[k : k + SENT], n=held[k : k + SENT]) for k in range(0, len(known), SENT)]
+        return pa.concat_tables([found, *linked, rows(HOLDS, len(places), block, bucket=right.column("bucket").to_pylist(), data=places)])
 
-    kind = _id_type(blocks)
-    schema = f"id {kind}, block bigint, place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pair bigint, n bigint"
-    left, right = blocks.select("block", "docs", "places").groupBy("block"), aligned.filter("block is not null").groupBy("block")
-    return left.cogroup(right).applyInArrow(run, schema)
+    id_kind = pa_type(id_type)
+    left = blocks.select("block", "docs", "places").groupBy("block")
+    return left.cogroup(aligned.groupBy("block")).applyInArrow(run, f"id {id_type}, {schema}")
 
 
-def _id_type(blocks: DataFrame) -> str:
-    return blocks._id_type
+def pa_type(ddl: str) -> pa.DataType:
+    """Arrow type of a column."""
+    return to_arrow_schema(StructType.fromDDL(f"x {ddl}")).field("x").type
 
 
-def _documents_with(at: np.ndarray, ends: np.ndarray, good: np.ndarray, n_links: np.ndarray, code: np.ndarray, known: int) -> np.ndarray:
+def _documents_with(of: np.ndarray, ends: np.ndarray, good: np.ndarray, n_links: np.ndarray, code: np.ndarray, known: int) -> np.ndarray:
     """For each known pair, how many good documents hold it."""
     held, seen_seg, seen = np.zeros(known, np.int64), np.zeros(len(n_links), np.int32), np.zeros(known, np.int32)
     first = np.cumsum(n_links) - n_links
     for begin, end, ok in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), good.tolist(), strict=True):
         if not ok or begin == end:
             continue
-        s = at[begin:end]
+        s = of[begin:end]
         order = np.arange(len(s), dtype=np.int32)
         seen_seg[s] = order  # the last of equal ones stays
         s = s[seen_seg[s] == order]
@@ -317,14 +348,14 @@ def _documents_with(at: np.ndarray, ends: np.ndarray, good: np.ndarray, n_links:
     return held
 
 
-def _group_texts(at: np.ndarray, ends: np.ndarray, good: np.ndarray, texts: pa.Array, digest: bool) -> list[str]:
+def _group_texts(of: np.ndarray, ends: np.ndarray, good: np.ndarray, texts: pa.Array, digest: bool) -> list[str]:
     """Groups of each document, joined; empty for those without tokens. Some documents at a time."""
     out: list[str] = []
     starts = np.r_[0, ends[:-1]]
     doc = 0
     while doc < len(ends):
         upto = max(doc + 1, int(np.searchsorted(ends, starts[doc] + COMPOSED, side="right")))
-        some = texts.take(pa.array(at[starts[doc] : ends[upto - 1]]))
+        some = texts.take(pa.array(of[starts[doc] : ends[upto - 1]]))
         bounds = pa.array(np.r_[0, ends[doc:upto] - starts[doc]], pa.int32())
         for text, ok in zip(pc.binary_join(pa.ListArray.from_arrays(bounds, some), ";"), good[doc:upto].tolist(), strict=True):
             text = text.as_py() if ok else ""
@@ -334,56 +365,57 @@ def _group_texts(at: np.ndarray, ends: np.ndarray, good: np.ndarray, texts: pa.A
 
 
 # -- 4: counts of the corpus -------------------------------------------------------------------
-def weigh(blocks: DataFrame, aligned: DataFrame, counts: DataFrame) -> DataFrame:
+def weigh(blocks: DataFrame, composed: DataFrame) -> DataFrame:
     """`block`, `place`, `n_best`, `count_sum` of every document.
 
-    `counts` holds `pair`, `n`. Each distinct segment gets the sums over its own links once; these go
-    to the blocks that hold it, and there to the documents.
+    A bucket asks for the counts of its different pairs and adds them up over the links of each distinct
+    segment, once; the sums go to the blocks that hold it, and there to the documents.
     """
-    top = Window.partitionBy(F.floor(F.col("pair") / PAIR))
-    table = counts.withColumn("best", (F.col("n") == F.max("n").over(top)).cast("long"))
+    counts = composed.filter(F.col("kind") == LINKED).groupBy("pair").agg(F.sum("n").alias("n"))
+    of_a = Window.partitionBy(F.floor(F.col("pair") / PAIR))
+    table = counts.withColumn("best", (F.col("n") == F.max("n").over(of_a)).cast("long"))
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = unpack(data.as_py())
-                pairs, n_links = Segments([(pa.table({"k": pa.array(np.arange(len(found)), pa.int32())}), found)]).links()
-                at = np.repeat(np.arange(len(n_links)), n_links)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), bucket), pa.int32()), pa.array(at, pa.int32()), pa.array(pairs)], names=["bucket", "at", "pair"])
+                own = np.unique(Segments([unpack(data.as_py())]).links()[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket), pa.int32()), pa.array(own)], names=["bucket", "pair"])
 
-    flat = aligned.filter("block is null").select("bucket", "found").mapInArrow(links, "bucket int, at int, pair bigint")
-    sums = flat.join(table, "pair").groupBy("bucket", "at").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    distinct = composed.filter(F.col("kind") == DISTINCT).select("bucket", "data")
+    priced = distinct.mapInArrow(pairs, "bucket int, pair bigint").join(table, "pair")
 
     def to_blocks(key, left, right):
-        at = right.column("at").to_numpy()
-        best, total = np.zeros(int(at.max(initial=-1)) + 1, np.int64), np.zeros(int(at.max(initial=-1)) + 1, np.int64)
-        best[at], total[at] = right.column("n_best").to_numpy(), right.column("count_sum").to_numpy()
+        order = np.argsort(number(right.column("pair").combine_chunks()))
+        price = {c: number(right.column(c).combine_chunks())[order] for c in ("pair", "best", "n")}
+        kind = number(left.column("kind").combine_chunks())
+        data = [unpack(x.as_py()) for x in left.column("data")]
+        links, n_links = Segments([data[k] for k in np.flatnonzero(kind == DISTINCT).tolist()]).links()
+        # pairs without a count stand only in documents that have no tokens
+        at = np.minimum(np.searchsorted(price["pair"], links), max(0, len(price["pair"]) - 1))
+        known = price["pair"][at] == links if len(price["pair"]) else np.zeros(len(links), bool)
+        best, total = (_spans(np.where(known, price[c][at], 0) if len(price["pair"]) else np.zeros(len(links), np.int64), np.cumsum(n_links)) for c in ("best", "n"))
         out = []
-        for data in left.column("places"):
-            places = unpack(data.as_py())
-            own = places.column("at").to_numpy()
-            inside = own < len(best)
-            own = np.where(inside, own, 0)
-            x, y = (np.where(inside, v[own], 0) if len(v) else np.zeros(len(own), np.int64) for v in (best, total))
-            out.append(pack(pa.table({"k": places.column("k"), "n_best": x, "count_sum": y})))
-        return pa.Table.from_arrays([left.column("block").combine_chunks(), pa.array(out, pa.binary())], names=["block", "sums"])
-
-    left = aligned.filter("block is not null").select("bucket", "block", "places").groupBy("bucket")
-    shares = left.cogroup(sums.groupBy("bucket")).applyInArrow(to_blocks, "block bigint, sums binary")
+        for k in np.flatnonzero(kind == HOLDS).tolist():
+            own = number(data[k]["at"])
+            out.append(pack(step=number(data[k]["step"]), n_best=best[own], count_sum=total[own]))
+        block = left.column("block").combine_chunks().filter(pa.array(kind == HOLDS))
+        return pa.Table.from_arrays([block, pa.array(out, pa.binary())], names=["block", "sums"])
+
+    left = composed.filter(F.col("kind").isin(HOLDS, DISTINCT)).select("kind", "bucket", "block", "data").groupBy("bucket")
+    shares = left.cogroup(priced.groupBy("bucket")).applyInArrow(to_blocks, "block bigint, sums binary")
 
     def to_docs(key, left, right):
         parts = [unpack(x.as_py()) for x in right.column("sums")]
-        own = pa.concat_tables(parts) if parts else pa.table({c: pa.array([], pa.int64()) for c in ("k", "n_best", "count_sum")})
-        k = own.column("k").to_numpy()
-        at = unpack(left.column("places")[0].as_py()).column("k").to_numpy()
-        ends = np.cumsum(unpack(left.column("docs")[0].as_py()).column("n").to_numpy().astype(np.int64))
-        found = []
+        of = number(unpack(left.column("places")[0].as_py())["k"])
+        _, ends = _documents(unpack(left.column("docs")[0].as_py()))
+        found = {}
         for c in ("n_best", "count_sum"):
-            per_segment = np.zeros(len(k), np.int64)
-            per_segment[k] = own.column(c).to_numpy()
-            found.append(_spans(per_segment[at], ends))
+            per_segment = np.zeros(sum(len(p[c]) for p in parts), np.int64)
+            for p in parts:
+                per_segment[np.cumsum(number(p["step"]))] = number(p[c])
+            found[c] = _spans(per_segment[of], ends)
         n = len(ends)
-        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n), pa.int32()), "n_best": found[0], "count_sum": found[1]})
+        return pa.table({"block": pa.array([key[0].as_py()] * n, pa.int64()), "place": pa.array(np.arange(n), pa.int32()), **found})
 
     docs = blocks.select("block", "docs", "places").groupBy("block")
     return docs.cogroup(shares.groupBy("block")).applyInArrow(to_docs, "block bigint, place int, n_best bigint, count_sum bigint")
@@ -404,15 +436,12 @@ def align_tokenizers(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     cut and put together in one task.
     """
     id_type = dict(docs.dtypes)[id_col]
-    blocks = settle(segment_blocks(docs, path_a, path_b, id_col, text_col), columnar=True)
-    blocks._id_type = id_type
+    blocks = settle_bucketed(segment_blocks(docs, path_a, path_b, id_col, text_col), "block")
     buckets = max(LEAST_BUCKETS, -(-blocks.count() // BLOCKS_A_BUCKET))
-    aligned = settle(align_segments(blocks, buckets, path_a, path_b), columnar=True)
-    composed = settle(compose(blocks, aligned, digest), columnar=True)
-    counts = composed.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
-    weights = settle(weigh(blocks, aligned, counts), columnar=True)
-    release(blocks, aligned)
-    rows = composed.filter("pair is null").join(weights, ["block", "place"])
+    composed = settle(compose(blocks, align_segments(blocks, buckets, path_a, path_b), id_type, digest), columnar=True)
+    weights = settle(weigh(blocks, composed), columnar=True)
+    release(blocks)
+    rows = composed.filter(F.col("kind") == DOCUMENT).join(weights, ["block", "place"])
     none = F.col("n_links") == 0  # a document without tokens keeps its segments' sums to itself
     return rows.select(
         F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links",
