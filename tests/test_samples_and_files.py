@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilark.operators import groups, learning, relational, sampling, similarity
+from vigilark.operators import groups, learning, ranks, relational, sampling, similarity
 from vigilark.sources import files, sinks, tables
 
 
@@ -48,6 +48,38 @@ def test_every_positive_gets_a_negative(spark):
     assert sampling.negatives_by_key(pos.limit(0), "drug", "reaction", pos).count() == 0
 
 
+def test_negatives_when_nearly_all_pairs_are_known(spark):
+    free = [(d, (d * 37) % 250) for d in range(0, 40, 4)]
+    rows = [(d, r) for d in range(40) for r in range(250) if (d, r) not in free]
+    known = spark.createDataFrame(rows, "drug int, reaction int")
+    few = known.filter("reaction < 3")
+    got = sampling.negatives_at_random(few, known, True, 1, 3, known).collect()
+    assert len(got) == few.count() and {(r["drug"], r["reaction"]) for r in got} <= set(free)
+    assert len({(r["drug"], r["reaction"]) for r in got}) == len(free)  # all that is free is drawn
+    mine = known.filter("drug % 8 = 0 and reaction < 20")
+    got = sampling.negatives_by_key(mine, "drug", "reaction", known, True, 1, 3, known).collect()
+    assert len(got) == mine.count() and {(r["drug"], r["reaction"]) for r in got} == {f for f in free if f[0] % 8 == 0}
+
+
+def test_draws_go_on_beyond_what_is_taken(spark):
+    taken = spark.createDataFrame([("a", k, 1) for k in (0, 1, 4, 7)] + [("b", 2, 1)], "g string, at bigint, size bigint")
+    draws = spark.createDataFrame([(g, k, f"{g}{k}") for g in "abc" for k in range(5)], "g string, u bigint, name string")
+    got = {r["name"]: r["u"] for r in ranks.beyond_taken(draws, ["g"], "u", taken).collect()}
+    want = {"a": [2, 3, 5, 6, 8], "b": [0, 1, 3, 4, 5], "c": [0, 1, 2, 3, 4]}
+    assert got == {f"{g}{k}": x for g, xs in want.items() for k, x in enumerate(xs)}
+
+
+def test_a_control_group_for_nearly_half_of_the_pool(spark):
+    pool = spark.range(5000).select((F.col("id") * 3).alias("term"), F.col("id").alias("index"))
+    valid = pool.filter("index % 50 < 22").select(F.lit("hot").alias("drug"), F.col("term").alias("reaction"))
+    valid = groups.usable_groups(valid.unionByName(spark.createDataFrame([("hot", -1), ("small", 0), ("small", 3)], "drug string, reaction bigint")), pool.select("term"))
+    got = groups.control_groups(valid, pool, spare=0).collect()
+    own = {r["reaction"] for r in got if r["drug"] == "hot"}
+    assert len(own) == len([r for r in got if r["drug"] == "hot"]) == 2200
+    assert not own & {r["reaction"] for r in valid.filter("drug = 'hot'").collect()}
+    assert len([r for r in got if r["drug"] == "small"]) == 2
+
+
 def test_batches_have_their_size_and_lose_no_context(spark):
     rows = [(t, c, 1 + (t * c) % 5) for t in range(50) for c in range(t % 7, 40, 7)] + [(100 + t, 0, 1) for t in range(6)]
     counts = spark.createDataFrame(rows, "target int, context int, n bigint")

@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
+from vigilark.operators.ranks import beyond_taken
 from vigilark.operators.similarity import BLOCK, load, pair_matrix
 from vigilark.sources.tables import settle
 
 
+#: Turns of drawing ranks; each leaves about a third of what was lacking at most.
+MOST_TURNS = 1000
+
+
 def usable_groups(pairs: DataFrame, terms: DataFrame, least: int = 2) -> DataFrame:
     """Distinct pairs whose reaction is embedded, of drugs with at least `least` of these."""
     known = pairs.distinct().join(terms.select(F.col("term").alias("reaction")), "reaction", "left_semi")
@@ -30,9 +35,10 @@ def control_groups(groups: DataFrame, pool: DataFrame, seed: int = 1, spare: int
 
     Every drug makes `spare` times as many draws as it needs, and some more; a draw is a place in
     the pool (`index` from 0), so no drug is paired with the whole pool. Draws that repeat or hit the
-    group are void. Drugs still short after that, whose group takes up much of the pool, go through
-    the rest of it in a pseudo-random order. A drug for which the pool holds too few other terms has no
-    control group and no rows.
+    group are void. Drugs still short after that, whose group takes up much of the pool, draw ranks
+    among what is free for them, as many as they lack, until they lack none: what is free is never
+    listed, and in each round most draws differ. A drug for which the pool holds too few other terms
+    has no control group and no rows.
     """
     size = pool.agg(F.count("*").alias("size"))  # one row
     wanted = groups.select("drug", "n").distinct().join(F.broadcast(size)).filter(F.col("n") * 2 <= F.col("size"))
@@ -40,17 +46,24 @@ def control_groups(groups: DataFrame, pool: DataFrame, seed: int = 1, spare: int
     place = F.floor(uniform(F.col("drug").cast("string"), F.col("attempt").cast("string"), seed) * F.col("size"))
     drawn = tries.withColumn("index", place.cast("bigint")).groupBy("drug", "n", "index").agg(F.min("attempt").alias("attempt"))
     places = pool.select("index", F.col("term").alias("reaction"))
-    taken = groups.select("drug", "reaction")
-    free = drawn.join(places, "index").join(taken, ["drug", "reaction"], "left_anti")
+    own = settle(groups.select("drug", "reaction").join(places, "reaction").select("drug", "index"), columnar=True)
+    free = drawn.join(own, ["drug", "index"], "left_anti")
     order = Window.partitionBy("drug").orderBy("attempt")
-    found = settle(free.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n")).select("drug", "reaction"))
-    lacking = wanted.join(found.groupBy("drug").agg(F.count("*").alias("got")), "drug", "left")
-    lacking = lacking.withColumn("short", F.col("n") - F.coalesce("got", F.lit(0))).filter("short > 0")
-    others = lacking.withColumn("index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1))).join(places, "index")
-    others = others.join(taken, ["drug", "reaction"], "left_anti").join(found, ["drug", "reaction"], "left_anti")
-    u = uniform(F.col("drug").cast("string"), F.col("reaction").cast("string"), "rest", seed)
-    rest = others.withColumn("k", F.row_number().over(Window.partitionBy("drug").orderBy(u, "reaction")))
-    return found.unionByName(rest.filter(F.col("k") <= F.col("short")).select("drug", "reaction"))
+    found = settle(free.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= F.col("n")).select("drug", "index"), columnar=True)
+    for turn in range(MOST_TURNS):
+        got = found.groupBy("drug").agg(F.count("*").alias("got"))
+        lacking = settle(wanted.join(got, "drug", "left").withColumn("short", F.col("n") - F.coalesce("got", F.lit(0))).filter("short > 0"), columnar=True)
+        if lacking.isEmpty():
+            return found.join(places, "index").select("drug", "reaction")
+        # the group's terms that are not in the pool take up no place there
+        taken = own.unionByName(found).join(lacking.select("drug"), "drug", "left_semi").distinct()
+        held = lacking.join(taken.groupBy("drug").agg(F.count("*").alias("held")), "drug", "left")
+        ranks = held.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.col("short").cast("int"))))
+        u = uniform(F.col("drug").cast("string"), F.col("attempt").cast("string"), "rest", turn, seed)
+        ranks = ranks.select("drug", F.floor(u * (F.col("size") - F.coalesce("held", F.lit(0)))).cast("bigint").alias("index")).distinct()
+        more = beyond_taken(ranks, ["drug"], "index", taken.select("drug", F.col("index").alias("at"), F.lit(1).cast("bigint").alias("size")))
+        found = found.unionByName(settle(more.select("drug", "index"), columnar=True))
+    raise RuntimeError("control groups did not fill up")
 
 
 def group_moments(valid: DataFrame, control: DataFrame, terms: DataFrame, metrics: list[str]) -> DataFrame:

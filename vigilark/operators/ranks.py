@@ -7,6 +7,8 @@ execution makes of the partitions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +27,45 @@ def sums_before(rows: DataFrame, by: list[str], order: str, amounts: list[str])
     Rows that are equal in `by` and `order` have to be one row (see `tallied`). Nulls in `order` come
     first; null amounts count as 0. A group of `by` is spread over as many tasks as it has ranges.
     """
+    return _sums(rows, by, order, amounts, "before", lambda w: w.rowsBetween(Window.unboundedPreceding, -1))
+
+
+def sums_upto(rows: DataFrame, by: list[str], order: str, amounts: list[str]) -> DataFrame:
+    """The same with `upto_<a>`, over the rows that are smaller or equal, the row itself among them. Equal ones may be many rows."""
+    return _sums(rows, by, order, amounts, "upto", lambda w: w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def _sums(rows: DataFrame, by: list[str], order: str, amounts: list[str], name: str, frame: Callable) -> DataFrame:
     placed = ranged(rows, *by, order)
     total = lambda a: F.coalesce(F.sum(a), F.lit(0))
     parts = placed.groupBy(*by, "_range").agg(*[total(a).alias(f"_all_{a}") for a in amounts])
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     offsets = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_all_{a}").over(earlier), F.lit(0)).alias(f"_off_{a}") for a in amounts])
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = frame(Window.partitionBy(*by, "_range").orderBy(order))
     rows = placed.select("*", *[F.coalesce(F.sum(a).over(inside), F.lit(0)).alias(f"_in_{a}") for a in amounts])
     keys = [*by, "_range"]
     other = offsets.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[f"_off_{a}" for a in amounts])
     same = [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)]
     joined = rows.join(other, same)
     out = [c for c in rows.columns if c != "_range" and not c.startswith("_in_")]
-    return joined.select(*out, *[(F.col(f"_in_{a}") + F.col(f"_off_{a}")).alias(f"before_{a}") for a in amounts])
+    return joined.select(*out, *[(F.col(f"_in_{a}") + F.col(f"_off_{a}")).alias(f"{name}_{a}") for a in amounts])
+
+
+def beyond_taken(draws: DataFrame, by: list[str], u: str, taken: DataFrame) -> DataFrame:
+    """`draws` whose column `u` is a place among what is free of its key, moved to that place among everything.
+
+    `taken` holds `by`, `at` and `size`: what is taken of a key, as stretches that do not overlap. So nobody
+    has to list what is free: a draw goes on by the sizes of the stretches that begin before it.
+    """
+    placed = sums_before(taken.select(*by, "at", "size"), by, "at", ["size"])
+    kind = dict(draws.dtypes)[u]
+    rest = F.struct(*[c for c in draws.columns if c not in (*by, u)], F.lit(0).alias("_none"))
+    none = F.lit(None).cast(dict(draws.select(rest.alias("_rest")).dtypes)["_rest"])
+    events = draws.select(*by, F.col(u).alias("_pos"), F.lit(0).cast(kind).alias("size"), rest.alias("_rest"), F.lit(True).alias("_draw")).unionByName(
+        placed.select(*by, (F.col("at") - F.col("before_size")).cast(kind).alias("_pos"), F.col("size").cast(kind).alias("size"), none.alias("_rest"), F.lit(False).alias("_draw"))
+    )
+    moved = sums_upto(events, by, "_pos", ["size"]).filter("_draw")
+    return moved.select(*by, (F.col("_pos") + F.col("upto_size")).cast(kind).alias(u), "_rest.*").drop("_none")
 
 
 def tallied(values: DataFrame, by: list[str], value: str, **amounts: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.random import uniform
 from vigilark.operators.frequencies import smoothed_unigram
-from vigilark.operators.ranks import dense_index
+from vigilark.operators.ranks import beyond_taken, dense_index
 from vigilark.sources.tables import settle
 
 #: Slices in which cumulative sums are made, and the least and greatest number of slots.
@@ -164,8 +164,8 @@ def negatives_by_key(
 
     Each positive makes `attempts` draws, MORE_ATTEMPTS times as many if these are all known pairs,
     and takes the first that is not. What is left then has a key that is known with nearly all that is
-    drawn: it draws among the rest of its key, by the same weights. Only a positive whose key is known
-    with everything gets none. `source` holds the pairs whose `other` is drawn, the positives
+    drawn: it draws among the rest of its key, by the same weights, without that rest being listed. Only a
+    positive whose key is known with everything gets none. `source` holds the pairs whose `other` is drawn, the positives
     themselves by default.
     """
     known = settle(known.select(*_PAIR).distinct())
@@ -180,38 +180,73 @@ def negatives_by_key(
     found = attempt(positives, 1, attempts)
     more = attempt(_without(positives, found), attempts + 1, attempts * (1 + MORE_ATTEMPTS))
     last = settle(_without(_without(positives, found), more))
-    # the rest of each key that is left: few keys, each known with nearly all the weight there is
-    parts = chances.select(F.col("term").alias(other), "p")
-    keys = last.select(key).distinct()
-    pairs = keys.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).join(parts.withColumn("_slice", slice_of(F.col(other))), "_slice")
-    rest = pairs.join(known, _PAIR, "left_anti").select(key, F.col(other).alias("term"), "p")
-    final = last.select(F.struct(*_PAIR).alias("positive"), key, F.lit(0).alias("attempt")).withColumn("u", _u(key, seed))
-    final = draw(final, intervals_within(rest, key), other, within=[key]).select("positive", F.struct(*_PAIR).alias("n"))
+    rows = last.select(F.struct(*_PAIR).alias("positive"), key, F.lit(0).alias("attempt")).withColumn("u", _u(key, seed))
+    final = _free_of_key(rows, key, other, known, spans).select("positive", F.struct(*_PAIR).alias("n"))
     return found.unionByName(more).unionByName(final).select("n.drug", "n.reaction", F.lit(0).alias("label"))
 
 
+def _known_stretches(known: DataFrame, other: str, spans: DataFrame) -> DataFrame:
+    """Known pairs with the interval `lo`, `hi` of their `other`, of those that can be drawn."""
+    return known.join(spans.withColumnRenamed("term", other), other)
+
+
+def _free_of_key(rows: DataFrame, key: str, other: str, known: DataFrame, spans: DataFrame) -> DataFrame:
+    """`rows` (`positive`, `key`, `u`) with `other` drawn by the weights of `spans` among what their key is not known with.
+
+    Keys known with everything have no row. Known intervals of a key are skipped by sums of their
+    widths; where rounding puts a draw on a known one after all, it takes the free one of that rank instead.
+    """
+    own = known.join(rows.select(key).distinct(), key)
+    stretches = settle(_known_stretches(own, other, spans).select(key, F.col("lo").alias("at"), (F.col("hi") - F.col("lo")).alias("size")), columnar=True)
+    total = spans.agg(F.count("*").alias("_all"))  # one row
+    taken = stretches.groupBy(key).agg(F.count("*").alias("_n"), F.sum("size").alias("_mass"))
+    open_ = rows.join(taken, key, "left").join(F.broadcast(total)).filter(F.coalesce("_n", F.lit(0)) < F.col("_all"))
+    open_ = settle(open_.select("positive", key, "u", (F.col("_all") - F.coalesce("_n", F.lit(0))).alias("_free"), (1 - F.coalesce("_mass", F.lit(0.0))).alias("_mass")), columnar=True)
+    at = beyond_taken(open_.select("positive", key, (F.col("u") * F.greatest("_mass", F.lit(0.0))).alias("u")), [key], "u", stretches)
+    drawn = settle(draw(at.withColumn("u", F.least("u", F.lit(1 - 2.0**-53))), spans, other).select("positive", key, other).join(known, _PAIR, "left_anti"), columnar=True)
+    missed = settle(open_.join(drawn.select("positive"), "positive", "left_anti"), columnar=True)
+    if missed.isEmpty():
+        return drawn
+    places = settle(dense_index(spans.select("term"), "term"), columnar=True)
+    held = own.join(places.withColumnRenamed("term", other), other).select(key, F.col("index").alias("at"), F.lit(1).cast("bigint").alias("size"))
+    ranks = missed.select("positive", key, F.floor(F.col("u") * F.col("_free")).cast("bigint").alias("index"))
+    named = beyond_taken(ranks, [key], "index", held).join(places.withColumnRenamed("term", other), "index")
+    return drawn.unionByName(named.select("positive", key, other))
+
+
 def negatives_at_random(
     positives: DataFrame, known: DataFrame, by_frequency: bool = True, attempts: int = 12, seed: int = 1, source: DataFrame | None = None
 ) -> DataFrame:
     """As many pairs as there are positives with both sides drawn, none of them known.
 
-    Positives whose draws are all known pairs draw again, MORE_ATTEMPTS times as often each time,
-    until all have one. If known pairs cover all there is, ValueError.
+    Positives whose draws are all known pairs draw again, MORE_ATTEMPTS times as often. What is left
+    then draws among the free pairs alone: a drug by its weight times that of what it is not known with, then
+    one of these. If known pairs cover all there is, ValueError.
     """
     known = settle(known.select(*_PAIR).distinct())
-    spans = {side: settle(intervals(_distribution(source or positives, side, by_frequency))) for side in _PAIR}
-    total = spans["drug"].count() * spans["reaction"].count()
-    covered = known.join(spans["drug"].select(F.col("term").alias("drug")), "drug", "left_semi")
-    if total <= covered.join(spans["reaction"].select(F.col("term").alias("reaction")), "reaction", "left_semi").count() and not positives.isEmpty():
+    chances = {side: settle(_distribution(source or positives, side, by_frequency)) for side in _PAIR}
+    spans = {side: settle(intervals(chances[side])) for side in _PAIR}
+    held = _known_stretches(known, "reaction", spans["reaction"]).groupBy("drug").agg(F.count("*").alias("n"), F.sum(F.col("hi") - F.col("lo")).alias("mass"))
+    every = spans["reaction"].agg(F.count("*").alias("all"))  # one row
+    rest = chances["drug"].join(held.withColumnRenamed("drug", "term"), "term", "left").join(F.broadcast(every))
+    rest = rest.filter(F.coalesce("n", F.lit(0)) < F.col("all"))
+    # rounding may leave no mass to a drug that has free reactions
+    rest = settle(rest.select("term", (F.col("p") * F.greatest(1 - F.coalesce("mass", F.lit(0.0)), F.lit(1e-15))).alias("p")))
+    if rest.isEmpty() and not positives.isEmpty():
         raise ValueError("all pairs of the drawn sides are known")
-    left, parts, first, last = positives, [], 1, attempts
-    while not parts or not left.isEmpty():
+    left, parts = positives, []
+    for first, last in ((1, attempts), (attempts + 1, attempts * (1 + MORE_ATTEMPTS))):
         tries = _tries(left, first, last)
         for side in _PAIR:
             tries = draw(tries.withColumn("u", _u(side, seed)), spans[side], side).drop("u")
         parts.append(settle(_first_free(tries, known)))
         left = settle(_without(left, parts[-1]))
-        first, last = last + 1, last + attempts * MORE_ATTEMPTS ** len(parts)
+    if not left.isEmpty():
+        whole = rest.agg(F.sum("p").alias("whole"))  # one row
+        free = settle(intervals(rest.join(F.broadcast(whole)).select("term", (F.col("p") / F.col("whole")).alias("p"))))
+        rows = draw(_tries(left, 0, 0).withColumn("u", F.least(_u("drug", seed), F.lit(1 - 2.0**-40))), free, "drug").drop("u")
+        found = _free_of_key(rows.withColumn("u", _u("reaction", seed)), "drug", "reaction", known, spans["reaction"])
+        parts.append(found.select("positive", F.struct(*_PAIR).alias("n")))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
