@@ -89,13 +89,41 @@ def test_license_templates_accept_marked_regions_only(spark):
     got = hits(spark, texts)
     labels = [sorted({h["label"] for h in got[k]["hits"] or []}) for k in range(len(texts))]
     assert labels == [
-        [], [], ["mit", "mit-statement"], ["apache", "apache-2.0-statement"], ["gpl", "gpl-statement"], ["gpl", "gpl-statement"], [],
+        [], [], ["mit", "mit-statement"], ["apache", "apache-2.0-statement"], ["gpl", "gpl-3.0-statement"], ["gpl", "lgpl-2.1-statement"], [],
         ["cc-by-sa-statement"], [], [],
     ]
     assert got[0]["n_words"] == got[1]["n_words"] == 0
     assert [(h["first"], h["last"]) for h in got[2]["hits"] if h["kind"] == "phrase"] == [(3, 4), (5, 6)]
 
 
+def test_licenses_of_one_family_are_told_apart(spark):
+    notice = (
+        "{0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free"
+        " Software Foundation, either version {2} of the License, or (at your option) any later version. {0} is distributed in the hope that it will be"
+        " useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU"
+        " {1}General Public License for more details."
+    )
+    cases = {
+        notice.format("Acme", "", "2"): "gpl-2.0-notice", notice.format("Acme", "", "3"): "gpl-3.0-notice",
+        notice.format("Acme", "Lesser ", "2.1"): "lgpl-2.1-notice", notice.format("This library", "Lesser ", "3"): "lgpl-3.0-notice",
+        notice.format("Acme", "Affero ", "3"): "agpl-3.0-notice", notice.format("Acme", "Library ", "2"): "lgpl-library-2.0-notice",
+        notice.format("Acme", "", "7"): None, notice.format("Acme", "Greater ", "3"): None,
+        "licensed under the GNU Affero General Public License, version 3.0 or any later version": None,
+        "released under the terms of the GNU Affero General Public License version 3.0, or (at your option) any later version": "agpl-3.0-statement",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa-statement", "Licensed under CC BY-ND 4.0": "cc-by-nd-statement", "available under a cc by-nc-nd 3.0 license": "cc-by-nc-nd-statement",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by-named-statement",
+        "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License": "cc-by-nc-sa-named-statement",
+        "licensed under a Creative Commons Attribution-Sometimes 4.0 License": None,
+    }
+    got = hits(spark, list(cases))
+    for k, want in enumerate(cases.values()):
+        found = {h["label"] for h in got[k]["hits"] if h["kind"] == "template"}
+        if k == 8:
+            assert found == {"agpl-3.0-statement"}  # what follows the version is not part of it
+        else:
+            assert found == ({want} if want else set()), list(cases)[k]
+
+
 def fill(markup: str, word: str = "acme", optional: bool = False) -> tuple[list[str], list[int]]:
     """Words of a text that a template accepts, marked regions filled or left out, and the places of
     its mandatory words."""

@@ -21,7 +21,6 @@ from vigilark.llm._arrow import map_texts
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 # Marked regions that several templates have.
-VERSION = '<<var;name="version";match="[0-9]+";words="1-2">>'
 HOLDER = '<<var;name="holder";words="0-24">>'
 COPYRIGHT = f"<<beginOptional>>copyright {HOLDER}<<endOptional>><<beginOptional>> all rights reserved<<endOptional>>"
 GRANTED = '<<var;name="verb";match="(?:licensed|released|distributed|available|provided|published)";words="1-1">> under '
@@ -74,15 +73,63 @@ APACHE_NOTICE = f"""{COPYRIGHT} Licensed under the Apache License, Version 2.0 (
 compliance with the License. You may obtain a copy of the License at {WHERE} Unless required by applicable law or agreed to in writing,
 software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express
 or implied. See the License for the specific language governing permissions and limitations under the License"""
-GPL_NOTICE = f"""<<var;name="program";words="1-8">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it
-under the terms of the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License as
-published by the Free Software Foundation<<beginOptional>>,<<endOptional>> either version {VERSION} of the License, or (at your option)
-any later version. <<var;name="program";words="1-8">> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
-without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU <<beginOptional>>Lesser
-<<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License for more details"""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE
+OR OTHER DEALINGS IN THE SOFTWARE"""
 MPL_NOTICE = f"""This Source Code Form is subject to the terms of the Mozilla Public License, <<beginOptional>>v <<endOptional>>2.0. If a copy of
 the MPL was not distributed with this file, You can obtain one at {WHERE}"""
 
+# The GNU licenses with their versions, and the Creative Commons licenses: terms, short and long names.
+GNU = {
+    "gpl": ("", ("1.0", "2.0", "3.0")), "lgpl": ("Lesser ", ("2.1", "3.0")), "lgpl-library": ("Library ", ("2.0",)),
+    "agpl": ("Affero ", ("1.0", "3.0")),
+}
+CREATIVE_COMMONS = {
+    "cc-by": "Attribution", "cc-by-sa": "Attribution ShareAlike", "cc-by-nd": "Attribution NoDerivatives", "cc-by-nc": "Attribution NonCommercial",
+    "cc-by-nc-sa": "Attribution NonCommercial ShareAlike", "cc-by-nc-nd": "Attribution NonCommercial NoDerivatives",
+}
+CC_VERSION = '<<var;name="version";match="[0-9]+";words="1-2">>'
+LATER = "<<beginOptional>>, or (at your option) any later version<<endOptional>>"
+
+
+def _number(version: str) -> str:
+    """A version in words: a final 0 may be left out."""
+    major, minor = version.split(".")
+    return f"{major}<<beginOptional>> 0<<endOptional>>" if minor == "0" else f"{major} {minor}"
+
+
+def gnu_notice(name: str, version: str) -> str:
+    """The notice that the publisher asks to put on every file."""
+    return f"""<<var;name="program";words="1-8">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it
+under the terms of the GNU {name}General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>
+<<beginOptional>>either <<endOptional>>version {_number(version)}<<beginOptional>> of the License<<endOptional>>{LATER}
+<<beginOptional>>as published by the Free Software Foundation <<endOptional>><<var;name="program";words="1-8">> is distributed in the hope that
+it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+the GNU {name}General Public License for more details"""
+
+
+def gnu_statement(name: str, version: str) -> str:
+    return f"""{GRANTED}{TERMS}GNU {name}General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>>
+version {_number(version)}<<beginOptional>> of the License<<endOptional>>{LATER}"""
+
+
+def cc_statement(short: str) -> str:
+    return f"""{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>{short.replace("-", " ")} {CC_VERSION}"""
+
+
+def cc_long_statement(long: str) -> str:
+    return f"""{GRANTED}{TERMS}<<beginOptional>>license <<endOptional>>Creative Commons {long} {CC_VERSION}<<beginOptional>> International<<endOptional>>
+<<beginOptional>>Unported<<endOptional>>"""
+
+
 #: Labels and templates: whole texts, standard notices, and one-line statements of a license.
 TEMPLATES = {
     "mit-text": MIT_TEXT,
@@ -90,17 +137,15 @@ TEMPLATES = {
     "bsd-3-clause-text": f"{BSD_START} {BSD_THIRD} {BSD_END}",
     "isc-text": ISC_TEXT,
     "zlib-text": ZLIB_TEXT,
+    "unlicense-text": UNLICENSE_TEXT,
     "apache-2.0-notice": APACHE_NOTICE,
-    "gpl-notice": GPL_NOTICE,
     "mpl-2.0-notice": MPL_NOTICE,
     "apache-2.0-statement": f"{GRANTED}{TERMS}apache license <<beginOptional>>version <<endOptional>>2 0",
-    "cc-by-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by {VERSION}",
-    "cc-by-nc-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by nc {VERSION}",
-    "cc-by-sa-statement": f"{GRANTED}{TERMS}<<beginOptional>>creative commons <<endOptional>>cc by sa {VERSION}",
-    "gpl-statement": f"{GRANTED}{TERMS}gnu <<beginOptional>>lesser <<endOptional>><<beginOptional>>affero <<endOptional>>general public license"
-    f" <<beginOptional>>as published by the free software foundation <<endOptional>>version {VERSION}<<beginOptional>> or<<beginOptional>> at"
-    " your option<<endOptional>> any later version<<endOptional>>",
     "mit-statement": f"{GRANTED}{TERMS}mit license",
+    **{f"{k}-{v}-notice": gnu_notice(name, v) for k, (name, versions) in GNU.items() for v in versions},
+    **{f"{k}-{v}-statement": gnu_statement(name, v) for k, (name, versions) in GNU.items() for v in versions},
+    **{f"{k}-statement": cc_statement(k) for k in CREATIVE_COMMONS},
+    **{f"{k}-named-statement": cc_long_statement(long) for k, long in CREATIVE_COMMONS.items()},
 }
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither letter nor digit into a space.
