@@ -270,3 +270,32 @@ def test_incomplete_rows_are_dropped_and_counted(spark):
     got = {r["stage"]: r for r in relational.counts_before_and_after(rows).collect()}
     assert (got["all"]["n_rows"], got["complete"]["n_rows"], got["all"]["n_positive"], got["complete"]["n_drugs"]) == (3, 1, 2, 1)
     assert math.isclose(relational.scaler(spark.createDataFrame([([2.0],), ([2.0],)], "v array<double>"), "v").first()["spread"], 1)
+
+
+def lines_of(path) -> list[str]:
+    return [x for f in sorted(path.glob("part-*")) for x in f.read_text(encoding="utf-8").splitlines()]
+
+
+def test_matrices_are_written_without_a_column_per_name(spark, tmp_path):
+    names = [f"n{k:03d}" for k in range(30)]
+    cells = [(a, b, round((i * 31 + j * 17) % 100 / 100, 2)) for i, a in enumerate(names) for j, b in enumerate(names) if (i + j) % 7]
+    table = spark.createDataFrame(cells, "i string, j string, sim double").repartition(5)
+    sinks.write_matrix(table, f"{tmp_path}/m")
+    known = {(a, b): str(x) for a, b, x in cells}
+    want = ["|" + "|".join(names)] + [a + "|" + "|".join(known.get((a, b), "") for b in names) for a in names]
+    assert lines_of(tmp_path / "m") == want
+    wide = spark.createDataFrame([(k, k * 2, None if k % 2 else f"x{k}") for k in range(4)], "id int, b int, a string")
+    sinks.write_transposed(wide, "id", f"{tmp_path}/t", ",")
+    assert lines_of(tmp_path / "t") == [",0,1,2,3", "a,x0,,x2,", "b,0,2,4,6"]
+    sinks.write_matrix(table.limit(0), f"{tmp_path}/none")
+    assert lines_of(tmp_path / "none") == []
+
+
+def test_a_matrix_of_many_names(spark, tmp_path):
+    n = 3000
+    cells = spark.range(n, numPartitions=4).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(500))).alias("j"), F.lit(1).alias("sim"))
+    cells = cells.unionByName(spark.range(n).select(F.lit(0).alias("i"), F.col("id").alias("j"), F.lit(2).alias("sim")))
+    sinks.write_matrix(cells, f"{tmp_path}/m")
+    lines = lines_of(tmp_path / "m")
+    assert len(lines) == n + 1 and all(x.count("|") == n for x in lines)
+    assert lines[1].startswith("0|2|2|2") and sum(x != "" for x in lines[2].split("|")[1:]) == n // 500
