@@ -6,6 +6,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -176,6 +177,73 @@ def test_training_with_an_adaptive_optimiser(spark):
     assert vectors.count() == 15
 
 
+def contrastive_loss(vectors, batches, dim, hidden, temperature):
+    """Mean loss of batches under vectors with biases and head."""
+    own = {(r["side"], r["term"]): np.array(r["v"]) for r in vectors.collect()}
+    shared, out = own["shared", ""], []
+    for batch in batches:
+        u, w = (np.array([own[side, x[k]] for x in batch]) + shared[k * dim : (k + 1) * dim] for k, side in enumerate(("target", "context")))
+        out.append(learning.contrastive_gradients(u, w, shared[2 * dim :], hidden, temperature)[0])
+    return float(np.mean(out))
+
+
+def test_contrastive_training_takes_a_step_for_each_batch(spark):
+    dim, hidden, size = 4, 3, 4
+    rows = [(f"t{t}", f"c{c}", 1 + (t * c) % 4) for t in range(20) for c in range(15) if (t + c) % 3 == 0]
+    counts = spark.createDataFrame(rows, "target string, context string, n bigint")
+    # one block: the batches of an epoch one after the other, as written out here
+    dealt = learning.contrastive_pairs(counts, size, 0, 1, seed=3).toPandas()
+    assert set(dealt["key"]) == set(dealt["stratum"]) == {0}
+    batches = list(learning.batches_of(dealt, size))
+    assert len(batches) == 5 and all(len({c for _, c in b}) == len(b) <= size for b in batches)
+    assert {t for b in batches for t, _ in b} <= {r[0] for r in rows}
+    v = {(r["side"], r["term"]): np.array(r["v"]) for r in learning.initial_vectors(counts, dim, 3).collect()}
+    flat = np.r_[np.zeros(2 * dim), learning.first_head(dim, hidden, 3)]
+    for batch in batches:
+        u, w = np.array([v["target", t] for t, _ in batch]), np.array([v["context", c] for _, c in batch])
+        _, du, dw, dh = learning.contrastive_gradients(u + flat[:dim], w + flat[dim : 2 * dim], flat[2 * dim :], hidden, 0.5)
+        for (t, c), a, b in zip(batch, du, dw, strict=True):
+            v["target", t], v["context", c] = v["target", t] - 0.5 * a, v["context", c] - 0.5 * b
+        flat = flat - 0.05 * np.r_[du.sum(0), dw.sum(0), dh]
+    ((epoch, vectors, taken),) = learning.ntx_rounds(counts, dim, 1, size, 0.5, hidden, seed=3, blocks=1)
+    got = {(r["side"], r["term"]): np.array(r["v"]) for r in vectors.collect()}
+    assert (epoch, taken) == (1, len(batches)) and np.allclose(got.pop(("shared", "")), flat)
+    assert got.keys() == v.keys() and all(np.allclose(got[k], v[k]) for k in v)
+
+
+def test_cells_of_a_stratum_share_nothing_and_training_lowers_the_loss(spark):
+    rows = [(f"t{t}", f"c{c}", 5 if t % 4 == c % 4 else 1) for t in range(40) for c in range(24) if t % 4 == c % 4 or (t + c) % 9 == 0]
+    counts = spark.createDataFrame(rows, "target string, context string, n bigint")
+    dealt = learning.contrastive_pairs(counts, 4, 2, 3).toPandas()
+    assert dealt["target"].nunique() == 40  # every target takes part
+    for _, stratum in dealt.groupby("stratum"):
+        assert (stratum.groupby("target")["key"].nunique() == 1).all() and (stratum.groupby("context")["key"].nunique() == 1).all()
+    assert len(set(dealt["stratum"])) == 3 and (dealt.groupby("target")["stratum"].nunique() == 1).all()
+    batches = [b for _, cell in dealt.groupby(["key", "stratum"]) for b in learning.batches_of(cell, 4)]
+    losses, steps = [], []
+    for _, vectors, taken in learning.ntx_rounds(counts, 6, 3, 4, 0.3, 8, optimiser=Optimiser("adam", 0.1), blocks=3):
+        losses.append(contrastive_loss(vectors, batches, 6, 8, 0.3))
+        steps.append(taken)
+    assert min(steps) >= 10 and losses[2] < losses[1] < losses[0], losses
+
+
+def test_steps_of_a_cell_learn_its_pairs():
+    rng = np.random.default_rng(0)
+    dim, hidden, size = 6, 16, 4
+    cell = pd.DataFrame({"target": [f"t{k}" for k in range(8)], "context": [f"c{k}" for k in range(8)], "turn": [str(k * 3 % 8) for k in range(8)], "rank": 1})
+    params = pd.DataFrame({"side": ["target"] * 8 + ["context"] * 8, "term": [*cell["target"], *cell["context"]], "v": list(rng.normal(0, 0.2, (16, dim))), "state": [np.zeros(0)] * 16, "steps": 0})
+    head = pd.DataFrame({"side": ["shared"], "term": [""], "v": [np.r_[np.zeros(2 * dim), learning.first_head(dim, hidden, 1)]], "state": [np.zeros(0)], "steps": [0]})
+    opt, losses = Optimiser("adam", 0.02), []
+    for _ in range(60):
+        out = learning._contrast(cell, params, head, size, 0.3, hidden, opt, opt)
+        params, head = out[out["side"] != "shared"].reset_index(drop=True), out[out["side"] == "shared"].reset_index(drop=True)
+        own, flat = dict(zip(zip(params["side"], params["term"], strict=True), params["v"], strict=True)), head["v"].iloc[0]
+        u, w = (np.array([own[side, x] for x in cell[side][:4]]) + flat[k * dim : (k + 1) * dim] for k, side in enumerate(("target", "context")))
+        losses.append(learning.contrastive_gradients(u, w, flat[2 * dim :], hidden, 0.3)[0])
+    assert int(head["steps"].iloc[0]) == 120 and (params["steps"] == 60).all()
+    assert losses[-1] < 0.3 * losses[0]
+
+
 def test_contrastive_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     u, w = rng.normal(size=(5, 4)), rng.normal(size=(5, 4))

@@ -3,7 +3,7 @@
 Vectors are rows of a table (`side`, `term`, `v`), never broadcast, so vocabularies may be of any
 size. The negative-sampling model is trained in strata: terms of both sides are dealt to blocks,
 and in one stratum every task owns one block of targets and one of contexts, so tasks never
-write to the same vector. The contrastive model sums up the gradients of all batches by term.
+write to the same vector. The contrastive model deals its batches to strata in the same way and takes a step a batch.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilark.functions.optimisers import Optimiser
-from vigilark.operators.sampling import contrastive_batches
+from vigilark.functions.random import uniform
 from vigilark.sources.tables import release, settle
 
 BATCH = 256
@@ -209,6 +209,13 @@ def _head(flat: np.ndarray, dim: int, hidden: int):
     return w1, rest[:hidden], rest[hidden : hidden + hidden * hidden].reshape(hidden, hidden), rest[-hidden:]
 
 
+def first_head(dim: int, hidden: int, seed: int) -> np.ndarray:
+    """Weights of both layers, evenly drawn within the root of 6 over the sum of a layer's sides, and no biases."""
+    rng = np.random.default_rng(seed)
+    w1, w2 = (rng.uniform(-1, 1, a * hidden) * (6 / (a + hidden)) ** 0.5 for a in (dim, hidden))
+    return np.r_[w1, np.zeros(hidden), w2, np.zeros(hidden)]
+
+
 def contrastive_gradients(u: np.ndarray, w: np.ndarray, flat: np.ndarray, hidden: int, temperature: float):
     """Loss of one batch and its gradients for targets, contexts and the shared head.
 
@@ -234,51 +241,118 @@ def contrastive_gradients(u: np.ndarray, w: np.ndarray, flat: np.ndarray, hidden
     return loss, dx[:n], dx[n:], head
 
 
-def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 16, temperature: float = 0.3, hidden: int = 128, rate: float = 0.5, seed: int = 1, optimiser: Optimiser | None = None) -> DataFrame:
-    """Vectors (`side`, `term`, `v`) from pair counts (`target`, `context`, `n`), one step an epoch.
+def contrastive_pairs(counts: DataFrame, size: int, epoch: int, blocks: int, by_frequency: bool = True, seed: int = 1) -> DataFrame:
+    """`key`, `stratum`, `target`, `context`, `turn`, `rank`: the pairs that an epoch's batches choose from.
 
-    Without an optimiser it is plain descent with `rate`, a tenth of it for the shared head.
+    Every target takes part once. The context that it draws first, by weighted random keys, gives the block
+    of contexts that it chooses from; targets of one block that choose from the same block are a cell. Cells of
+    one stratum share no target and no context. `turn` puts a cell's targets in order, `rank` a target's contexts.
     """
-    opt = optimiser or Optimiser("sgd", rate)
-    head_opt = optimiser or Optimiser("sgd", rate * 0.1)
-    params = settle(_with_state(initial_vectors(counts, dim, seed)), columnar=True)
-    flat = np.random.default_rng(seed).normal(0, 0.3, dim * hidden + hidden + hidden * hidden + hidden)
-    flat_state = head_opt.fresh((1, len(flat)))
-
-    def move(frames):
-        for frame in frames:
-            told = frame[frame["g"].notna()]
-            if len(told):
-                v, state, steps = _unpack(told, opt)
-                steps += 1
-                v, state = opt.step(v, np.array(told["g"].tolist(), float), state, steps)
-                yield _pack(told, v, state, steps)
-            yield frame[frame["g"].isna()].drop(columns="g")
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(blocks))
+    weight = F.pow("n", F.lit(0.75)) if by_frequency else F.lit(1.0)
+    u = uniform(F.col("target").cast("string"), F.col("context").cast("string"), epoch, seed)
+    drawn = counts.select("target", "context", (F.log(F.greatest(u, F.lit(1e-12))) / weight).alias("draw"), block("context").alias("home"))
+    first = drawn.groupBy("target").agg(F.max(F.struct("draw", "home")).alias("m")).select("target", F.col("m.home").alias("home"))
+    order = Window.partitionBy("target").orderBy(F.desc("draw"), "context")
+    # others of a batch take at most size - 1 contexts, so one of the first `size` is free if any is
+    kept = drawn.join(first, ["target", "home"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= size)
+    turn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col("target").cast("string")))
+    return kept.select(
+        block("target").alias("key"), F.pmod(F.col("home") - block("target"), F.lit(blocks)).alias("stratum"),
+        F.col("target").cast("string").alias("target"), F.col("context").cast("string").alias("context"), turn.alias("turn"), "rank",
+    )
+
+
+def batches_of(cell: pd.DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
+    """Batches of up to `size` targets in their turn, each with the first of its contexts that no other of the batch has;
+    a target without a free one is left out."""
+    own = [(t, list(f["context"])) for (_, t), f in cell.sort_values(["turn", "target", "rank"]).groupby(["turn", "target"], sort=False)]
+    for k in range(0, len(own), size):
+        taken: dict[str, str] = {}
+        for target, contexts in own[k : k + size]:
+            free = next((c for c in contexts if c not in taken), None)
+            if free is not None:
+                taken[free] = target
+        if taken:
+            yield [(t, c) for c, t in taken.items()]
+
+
+def _contrast(cell: pd.DataFrame, params: pd.DataFrame, head: pd.DataFrame, size: int, temperature: float, hidden: int, optimiser: Optimiser, head_optimiser: Optimiser) -> pd.DataFrame:
+    """A step for each batch of a cell; the shared row (biases of both sides, then the head) comes back last."""
+    if not len(params):
+        return head
+    v, state, steps = _unpack(params, optimiser)
+    shared, shared_state, shared_steps = _unpack(head, head_optimiser)
+    place = {key: k for k, key in enumerate(zip(params["side"], params["term"], strict=True))}
+    dim = v.shape[1]
+    for batch in batches_of(cell, size):
+        i = np.array([place["target", t] for t, _ in batch], np.int64)
+        j = np.array([place["context", c] for _, c in batch], np.int64)
+        flat = shared[0]
+        _, du, dw, dh = contrastive_gradients(v[i] + flat[:dim], v[j] + flat[dim : 2 * dim], flat[2 * dim :], hidden, temperature)
+        rows = np.r_[i, j]  # no target and no context is twice in a batch
+        steps[rows] += 1
+        v[rows], state[rows] = optimiser.step(v[rows], np.r_[du, dw], state[rows], steps[rows])
+        shared_steps += 1
+        shared, shared_state = head_optimiser.step(shared, np.r_[du.sum(0), dw.sum(0), dh][None, :], shared_state, shared_steps)
+    return pd.concat([_pack(params, v, state, steps), _pack(head, shared, shared_state, shared_steps)])
+
 
+def ntx_rounds(
+    counts: DataFrame,
+    dim: int = 200,
+    epochs: int = 1000,
+    size: int = 16,
+    temperature: float = 0.3,
+    hidden: int = 128,
+    rate: float = 0.5,
+    seed: int = 1,
+    optimiser: Optimiser | None = None,
+    blocks: int = 8,
+) -> Iterator[tuple[int, DataFrame, int]]:
+    """(epoch, vectors, batches of the epoch) after every epoch, one step a batch.
+
+    `counts` holds `target`, `context`, `n`. Cells of a stratum are trained side by side (see
+    `contrastive_pairs`), each batch of a cell after the other; the shared row of side 'shared' (biases of
+    targets and of contexts, then the head), which cells move on their own, is averaged after a stratum. With one block
+    the epoch is one sequence of batches. Without an optimiser it is plain descent with `rate`, a tenth of it for
+    the shared row. Vectors are rows `side`, `term`, `v`; earlier epochs' are deleted when the next is done.
+    """
+    opt, head_opt = optimiser or Optimiser("sgd", rate), optimiser or Optimiser("sgd", rate * 0.1)
+    block = F.pmod(F.xxhash64("term"), F.lit(blocks))
+    params = settle(_with_state(initial_vectors(counts, dim, seed)), columnar=True)
+    head = pd.DataFrame({"side": ["shared"], "term": [""], "v": [np.r_[np.zeros(2 * dim), first_head(dim, hidden, seed)]], "state": [np.zeros(0)], "steps": [0]})
+    vectors = None
     for epoch in range(epochs):
-        rows = contrastive_batches(counts, size, epoch, seed=seed)
-        for side, name in (("target", "u"), ("context", "w")):
-            own = params.filter(F.col("side") == side).select(F.col("term").alias(side), F.col("v").alias(name))
-            rows = rows.withColumn(side, F.col(side).cast("string")).join(own, side)
-        head = flat
-
-        def gradients(frame: pd.DataFrame) -> pd.DataFrame:
-            u, w = (np.array(frame[c].tolist(), float) for c in ("u", "w"))
-            _, du, dw, dh = contrastive_gradients(u, w, head, hidden, temperature)
-            sides = ["target"] * len(u) + ["context"] * len(w) + ["head"]
-            return pd.DataFrame({"side": sides, "term": [*frame["target"], *frame["context"], ""], "g": [*du, *dw, dh]})
-
-        found = rows.groupBy("batch").applyInPandas(gradients, "side string, term string, g array<double>")
-        cells = found.select("side", "term", F.posexplode("g").alias("d", "x")).groupBy("side", "term", "d").agg(F.sum("x").alias("x"))
-        sums = settle(cells.groupBy("side", "term").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda c: c["x"]).alias("g")), columnar=True)
-        shared = sums.filter("side = 'head'").first()  # one vector of the head's size
-        if shared is None:
-            break
-        (flat,), flat_state = head_opt.step(flat[None, :], np.array([shared["g"]]), flat_state, np.array([epoch + 1]))
-        old = params
-        params = settle(old.join(sums, ["side", "term"], "left").select("side", "term", "v", "state", "steps", "g").mapInPandas(move, _PARAMS), columnar=True)
-        release(old, sums)
-    return params.select("side", "term", "v")
+        dealt, taken = settle(contrastive_pairs(counts, size, epoch, blocks, seed=seed), columnar=True), 0
+        for s in [r["stratum"] for r in dealt.select("stratum").distinct().orderBy("stratum").collect()]:  # at most `blocks`
+            home = F.when(F.col("side") == "target", block).otherwise(F.pmod(block - s, F.lit(blocks)))
+            keyed = params.select(home.alias("key"), "side", "term", "v", "state", "steps")
+            now = head
+
+            def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                return _contrast(left, right, now.assign(term=str(key[0])), size, temperature, hidden, opt, head_opt)
+
+            moved = settle(dealt.filter(F.col("stratum") == s).groupBy("key").cogroup(keyed.groupBy("key")).applyInPandas(run, _PARAMS), columnar=True)
+            old, params = params, moved.filter("side <> 'shared'")
+            params._settled_at = moved._settled_at
+            release(old)
+            found = moved.filter("side = 'shared'").toPandas()  # one row a block
+            found = found[found["steps"] > head["steps"].iloc[0]].sort_values("term")
+            if len(found):
+                taken += int((found["steps"] - head["steps"].iloc[0]).sum())
+                mean = lambda c: np.mean(found[c].tolist(), axis=0)
+                head = head.assign(v=[mean("v")], state=[mean("state")], steps=[int(found["steps"].max())])
+        row = counts.sparkSession.createDataFrame([("shared", "", [float(x) for x in head["v"].iloc[0]])], "side string, term string, v array<double>")
+        before, vectors = vectors, settle(params.select("side", "term", "v").unionByName(row), columnar=True)
+        release(dealt, *([before] if before is not None else []))
+        yield epoch + 1, vectors, taken
+
+
+def train_ntx(counts: DataFrame, dim: int = 200, epochs: int = 10, size: int = 16, temperature: float = 0.3, hidden: int = 128, rate: float = 0.5, seed: int = 1, optimiser: Optimiser | None = None, blocks: int = 8) -> DataFrame:
+    """Vectors (`side`, `term`, `v`) after the last epoch; see `ntx_rounds`, which also gives biases and head."""
+    *_, (_, vectors, _) = ntx_rounds(counts, dim, epochs, size, temperature, hidden, rate, seed, optimiser, blocks)
+    return vectors.filter("side <> 'shared'")
 
 
 # -- classifier ----------------------------------------------------------------------------------

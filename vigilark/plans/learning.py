@@ -40,7 +40,7 @@ def _nsg(t: Tables) -> DataFrame:
 
 @query("ntx_vectors")
 def _ntx(t: Tables) -> DataFrame:
-    return learning.train_ntx(frequencies.pair_counts(t.pairs()), DIM, 2, 64, hidden=16, seed=SEED)
+    return learning.train_ntx(frequencies.pair_counts(t.pairs()), DIM, 2, 64, hidden=16, seed=SEED, blocks=BLOCKS)
 
 
 def pair_features(t: Tables, rows: DataFrame) -> DataFrame:
