@@ -81,6 +81,8 @@ def test_seeds_are_whole_and_unseen_forms_are_found(spark):
     assert all(found[200 + k] == [(f"user{k}@intranet", "email")] for k in range(4))
     assert all(found[300 + k] == [(f"555-77{k}", "phone")] for k in range(4))
     assert not any(found[k] for k in found if k < 200 or k >= 400)
+    spans = [s for r in pii.find_personal_data(town(spark)).collect() for s in r["spans"]]
+    assert all(s["weak"] == bool(s["kind"] == pii.FOUND and re.fullmatch("[0-9a-fA-F]{32,}", s["value"])) for s in spans)
 
 
 @pytest.mark.parametrize("least", [0.9])
@@ -104,7 +106,7 @@ def test_discovery_over_the_big_table(spark):
     fresh = [s for r in rows for s in r["spans"] if s["kind"] == pii.FOUND]
     assert len(fresh) >= 150
     keys = [s for s in fresh if re.fullmatch("[0-9a-fA-F]{40}", s["value"])]
-    assert len(keys) >= 0.95 * len(fresh)
+    assert len(keys) >= 0.95 * len(fresh) and all(s["weak"] for s in keys)
     for r in rows:
         new = [s for s in r["spans"] if s["kind"] == pii.FOUND]
         assert all(s["end"] <= b["start"] or b["end"] <= s["start"] for s in new for b in r["base"])

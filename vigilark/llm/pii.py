@@ -57,7 +57,7 @@ _CORE = r"(?s)[\p{L}0-9+](?:.*[\p{L}0-9])?"
 _HEX = r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]{32,64}$"
 _WORD = r"\p{L}+|[=:]"
 
-_SPAN = "struct<kind:string,start:int,end:int,value:string,like:string>"
+_SPAN = "struct<kind:string,start:int,end:int,value:string,like:string,weak:boolean>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,7 +128,8 @@ def _spans(found: Column, kind: str) -> Column:
     spans = F.transform(
         F.filter(found, lambda p: p["ok"]),
         lambda p: F.struct(
-            F.lit(kind).alias("kind"), (p["end"] - F.char_length(p["value"])).alias("start"), p["end"].alias("end"), p["value"].alias("value"), F.lit(kind).alias("like")
+            F.lit(kind).alias("kind"), (p["end"] - F.char_length(p["value"])).alias("start"), p["end"].alias("end"), p["value"].alias("value"), F.lit(kind).alias("like"),
+            F.lit(False).alias("weak"),
         ),
     )
     return F.coalesce(spans, none)
@@ -264,20 +265,21 @@ def _discover(scanned: DataFrame) -> DataFrame:
     """`id_f`, `mark_f`, `fresh`: the discovered spans of each text, with their token's number."""
     seen = seen_tokens(scanned)
     good = settle(trusted_patterns(seen))
-    rows = seen.filter(~F.col("base")).select("id", "mark", "at", "start", "end", "value", F.explode("patterns").alias("pattern"))
+    rows = seen.filter(~F.col("base")).select("id", "mark", "at", "start", "end", "value", F.col("kind").isNotNull().alias("weak"), F.explode("patterns").alias("pattern"))
     best = F.max_by("like", F.struct("confidence", "like")).alias("like")
-    found = _salted(rows, good, "pattern", "mark").groupBy("id", "mark", "at", "start", "end", "value").agg(best)
-    spans = F.array_sort(F.collect_list(F.struct("at", F.lit(FOUND).alias("kind"), "start", "end", "value", "like")))
+    found = _salted(rows, good, "pattern", "mark").groupBy("id", "mark", "at", "start", "end", "value", "weak").agg(best)
+    spans = F.array_sort(F.collect_list(F.struct("at", F.lit(FOUND).alias("kind"), "start", "end", "value", "like", "weak")))
     return found.groupBy(F.col("id").alias("id_f"), F.col("mark").alias("mark_f")).agg(spans.alias("fresh"))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, `mark` (xxhash64 of the text), `base` and `spans`, one row per row of `docs`.
 
-    Spans are structs of kind, start, end (code points, end exclusive), value and `like`; `base`
+    Spans are structs of kind, start, end (code points, end exclusive), value, `like` and `weak`; `base`
     holds the checked ones by kind as listed, then start, and `spans` those and the discovered
     ones (kind 'id', `like` the kind of the seeds whose contexts revealed them), which never overlap
-    the checked ones. Null and empty texts have none; repeated rows and rows with a null id get
+    the checked ones. A discovered span is `weak` if it looks like a secret by itself, a seed that only
+    trusted contexts bring out; others were unseen before. Null and empty texts have none; repeated rows and rows with a null id get
     the spans of their text like others; an empty table gives an empty result; other columns are
     not read.
     """

@@ -163,6 +163,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in KINDS],
         F.sha2(describe(F.col("base")), 256).alias("base_sha256"),
         describe(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: (s["kind"] == "id") & ~s["weak"])).cast("long").alias("n_unseen"),
     )
 
 
