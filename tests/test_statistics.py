@@ -200,6 +200,17 @@ def plain_permanova(d: np.ndarray, mask: np.ndarray) -> float:
     return (total - inside) / (inside / (n - 2))
 
 
+@pytest.mark.parametrize(("n", "first"), [(6, 3), (14, 7), (1000, 300), (4096, 5)])
+def test_masks_are_permutations(n, first):
+    masks = multivariate.masks_at(np.arange(n), n, first, 400, seed=5)
+    assert masks.shape == (401, n) and (masks.sum(1) == first).all() and masks[0].tolist() == [k < first for k in range(n)]
+    some = np.array([n - 1, 0, n // 2])
+    assert (multivariate.masks_at(some, n, first, 400, seed=5) == masks[:, some]).all()  # each place on its own
+    assert len({m.tobytes() for m in masks}) > min(15, 300)
+    share = masks[1:].mean(0)  # every place is in the first group as often as others
+    assert np.abs(share - first / n).max() < 0.01 + 5 * (first / n * (1 - first / n) / 400) ** 0.5
+
+
 @pytest.mark.parametrize(("metric", "block"), [("euclidean", 2048), ("euclidean", 4), ("cosine", 5)])
 def test_permanova_by_plain_loops(spark, monkeypatch, metric, block):
     monkeypatch.setattr(multivariate, "BLOCK", block)
@@ -210,7 +221,7 @@ def test_permanova_by_plain_loops(spark, monkeypatch, metric, block):
     got = {r["drug"]: r for r in multivariate.permanova(valid, control, terms, metric, 49, seed=2).collect()}
     assert got["e"]["permanova_f"] is None and got["e"]["permanova_p"] is None
     d = multivariate.distances(metric, v)
-    masks = multivariate.orders(np.arange(14) < 7, 49, seed=2)
+    masks = multivariate.masks_at(np.arange(14), 14, 7, 49, seed=2)
     want = np.array([plain_permanova(d, m) for m in masks])
     assert math.isclose(got["d"]["permanova_f"], want[0], rel_tol=1e-7)
     assert np.allclose(multivariate.permanova_f(d**2, masks), want)
