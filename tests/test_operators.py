@@ -122,6 +122,37 @@ def test_training_lowers_the_loss(spark):
     assert after < 0.6 * before
 
 
+def test_frequent_terms_are_dealt_to_copies(spark):
+    rng = np.random.default_rng(1)
+    rows = [("hot" if k % 3 == 0 else f"t{k % 50}", f"c{int(rng.integers(40))}", int(k % 2)) for k in range(6000)]
+    samples = spark.createDataFrame(rows, "target string, context string, label int")
+    named = learning.with_copies(samples, 4).toPandas()
+    copies = named[named["target"].str.contains(learning.COPY)]["target"].value_counts()
+    assert len(named) == 6000 and len(copies) == 2 and copies.sum() == 2000 and copies.min() > 900
+    assert not named["context"].str.contains(learning.COPY).any()
+    cells = learning.with_copies(samples, 4).select(learning._block("target", 4).alias("key")).groupBy("key").count().toPandas()["count"]
+    assert len(cells) == 4 and cells.max() < 2 * cells.median()
+    params = spark.createDataFrame(
+        [("target", f"hot{learning.COPY}0", [1.0, 2.0], [4.0, 4.0], 3), ("target", f"hot{learning.COPY}1", [3.0, 6.0], [0.0, 2.0], 5), ("target", "t", [9.0, 9.0], [], 0)],
+        "side string, term string, v array<double>, state array<double>, steps bigint",
+    )
+    got = {r["term"]: (r["v"], r["state"], r["steps"]) for r in learning.merge_copies(params).collect()}
+    both = ([2.0, 4.0], [2.0, 3.0], 5)
+    assert got == {f"hot{learning.COPY}0": both, f"hot{learning.COPY}1": both, "t": ([9.0, 9.0], [], 0)}
+
+
+def test_training_with_a_frequent_target(spark):
+    rows = [("t0", f"c{c}", int(c % 3 == 0)) for c in range(12) for _ in range(8)]
+    rows += [(f"t{t}", f"c{c}", int(t % 3 == c % 3)) for t in range(1, 12) for c in range(12)]
+    samples = spark.createDataFrame(rows, "target string, context string, label int")
+    losses = []
+    for _, vectors, loss in learning.nsg_rounds(samples, 6, 3, 0.5, 3, optimiser=Optimiser("adam", 0.05)):
+        losses.append(loss)
+        names = [(r["side"], r["term"]) for r in vectors.collect()]
+        assert len(names) == len(set(names)) == 25 and not any(learning.COPY in t for _, t in names)
+    assert losses[2] < losses[1] < losses[0]
+
+
 def test_pair_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     a, c, shared = rng.normal(size=(5, 4)), rng.normal(size=(5, 4)), rng.normal(size=10)

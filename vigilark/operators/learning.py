@@ -26,7 +26,7 @@ from vigilark.sources.tables import release, settle
 BATCH = 256
 
 
-def _start(seed: int, dim: int, *names: str) -> Column:
+def _start(seed: int, dim: int, *names: Column) -> Column:
     """Small pseudo-random numbers that depend on the names and the place."""
     draw = lambda d: F.pmod(F.xxhash64(F.lit(seed), *names, d), F.lit(1 << 20)) / F.lit(float(1 << 20))
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (draw(d) - 0.5) / F.lit(float(dim) ** 0.5))
@@ -35,7 +35,7 @@ def _start(seed: int, dim: int, *names: str) -> Column:
 def initial_vectors(samples: DataFrame, dim: int, seed: int = 1) -> DataFrame:
     """`side`, `term` (text), `v` of all targets and contexts."""
     sides = [samples.select(F.lit(s).alias("side"), F.col(s).cast("string").alias("term")) for s in ("target", "context")]
-    return sides[0].unionByName(sides[1]).distinct().withColumn("v", _start(seed, dim, "side", "term"))
+    return sides[0].unionByName(sides[1]).distinct().withColumn("v", _start(seed, dim, F.col("side"), _own("term")))
 
 
 def _with_state(params: DataFrame) -> DataFrame:
@@ -103,6 +103,49 @@ def _descend(pairs: pd.DataFrame, params: pd.DataFrame, head: pd.DataFrame, opti
     return pd.concat([_pack(params, v, state, steps), _pack(head, shared, shared_state, shared_steps)])
 
 
+#: Stands between a frequent term and the number of its copy.
+COPY = "\0"
+
+
+def _own(term: Column | str) -> Column:
+    """The term that a copy stands for."""
+    return F.substring_index(F.col(term) if isinstance(term, str) else term, COPY, 1)
+
+
+def _block(term: str, blocks: int) -> Column:
+    """Block of a term; its copies have one each, one behind the other."""
+    copy = F.coalesce(F.get(F.split(F.col(term), COPY), 1).cast("int"), F.lit(0))
+    return F.pmod(F.xxhash64(_own(term)) + copy, F.lit(blocks))
+
+
+def with_copies(named: DataFrame, blocks: int, seed: int = 1) -> DataFrame:
+    """`named` (`target`, `context`, `label`) with frequent terms dealt to copies.
+
+    A term with more than a `blocks`-th of all rows, of which there are fewer than `blocks`, has as many copies as such
+    shares, and each of its rows goes to one of them. So no block has many more rows than others.
+    """
+    total = named.agg(F.count("*").alias("_all"))  # one row
+    for side in ("target", "context"):
+        counts = named.groupBy(side).agg(F.count("*").alias("_n")).join(F.broadcast(total))
+        often = counts.filter(F.col("_n") * blocks > F.col("_all")).select(side, F.ceil(F.col("_n") * blocks / F.col("_all")).cast("int").alias("_copies"))
+        part = F.floor(F.rand(seed) * F.col("_copies")).cast("int")
+        name = F.when(F.col("_copies").isNotNull(), F.concat(side, F.lit(COPY), part.cast("string"))).otherwise(F.col(side))
+        named = named.join(F.broadcast(often), side, "left").withColumn(side, name).drop("_copies")
+    return named.select("target", "context", "label")
+
+
+def merge_copies(params: DataFrame) -> DataFrame:
+    """`params` whose copies of one term have the means of their vectors and states; fewer than twice the blocks are such terms."""
+    copies = params.filter(F.col("term").contains(COPY)).withColumn("own", _own("term"))
+    out = copies.groupBy("side", "own").agg(F.max("steps").alias("_steps"))
+    for c, rows in (("v", copies), ("state", copies.filter("steps > 0"))):
+        cells = rows.select("side", "own", F.posexplode(c).alias("at", "x")).groupBy("side", "own", "at").agg(F.avg("x").alias("x"))
+        one = cells.groupBy("side", "own").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias(f"_{c}"))
+        out = out.join(one, ["side", "own"], "left")
+    joined = params.withColumn("own", F.when(F.col("term").contains(COPY), _own("term"))).join(F.broadcast(out), ["side", "own"], "left")
+    return joined.select("side", "term", F.coalesce("_v", "v").alias("v"), F.coalesce("_state", "state").alias("state"), F.coalesce("_steps", "steps").alias("steps"))
+
+
 def nsg_rounds(
     samples: DataFrame | Callable[[int], DataFrame],
     dim: int = 200,
@@ -121,10 +164,11 @@ def nsg_rounds(
     of the epoch, the corpus is drawn anew for each output. Vectors are rows `side`, `term`, `v`;
     the row of side 'shared' holds the biases of the two sides and weight and bias of the last unit,
     whose values the tasks of a stratum average. Without an optimiser it is plain descent with `rate`.
-    Terms that a later corpus brings in start anew; tables that are no longer needed are deleted.
+    Frequent terms are trained as copies, which are averaged after every epoch (see `with_copies`). Terms that a
+    later corpus brings in start anew; tables that are no longer needed are deleted.
     """
     opt = optimiser or Optimiser("sgd", rate)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    block = lambda c: _block(c, blocks)
     shared = np.r_[np.zeros(2 * dim), 1.0, 0.0]
     head = pd.DataFrame({"side": ["shared"], "term": [""], "v": [shared], "state": [np.zeros(0)], "steps": [0]})
     dealt = params = None
@@ -132,15 +176,22 @@ def nsg_rounds(
         if dealt is None or (callable(samples) and (epoch - 2) % epochs_per_out == 0):
             drawn = samples(epoch) if callable(samples) else samples
             named = drawn.select(F.col("target").cast("string").alias("target"), F.col("context").cast("string").alias("context"), "label")
+            named = settle(with_copies(named, blocks, seed), columnar=True)
             keyed = named.select("*", block("target").alias("key"), F.pmod(block("context") - block("target"), F.lit(blocks)).alias("stratum"))
             old, dealt = dealt, settle(keyed, columnar=True)
+            release(named)
             fresh = _with_state(initial_vectors(dealt, dim, seed))
             if params is None:
                 params = settle(fresh, columnar=True)
-            else:
+            else:  # copies of a term are alike here, so one of them is what is known of it
                 known = params
-                params = settle(known.unionByName(fresh.join(known, ["side", "term"], "left_anti")), columnar=True)
+                one = known.withColumn("own", _own("term")).dropDuplicates(["side", "own"]).select("side", "own", *[F.col(c).alias(f"_{c}") for c in ("v", "state", "steps")])
+                asked = fresh.withColumn("own", _own("term")).join(one, ["side", "own"], "left")
+                new = asked.select("side", "term", *[F.coalesce(f"_{c}", c).alias(c) for c in ("v", "state", "steps")])
+                kept = known.withColumn("own", _own("term")).join(asked.select("side", "own").distinct(), ["side", "own"], "left_anti")
+                params = settle(new.unionByName(kept.select(*new.columns)), columnar=True)
                 release(old, known)
+            often = not dealt.filter(F.col("target").contains(COPY) | F.col("context").contains(COPY)).isEmpty()
         for s in range(blocks):
             home = F.when(F.col("side") == "target", block("term")).otherwise(F.pmod(block("term") - s, F.lit(blocks)))
             keyed = params.select(home.alias("key"), "side", "term", "v", "state", "steps")
@@ -161,10 +212,15 @@ def nsg_rounds(
             if len(found):
                 mean = lambda c: np.mean(found[c].tolist(), axis=0)
                 head = head.assign(v=[mean("v")], state=[mean("state")], steps=[int(found["steps"].max())])
+        if often:
+            old, params = params, settle(merge_copies(params), columnar=True)
+            release(old)
         if epoch in (1, epochs) or epoch % epochs_per_out == 0:
             row = dealt.sparkSession.createDataFrame([("shared", "", [float(x) for x in head["v"].iloc[0]])], "side string, term string, v array<double>")
-            vectors = settle(params.select("side", "term", "v").unionByName(row), columnar=True)
-            yield epoch, vectors, nsg_loss(dealt, vectors, norm).first()["loss"]
+            one = params.withColumn("term", _own("term")).dropDuplicates(["side", "term"]) if often else params
+            vectors = settle(one.select("side", "term", "v").unionByName(row), columnar=True)
+            plain = dealt.select(_own("target").alias("target"), _own("context").alias("context"), "label")
+            yield epoch, vectors, nsg_loss(plain, vectors, norm).first()["loss"]
 
 
 def train_nsg(
