@@ -57,3 +57,23 @@ def save_table(df: DataFrame, path: str) -> None:
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def save_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table kept for other runs, bucketed by `keys`: groups and joins by these move none of its rows."""
+    name = _name_of(path)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.mode("overwrite").format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def load_bucketed(spark: SparkSession, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """A table of `save_bucketed`, in this session or another; the keys and their number have to be those it was saved with."""
+    name, columns = _name_of(path), spark.read.parquet(path).schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet CLUSTERED BY ({', '.join(keys)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _name_of(path: str) -> str:
+    return f"kept_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
