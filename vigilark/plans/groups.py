@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators import groups, multivariate, similarity, tests
+from vigilark.operators import groups, multivariate, similarity, stored, tests
 from vigilark.plans.fixtures import LEVELS3, Tables, with_tables
 from vigilark.plans.similarity import _all_paths_sql, _content_sql, path_terms, properties, rounded
 from vigilark.sources import sinks
-from vigilark.sources.tables import settle
+from vigilark.sources.tables import settle, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +104,15 @@ def _gain(t: Tables) -> DataFrame:
     return gain_rows(t).select("drug", "metric", *[rounded(c) for c in GAINS])
 
 
+@query("stored_gain", ORACLES["valid_random_gain"])
+def _stored_gain(t: Tables) -> DataFrame:
+    """The same gains, for which groups and properties take their similarities from stored matrices."""
+    path = f"{shared_folder(t.spark)}/similarities_{uuid.uuid4().hex}"
+    store = stored.store_similarities(t.terms(), METRICS, path)
+    rows = groups.gains(stored.stored_group_moments(*both_groups(t), store, METRICS), stored.stored_pair_properties(store))
+    return rows.select("drug", "metric", *[rounded(c) for c in GAINS])
+
+
 GAINS = ["valid", "rand", "valid_norm", "rand_norm", "gain_norm", "gain_norm_pop"]
 
 
