@@ -42,7 +42,7 @@ from vigilark.llm.bpe import byte_alphabet
 
 #: Characters of a block's texts (a longer text is a block of its own), blocks to a bucket, segments put
 #: together at once, and rows sent at once.
-BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS, COMPOSED, SENT = 10_000_000, 1, 48, 200_000, 50_000
+BLOCK_CHARS, BLOCKS_A_BUCKET, LEAST_BUCKETS, COMPOSED, SENT = 6_000_000, 2, 48, 200_000, 50_000
 #: Characters before which a text may be cut, if the vocabularies allow.
 CUTS = " \t\n\x0b\x0c\r"
 #: An id pair is one number: the id of A times this, plus the id of B.
