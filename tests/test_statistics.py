@@ -228,6 +228,16 @@ def test_permanova_by_plain_loops(spark, monkeypatch, metric, block):
     assert got["d"]["permanova_p"] == multivariate.share_beyond(want, strictly=False)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_the_constant_is_that_of_the_whole_block_matrix(seed):
+    d = multivariate.distances(("euclidean", "cosine")[seed % 2], cloud(seed))
+    centred = lambda a: a - a.mean(0) - a.mean(1)[:, None] + a.mean()
+    n = len(d)
+    block = np.block([[np.zeros((n, n)), centred(-(d**2))], [-np.eye(n), centred(2 * d)]])
+    assert math.isclose(multivariate.cailliez_constant(d), np.linalg.eigvalsh(block).max(), rel_tol=1e-9)
+    assert math.isclose(multivariate.cailliez_constant(d, literal=False), np.linalg.eigvals(block).real.max(), rel_tol=1e-9)
+
+
 def test_permdisp_over_a_table(spark):
     v = cloud(5)
     terms = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "term int, v array<double>")
