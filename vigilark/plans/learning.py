@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators import clustering, frequencies, hdbscan, learning, relational, sampling, signal
+from vigilark.operators import clustering, frequencies, hdbscan, learning, neighbour_map, relational, sampling, signal
 from vigilark.plans.fixtures import Tables, with_tables
 from vigilark.plans.signals import SEED, TEST_FRACTION, _sampled, contexts, corpus, last_label
 from vigilark.sources.tables import load_table, save_table, settle, shared_folder
@@ -218,6 +218,27 @@ def _stable(t: Tables) -> DataFrame:
     return hdbscan.stable_clusters(t.terms(), 10, NEAR)
 
 
+PERPLEXITY = 30
+
+
+@query(
+    "tsne_affinities",
+    with_tables(["terms"], f"SELECT term, least(3 * {PERPLEXITY}, (SELECT count(*) - 1 FROM terms)) AS n, 1e0 AS total, round(ln({PERPLEXITY}), 6) AS entropy FROM terms"),
+)
+def _affinities(t: Tables) -> DataFrame:
+    """Number of neighbours, sum of weights and entropy of every term's row."""
+    rows = neighbour_map.affinities(t.terms(), PERPLEXITY)
+    p = F.col("p")
+    return rows.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("p"), 9).alias("total"), F.round(-F.sum(F.when(p > 0, p * F.log("p")).otherwise(0.0)), 6).alias("entropy"))
+
+
+@query("tsne_coords")
+def _coords(t: Tables) -> DataFrame:
+    """Places on the map after the first rounds of it."""
+    *_, (_, places, _) = neighbour_map.map_rounds(t.terms(), PERPLEXITY, 10, 10)
+    return places
+
+
 @query("pca_projection")
 def _pca(t: Tables) -> DataFrame:
     return clustering.projection(t.terms(), 2)
