@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -80,6 +80,16 @@ def test_a_control_group_for_nearly_half_of_the_pool(spark):
     assert len([r for r in got if r["drug"] == "small"]) == 2
 
 
+def test_draws_of_few_drugs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(groups, "RUN", 64)
+    monkeypatch.setattr(groups, "DRAWS", 500)
+    rows = spark.createDataFrame([("a", 3000), ("b", 63), ("c", 65), ("d", 1), ("e", 0)], "drug string, n int").coalesce(1)
+    made = groups.numbered(rows, "attempt", F.col("n") + 0).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["drug"], r["attempt"]) for r in made) == [(d, k) for d, n in (("a", 3000), ("b", 63), ("c", 65), ("d", 1)) for k in range(1, n + 1)]
+    assert len({r["task"] for r in made}) > 3 and max(Counter(r["task"] for r in made).values()) < 2000
+    assert groups.numbered(rows.limit(0), "attempt", F.col("n")).count() == 0
+
+
 def test_batches_have_their_size_and_lose_no_context(spark):
     rows = [(t, c, 1 + (t * c) % 5) for t in range(50) for c in range(t % 7, 40, 7)] + [(100 + t, 0, 1) for t in range(6)]
     counts = spark.createDataFrame(rows, "target int, context int, n bigint")
