@@ -211,6 +211,13 @@ def test_masks_are_permutations(n, first):
     assert np.abs(share - first / n).max() < 0.01 + 5 * (first / n * (1 - first / n) / 400) ** 0.5
 
 
+def test_places_that_are_inside_are_not_permuted_again(monkeypatch):
+    cells, spread = [], multivariate._spread
+    monkeypatch.setattr(multivariate, "_spread", lambda x: cells.append(x.size) or spread(x))
+    multivariate.masks_at(np.arange(300), 300, 150, 99, seed=1)
+    assert sum(cells) < 4 * 5 * 300 * 99  # four rounds; 1024 places are walked through for 300
+
+
 @pytest.mark.parametrize(("metric", "block"), [("euclidean", 2048), ("euclidean", 4), ("cosine", 5)])
 def test_permanova_by_plain_loops(spark, monkeypatch, metric, block):
     monkeypatch.setattr(multivariate, "BLOCK", block)
