@@ -7,9 +7,11 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilark.functions import distributions
-from vigilark.operators import multivariate, similarity, tests
+from vigilark.functions.distributions import normal_tail
+from vigilark.operators import groups, multivariate, similarity, tests
 
 # Body weights of a published worked example of tests of normality.
 WEIGHTS = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
@@ -302,3 +304,40 @@ def test_path_blocks_give_the_same_as_columns(spark, monkeypatch):
         assert all(math.isclose(got[k], expected[k], abs_tol=1e-9) for k in got), metric
     with pytest.raises(ValueError, match="query terms"):
         hierarchy.path_pairs(paths, spark.range(200).withColumnRenamed("id", "term"), levels)
+
+
+@pytest.mark.parametrize("digits", [6, 1])
+def test_drugs_in_a_task_have_the_results_of_tables(spark, monkeypatch, digits):
+    """Groups of at most BLOCK terms are reduced to a row where their similarities are made; larger ones take tables."""
+    rng = np.random.default_rng(6)
+    terms = spark.createDataFrame([(k, [0.0] * 3 if k == 3 else rng.normal(size=3).tolist()) for k in range(120)], "term int, v array<double>")
+    groups_of = lambda sizes: spark.createDataFrame([(d, int(k)) for d, n in sizes for k in rng.choice(120, n, replace=False)], "drug string, reaction int")
+    valid, control = groups_of([("a", 40), ("b", 8), ("c", 2), ("d", 25)]), groups_of([("a", 40), ("b", 7), ("c", 2)])
+    rounded = lambda sims: {g: np.trunc(x * 10**digits + np.copysign(0.5, x)) / 10**digits + 0.0 for g, x in sims.items()}
+    ways = {
+        "ranks": (lambda s: tests.ranks_of(rounded(s)), lambda v: tests.rank_sums(v.withColumn("sim", F.round("sim", digits) + 0.0)), tests.RANKS, tests.mann_whitney),
+        "means": (lambda s: tests.deviations_of(s, np.mean), tests.from_means, tests.PARTS, tests.anova),
+        "medians": (lambda s: tests.deviations_of(s, np.median), tests.from_medians, tests.PARTS, tests.anova),
+        "shapes": (tests.shapes_of, tests.shapes, tests.SHAPES, tests.normality),
+    }
+    for of_arrays, of_table, fields, last in ways.values():
+        found = []
+        for block in (2048, 10):
+            monkeypatch.setattr(groups, "BLOCK", block)
+            made = groups.over_drugs(valid, control, terms, ["cosine", "euclidean"], of_arrays, of_table, fields)
+            if block == 2048:
+                assert made.count() <= 16  # no row per pair
+            found.append({tuple(r[:2]) + ((r["grp"],) if "grp" in r else ()): [r[c] for c in sorted(r.asDict()) if c not in ("drug", "metric", "grp")] for r in last(made).collect()})
+        assert found[0].keys() == found[1].keys() and len(found[0]) >= 8
+        for k, row in found[0].items():
+            for x, y in zip(row, found[1][k], strict=True):
+                assert (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-9)), (k, row, found[1][k])
+
+
+def test_the_furthest_distance_is_found_by_stretches():
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=5000), np.round(rng.normal(size=3001), 1), rng.exponential(size=777), np.array([1.0, 2.0]), np.r_[np.zeros(400), 1.0]):
+        x, n = np.sort(x), len(x)
+        cdf = np.array([1 - normal_tail(z) for z in (x - x.mean()) / x.std()])
+        want = max((np.arange(1, n + 1) / n - cdf).max(), (cdf - np.arange(n) / n).max())
+        assert tests.furthest(x, x.mean(), x.std()) == want
