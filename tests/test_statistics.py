@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions import distributions
 from vigilark.functions.distributions import normal_tail
-from vigilark.operators import groups, multivariate, similarity, tests
+from vigilark.operators import groups, hierarchy, multivariate, similarity, tests
 
 # Body weights of a published worked example of tests of normality.
 WEIGHTS = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], float)
@@ -341,3 +341,21 @@ def test_the_furthest_distance_is_found_by_stretches():
         cdf = np.array([1 - normal_tail(z) for z in (x - x.mean()) / x.std()])
         want = max((np.arange(1, n + 1) / n - cdf).max(), (cdf - np.arange(n) / n).max())
         assert tests.furthest(x, x.mean(), x.std()) == want
+
+
+def test_blocks_in_pieces_are_those_made_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    path = lambda k: {"names": [str(rng.integers(3)), None, str(rng.integers(2))], "ic": [1.0, None, float(k)], "own": 2.5, "primary": k == 0}
+    x, y = (hierarchy.Paths.load([[path(k) for k in range(n)] for n in sizes]) for sizes in ([2] * 9, [1, 3, 0, 2, 2]))
+    a, b = rng.normal(size=(23, 5)), rng.normal(size=(7, 5))
+    metrics = ("manhattan", "chebyshev", "minkowski", "braycurtis", "canberra")
+    whole = [hierarchy.path_matrix(m, *p) for m in hierarchy.PATH_METRICS for p in ((x, y), (y, x), (x, x))] + [similarity.pair_matrix(m, a, b) for m in metrics]
+    monkeypatch.setattr(hierarchy, "CELLS", 20)
+    monkeypatch.setattr(similarity, "CELLS", 20)
+    pieces = [hierarchy.path_matrix(m, *p) for m in hierarchy.PATH_METRICS for p in ((x, y), (y, x), (x, x))] + [similarity.pair_matrix(m, a, b) for m in metrics]
+    assert all(np.array_equal(p, w, equal_nan=True) for p, w in zip(pieces, whole, strict=True))
+    rows, largest = hierarchy._path_rows, []
+    monkeypatch.setattr(hierarchy, "_path_rows", lambda m, p, q, *codes: largest.append(len(p.names) * len(q.names)) or rows(m, p, q, *codes))
+    many = hierarchy.Paths.load([[path(0)] * 2 for _ in range(50)])
+    hierarchy.path_matrix("lin", many, x)
+    assert len(largest) == 50 and max(largest) == 36  # never more than one term's beyond CELLS
