@@ -218,6 +218,7 @@ def test_places_that_are_inside_are_not_permuted_again(monkeypatch):
     monkeypatch.setattr(multivariate, "_spread", lambda x: cells.append(x.size) or spread(x))
     multivariate.masks_at(np.arange(300), 300, 150, 99, seed=1)
     assert sum(cells) < 4 * 5 * 300 * 99  # four rounds; 1024 places are walked through for 300
+    assert multivariate.masks_at(np.arange(300), 300, 150, 1, seed=1).sum(1).tolist() == [150, 150]
 
 
 @pytest.mark.parametrize(("metric", "block"), [("euclidean", 2048), ("euclidean", 4), ("cosine", 5)])
