@@ -355,3 +355,35 @@ def test_density_clusters_match_brute_force(spark, monkeypatch):
         got = {r["term"]: r["cluster"] for r in clustering.density_clusters(terms(spark, [(k, p.tolist()) for k, p in enumerate(pts)]), min_samples, min_size, radius).collect()}
         assert got == want
         assert want[0] == want[20] or radius < 0.7
+
+
+def test_blocks_grow_with_the_samples(spark, monkeypatch):
+    """However many samples there are, a task's share of a stratum is bounded, and vectors are still trained."""
+    monkeypatch.setattr(learning, "CELL", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cells, kept = [], learning.settle
+
+    def settle(df, *a, **k):
+        out = kept(df, *a, **k)
+        if "stratum" in out.columns:
+            cells.extend(r["count"] for r in out.groupBy("key", "stratum").count().collect())
+        return out
+
+    monkeypatch.setattr(learning, "settle", settle)
+    rows = [(f"t{k % 61}", f"c{k % 37}", k % 2) for k in range(2257)]
+    samples = spark.createDataFrame(rows, "target string, context string, label int")
+    try:
+        (_, vectors, loss), = learning.nsg_rounds(samples, 4, 1, blocks=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(cells) == len(rows) and max(cells) < 400 and len(cells) > 16
+    assert vectors.count() == 61 + 37 + 1
+    assert loss == pytest.approx(learning.nsg_loss(samples, vectors).first()["loss"], rel=1e-9)
+
+
+def test_samples_come_in_one_order():
+    rows = pd.DataFrame({"target": ["b", "a", "b", "a", "c"] * 4, "context": ["x", "y", "y", "x"] * 5, "label": [0, 1] * 10})
+    want = rows.sort_values(["target", "context", "label"]).sample(frac=1, random_state=3).reset_index(drop=True)
+    for k in range(3):
+        got = learning._in_turn(rows.sample(frac=1, random_state=k), 3)
+        assert got.reset_index(drop=True).equals(want)
