@@ -178,6 +178,46 @@ def test_reactions_by_index(spark):
     assert learning.classify_indexed(model, table.limit(1).withColumn("reaction", F.lit("unseen"))).count() == 1
 
 
+def test_gradients_of_the_machine():
+    rng = np.random.default_rng(2)
+    p, x, y, at, shared = rng.normal(size=(4, 4)), rng.normal(size=(9, 2)), rng.integers(0, 2, 9).astype(float), rng.integers(0, 4, 9), rng.normal(size=1 + 2 + 6)
+
+    def loss(p, shared):
+        factors = np.c_[np.zeros(9), x]  # the pair sum, one pair of features after the other
+        z = shared[0] + p[at, 0] + x @ shared[1:3]
+        v = shared[3:].reshape(2, 3)
+        for k in range(9):
+            z[k] += x[k, 0] * (p[at[k], 1:] @ v[0]) + x[k, 1] * (p[at[k], 1:] @ v[1]) + factors[k, 1] * factors[k, 2] * (v[0] @ v[1])
+        return np.log1p(np.exp(np.where(y > 0, -z, z))).sum()
+
+    for k, got in enumerate(learning.machine_gradients(p, at, x, y, shared, 3)):
+        want = np.zeros_like(got)
+        for cell in np.ndindex(got.shape):
+            ends = [[p.copy(), shared.copy()] for _ in range(2)]
+            for end, step in zip(ends, (1e-6, -1e-6), strict=True):
+                end[k][cell] += step
+            want[cell] = (loss(*ends[0]) - loss(*ends[1])) / 2e-6
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_many_reactions_are_rows(spark, monkeypatch):
+    """Beyond MOST_DENSE reactions no weight of a reaction is in the driver; blocks do not change what is learned."""
+    monkeypatch.setattr(learning, "MOST_DENSE", 3)
+    rng = np.random.default_rng(1)
+    rows = [(k, f"r{k % 6}", [float(x)], int((x > 0) == (k % 2 == 0))) for k, x in enumerate(rng.normal(size=300))]
+    table = spark.createDataFrame(rows, "drug bigint, reaction string, features array<double>, label int")
+    got = {}
+    for cell in (1 << 19, 70):
+        monkeypatch.setattr(learning, "CELL", cell)
+        monkeypatch.setattr(learning, "RATE", 0.5)
+        model = learning.train_indexed_classifier(table, rounds=12)
+        assert isinstance(model, learning.IndexedModel) and len(model.shared) == 1 + 1 + 8
+        got[cell] = {r["drug"]: r["score"] for r in learning.classify_indexed(model, table.union(table.limit(1).selectExpr("-1", "'unseen'", "features", "label"))).collect()}
+    few, many = got.values()
+    assert len(few) == 301 and all(many[k] == pytest.approx(few[k], abs=1e-9) for k in few)
+    assert np.mean([(few[k] > 0.5) == bool(r[3]) for k, r in enumerate(rows)]) > 0.9
+
+
 def test_settle_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     df = tables.settle(spark.range(5), columnar=True)
     assert df.count() == 5
