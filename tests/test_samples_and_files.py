@@ -120,6 +120,25 @@ def test_neighbours_of_many_equal_vectors(spark, monkeypatch):
     assert got[0] == [1, 2, 3] and got[5] == [0, 1, 2] and got[99] == [0, 1, 2]
 
 
+def test_neighbours_in_wide_blocks(spark, monkeypatch):
+    """Blocks grow with the table, so that a term is sent to few of them; what is best does not change, ties and NaN included."""
+    monkeypatch.setattr(similarity, "WIDE", 40)
+    monkeypatch.setattr(similarity, "SPREAD", 2)
+    v = np.random.default_rng(5).integers(-2, 3, (85, 3)).astype(float)
+    v[7] = np.nan
+    terms = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "term int, v array<double>")
+    monkeypatch.setattr(similarity, "BLOCK", 10)
+    assert similarity._block_pairs(terms, wide=True).count() == 85 * 3 and similarity._block_pairs(terms).count() == 85 * 9
+    got = {(r["term"], r["rank"]): r["neighbour"] for r in similarity.all_top_neighbours(terms, "manhattan", 6).collect()}
+    d = np.abs(v[:, None] - v[None]).sum(2)
+    want = {(k, r + 1): j for k in range(85) for r, j in enumerate([j for j in np.lexsort((np.arange(85), d[k])) if j != k and d[k, j] == d[k, j]][:6])}
+    assert got == want
+    own = similarity._best_of("manhattan", v, v, 6, True)
+    for strip in (10, 100):
+        monkeypatch.setattr(similarity, "BLOCK", strip)
+        assert all((x == y).all() for x, y in zip(own, similarity._best_of("manhattan", v, v, 6, True), strict=True))
+
+
 def test_shuffle_is_a_repeatable_permutation(spark):
     rows = spark.range(200).withColumnRenamed("id", "k")
     a, b, c = ([r["k"] for r in sampling.shuffle(d, ["k"], seed).collect()] for d, seed in ((rows, 1), (rows.repartition(7), 1), (rows, 2)))
