@@ -127,6 +127,34 @@ def test_sums_of_blocks_give_the_same_tests(spark, monkeypatch):
         assert a.keys() == b.keys() and all(math.isclose(a[m], b[m], rel_tol=1e-9) for m in a), test
 
 
+def test_distances_are_summed_in_blocks(spark, monkeypatch):
+    """The same totals as from a table of all pairs, from a row a block pair; the largest similarity is that of both groups."""
+    from vigilark.operators import groups
+
+    monkeypatch.setattr(groups, "BLOCK", 4)
+    v = cloud(2, 18)
+    v[5] = 0  # no cosine
+    terms = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(18, [0.0] * 5), (19, [0.0] * 5)], "term int, v array<double>")
+    valid = spark.createDataFrame([("d", k) for k in range(9)] + [("e", 1), ("e", 2), ("f", 18), ("f", 19)], "drug string, reaction int")
+    control = spark.createDataFrame([("d", k) for k in range(9, 18)] + [("e", 3), ("e", 4)], "drug string, reaction int")
+    metrics = ["euclidean", "cosine"]
+    table = similarity.to_distance(groups.group_similarities(valid, control, terms, metrics), ["drug"])
+    want = {(r["drug"], r["metric"]): r["total"] for r in table.groupBy("drug", "metric").agg(F.sum("dist").alias("total")).collect()}
+    moved = groups.group_distances(valid, control, terms, metrics)
+    got = {(r["drug"], r["metric"]): r["total"] for r in moved.collect()}
+    assert got.keys() == want.keys() and len(got) == 6 and got["f", "cosine"] is None and want["f", "cosine"] is None
+    assert all(want[k] is None or math.isclose(got[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want)
+    assert {(r["drug"], r["metric"]): r["n"] for r in moved.collect()}["d", "cosine"] == 28 + 36
+
+
+def test_the_query_of_distances_makes_no_row_a_pair(spark, sf, monkeypatch):
+    from vigilark.operators import groups
+    from vigilark.plans.registry import QUERIES
+
+    monkeypatch.setattr(groups, "group_similarities", None)
+    assert QUERIES["to_distance"](spark, sf).count() > 0
+
+
 def test_summary_counts_and_averages(spark):
     ps = [0.001, 0.01, 0.02, 0.03, 0.9, None, float("nan")]
     rows = [(str(k), "m", "permanova_p", p) for k, p in enumerate(ps)] + [("0", "m", "valid", 0.5), ("1", "m", "valid", 0.7), ("2", "m", "valid", float("nan")), ("0", "m", "other", 1.0)]
