@@ -155,6 +155,42 @@ def test_the_query_of_distances_makes_no_row_a_pair(spark, sf, monkeypatch):
     assert QUERIES["to_distance"](spark, sf).count() > 0
 
 
+def test_masks_of_equal_sizes_are_made_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(multivariate, "masks_at", lambda places, *args, f=multivariate.masks_at: made.append(places) or f(places, *args))
+    sizes = (3, 13, 20, 9, 50, 77)
+    first, again = (multivariate._masks_of_block(*sizes) for _ in range(2))
+    assert len(made) == 1 and np.array_equal(first, again) and first.shape == (51, 10)
+    assert np.array_equal(first > 0, masks_of(np.arange(3, 13), 20, 9, 50, 77))
+    for n_first, n in ((3, 6), (7, 19)):
+        want = multivariate.orders(np.arange(n) < n_first, 800, 5, all_if_few=True)
+        assert np.array_equal(multivariate._orders_of(n_first, n, 800, 5), want) and len(want) == (721 if n == 6 else 801)
+
+
+def masks_of(places, n, n_first, permutations, seed):
+    return np.array([[m[0] for m in row] for row in zip(*(multivariate.masks_at(np.array([p]), n, n_first, permutations, seed) for p in places), strict=True)])
+
+
+def test_a_comparison_makes_its_similarities_and_tests_once(spark, sf, monkeypatch):
+    """All tests of the comparison are those of the queries on their own; its rows are written down before they are read twice."""
+    from vigilark.plans import groups as plans
+    from vigilark.plans.fixtures import Tables
+
+    passes = []
+    monkeypatch.setattr(groups, "_in_drugs", lambda *a, f=groups._in_drugs: passes.append(a[-1].keys()) or f(*a))
+    t = Tables(spark, sf)
+    monkeypatch.setattr(plans, "both_groups", lambda t, f=plans.both_groups, kept={}: kept.setdefault("both", None) or kept.update(both=f(t)) or kept["both"])
+    rows = plans.results(t)
+    assert len(passes) == 1 and rows._settled_at
+    found = {(r["drug"], r["metric"], r["stat"]): r["value"] for r in rows.collect()}
+    assert len(found) == rows.count()
+    for name, apart in (("mean_anova_f", tests.anova(plans.moments(t))), ("mean_mannwhitney_f", tests.mann_whitney(plans.ranks(t, digits=None))), ("var_brown_f", tests.anova(plans.deviations(t, "median")))):
+        want = {(r["drug"], r["metric"], name): r["stat"] for r in apart.collect()}
+        assert want and all(math.isclose(found[k], x, rel_tol=1e-9, abs_tol=1e-9) if x is not None else found[k] is None for k, x in want.items()), name
+    want = {(r["drug"], "euclidean", "permanova_p"): r["permanova_p"] for r in multivariate.permanova(*plans.both_groups(t), t.terms(), "euclidean").collect()}
+    assert want and all(found[k] == x for k, x in want.items())
+
+
 def test_summary_counts_and_averages(spark):
     ps = [0.001, 0.01, 0.02, 0.03, 0.9, None, float("nan")]
     rows = [(str(k), "m", "permanova_p", p) for k, p in enumerate(ps)] + [("0", "m", "valid", 0.5), ("1", "m", "valid", 0.7), ("2", "m", "valid", float("nan")), ("0", "m", "other", 1.0)]
