@@ -155,6 +155,16 @@ def test_the_query_of_distances_makes_no_row_a_pair(spark, sf, monkeypatch):
     assert QUERIES["to_distance"](spark, sf).count() > 0
 
 
+def test_pairs_of_other_terms_go_before_pairs_are_made_distinct(spark):
+    pairs = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("a", 9), ("b", 1), ("b", 8), ("c", None), (None, 1), (None, 2)], "drug string, reaction int")
+    terms = spark.createDataFrame([(k, [0.0]) for k in (1, 2, 3)], "term int, v array<double>")
+    found = groups.usable_groups(pairs, terms)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 2), ("a", 2, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[k + 1] for k, line in enumerate(plan) if "LeftSemi" in line]
+    assert below and not any("Aggregate" in line for line in below)
+
+
 def test_masks_of_equal_sizes_are_made_once(monkeypatch):
     made = []
     monkeypatch.setattr(multivariate, "masks_at", lambda places, *args, f=multivariate.masks_at: made.append(places) or f(places, *args))
