@@ -140,3 +140,13 @@ def test_clashing_columns_and_empty_tables(spark):
     out = pii.redact(named)
     assert out.columns == named.columns and out.count() == named.count()
     assert pii.redact(named.limit(0)).count() == pii.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_parts_of_a_joined_pattern_are_never_broadcast(spark, tmp_path):
+    edges = spark.createDataFrame([(f"p{k % 3}", f"v{k}") for k in range(30)], "pattern string, value string")
+    edges.write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")  # so small that Spark would broadcast its sixteen copies
+    trust = edges.select("value", F.lit(1.0).alias("trust"))
+    joined = pii._salted(edges, trust, "value", "pattern")
+    assert sorted((r["pattern"], r["value"], r["trust"]) for r in joined.collect()) == sorted((f"p{k % 3}", f"v{k}", 1.0) for k in range(30))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

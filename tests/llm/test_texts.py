@@ -266,3 +266,51 @@ def test_rows_without_an_id_are_redacted(spark):
     assert sorted(t for t in got if t) == want and got.count(None) == 1
     spans = [r["spans"] for r in pii.find_personal_data(docs).filter("doc_id is null").collect()]
     assert sorted(s["kind"] for row in spans for s in row) == ["email", "id", "id"]
+
+
+def test_batches_are_taken_and_given_by_part_and_memory_goes_back():
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from vigilark.llm._arrow import chunks, handing_back, text_parts
+
+    texts = ["ä" * 400, None, "", "b" * 700, "c" * 10, "d"]
+    column = pa.array(texts)
+    assert [p for p, _ in text_parts(column, 500)] == list(chunks(texts, 500))
+    assert [t for _, part in text_parts(column, 500) for t in part] == texts
+    assert list(text_parts(pa.array([], pa.string()))) == []
+
+    def mb() -> int:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) // 1024
+
+    def run(batches):
+        for batch in batches:
+            kept = [t for _, part in text_parts(batch.column(0)) for t in part]  # ends between other allocations
+            yield pa.RecordBatch.from_arrays([pa.array([t[::-1] for t in kept])], names=["t"])
+
+    whole = handing_back(run)
+    first = pa.RecordBatch.from_arrays([pa.array(["x"])], names=["t"])
+    list(whole(iter([first])))
+    before = mb()
+    large = (pa.RecordBatch.from_arrays([pa.array([f"{k:05d}" * 400 for k in range(40_000)])], names=["t"]) for _ in range(2))
+    assert sum(len(b) for b in whole(large)) == 80_000
+    del large
+    assert mb() - before < 40  # of 80 MB a batch and as many of its strings
+
+
+def test_toxicity_filter_takes_a_batch_by_part(spark):
+    from pyspark.sql import functions as F
+
+    from vigilark.llm import toxicity
+
+    class Mild:
+        def score(self, texts):
+            import numpy as np
+
+            return np.array([0.9 if t.endswith("!") else 0.1 for t in texts])
+
+    docs = spark.range(300, numPartitions=1).select("id", F.concat(F.repeat(F.lit("word "), 1000), F.when(F.col("id") % 3 == 0, "!").otherwise("")).alias("text"))
+    kept = toxicity.keep_clean(docs, Mild())
+    assert sorted(r["id"] for r in kept.select("id").collect()) == [k for k in range(300) if k % 3]

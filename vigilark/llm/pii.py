@@ -221,8 +221,9 @@ def seen_tokens(scanned: DataFrame) -> DataFrame:
 
 def _salted(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join on `key` whose rows on the left are dealt to SALTS parts by `by`, so that a key that
-    a third of them hold is not one task's. The right side has few rows of each key."""
-    parts = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    a third of them hold is not one task's. The right side has few rows of each key; it is never broadcast, since
+    its size is reckoned from its files, before it is repeated."""
+    parts = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return left.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(parts, [key, "_part"]).drop("_part")
 
 

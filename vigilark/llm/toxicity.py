@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from vigilark.llm._arrow import chunks, map_texts
+from vigilark.llm._arrow import chunks, handing_back, map_texts, text_parts
 from vigilark.llm._labelled import labelled_sample
 from vigilark.llm._words import SEEDS, byte_hashes
 
@@ -361,9 +361,8 @@ def keep_clean(docs: DataFrame, machine: Machine, threshold: float = 0.3, text_c
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            scores = [machine.score(texts[part]) for part in chunks(texts)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+            for part, texts in text_parts(batch.column(at)):
+                scores = machine.score([t or "" for t in texts])
+                yield batch[part.start : part.stop].filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(handing_back(run), docs.schema)
