@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from vigilark.operators import learning, sampling
+from vigilark.operators import learning, neighbour_map, sampling
 from vigilark.plans import learning as plans
 from vigilark.plans.fixtures import Tables
 
@@ -42,3 +43,43 @@ def test_nsg_vectors_trains_as_long_and_as_wide_as_the_reference(spark, sf, monk
         "dim": params["oNumberOfEmbeddedFeatures"], "epochs": params["oEpochs"], "negatives": k,
         "rows": Tables(spark, sf).raw("lineitem").agg(F.count("*")).first()[0] * (1 + k),
     }
+
+
+def test_tsne_coords_makes_all_rounds(spark, sf, monkeypatch):
+    known = {"oParameterList": {"oTSNE": {"oIterations": 3000, "oPerplexity": 30}}}
+    params = template("clustering.json", **known)["oParameterList"]["oTSNE"]
+    asked = []
+
+    def rounds(terms, perplexity, rounds, every):
+        asked.append((terms.count(), perplexity, rounds))
+        yield rounds, terms, 0.0
+
+    monkeypatch.setattr(neighbour_map, "map_rounds", rounds)
+    plans.QUERIES["tsne_coords"](spark, sf)
+    assert asked == [(Tables(spark, sf).terms().count(), params["oPerplexity"], params["oIterations"])]
+
+
+def test_a_map_made_in_one_task_is_that_of_the_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 1, (40, 5)) + 4 * rng.integers(0, 3, (40, 1))
+    terms = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "term bigint, v array<double>")
+    made = []
+    for most in (neighbour_map.MOST_LINKS, 0):
+        monkeypatch.setattr(neighbour_map, "MOST_LINKS", most)
+        found = list(neighbour_map.map_rounds(terms, 5.0, 8, 4, rate=10.0))
+        assert [step for step, _, _ in found] == [4, 8]
+        made.append((np.array([(r["x"], r["y"]) for r in found[-1][1].orderBy("term").collect()]), found[-1][2]))
+    (task, loss), (jobs, loss_of_jobs) = made
+    assert np.abs(task - jobs).max() < 0.02 * np.abs(jobs).max() and abs(loss - loss_of_jobs) < 0.02 * loss_of_jobs
+
+
+def test_repulsion_by_transforms_is_near_that_of_all_pairs():
+    rng = np.random.default_rng(4)
+    for n, spread in ((700, 1e-4), (700, 1.0), (3000, 12.0)):
+        y = rng.normal(0, spread, (n, 2))
+        d = y[:, None] - y[None]
+        q = 1 / (1 + (d**2).sum(2)) - np.eye(n)
+        pull, z = neighbour_map._between_all(y)
+        assert np.allclose(z, q.sum(1)) and np.allclose(pull, ((q * q)[:, :, None] * d).sum(1), atol=1e-9 * n * spread)
+        near, z_near = neighbour_map._between_points(y)
+        assert np.linalg.norm(near - pull) < 0.02 * np.linalg.norm(pull) and abs(z_near.sum() - z.sum()) < 1e-3 * z.sum()
