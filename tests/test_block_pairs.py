@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigilark.operators import hierarchy, similarity
+from vigilark.operators import hdbscan, hierarchy, similarity
+from vigilark.plans.groups import QUERIES
 
 
 def table(spark, v):
@@ -60,3 +61,39 @@ def test_equal_paths_are_one_node_of_the_properties(spark, monkeypatch):
     for metric in metrics:
         want = similarity.all_pairs(terms, metric).filter("sim is not null").agg(*[f("sim") for f in (F.count, F.min, F.max, F.avg)]).first()
         assert np.allclose(list(want), [got[metric][c] for c in ("n", "min", "max", "mean")])
+
+
+def test_the_spanning_tree_sends_terms_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(hdbscan, "BLOCK", 3)
+    sent = []
+    dealt = hdbscan._block_pairs
+
+    def counted(rows, **named):
+        sent.append(dealt(rows, **named).count())
+        return dealt(rows, **named)
+
+    monkeypatch.setattr(hdbscan, "_block_pairs", counted)
+    v = np.random.default_rng(5).normal(size=(90, 3))
+    got = hdbscan.reachability_tree(table(spark, v), 4).collect()
+    assert len(got) == 89 and sent and max(sent) == 90 * similarity.SPREAD  # 30 blocks of 3 terms before
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    core = np.sort(d, 1)[:, 3]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None])
+    inside, best, want = np.zeros(90, bool), reach[0].copy(), []
+    inside[0] = True
+    for _ in range(89):
+        k = int(np.where(inside, np.inf, best).argmin())
+        want.append(best[k])
+        inside[k] = True
+        best = np.minimum(best, reach[k])
+    assert np.allclose(sorted(r["w"] for r in got), sorted(want), atol=1e-6)
+
+
+def test_mean_gains_make_no_similarities_of_all_pairs(spark, sf, monkeypatch):
+    def never(*args):
+        raise AssertionError("the two means need no properties of all pairs")
+
+    monkeypatch.setattr(similarity, "properties_of", never)
+    monkeypatch.setattr(similarity, "pair_properties", never)
+    rows = QUERIES["mean_gains"](spark, sf).collect()
+    assert {(r["metric"], r["stat"]) for r in rows} == {(m, s) for m in ("cosine", "euclidean") for s in ("valid", "rand")}
