@@ -83,3 +83,20 @@ def test_repulsion_by_transforms_is_near_that_of_all_pairs():
         assert np.allclose(z, q.sum(1)) and np.allclose(pull, ((q * q)[:, :, None] * d).sum(1), atol=1e-9 * n * spread)
         near, z_near = neighbour_map._between_points(y)
         assert np.linalg.norm(near - pull) < 0.02 * np.linalg.norm(pull) and abs(z_near.sum() - z.sum()) < 1e-3 * z.sum()
+
+
+def test_a_task_of_the_contrastive_model_holds_a_bounded_number_of_vectors(spark, monkeypatch):
+    monkeypatch.setattr(learning, "HELD", 20)
+    held = []
+    made = learning.contrastive_pairs
+
+    def pairs(counts, size, epoch, blocks, **named):
+        held.append(blocks)
+        return made(counts, size, epoch, blocks, **named)
+
+    monkeypatch.setattr(learning, "contrastive_pairs", pairs)
+    rows = [(f"t{k}", f"c{(k * j) % 7}", 1) for k in range(90) for j in (1, 2)]
+    counts = spark.createDataFrame(rows, "target string, context string, n bigint").dropDuplicates(["target", "context"])
+    vectors = learning.train_ntx(counts, 4, 1, 4, hidden=3, blocks=2).collect()
+    assert held == [5]  # two before, however many vectors there were
+    assert len({(r["side"], r["term"]) for r in vectors}) == len(vectors) == 90 + 7 and np.isfinite([r["v"] for r in vectors]).all()
